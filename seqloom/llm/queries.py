@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_prefix, media, packing, quality, toxicity
+from . import bpe_prefix, imatch, linededup, media, packing, quality, secrets, toxicity
 from .labelled import remainder
 from .shared import work_dir
 
@@ -30,6 +30,26 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.col("length").alias("media_bytes"), "media_sha256", "feature", "width", "height", "shard", "offset")
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table_ = secrets.train(secrets.default_samples(spark))
+    found = secrets.scan(table(spark, sf_dir, "documents"), table_)
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secrets.spans_text("base"), 256).alias("base_sha256"), secrets.spans_text("spans").alias("spans"))
+
+
+def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = imatch.compare(table(spark, sf_dir, "documents"), work_dir(spark, "imatch"))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        imatch.fingerprint_text("fingerprint").alias("fingerprint"),
+        imatch.fingerprint_text("edited_fingerprint").alias("edited_fingerprint"),
+        imatch.likeness("fingerprint", "edited_fingerprint").alias("near_edited"),
+        imatch.likeness("fingerprint", "next_fingerprint").alias("near_next"),
+    )
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"), label="quality", modulus=5, out=0)
@@ -42,6 +62,30 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.remove(table(spark, sf_dir, "documents"), work_dir(spark, "lines"), site="source", min_sites=3)
+    return found.select("doc_id", F.col("_n_lines").cast("long").alias("n_lines"), F.col("_n_removed").cast("long").alias("n_removed"), F.col("text").alias("clean_text"))
+
+
+OP7_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos
+  FROM documents),
+keyed AS (
+  SELECT doc_id, source, raw, pos,
+    nullif(translate(regexp_replace(raw, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS line
+  FROM lines),
+spread AS (
+  SELECT line, min((doc_id, pos)) AS first FROM keyed WHERE line IS NOT NULL GROUP BY line HAVING count(DISTINCT source) >= 3),
+marked AS (
+  SELECT k.doc_id, k.pos, k.raw, k.line, s.line IS NOT NULL AND (k.doc_id, k.pos) <> s.first AS gone
+  FROM keyed k LEFT JOIN spread s ON k.line = s.line)
+SELECT doc_id, count(line) AS n_lines, count(*) FILTER (gone) AS n_removed,
+  coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS clean_text
+FROM marked GROUP BY doc_id
+"""
+
+
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=2, capacity=4096)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -55,8 +99,8 @@ def op9_bpe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_media, op5_quality, op8_pack, op9_bpe_prefix, op10_toxicity)}
+    return {f.__name__: f for f in (op2_media, op3_secrets, op4_imatch, op5_quality, op7_lines, op8_pack, op9_bpe_prefix, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_lines": OP7_SQL}
