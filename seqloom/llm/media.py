@@ -1,9 +1,10 @@
 """Media columns: payloads in tar shards, addressed by their content (operator 2).
 
-A payload is kept once, as an 8-bit greyscale PNG under the hash of its samples, whatever the number of rows that have it.
-Map tasks encode and drop repeated payloads of their own; the rest meet by digest, so that a hot payload is at most one row
-for each map task.  Each writing task streams into tar shards of its own in the shared folder and returns where each payload
-lies (digest, shard, offset, length); an attempt that fails leaves a shard that no row names.  Metadata come from reads of the
+A payload is an 8-bit greyscale PNG under the hash of its samples.  Each scanning task streams the payloads of its rows into
+tar shards of its own in the shared folder, each distinct one once, and returns where they lie (digest, shard, offset, length);
+an attempt that fails leaves a shard that no row names.  The catalog keeps one place for each digest, whatever the number of
+rows and tasks that met it: all rows with equal payloads carry the same place.  (Payloads never cross the network.  A payload
+that several tasks met lies in a shard of each, at most once a task; only one copy is named.)  Metadata come from reads of the
 first 33 bytes at each offset; a whole payload is read only when features are wanted.
 
 Edge cases: a null text is empty; an empty payload is one row of padding; repeated rows share a stored payload; an empty table
@@ -80,33 +81,6 @@ def payload_column(text: Column) -> Column:
     return F.concat(F.encode(text, "utf-8"), F.unhex(F.repeat(F.lit(f"{PAD:02X}"), pad.cast("int"))))
 
 
-def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[bytes] = set()
-    for batch in batches:
-        raw, off = column_bytes(batch.column("payload"))
-        digests, media, held = [], [], 0
-
-        def made():
-            return pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(media, pa.binary())], ["digest", "media"])  # noqa: B023
-
-        for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
-            samples = raw[a:b]
-            key = hashlib.sha256(samples).digest()
-            if key in seen:
-                continue
-            if len(seen) >= SEEN:
-                seen.clear()
-            seen.add(key)
-            digests.append(key.hex())
-            media.append(encode_png(samples))
-            held += len(media[-1])
-            if held > 8 << 20:
-                yield made()
-                digests, media, held = [], [], 0
-        if digests:
-            yield made()
-
-
 def _tar_header(name: str, size: int) -> bytes:
     import tarfile
 
@@ -118,36 +92,41 @@ def _tar_header(name: str, size: int) -> bytes:
 def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
     """One or more shards for a task; rows come out once their shard is closed."""
     fs, path = filesystem(folder)
-    seen: set[str] = set()
+    seen: set[bytes] = set()
     out, name, at, rows = None, "", 0, []
+    schema = pa.schema([("digest", pa.string()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 
     def close():
         nonlocal out, rows
-        if out is not None:
-            out.write(bytes(1024))
-            out.close()
+        out.write(bytes(1024))
+        out.close()
         done, out, rows = rows, None, []
-        return pa.RecordBatch.from_pylist(done, pa.schema([("digest", pa.string()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]))
+        return pa.RecordBatch.from_pylist(done, schema)
 
     for batch in batches:
-        for digest, media in zip(batch.column("digest").to_pylist(), batch.column("media"), strict=True):
-            if digest in seen:
+        raw, off = column_bytes(batch.column("payload"))
+        for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+            samples = raw[a:b]
+            key = hashlib.sha256(samples).digest()
+            if key in seen:
                 continue
-            seen.add(digest)
+            if len(seen) >= SEEN:
+                seen.clear()
+            seen.add(key)
             if out is None:
                 fs.create_dir(path, recursive=True)
                 name, at = f"shard-{uuid.uuid4().hex}.tar", 0
                 out = fs.open_output_stream(f"{path}/{name}")
-            data = media.as_buffer()
-            head = _tar_header(digest + ".png", data.size)
+            data = encode_png(samples)
+            head = _tar_header(key.hex() + ".png", len(data))
             out.write(head)
             out.write(data)
-            out.write(bytes(-data.size % 512))
-            rows.append({"digest": digest, "shard": f"{folder}/{name}", "offset": at + len(head), "length": data.size})
-            at += len(head) + data.size + -data.size % 512
+            out.write(bytes(-len(data) % 512))
+            rows.append({"digest": key.hex(), "shard": f"{folder}/{name}", "offset": at + len(head), "length": len(data)})
+            at += len(head) + len(data) + -len(data) % 512
             if at >= SHARD_BYTES:
                 yield close()
-    if rows:
+    if out is not None:
         yield close()
 
 
@@ -191,9 +170,12 @@ def _read(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordB
 
 
 def store(docs: DataFrame, folder: str, text: str = "text") -> DataFrame:
-    """Write every distinct payload once; returns the catalog (digest, shard, offset, length), itself a table in the folder."""
-    rows = docs.select(payload_column(F.coalesce(F.col(text), F.lit(""))).alias("payload")).mapInArrow(_encode, "digest string, media binary")
-    return stage(rows.repartition(F.col("digest")).mapInArrow(partial(_write, folder=f"{folder}/shards"), CATALOG), f"{folder}/catalog")
+    """Write the payloads; returns the catalog (digest, shard, offset, length) with a row for each distinct one, itself a
+    table in the folder."""
+    rows = docs.select(payload_column(F.coalesce(F.col(text), F.lit(""))).alias("payload")).mapInArrow(partial(_write, folder=f"{folder}/shards"), CATALOG)
+    written = stage(rows, f"{folder}/written")
+    one = written.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("place"))
+    return stage(one.select("digest", "place.*"), f"{folder}/catalog")
 
 
 def headers(catalog: DataFrame) -> DataFrame:
