@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_prefix, imatch, linededup, media, packing, quality, secrets, toxicity
+from . import bpe_prefix, imatch, linededup, media, neardup, packing, quality, secrets, toxicity
 from .labelled import remainder
 from .shared import work_dir
 
@@ -62,6 +62,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = neardup.groups(table(spark, sf_dir, "documents"), work_dir(spark, "neardup"), k=2, percent=80)
+    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linededup.remove(table(spark, sf_dir, "documents"), work_dir(spark, "lines"), site="source", min_sites=3)
     return found.select("doc_id", F.col("_n_lines").cast("long").alias("n_lines"), F.col("_n_removed").cast("long").alias("n_removed"), F.col("text").alias("clean_text"))
@@ -99,7 +104,7 @@ def op9_bpe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_media, op3_secrets, op4_imatch, op5_quality, op7_lines, op8_pack, op9_bpe_prefix, op10_toxicity)}
+    return {f.__name__: f for f in (op2_media, op3_secrets, op4_imatch, op5_quality, op6_minhash, op7_lines, op8_pack, op9_bpe_prefix, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
