@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_prefix, imatch, linededup, media, neardup, packing, quality, secrets, toxicity
+from . import bpe_prefix, imatch, linededup, media, neardup, ngram, packing, quality, secrets, toxicity
 from .labelled import remainder
 from .shared import work_dir
 
@@ -23,6 +23,13 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder(F.col("doc_id"), 7) == 2
+    state = ngram.train(docs.where(~F.coalesce(held_out, F.lit(False))), work_dir(spark, "ngram"))
+    return ngram.score(docs, state).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     catalog = media.read_back(media.store(docs, work_dir(spark, "media")))
@@ -104,7 +111,7 @@ def op9_bpe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_media, op3_secrets, op4_imatch, op5_quality, op6_minhash, op7_lines, op8_pack, op9_bpe_prefix, op10_toxicity)}
+    return {f.__name__: f for f in (op1_ngram, op2_media, op3_secrets, op4_imatch, op5_quality, op6_minhash, op7_lines, op8_pack, op9_bpe_prefix, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
