@@ -3,16 +3,17 @@
 1.  A text is the set of its k-word shingles (64-bit hashes).  Texts with equal sets form one class; only the member with the
     least id goes on, so exact copies cost nothing further.
 2.  BANDS * ROWS MinHash samples; each band of ROWS samples is a bucket key.  A pair of similarity 0.8 shares no bucket with
-    probability (1 - 0.8**ROWS)**BANDS = 5e-8.  The samples are also folded into an odd sketch: a bitmap in which each sample
-    flips one bit, so that the population count of two sketches' XOR estimates how many samples differ.
+    probability (1 - 0.8**ROWS)**BANDS = 5e-8.  These and as many further samples are folded into an odd sketch: a bitmap in
+    which each sample flips one bit, so that the population count of two sketches' XOR estimates how many samples differ.
 3.  In each bucket every member is paired with the least member only.  Pairs whose sketches are far below the threshold (by more
     than five standard errors) fall away; the others are confirmed on both full sets, and components are formed.
-4.  Where a bucket still has members of different components, the pairs across components are compared by their sketches, and
-    those left are confirmed in the same way.  Pairs inside a component are never made: they can't change the result, and a
-    group of any size whose members resemble its least one is done in step 3.
+4.  Some rounds of the same in the buckets whose members are still of several components, with another pivot for each bucket and
+    round, and pairs across components only: a large group whose members resemble many, but not all others becomes one component.
+5.  Where a bucket then still has members of different components, all its pairs across components are compared by their
+    sketches, and those left are confirmed.  Pairs inside a component are never made: they can't change the result.
 
 To confirm pairs, the texts of a pivot's partners are streamed past the pivot's set; a pivot with many partners is salted.  Only
-pairs of ids, sketches and texts of candidates are shuffled.
+pairs of ids, sketches and texts of candidates are shuffled; the candidates' texts are set apart once.
 
 Edge cases: a null text or one without words has the empty set and is linked with nothing; a text of fewer than k words has one
 shingle; repeated rows of an id are one document; a null id is in no group; an empty table gives no rows; other columns are
@@ -34,8 +35,9 @@ from .kernels import U, column_words, join_hashes, mix, shingles
 from .shared import stage
 
 BANDS, ROWS = 32, 4
-SAMPLES = BANDS * ROWS
-SKETCH_BITS = 512
+SAMPLES = 2 * BANDS * ROWS
+SKETCH_BITS = 1024
+ROUNDS = 3
 SALTS = 16
 PARTNERS = 64  # of a pivot in one group of the confirming pass
 SIGNATURE = "doc_id long, n long, k1 long, k2 long, bands array<long>, sketch array<long>"
@@ -67,7 +69,7 @@ def signatures(sets: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndar
         v = (sets ^ FLIPS[p]) * FACTORS[p]
         v ^= v >> U(32)
         least[:, p] = np.minimum.reduceat(v, starts)
-    bands = np.stack([join_hashes([np.full(rows, U(b)), *(least[:, b * ROWS + r] for r in range(ROWS))]) for b in range(BANDS)], 1)
+    bands = np.stack([join_hashes([np.full(rows, U(b)), *(least[:, b * ROWS + r] for r in range(ROWS))]) for b in range(BANDS)], 1)  # of the first half of the samples
     place = (mix(least + np.arange(SAMPLES, dtype=U) * U(0x9E3779B97F4A7C15)) % U(SKETCH_BITS)).astype(np.int64)
     odd = np.bincount((place + np.arange(rows)[:, None] * SKETCH_BITS).ravel(), minlength=rows * SKETCH_BITS) & 1
     sketch = np.packbits(odd.reshape(rows, SKETCH_BITS).astype(np.uint8), axis=1).view(np.int64)
@@ -138,38 +140,67 @@ def _close(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
     return pairs.join(a, "pivot").join(b, "member").where(sketch_similarity("_a", "_b") >= least).select("pivot", "member")
 
 
+def _pivots(members: DataFrame, order: Column) -> DataFrame:
+    """(key, rep, label, pivot, pivot_label): each bucket's members beside its first member by ``order``.  Buckets are met in
+    salted form, so that no task gets a large one alone."""
+    first = members.groupBy("key").agg(F.min_by(F.struct("rep", "label"), order).alias("p"))
+    first = first.select("key", F.col("p.rep").alias("pivot"), F.col("p.label").alias("pivot_label"), F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+    return members.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(first, ["key", "salt"]).drop("salt")
+
+
+def _pair(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("pivot"), F.greatest(a, b).alias("member")]
+
+
+def _mixed(members: DataFrame, label: DataFrame) -> DataFrame:
+    """(key, rep, label): the members of buckets that still hold several components."""
+    named = members.join(label.select(F.col("u").alias("rep"), F.col("v").alias("_label")), "rep", "left").select("key", "rep", F.coalesce("_label", "rep").alias("label"))
+    several = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    return named.join(several, "key", "left_semi")
+
+
 def groups(docs: DataFrame, path: str, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; see the module's text."""
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     signed = stage(texts.mapInArrow(partial(_sign, k=k), SIGNATURE), f"{path}/signatures")
-    least = percent / 100 - 5 * ((percent / 100) * (1 - percent / 100) / SAMPLES) ** 0.5 - 0.02
+    share = percent / 100
+    least = share - 5 * (share * (1 - share) / SAMPLES) ** 0.5 - 0.02
     full = signed.where("n > 0 AND doc_id IS NOT NULL")
     one = full.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("s"))
     classes = stage(one.select("k1", "k2", F.col("s.doc_id").alias("rep"), "s.bands", "s.sketch"), f"{path}/classes")
     sketches = classes.select("rep", "sketch")
 
     keyed = classes.select("rep", F.explode("bands").alias("key"))
-    shared = stage(keyed.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("size")).where("size > 1"), f"{path}/buckets")
-    salted = shared.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    members = keyed.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"]).select("key", "rep", "pivot")
-    members = stage(members, f"{path}/members")  # only of buckets with several members
-    stars = members.where("rep <> pivot").select("pivot", F.col("rep").alias("member")).distinct()
-    known = stage(_close(stars, sketches, least), f"{path}/stars")
-    linked = stage(confirm(known, texts, k, percent), f"{path}/linked")
-    label = components(linked, f"{path}/first")
-
-    # pairs across components that share a bucket
-    named = members.join(label.select(F.col("u").alias("rep"), F.col("v").alias("label")), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    left = named.join(mixed, "key", "left_semi").join(sketches, "rep").select("key", "rep", "label", "sketch")
-    left = stage(left, f"{path}/mixed")
-    a = left.select("key", F.col("rep").alias("pivot"), F.col("label").alias("_la"), F.col("sketch").alias("_a"))
-    b = left.select("key", F.col("rep").alias("member"), F.col("label").alias("_lb"), F.col("sketch").alias("_b"))
-    across = a.join(b, (a["key"] == b["key"]) & (F.col("pivot") < F.col("member")) & (F.col("_la") != F.col("_lb")) & (sketch_similarity("_a", "_b") >= least)).select("pivot", "member").distinct()
-    rest = stage(across.join(known, ["pivot", "member"], "left_anti"), f"{path}/across")
-    if not rest.isEmpty():
-        more = stage(confirm(rest, texts, k, percent), f"{path}/more")
-        label = components(linked.unionAll(more), f"{path}/second")
+    several = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+    members = stage(keyed.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(several, ["key", "salt"]).select("key", "rep"), f"{path}/members")
+    # the same plan at any size: a merge join, however few the candidates are
+    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
+    texts = stage(texts.hint("merge").join(wanted, "doc_id", "left_semi"), f"{path}/candidates")
+
+    known = linked = label = None
+    left = members.withColumn("label", F.col("rep"))
+    for step in range(ROUNDS + 2):
+        if step == ROUNDS + 1:  # all pairs across components
+            left = left.join(sketches, "rep")
+            a = left.select("key", F.col("rep").alias("pivot"), F.col("label").alias("_la"), F.col("sketch").alias("_a"))
+            b = left.select("key", F.col("rep").alias("member"), F.col("label").alias("_lb"), F.col("sketch").alias("_b"))
+            new = a.join(b, (a["key"] == b["key"]) & (F.col("pivot") < F.col("member")) & (F.col("_la") != F.col("_lb")) & (sketch_similarity("_a", "_b") >= least)).select("pivot", "member").distinct().join(known, ["pivot", "member"], "left_anti")
+        else:
+            order = F.xxhash64("rep", "key", F.lit(step)) if step else F.col("rep")
+            new = _pivots(left, order).where("label <> pivot_label").select(*_pair("rep", "pivot")).distinct()
+            new = _close(new if known is None else new.join(known, ["pivot", "member"], "left_anti"), sketches, least)
+        new = stage(new, f"{path}/pairs-{step}")
+        if not new.isEmpty():
+            more = stage(confirm(new, texts, k, percent), f"{path}/links-{step}")
+            linked = more if linked is None else linked.unionAll(more)
+            label = components(linked, f"{path}/components-{step}")
+        known = new if known is None else known.unionAll(new)
+        if label is None:
+            label = new.select(F.col("pivot").alias("u"), F.col("member").alias("v")).limit(0)
+        if step <= ROUNDS:
+            left = stage(_mixed(members, label), f"{path}/mixed-{step}")
+            if left.isEmpty():
+                break
 
     own = signed.select("doc_id", "n", "k1", "k2").join(classes.select("k1", "k2", "rep"), ["k1", "k2"], "left")
     own = own.withColumn("rep", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).otherwise(F.col("doc_id")))
