@@ -1,6 +1,6 @@
 """I-Match document fingerprints with DataFrame functions only (operator 4).
 
-Terms are white-space words in ASCII lower case, as 64-bit hashes.  The lexicon holds the terms whose document frequency lies
+Terms are white-space words in lower case, as 64-bit hashes.  The lexicon holds the terms whose document frequency lies
 within a band of shares of all documents.  A fingerprint has one hash for each of SUBSETS random subsets of the lexicon: of the
 text's distinct terms in the subset, in order.  Two texts' likeness is the share of equal hashes among the subsets in which
 either has a term.
@@ -24,11 +24,10 @@ SUBSETS = 32
 MOST_BROADCAST = 1_000_000
 WINDOW_BITS, STEP_BITS = 6, 3  # a term is in a subset if so many bits of a hash of it, from some bit on, are 0
 SPACES = "[\\x20\\x09-\\x0D]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words(text: Column) -> Column:
-    return F.split(F.translate(text, UPPER, LOWER), SPACES)
+    return F.split(F.lower(text), SPACES)
 
 
 def keys(text: Column) -> list[Column]:

@@ -28,8 +28,8 @@ def line_array(text: Column | str) -> Column:
 
 
 def line_key(line: Column) -> Column:
-    """A hash of what is left of a line without white space around it and ASCII capitals; null for a blank one."""
-    own = F.translate(F.regexp_replace(line, "^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$", ""), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """A hash of what is left of a line in lower case without white space around it; null for a blank one."""
+    own = F.lower(F.btrim(line, F.lit(" \t\n\x0b\f\r")))
     return F.when(own != "", F.xxhash64(own))
 
 
@@ -60,7 +60,7 @@ def salted(lines: DataFrame, few: DataFrame) -> DataFrame:
 
 def remove(docs: DataFrame, path: str, site: str = "source", min_sites: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with boilerplate lines taken out of ``text``, and two columns: _n_lines and _n_removed."""
-    lines = occurrences(docs, site, doc_id, text)
+    lines = stage(occurrences(docs, site, doc_id, text), f"{path}/lines")  # some 20 bytes a line: texts are split once
     found = salted(lines.select("_doc", "_at", "_line"), boilerplate(lines, path, min_sites))
     again = (F.coalesce(F.col("_doc").cast("long"), F.lit((1 << 63) - 1)) != F.col("_first.doc")) | (F.col("_at") != F.col("_first.at"))
     gone = found.where(again).groupBy("_doc").agg(F.collect_set("_at").alias("_gone"))

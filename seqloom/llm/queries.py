@@ -85,7 +85,7 @@ WITH lines AS (
   FROM documents),
 keyed AS (
   SELECT doc_id, source, raw, pos,
-    nullif(translate(regexp_replace(raw, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS line
+    nullif(lower(regexp_replace(raw, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')), '') AS line
   FROM lines),
 spread AS (
   SELECT line, min((doc_id, pos)) AS first FROM keyed WHERE line IS NOT NULL GROUP BY line HAVING count(DISTINCT source) >= 3),
