@@ -2,7 +2,8 @@
 
 A line (trimmed, in lower case) is known by a 64-bit hash.  A HyperLogLog sketch for each line, merged by aggregation, estimates
 on how many sites it stands; lines whose estimate is within the sketch's error of the threshold get an exact distinct count.
-Lines that reach ``min_sites`` sites are boilerplate: of each only its first occurrence, by (document, place), stays.
+Lines that reach ``min_sites`` sites are boilerplate: of each only its first occurrence, by (document, place), stays.  Lines of
+fewer than ``min_chars`` characters stay where they are: short sentences recur by chance.
 
 Frequent lines are met in salted form, so that no task gets all rows of one line; each map task hands on one sketch a line.
 
@@ -27,16 +28,16 @@ def line_array(text: Column | str) -> Column:
     return F.split(text, "\n", -1)
 
 
-def line_key(line: Column) -> Column:
-    """A hash of what is left of a line in lower case without white space around it; null for a blank one."""
+def line_key(line: Column, min_chars: int) -> Column:
+    """A hash of what is left of a line in lower case without white space around it; null for a shorter one."""
     own = F.lower(F.btrim(line, F.lit(" \t\n\x0b\f\r")))
-    return F.when(own != "", F.xxhash64(own))
+    return F.when(F.length(own) >= max(1, min_chars), F.xxhash64(own))
 
 
-def occurrences(docs: DataFrame, site: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(_doc, _site, _at, _line): all lines that aren't blank."""
+def occurrences(docs: DataFrame, site: str, min_chars: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(_doc, _site, _at, _line): all lines that are long enough."""
     rows = docs.select(F.col(doc_id).alias("_doc"), F.col(site).alias("_site"), F.posexplode(line_array(text)).alias("_at", "_raw"))
-    return rows.select("_doc", "_site", "_at", line_key(F.col("_raw")).alias("_line")).where("_line IS NOT NULL")
+    return rows.select("_doc", "_site", "_at", line_key(F.col("_raw"), min_chars).alias("_line")).where("_line IS NOT NULL")
 
 
 def boilerplate(lines: DataFrame, path: str, min_sites: int) -> DataFrame:
@@ -58,9 +59,9 @@ def salted(lines: DataFrame, few: DataFrame) -> DataFrame:
     return lines.withColumn("_salt", F.pmod(F.xxhash64("_doc"), F.lit(SALTS)).cast("int")).join(salts, ["_line", "_salt"]).drop("_salt")
 
 
-def remove(docs: DataFrame, path: str, site: str = "source", min_sites: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove(docs: DataFrame, path: str, site: str = "source", min_sites: int = 3, min_chars: int = 24, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with boilerplate lines taken out of ``text``, and two columns: _n_lines and _n_removed."""
-    lines = stage(occurrences(docs, site, doc_id, text), f"{path}/lines")  # some 20 bytes a line: texts are split once
+    lines = stage(occurrences(docs, site, min_chars, doc_id, text), f"{path}/lines")  # some 20 bytes a line: texts are split once
     found = salted(lines.select("_doc", "_at", "_line"), boilerplate(lines, path, min_sites))
     again = (F.coalesce(F.col("_doc").cast("long"), F.lit((1 << 63) - 1)) != F.col("_first.doc")) | (F.col("_at") != F.col("_first.at"))
     gone = found.where(again).groupBy("_doc").agg(F.collect_set("_at").alias("_gone"))

@@ -75,7 +75,7 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = linededup.remove(table(spark, sf_dir, "documents"), work_dir(spark, "lines"), site="source", min_sites=3)
+    found = linededup.remove(table(spark, sf_dir, "documents"), work_dir(spark, "lines"), site="source", min_sites=3, min_chars=24)
     return found.select("doc_id", F.col("_n_lines").cast("long").alias("n_lines"), F.col("_n_removed").cast("long").alias("n_removed"), F.col("text").alias("clean_text"))
 
 
@@ -88,7 +88,7 @@ keyed AS (
     nullif(lower(regexp_replace(raw, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')), '') AS line
   FROM lines),
 spread AS (
-  SELECT line, min((doc_id, pos)) AS first FROM keyed WHERE line IS NOT NULL GROUP BY line HAVING count(DISTINCT source) >= 3),
+  SELECT line, min((doc_id, pos)) AS first FROM keyed WHERE length(line) >= 24 GROUP BY line HAVING count(DISTINCT source) >= 3),
 marked AS (
   SELECT k.doc_id, k.pos, k.raw, k.line, s.line IS NOT NULL AND (k.doc_id, k.pos) <> s.first AS gone
   FROM keyed k LEFT JOIN spread s ON k.line = s.line)
