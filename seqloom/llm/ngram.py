@@ -75,8 +75,11 @@ def sequence(arrays: dict[str, np.ndarray], name: str) -> EliasFano:
 
 
 def quantise(values: np.ndarray, name: str) -> dict[str, np.ndarray]:
-    """Bytes that stand for 256 quantiles of the values."""
-    book = np.quantile(values, np.linspace(0, 1, 256)).astype(np.float32) if len(values) else np.zeros(256, np.float32)
+    """Bytes that stand for 256 values: half of them quantiles, half in equal steps, so that no error is over half a step."""
+    book = np.zeros(256)
+    if len(values):
+        book = np.sort(np.concatenate([np.quantile(values, np.linspace(0, 1, 128)), np.linspace(values.min(), values.max(), 128)]))
+    book = book.astype(np.float32)
     return {f"{name}.code": np.searchsorted((book[1:] + book[:-1]) / 2, values).astype(np.uint8), f"{name}.book": book}
 
 
@@ -122,6 +125,8 @@ class Trie:
         return self._open[key]
 
     def _by(self, shards: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        if not len(shards):
+            return
         order = np.argsort(shards, kind="stable")
         edge = np.flatnonzero(np.diff(shards[order], prepend=-1))
         for a, b in zip(edge, np.append(edge[1:], len(order)), strict=True):
