@@ -1,7 +1,7 @@
 """I-Match document fingerprints with DataFrame functions only (operator 4).
 
 Terms are white-space words in lower case, as 64-bit hashes.  The lexicon holds the terms whose document frequency lies
-within a band of shares of all documents.  A fingerprint has one hash for each of SUBSETS random subsets of the lexicon: of the
+within a band of shares of all documents.  A fingerprint has a 32-bit hash for each of SUBSETS random subsets of the lexicon: of the
 text's distinct terms in the subset, in order.  Two texts' likeness is the share of equal hashes among the subsets in which
 either has a term.
 
@@ -45,7 +45,7 @@ def lexicon(docs: DataFrame, path: str, low: float, high: float, text: str = "te
 
 
 def fingerprints(texts: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
-    """(k1, k2, fingerprint) for each distinct text that has terms of the lexicon: SUBSETS hashes, 0 for no term."""
+    """(k1, k2, fingerprint) for each distinct text that has terms of the lexicon: SUBSETS 32-bit hashes, 0 for no term."""
     few = F.broadcast(terms) if terms.count() <= MOST_BROADCAST else terms
     k1, k2 = keys(F.col(text))
     rows = texts.select(k1.alias("k1"), k2.alias("k2"), F.explode(words(F.col(text))).alias("word")).select("k1", "k2", F.xxhash64("word").alias("term"))
@@ -63,17 +63,17 @@ def _subsets(df: DataFrame) -> DataFrame:
         return F.filter("_used", lambda t: t[f"h{half}"].bitwiseAND(F.lit(mask)) == 0)
 
     marked = marked.withColumn("_parts", F.array(*map(one, range(SUBSETS))))
-    return marked.withColumn("fingerprint", F.transform("_parts", lambda p: F.when(F.size(p) > 0, F.xxhash64(F.transform(p, lambda t: t["t"]))).otherwise(F.lit(0)))).drop("_parts")
+    return marked.withColumn("fingerprint", F.transform("_parts", lambda p: F.when(F.size(p) > 0, F.hash(F.transform(p, lambda t: t["t"]))).otherwise(F.lit(0)))).drop("_parts")
 
 
 def with_rest(df: DataFrame, name: str) -> DataFrame:
     """Texts without a term of the band: all hashes from the whole text's two."""
     k1, k2 = F.col(f"{name}_k1"), F.col(f"{name}_k2")
-    return df.withColumn(name, F.coalesce(F.col(name), F.transform(F.sequence(F.lit(1), F.lit(SUBSETS)), lambda i: F.xxhash64(k1, k2, i))))
+    return df.withColumn(name, F.coalesce(F.col(name), F.transform(F.sequence(F.lit(1), F.lit(SUBSETS)), lambda i: F.hash(k1, k2, i))))
 
 
 def fingerprint_text(fingerprint: Column | str) -> Column:
-    return F.array_join(F.transform(fingerprint, lambda h: F.when(h == 0, "-").otherwise(F.lower(F.hex(h)))), ".")
+    return F.array_join(F.transform(fingerprint, lambda h: F.when(h == 0, "-").otherwise(F.lower(F.hex(h.cast("long").bitwiseAND(0xFFFFFFFF))))), ".")
 
 
 def likeness(a: str, b: str) -> Column:
