@@ -33,5 +33,6 @@ def totals_stream(reads: DataFrame, name: str, checkpoint: str) -> StreamingQuer
 
 
 def current_quality(spark: SparkSession, name: str) -> DataFrame:
-    """Position quality from a cube that is kept up to date."""
-    return position_quality(spark.table(name))
+    """Position quality from a cube that is kept up to date; an in-memory table is on the driver already."""
+    now = spark.table(name)
+    return position_quality(spark.createDataFrame(now.collect(), now.schema))
