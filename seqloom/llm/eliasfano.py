@@ -5,22 +5,19 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
-SAMPLE = 64  # a directory entry for so many ones, and for so many zeros
-
-_byte_select = np.full((256, 8), 8, np.uint8)
-for _b in range(256):
-    for _k, _i in enumerate(i for i in range(8) if _b >> i & 1):
-        _byte_select[_b, _k] = _i
-
+SAMPLE = 32  # a directory entry for so many ones, and for so many zeros
 
 def _select_in_word(word: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """The place of the k-th (from 0) one of each 64-bit word."""
-    by = word.view(np.uint8).reshape(-1, 8)
-    upto = np.cumsum(np.bitwise_count(by), 1, dtype=np.int64)
-    which = (upto <= k[:, None]).sum(1)
-    rows = np.arange(len(word))
-    before = np.where(which > 0, upto[rows, np.maximum(which - 1, 0)], 0)
-    return which * 8 + _byte_select[by[rows, np.minimum(which, 7)], np.minimum(k - before, 7)]
+    """The place of the k-th (from 0) one of each 64-bit word, by halving."""
+    place, k = np.zeros(len(word), np.int64), k.copy()
+    for width in (32, 16, 8, 4, 2, 1):
+        low = word & U((1 << width) - 1)
+        ones = np.bitwise_count(low)
+        above = k >= ones
+        k -= np.where(above, ones, 0)
+        word = np.where(above, word >> U(width), low)
+        place += np.where(above, width, 0)
+    return place
 
 
 def _read_bits(words: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
@@ -95,28 +92,50 @@ class EliasFano:
             return np.zeros(0, U)
         return (self._select(i, True) - i).astype(U) << U(self.width) | _read_bits(self.low, i, self.width)
 
+    def _bucket(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of values with these high parts: between two zeros of the bitmap."""
+        top = np.minimum(h, len(self.high) * 64 - self.n - 1)
+        first = np.zeros(len(h), np.int64)
+        later = top > 0
+        first[later] = self._select(top[later] - 1, False) - (top[later] - 1)
+        return np.minimum(first, self.n), np.minimum(self._select(top, False) - top, self.n)
+
+    def _search(self, lo: np.ndarray, hi: np.ndarray, want: np.ndarray) -> np.ndarray:
+        """The first place in [lo, hi) whose low bits are at least ``want``, by halving; hi if there is none."""
+        lo, hi = lo.copy(), hi.copy()
+        open_ = np.flatnonzero(lo < hi)
+        while len(open_):
+            mid = (lo[open_] + hi[open_]) >> 1
+            less = _read_bits(self.low, mid, self.width) < want[open_]
+            lo[open_] = np.where(less, mid + 1, lo[open_])
+            hi[open_] = np.where(less, hi[open_], mid)
+            open_ = open_[lo[open_] < hi[open_]]
+        return lo
+
     def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The first place whose value is at least x (n if none), and that value (or 0)."""
         x = x.astype(U)
         if not self.n:
             return np.zeros(len(x), np.int64), np.zeros(len(x), U)
-        h = (x >> U(self.width)).astype(np.int64)
-        zeros = len(self.high) * 64 - self.n
-        # values of high part h lie between the zeros h - 1 and h of the bitmap
-        top = np.minimum(h, zeros - 1)
-        first = np.where(top > 0, self._select(np.maximum(top - 1, 0), False) - (top - 1), 0)
-        last = self._select(top, False) - top
-        first, last = np.minimum(first, self.n), np.minimum(last, self.n)
-        lo, hi, want = first.copy(), last.copy(), x & U((1 << self.width) - 1)
-        while True:
-            open_ = np.flatnonzero(lo < hi)
-            if not len(open_):
-                break
-            mid = (lo[open_] + hi[open_]) >> 1
-            less = _read_bits(self.low, mid, self.width) < want[open_]
-            lo[open_[less]] = mid[less] + 1
-            hi[open_[~less]] = mid[~less]
+        place = self._search(*self._bucket((x >> U(self.width)).astype(np.int64)), x & U((1 << self.width) - 1))
         value = np.zeros(len(x), U)
-        inside = lo < self.n
-        value[inside] = self.get(lo[inside])
-        return lo, value
+        inside = place < self.n
+        value[inside] = self.get(place[inside])
+        return place, value
+
+    def locate(self, x: np.ndarray, most: np.ndarray | None = None) -> np.ndarray:
+        """The first place of each value (below ``most``), -1 where it isn't: the successor search within the values of the same
+        high part, so that low bits alone tell."""
+        x = x.astype(U)
+        out = np.full(len(x), -1, np.int64)
+        if self.n:
+            lo, hi = self._bucket((x >> U(self.width)).astype(np.int64))
+            if most is not None:
+                hi = np.minimum(hi, most)
+            some = np.flatnonzero(lo < hi)
+            lo, hi, want = lo[some], hi[some], x[some] & U((1 << self.width) - 1)
+            place = self._search(lo, hi, want)
+            inside = place < hi
+            hit = np.flatnonzero(inside)[_read_bits(self.low, place[inside], self.width) == want[inside]]
+            out[some[hit]] = place[hit]
+        return out

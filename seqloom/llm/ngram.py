@@ -62,7 +62,7 @@ def load(uri: str) -> dict[str, np.ndarray]:
     place = local_copy(uri)
     with open(place, "rb", closefd=True) as f:
         line = f.readline()
-        whole = np.memmap(f, np.uint8, "r") if len(line) else np.zeros(0, np.uint8)
+        whole = np.asarray(np.memmap(f, np.uint8, "r"))  # still mapped, without the subclass's cost for each slice
     return {k: whole[len(line) + at : len(line) + at + n * np.dtype(t).itemsize].view(t) for k, (at, t, n) in json.loads(line).items()}
 
 
@@ -93,14 +93,27 @@ def shift(parent: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (ids.astype(np.int64) + np.repeat(base, np.diff(np.append(first, len(ids))))).astype(U)
 
 
-def find(children: EliasFano, lo: np.ndarray, hi: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Places of the children ``ids`` of the ranges [lo, hi), -1 where there is none."""
-    base = np.zeros(len(lo), U)
-    later = lo > 0
-    base[later] = children.get(lo[later] - 1) + U(1)
-    target = base + ids.astype(U)
-    place, value = children.successor(target)
-    return np.where((place < hi) & (value == target), place, -1)
+def starts(keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal sorted keys begin."""
+    return np.flatnonzero(np.diff(keys, prepend=-1)) if len(keys) else np.zeros(0, np.int64)
+
+
+def find(level: dict, parents: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For children ``ids`` (-1: none asked for) of sorted parents: their places, -1 where there is none, and where each
+    parent's children begin.  A parent's range and the value before it are read once."""
+    run = starts(parents)
+    own = parents[run]
+    lo, hi = level["first"].get(own).astype(np.int64), level["first"].get(own + 1).astype(np.int64)
+    base = np.zeros(len(own), U)
+    later = (lo > 0) & (lo < hi)
+    base[later] = level["next"].get(lo[later] - 1) + U(1)
+    which = np.zeros(len(parents), np.int64)
+    which[run[1:]] = 1
+    which = np.cumsum(which)
+    out = np.full(len(parents), -1, np.int64)
+    asked = np.flatnonzero((ids >= 0) & (lo < hi)[which])
+    out[asked] = level["next"].locate(base[which[asked]] + ids[asked].astype(U), hi[which[asked]])
+    return out, lo[which]
 
 
 # --- the trie ----------------------------------------------------------------------------------------------------------
@@ -124,6 +137,13 @@ class Trie:
             self._open[key] = arrays | {n: sequence(arrays, n) for n in names}
         return self._open[key]
 
+    @staticmethod
+    def _runs(keys: np.ndarray, base: np.ndarray) -> Iterator[tuple[int, slice]]:
+        """Sorted keys by the shard that they lie in."""
+        edge = np.searchsorted(keys, base)
+        for k in np.flatnonzero(np.diff(edge)).tolist():
+            yield k, slice(int(edge[k]), int(edge[k + 1]))
+
     def _by(self, shards: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         if not len(shards):
             return
@@ -133,16 +153,17 @@ class Trie:
             yield int(shards[order[a]]), order[a:b]
 
     def words(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (-1: not seen) and counts."""
+        """Ids (-1: not seen) and counts of sorted hashes."""
         ids, counts = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
-        for k, rows in self._by((h >> U(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(h), np.int64)):
+        top = (h >> U(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(h), np.int64)
+        for k, rows in self._runs(top, np.arange((1 << self.bits) + 1)):
             if self.word_base[k + 1] > self.word_base[k]:
                 s = self.shard(1, k)
-                place, value = s["hash"].successor(h[rows])
-                hit = (place < s["hash"].n) & (value == h[rows])
-                own, at = rows[hit], place[hit]
-                ids[own] = at + self.word_base[k]
-                counts[own] = (s["sum"].get(at + 1) - s["sum"].get(at)).astype(np.int64)
+                place = s["hash"].locate(h[rows])
+                hit = place >= 0
+                at = place[hit]
+                ids[rows][hit] = at + self.word_base[k]
+                counts[rows][hit] = (s["sum"].get(at + 1) - s["sum"].get(at)).astype(np.int64)
         return ids, counts
 
     def one(self, counts: np.ndarray) -> np.ndarray:
@@ -152,19 +173,18 @@ class Trie:
         return np.log10(np.maximum(counts - DISCOUNTS[0], 0) / n + reserved / (self.size + 1))
 
     def pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For pairs of ids: the pair's place (-1: none), its log10 share, log10 of the first word's backed-off weight, and
-        the place of the first word's first pair."""
+        """For pairs of ids (the first ones sorted, a second one of -1: none): the pair's place (-1: none), its log10 share,
+        log10 of the first word's backed-off weight, and the place of the first word's first pair."""
         place, share, back, begin = np.full(len(a), -1, np.int64), np.zeros(len(a)), np.zeros(len(a)), np.zeros(len(a), np.int64)
-        for k, rows in self._by(np.searchsorted(self.word_base, a, "right") - 1):
+        for k, rows in self._runs(a, self.word_base):
             s = self.shard(2, k)
             own = a[rows] - self.word_base[k]
-            lo, hi = s["first"].get(own).astype(np.int64), s["first"].get(own + 1).astype(np.int64)
+            at, lo = find(s, own, b[rows])
             back[rows] = s["back.book"][s["back.code"][own]]
-            at = find(s["next"], lo, hi, b[rows])
-            hit = at >= 0
-            place[rows[hit]] = at[hit] + self.pair_base[k]
-            share[rows[hit]] = s["share.book"][s["share.code"][at[hit]]]
             begin[rows] = lo + self.pair_base[k]
+            hit = at >= 0
+            place[rows][hit] = at[hit] + self.pair_base[k]
+            share[rows][hit] = s["share.book"][s["share.code"][at[hit]]]
         return place, share, back, begin
 
     def firsts(self, a: np.ndarray) -> np.ndarray:
@@ -182,19 +202,17 @@ class Trie:
         return out
 
     def triples(self, pair: np.ndarray, relative: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For a pair's place and a third word's place among the middle word's pairs: whether the triple is there, its log10
-        share, and log10 of the pair's backed-off weight."""
+        """For pairs' places (sorted) and third words' places among the middle word's pairs (-1: none): whether the triple is
+        there, its log10 share, and log10 of the pair's backed-off weight."""
         there, share, back = np.zeros(len(pair), bool), np.zeros(len(pair)), np.zeros(len(pair))
-        for k, rows in self._by(np.searchsorted(self.pair_base, pair, "right") - 1):
+        for k, rows in self._runs(pair, self.pair_base):
             s = self.shard(3, k)
             own = pair[rows] - self.pair_base[k]
-            lo, hi = s["first"].get(own).astype(np.int64), s["first"].get(own + 1).astype(np.int64)
+            at, _ = find(s, own, relative[rows])
             back[rows] = s["back.book"][s["back.code"][own]]
-            asked = np.flatnonzero(relative[rows] >= 0)
-            at = find(s["next"], lo[asked], hi[asked], relative[rows[asked]])
             hit = at >= 0
-            there[rows[asked[hit]]] = True
-            share[rows[asked[hit]]] = s["share.book"][s["share.code"][at[hit]]]
+            there[rows] = hit
+            share[rows][hit] = s["share.book"][s["share.code"][at[hit]]]
         return there, share, back
 
 
@@ -224,13 +242,16 @@ def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 
 
 def distinct(*keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Distinct rows of one or two number columns (from 0 on, below 2**40 and 2**23), each row's place among them, and how often."""
-    joined = keys[0] if len(keys) == 1 else (keys[0] << 23 | keys[1] if max(keys[0].max(initial=0) >> 40, keys[1].max(initial=0) >> 23) == 0 else None)
-    if joined is None:
+    """Distinct rows of one or two number columns (from 0 on) in order, each row's place among them, and how often."""
+    if len(keys) == 1:
+        own, back, many = np.unique(keys[0], return_inverse=True, return_counts=True)
+        return [own], back, many
+    width = int(keys[1].max(initial=0)).bit_length()
+    if int(keys[0].max(initial=0)).bit_length() + width > 63:
         table, back, many = np.unique(np.stack(keys, 1), axis=0, return_inverse=True, return_counts=True)
         return [table[:, 0], table[:, 1]], back.ravel(), many
-    own, back, many = np.unique(joined, return_inverse=True, return_counts=True)
-    return ([own] if len(keys) == 1 else [own >> 23, own & ((1 << 23) - 1)]), back, many
+    own, back, many = np.unique(keys[0] << width | keys[1], return_inverse=True, return_counts=True)
+    return [own >> width, own & ((1 << width) - 1)], back, many
 
 
 class Grams:
@@ -253,9 +274,7 @@ class Grams:
             return
         asked = np.flatnonzero(before >= 0)
         (a, b), back, _ = distinct(before[asked], np.where(self.may[asked], self.ids[asked] + 1, 0))
-        none = b == 0
-        place, share, weight, begin = trie.pairs(a, np.where(none, 0, b - 1))
-        place[none] = -1
+        place, share, weight, begin = trie.pairs(a, b - 1)
         self.place, self.share, self.weight, relative = np.full(len(h), -1, np.int64), np.zeros(len(h)), np.zeros(len(h)), np.full(len(h), -1, np.int64)
         self.place[asked], self.share[asked], self.weight[asked] = place[back], share[back], weight[back]
         relative[asked] = np.where(place >= 0, place - begin, -1)[back]
