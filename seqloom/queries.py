@@ -43,6 +43,8 @@ LONG_SQL = f"""
 select 'documents.fastq' as file_name, doc_id as read_idx, cast(doc_id as varchar(20)) as id,
   regexp_replace(translate(substring(text, 1, 2000), '{LETTERS}', '{BASES}'), '[^ACGTN]', 'N'%s) as sequence from documents where length(text) > 0
 """
+#: The queries take whole texts; the 2,000 characters are the SQL's.
+WHOLE_SQL = LONG_SQL.replace("substring(text, 1, 2000)", "text")
 SIX = "floor(({}) * 1e6 + 0.5) / 1e6"
 
 
@@ -59,7 +61,7 @@ def spliced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def long_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _view(spark, sf_dir, LONG_SQL % "", "documents")
+    rows = _view(spark, sf_dir, WHOLE_SQL % "", "documents")
     return rows.withColumn("quality", F.repeat(F.lit("I"), F.length("sequence"))).withColumn("colorspace", F.lit(None).cast("string")).withColumn("is_filtered", F.lit(False))
 
 
