@@ -2,7 +2,7 @@
 
 Terms are white-space words in lower case, as 64-bit hashes.  The lexicon holds the terms whose document frequency lies
 within a band of shares of all documents.  A fingerprint has a 32-bit hash for each of SUBSETS random subsets of the lexicon: of the
-text's distinct terms in the subset, in order.  Two texts' likeness is the share of equal hashes among the subsets in which
+text's distinct terms in the subset, in order.  A hash of the term deals each to one subset, so that the subsets cover the lexicon.  Two texts' likeness is the share of equal hashes among the subsets in which
 either has a term.
 
 The lexicon is bounded: with P distinct (document, term) pairs in N documents at most P / (low * N) terms reach a share of
@@ -22,7 +22,6 @@ from .shared import stage
 
 SUBSETS = 32
 MOST_BROADCAST = 1_000_000
-WINDOW_BITS, STEP_BITS = 6, 3  # a term is in a subset if so many bits of a hash of it, from some bit on, are 0
 SPACES = "[\\x20\\x09-\\x0D]+"
 
 
@@ -55,15 +54,13 @@ def fingerprints(texts: DataFrame, terms: DataFrame, text: str = "text") -> Data
 
 def _subsets(df: DataFrame) -> DataFrame:
     """Adds ``fingerprint`` from the sorted array ``_used``."""
-    marked = df.withColumn("_used", F.transform("_used", lambda t: F.struct(t.alias("t"), F.xxhash64(t).alias("h0"), F.xxhash64(t, F.lit(1)).alias("h1"))))
+    marked = df.withColumn("_used", F.transform("_used", lambda t: F.struct(t.alias("t"), F.pmod(F.xxhash64(t), F.lit(SUBSETS)).alias("k"))))
 
-    def one(k: int) -> Column:
-        half, place = divmod(k, SUBSETS // 2)
-        mask = ((1 << WINDOW_BITS) - 1) << (place * STEP_BITS)
-        return F.filter("_used", lambda t: t[f"h{half}"].bitwiseAND(F.lit(mask)) == 0)
+    def part(k: int) -> Column:
+        return F.transform(F.filter("_used", lambda t: t["k"] == k), lambda t: t["t"])
 
-    marked = marked.withColumn("_parts", F.array(*map(one, range(SUBSETS))))
-    return marked.withColumn("fingerprint", F.transform("_parts", lambda p: F.when(F.size(p) > 0, F.hash(F.transform(p, lambda t: t["t"]))).otherwise(F.lit(0)))).drop("_parts")
+    one = lambda p: F.when(F.size(p) > 0, F.coalesce(F.nullif(F.hash(p), F.lit(0)), F.lit(1))).otherwise(F.lit(0))
+    return marked.withColumn("_parts", F.array(*map(part, range(SUBSETS)))).withColumn("fingerprint", F.transform("_parts", one)).drop("_parts")
 
 
 def with_rest(df: DataFrame, name: str) -> DataFrame:
