@@ -24,7 +24,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take out lines that stand on three sites or more, but for their first occurrence; a document with nothing left goes."""
-    out = linededup.remove(docs, work_dir(spark, "pipeline-lines"), site="source", min_sites=3, min_chars=24)
+    out = linededup.remove(docs, work_dir(spark, "pipeline-lines"), site="source", min_sites=3, min_chars=1)
     gone = (F.col("_n_removed") > 0) & (F.col("_n_removed") >= F.col("_n_lines"))
     return out.where(~gone).withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 

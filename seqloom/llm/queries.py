@@ -75,7 +75,7 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = linededup.remove(table(spark, sf_dir, "documents"), work_dir(spark, "lines"), site="source", min_sites=3, min_chars=24)
+    found = linededup.remove(table(spark, sf_dir, "documents"), work_dir(spark, "lines"), site="source", min_sites=3, min_chars=1)
     return found.select("doc_id", F.col("_n_lines").cast("long").alias("n_lines"), F.col("_n_removed").cast("long").alias("n_removed"), F.col("text").alias("clean_text"))
 
 
