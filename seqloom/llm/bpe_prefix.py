@@ -308,7 +308,7 @@ class Encoder:
 
             begin = np.array([a + m.start() for a, t in zip(starts.tolist(), texts, strict=True) for m in regex.finditer(self.pattern, t)], np.int64)
         end = np.append(begin[1:], len(points))
-        ids, count = self.known.ids(span_hashes(points, begin, end), lambda at: self.v.encode_many([joined[begin[i] : end[i]].encode() for i in at.tolist()]))
+        ids, count = self.known.ids(*span_hashes(points, begin, end, second=True), lambda at: self.v.encode_many([joined[begin[i] : end[i]].encode() for i in at.tolist()]))
         rows = np.searchsorted(starts, begin, "right") - 1
         return ids, np.bincount(rows, weights=count, minlength=len(texts)).astype(np.int64)
 

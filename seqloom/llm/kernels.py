@@ -1,7 +1,9 @@
 """Vectorised text kernels: words of whole Arrow columns as 64-bit hashes.
 
-Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z.  A word's hash is a polynomial in its bytes modulo 2**64,
-taken from one running sum over the column's bytes, then mixed: equal words have equal hashes on any machine.
+Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z.  A word's hash is the sum, modulo 2**64, of a mixed number for each
+byte and its place in the word, mixed once more: equal words have equal hashes on any machine, and no pattern of letters makes
+different words collide (a polynomial in the bytes has such patterns for every base).  Two given words collide with probability
+2**-64; where even that would give a wrong row, a second, independent hash is asked for and compared.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import pyarrow as pa
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(BASE, -1, 1 << 64)
+SECOND = 0xD6E8FEB86659FD93
 SLICE_BYTES = 1 << 17
 
 _lower = np.arange(256, dtype=np.uint8)
@@ -21,18 +23,6 @@ _lower[65:91] += 32
 LOWER = _lower
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(kind: str, base: int, n: int) -> np.ndarray:
-    """base**0 ... base**(n-1), kept for the process and doubled when a longer text comes."""
-    have = _powers.get(kind)
-    if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES)
-        steps = np.full(size, base, dtype=U)
-        steps[0] = 1
-        _powers[kind] = have = np.multiply.accumulate(steps)
-    return have
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -86,11 +76,21 @@ def word_bounds(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, rows, low
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the spans of an array of small numbers (bytes or code points)."""
-    total = np.zeros(len(values) + 1, U)
-    np.cumsum((values.astype(U) + U(1)) * _power("up", BASE, len(values))[: len(values)], out=total[1:])
-    return mix((total[ends] - total[starts]) * _power("down", INVERSE, len(values))[starts])
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bool = False):
+    """Hashes of the spans of an array of small numbers (bytes or code points); with ``second`` a pair of independent ones."""
+    size = ends - starts
+    at = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(at, size)
+    code = mix((values[np.repeat(starts, size) + place].astype(U) + U(1)) | place.astype(U) << U(24))
+    full = np.flatnonzero(size)
+
+    def summed(code: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(size), U)
+        if len(full):
+            out[full] = np.add.reduceat(code, at[full])
+        return mix(out)
+
+    return (summed(code), summed(mix(code ^ U(SECOND)))) if second else summed(code)
 
 
 def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

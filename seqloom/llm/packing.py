@@ -11,7 +11,8 @@ whose minimum a monotone queue gives in amortised constant time.  What remains a
 which need no padding.  Blocks bound the memory: the last, still open window of a block opens the next one.
 
 Edge cases: a null or empty text is the end token alone; repeated rows are packed as often as they come; an empty table gives
-no rows; other columns are ignored.  A piece never leaves its document, and each token lies in exactly one piece.
+no rows; other columns are ignored; a null doc_id stays null.  A piece never leaves its document, and each token lies in exactly
+one piece.
 """
 
 from __future__ import annotations
@@ -75,7 +76,7 @@ class WordTokenizer:
         if not len(starts):
             return np.zeros(0, self.dtype), np.zeros(len(off) - 1, np.int64)
         small = low.tobytes()
-        ids, size = self.known.ids(span_hashes(low, starts, ends), lambda at: self._chunks([small[starts[i] : ends[i]] for i in at.tolist()]))
+        ids, size = self.known.ids(*span_hashes(low, starts, ends, second=True), lambda at: self._chunks([small[starts[i] : ends[i]] for i in at.tolist()]))
         return ids, np.bincount(rows, weights=size, minlength=len(off) - 1).astype(np.int64)
 
 
@@ -132,7 +133,7 @@ def _pack_partition(batches: Iterator[pa.RecordBatch], path: str, end_id: int, c
     sequence = TaskContext.get().partitionId() << 40
     end = np.array([end_id], tok.dtype).tobytes()
     # open documents: id, tokens in all, tokens gone into earlier windows, the others' bytes
-    docs: list[tuple[int, int, int, bytes]] = []
+    docs: list[tuple[int | None, int, int, bytes]] = []
     held = 0
 
     def flush(last: bool) -> pa.RecordBatch | None:
@@ -161,7 +162,7 @@ def _pack_partition(batches: Iterator[pa.RecordBatch], path: str, end_id: int, c
             before = np.array([d[2] for d in docs])
             out = pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.array([d[0] for d in docs], np.int64)[doc]),
+                    pa.array([d[0] for d in docs], pa.int64()).take(pa.array(doc)),
                     pa.array(before[doc] + a - starts[doc]),
                     pa.array(b - a),
                     pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer((edges * 4).astype(np.int32)), pa.py_buffer(wide)]),

@@ -10,7 +10,7 @@ from seqloom.llm import bpe_prefix as B
 from seqloom.llm import kernels as K
 from seqloom.llm import packing, quality, toxicity
 from seqloom.llm.eliasfano import EliasFano
-from seqloom.llm.piececache import gather
+from seqloom.llm.piececache import PieceCache, gather
 
 TEXT = st.lists(st.sampled_from([*"aeBT \t\n.'sréü日0²!", "the", "ing", "  ", "'ll", "\xa0", "🙂"]), max_size=30).map("".join)
 
@@ -27,6 +27,40 @@ def test_words_are_bytes_between_white_space(texts):
     assert len(set(known.values())) == len(known)
 
 
+def thue_morse(n):
+    """Words on which every polynomial in an odd base collides modulo 2**64: a word of n letters and its complement."""
+    bits = [k.bit_count() & 1 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_thue_morse_words_have_hashes_of_their_own():
+    for n in (1 << 11, 1 << 12):
+        one, other = thue_morse(n)
+        (_, _, h, _), = K.column_words(pa.array([f"{one} {other}"]))
+        assert h[0] != h[1]
+        raw = np.frombuffer((one + other).encode(), np.uint8)
+        a, b = K.span_hashes(raw, np.array([0, n]), np.array([n, 2 * n]), second=True)
+        assert len({*a.tolist(), *b.tolist()}) == 4
+
+
+def test_spans_may_be_empty_and_overlap():
+    raw = np.frombuffer(b"abcabc", np.uint8)
+    h = K.span_hashes(raw, np.array([0, 2, 3, 0, 6]), np.array([3, 2, 6, 6, 6]))
+    assert h[0] == h[2]
+    assert h[1] == h[4]
+    assert len(set(h.tolist())) == 3
+
+
+def test_pieces_with_equal_first_hashes_get_their_own_ids():
+    cache = PieceCache(np.dtype(np.int32))
+    pieces = [b"x", b"yy", b"x", b"zzz", b"yy"]
+    h, check = np.array([7, 7, 7, 7, 9], np.uint64), np.array([1, 2, 1, 3, 2], np.uint64)
+    for _ in range(2):
+        ids, n = cache.ids(h, check, lambda at: [np.array([*pieces[i]], np.int32) for i in at.tolist()])
+        assert ids.tobytes() == np.array([*b"".join(pieces)], np.int32).tobytes()
+        assert n.tolist() == [len(p) for p in pieces]
+
+
 @given(st.lists(st.integers(0, 1 << 40), max_size=80).map(sorted), st.lists(st.integers(0, (1 << 40) + 5), max_size=30))
 @settings(max_examples=80, deadline=None)
 def test_elias_fano_finds_what_binary_search_finds(values, asked):
@@ -88,6 +122,9 @@ def test_bpe_equals_the_library_and_decodes(encoder, reference):
         assert encoder.decode(ids).tobytes() == "".join(texts).encode()
 
     check()
+    texts = list(thue_morse(1 << 11))
+    ids, n = encoder.texts(texts)
+    assert ids.tolist() == [i for t in texts for i in reference.encode_ordinary(t)]
 
 
 def test_appends_and_edits_of_a_prefix_table(encoder, reference):
@@ -120,6 +157,9 @@ def test_word_tokenizer_equals_the_library():
         assert n.tolist() == [len(w) for w in want]
 
     check()
+    texts = [" ".join(thue_morse(1 << 11)), *thue_morse(1 << 12)]
+    ids, _ = tok.encode(*K.column_bytes(pa.array(texts)))
+    assert ids.tolist() == [i for t in texts for i in tok.tok.encode(t, add_special_tokens=False).ids]
 
 
 @given(st.lists(st.tuples(st.integers(1, 9), st.sampled_from([0.0, 2.0, 5.0])), min_size=1, max_size=14))
