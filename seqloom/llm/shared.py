@@ -39,6 +39,14 @@ def stage(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def own_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, in any letter case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a work folder once nothing reads it."""
     jvm = spark.sparkContext._jvm
