@@ -1,17 +1,23 @@
 """Toxicity by class-conditional Kneser-Ney models (operator 10).
 
-Two models, one of toxic and one of ordinary labelled texts.  As Kneser-Ney's lower orders count contexts, not occurrences, all
-counts here are numbers of texts.  Each level is discounted and backs off to the next: word after word, word, the word's first
-six bytes, its first four, and at last a distribution that both classes share (the pooled counts).  What neither class shows
-often enough has the same probability in both, so rare expressions don't tell, and new forms of a known stem do.
-A text is scored by the two log-likelihoods' difference divided by its length, over the whole text and over its most toxic
-stretches of a few words; a logistic fitted on labelled texts that the models haven't seen turns these into a probability.
+Two word models, one of toxic and one of ordinary labelled texts, interpolated and discounted.  The upper level is the
+probability of a word after the word before it, by counts of pairs; its weight for the lower level is the context's own.  The
+lower level counts continuations: in how many different contexts of the class a word occurs.  The lowest level is one for both
+classes, by the pooled continuations, so that a rare expression has the same share in both and doesn't tell.
 
-Training uses at most ``max_rows`` labelled texts of each class (a documented bound).  Counts are kept in tables of a fixed
-number of slots, so that the model's size (40 MB) doesn't depend on the corpus; it reaches the executors as a broadcast.
+A text's signals are the difference of the two log-likelihoods divided by its length, over the whole text (both levels), and the
+highest such differences over passages of some words, where pairs are too few and the lower level speaks.  A logistic calibrated
+on labelled texts turns them into a probability.  So that these texts are new to the models, they are dealt into FOLDS parts, and
+each part is seen by models without it, whose counts come from the same aggregation; the final models have all parts.
+
+Training uses at most ``max_rows`` labelled texts of each class (a documented bound).  Words are counted by exact keys (64-bit
+hashes, no slots).  A word in one context of each class, or a pair seen no more often than its discount, has nothing kept and
+needs no row: what it gets is the lower level's share either way.  So the model, which is broadcast, has a row for each word in
+two contexts of the sample, at most a few million.
 
 Edge cases: a null or empty text has differences of 0; with one class or no labels every score is the share of label 1,
-smoothed; repeated rows repeat; an empty table gives no rows; other columns are ignored.
+smoothed; repeated rows repeat (in training, a repeated doc_id counts once); a null doc_id is scored and never learned from; very
+long texts are scored whole; ties have equal scores; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,23 +33,23 @@ from pyspark.sql import functions as F
 
 from .kernels import U, column_bytes, join_hashes, slices, span_hashes, word_bounds
 from .labelled import sample
+from .shared import remove, stage, work_dir
 
 SCORED = "doc_id long, score double"
-LEVELS = ("pair", "word", "stem6", "stem4")
-BITS = {"pair": 20, "word": 20, "stem6": 18, "stem4": 16}
-DISCOUNT = {"pair": 2.5, "word": 1.5, "stem6": 1.5, "stem4": 1.0}
-WINDOWS = (8, 32, 128)
-SIGNALS = len(WINDOWS) + 3
-FAR = 1.5
+DISCOUNTS = (1.0, 1.5, 2.0)  # of continuations seen once, twice, more often
+PAIR_DISCOUNT = 3.0
+WINDOWS = (1, 2, 4, 8, 16, 32, 64, 128)
+SIGNALS = len(WINDOWS) + 1
+FOLDS = 4
 _mark = np.zeros(256, bool)
 _mark[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
 
-def text_items(raw: np.ndarray, off: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """For each level the slots of the texts' words (without marks around them), and the words of each text."""
+def text_words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the texts' words (without marks around them) and of the words before (0: none), and the words of each text."""
     n = np.zeros(len(off) - 1, np.int64)
     if not len(raw):
-        return {k: np.zeros(0, np.int64) for k in LEVELS}, n
+        return np.zeros(0, U), np.zeros(0, U), n
     starts, ends, rows, low = word_bounds(raw, off)
     for _ in range(4):
         ends = ends - ((ends - starts > 1) & _mark[low[ends - 1]])
@@ -53,73 +59,93 @@ def text_items(raw: np.ndarray, off: np.ndarray) -> tuple[dict[str, np.ndarray],
     before = np.zeros_like(h)
     before[1:] = h[:-1]
     before[(np.cumsum(n) - n)[n > 0]] = 0
-    hashes = {"pair": join_hashes([before, h]), "word": h, "stem6": span_hashes(low, starts, np.minimum(ends, starts + 6)), "stem4": span_hashes(low, starts, np.minimum(ends, starts + 4))}
-    return {k: (v >> U(64 - BITS[k])).astype(np.int32) for k, v in hashes.items()}, n
+    return h, before, n
+
+
+def kept_of(n: np.ndarray) -> np.ndarray:
+    """Continuation counts less their discounts."""
+    return n - np.select([n <= 0, n == 1, n == 2], [0.0, DISCOUNTS[0], DISCOUNTS[1]], DISCOUNTS[2])
+
+
+def _place(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(table):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
 
 
 @dataclass
 class ClassModels:
-    """For each level and class in how many texts a slot occurs; and the logistic that turns signals into scores."""
+    """The two models' tables; row 0 ordinary, row 1 toxic."""
 
-    counts: dict[str, np.ndarray]  # (2, slots) each
-    weights: np.ndarray  # of the signals, the last one alone
-    scale: tuple[np.ndarray, np.ndarray]
-
-    def tables(self) -> dict:
-        """For each level: what is kept of each slot's share (for both classes), and the weight of the next level."""
-        if not hasattr(self, "_tables"):
-            out: dict = {}
-            for k in LEVELS:
-                c = self.counts[k].astype(np.float64)
-                total = np.maximum(c.sum(1, keepdims=True), 1)
-                kept = np.maximum(c - DISCOUNT[k], 0) / total
-                out[k] = (kept.astype(np.float32), np.maximum(1 - kept.sum(1), 1e-6).astype(np.float32))
-            pooled = self.counts["stem4"].sum(0) + 0.5
-            out["shared"] = (pooled / pooled.sum(), None)
-            out["pooled"] = {k: self.counts[k].sum(0).astype(np.float32) for k in LEVELS}
-            self._tables = out
-        return self._tables
-
-    def differences(self, items: dict[str, np.ndarray]) -> np.ndarray:
-        """log P(word | word before, toxic) - log P(same, ordinary), for each word."""
-        t = self.tables()
-        p = np.broadcast_to(t["shared"][0][items["stem4"]], (2, len(items["stem4"])))
-        pooled = t["pooled"]
-        above = "stem4"
-        for k in reversed(LEVELS):
-            kept, rest = t[k]
-            if k != "stem4":  # the share of this form among those of the level below, the same for both classes
-                p = p * ((pooled[k][items[k]] + 0.5) / (pooled[above][items[above]] + 1.0)).clip(max=1.0)
-            p = kept[:, items[k]] + rest[:, None] * p
-            above = k
-        return np.log(p[1]) - np.log(p[0])
-
-    def signals(self, items: dict[str, np.ndarray], n: np.ndarray) -> np.ndarray:
-        """For each text: the mean difference, the highest means over windows of WINDOWS words, and how many words (as a
-        logarithm, and in a hundred) lean to toxic by far."""
+    words: np.ndarray  # sorted
+    kept: np.ndarray  # (2, words): discounted shares of the continuations
+    rest: np.ndarray  # (2,): weight of the lowest level
+    shared: np.ndarray  # (words,): the lowest level
+    other: float  # the lowest level's share of a word that isn't in the table
+    pairs: np.ndarray  # sorted keys of (word before, word)
+    pair_kept: np.ndarray  # (2, pairs)
+    contexts: np.ndarray  # sorted words before
+    context_rest: np.ndarray  # (2, contexts): weight of the lower level
+
+    @classmethod
+    def build(cls, words: dict, pairs: dict, contexts: dict, totals: np.ndarray, pooled: tuple[float, float, float]) -> ClassModels:
+        """``words``: h, (2, n) continuations; ``pairs``: before, h, (2, n) counts above the discount (else 0); ``contexts``: h,
+        (2, n) totals; ``totals``: continuations of each class; ``pooled``: their sum, what is kept of it, and distinct words."""
+        order = np.argsort(words["h"])
+        h, n = words["h"][order], words["n"][:, order].astype(np.float64)
+        kept = kept_of(n) / np.maximum(totals, 1)[:, None]
+        total, stays, size = pooled
+        other = (total - stays) / max(total, 1) / (size + 1)
+        keys = join_hashes([pairs["before"], pairs["h"]])
+        order = np.argsort(keys)
+        c = np.argsort(contexts["h"])
+        ch, ct = contexts["h"][c], np.maximum(contexts["n"][:, c].astype(np.float64), 1)
+        above = np.where(pairs["n"] > 0, pairs["n"] - PAIR_DISCOUNT, 0.0)
+        of, _ = _place(ch, pairs["before"])
+        pair_kept = above / ct[:, of] if len(ch) else np.zeros((2, 0))
+        context_rest = np.stack([1 - np.bincount(of, pair_kept[k], len(ch)) for k in (0, 1)]) if len(ch) else np.zeros((2, 0))
+        return cls(h, kept, 1 - kept.sum(1), kept_of(n.sum(0)) / max(total, 1) + other, other, keys[order], pair_kept[:, order], ch, context_rest)
+
+    def differences(self, h: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log P(word | toxic) - log P(word | ordinary) for each word: of the lower level, and of the upper one."""
+        at, there = _place(self.words, h)
+        p = np.broadcast_to(self.other * self.rest[:, None], (2, len(h))).copy()
+        p[:, there] = self.kept[:, at[there]] + self.rest[:, None] * self.shared[at[there]]
+        lower = np.log(p[1]) - np.log(p[0])
+        at, there = _place(self.contexts, before)
+        p[:, there] *= self.context_rest[:, at[there]]
+        at, there = _place(self.pairs, join_hashes([before, h]))
+        p[:, there] += self.pair_kept[:, at[there]]
+        return lower, np.log(p[1]) - np.log(p[0])
+
+    def signals(self, h: np.ndarray, before: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """For each text: the upper level's mean difference, and the highest means over passages of WINDOWS words of the lower
+        level's (a shorter text's passage is filled up with words that don't tell)."""
         out = np.zeros((len(n), SIGNALS))
-        if not n.sum():
+        if not len(h):
             return out
-        d = self.differences(items)
+        lower, upper = self.differences(h, before)
         start = np.cumsum(n) - n
-        rows = np.repeat(np.arange(len(n)), n)
-        per = np.maximum(n, 1)
-        out[:, 0] = np.bincount(rows, d, len(n)) / per
-        total = np.concatenate([[0.0], np.cumsum(d)])
-        place = np.arange(len(d))
+        some = np.flatnonzero(n)
+        out[some, 0] = np.add.reduceat(upper, start[some]) / n[some]
+        total = np.concatenate([[0.0], np.cumsum(lower)])
+        first, place = np.repeat(start, n), np.arange(len(h))
         for k, width in enumerate(WINDOWS):
-            begin = np.maximum(place + 1 - width, start[rows])
-            mean = (total[place + 1] - total[begin]) / width  # a short text's window is filled up with words that don't tell
-            best = np.full(len(n), -np.inf)
-            np.maximum.at(best, rows, mean)
-            out[:, 1 + k] = np.where(n > 0, best, 0)
-        far = d > FAR
-        out[:, -2] = np.log1p(np.bincount(rows, far, len(n)))
-        out[:, -1] = np.log1p(np.bincount(rows, far, len(n)) / per * 100)
+            mean = (total[place + 1] - total[np.maximum(place + 1 - width, first)]) / width
+            out[some, 1 + k] = np.maximum.reduceat(mean, start[some])
         return out
 
-    def score(self, items: dict[str, np.ndarray], n: np.ndarray) -> np.ndarray:
-        x = (self.signals(items, n) - self.scale[0]) / self.scale[1]
+
+@dataclass
+class Scorer:
+    models: ClassModels | None
+    weights: np.ndarray  # of the signals, the last one alone
+    mean: np.ndarray
+    spread: np.ndarray
+
+    def score(self, h: np.ndarray, before: np.ndarray, n: np.ndarray) -> np.ndarray:
+        x = np.zeros((len(n), SIGNALS)) if self.models is None else (self.models.signals(h, before, n) - self.mean) / self.spread
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
@@ -138,67 +164,96 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def _empty(share: float) -> ClassModels:
-    weights = np.zeros(SIGNALS + 1)
-    weights[-1] = np.log(share / (1 - share))
-    return ClassModels({k: np.zeros((2, 1 << BITS[k]), np.int32) for k in LEVELS}, weights, (np.zeros(SIGNALS), np.ones(SIGNALS)))
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many texts of each class each slot occurs: at most one row a slot and task."""
-    model = _empty(0.5)
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of words of each text, counted within it."""
+    names = ["label", "fold", "before", "h", "n"]
     for batch in batches:
         raw, off = column_bytes(batch.column("text"))
-        for k, label in enumerate(batch.column("label").to_pylist()):
-            items, _ = text_items(raw[off[k] : off[k + 1]], off[k : k + 2] - off[k])
-            for level in LEVELS:
-                model.counts[level][label, np.unique(items[level])] += 1
-    for i, level in enumerate(LEVELS):
-        label, slot = np.nonzero(model.counts[level])
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), i, np.int32)), pa.array(label.astype(np.int32)), pa.array(slot.astype(np.int32)), pa.array(model.counts[level][label, slot].astype(np.int64))], ["level", "label", "slot", "n"])
+        for k, (label, fold) in enumerate(zip(batch.column("label").to_pylist(), batch.column("fold").to_pylist(), strict=True)):
+            h, before, _ = text_words(raw[off[k] : off[k + 1]], off[k : k + 2] - off[k])
+            both = np.stack([before, h], 1).view([("b", U), ("h", U)]).ravel()
+            own, many = np.unique(both, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), label, np.int32)), pa.array(np.full(len(own), fold, np.int32)), pa.array(own["b"].view(np.int64) if len(own) else np.zeros(0, np.int64)), pa.array(np.ascontiguousarray(own["h"]).view(np.int64)), pa.array(many)], names)
 
 
-def _signals(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+def _signals(batches: Iterator[pa.RecordBatch], models) -> Iterator[pa.RecordBatch]:
+    """Each calibrating text's signals by the models without its fold."""
     for batch in batches:
         raw, off = column_bytes(batch.column("text"))
-        x = [model.value.signals(*text_items(raw[off[a] : off[b]], off[a : b + 1] - off[a])) for a, b in slices(off)]
-        x = np.concatenate(x) if x else np.zeros((0, SIGNALS))
+        x = np.zeros((batch.num_rows, SIGNALS))
+        for k, fold in enumerate(batch.column("fold").to_pylist()):
+            x[k] = models.value[fold].signals(*text_words(raw[off[k] : off[k + 1]], off[k : k + 2] - off[k]))[0]
         yield pa.RecordBatch.from_arrays([batch.column("label"), *(pa.array(c) for c in x.T)], ["label", *(f"s{k}" for k in range(SIGNALS))])
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, out: int = 0, max_rows: int = 12_000) -> ClassModels:
-    """Fit on at most ``max_rows`` labelled documents of each class, outside the fold ``out``.  Three quarters of them train
-    the models, whose counts come to the driver as at most a row for each slot; the others give the logistic six numbers each."""
-    rows = sample(docs, labels, label, modulus, out, max_rows, by_class=True)
-    apart = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)) == 0
-    counts = rows.where(~apart).select("label", "text").mapInArrow(_count, "level int, label int, slot int, n long").groupBy("level", "label", "slot").agg(F.sum("n").cast("int").alias("n"))
-    table = counts.where((F.col("n") > 1) | (F.col("level") == LEVELS.index("stem4"))).toArrow()
-    level, mark, slot, n = (table[c].to_numpy() for c in ("level", "label", "slot", "n"))
-    model = _empty(0.5)
-    for i, k in enumerate(LEVELS):
-        own = level == i
-        model.counts[k][mark[own], slot[own]] = n[own]
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    held = rows.where(apart).select("label", "text").mapInArrow(partial(_signals, model=shared), "label int, " + ", ".join(f"s{k} double" for k in range(SIGNALS))).toPandas()
+def _columns(df: DataFrame, *names: str) -> list[np.ndarray]:
+    table = df.toArrow()
+    return [table[c].to_numpy() for c in names]
+
+
+def _models(pairs: DataFrame, folder: str) -> list[ClassModels]:
+    """The models without each fold, and those of all.  What comes to the driver has a row for each word in two contexts, and
+    for each pair above its discount and each such pair's first word."""
+    every = range(FOLDS + 1)
+    count = [F.col("n") - F.col(f"n{f}") for f in range(FOLDS)] + [F.col("n")]  # without the fold; of all
+    by = pairs.groupBy("label", "before", "h").agg(F.sum("n").alias("n"), *(F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).alias(f"n{f}") for f in range(FOLDS)))
+    by = stage(by.select("label", "before", "h", *(count[f].alias(f"m{f}") for f in every)), f"{folder}/pairs")
+    is_ = lambda c: [F.col("label") == k for k in (0, 1)][c]
+    each = lambda what: [F.sum(F.when(is_(c), what(f)).otherwise(0)).cast("long").alias(f"c{c}_{f}") for c in (0, 1) for f in every]
+    words = stage(by.groupBy("h").agg(*each(lambda f: (F.col(f"m{f}") > 0).cast("long"))), f"{folder}/words")
+    # the lowest level's sums over all words, also those that aren't handed on
+    both = [F.col(f"c0_{f}") + F.col(f"c1_{f}") for f in every]
+    stays = [F.when(b >= 3, b - DISCOUNTS[2]).when(b == 2, b - DISCOUNTS[1]).otherwise(0.0) for b in both]
+    sums = words.agg(*(F.coalesce(F.sum(f"c{c}_{f}"), F.lit(0)) for c in (0, 1) for f in every), *(F.coalesce(F.sum(s), F.lit(0.0)) for s in stays), *(F.coalesce(F.sum((b > 0).cast("long")), F.lit(0)) for b in both)).first()
+    names = [f"c{c}_{f}" for c in (0, 1) for f in every]
+    w_h, *w_n = _columns(words.where(both[FOLDS] >= 2), "h", *names)
+    often = by.where(F.col(f"m{FOLDS}") > PAIR_DISCOUNT)
+    p_before, p_h, *p_n = _columns(often.groupBy("before", "h").agg(*each(lambda f: F.when(F.col(f"m{f}") > PAIR_DISCOUNT, F.col(f"m{f}")).otherwise(0))), "before", "h", *names)
+    c_h, *c_n = _columns(by.join(often.select("before").distinct(), "before", "left_semi").groupBy("before").agg(*each(lambda f: F.col(f"m{f}"))), "before", *names)
+    out, k = [], FOLDS + 1
+    for f in every:
+        two = lambda x: np.stack([x[f], x[k + f]])  # noqa: B023,E731
+        out.append(
+            ClassModels.build(
+                {"h": w_h.view(U), "n": two(w_n)},
+                {"before": p_before.view(U), "h": p_h.view(U), "n": two(p_n)},
+                {"h": c_h.view(U), "n": two(c_n)},
+                np.array([sums[f], sums[k + f]], np.float64),
+                (float(sums[f] + sums[k + f]), float(sums[2 * k + f]), float(sums[3 * k + f])),
+            )
+        )
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, out: int = 0, max_rows: int = 12_000) -> Scorer:
+    """Fit on at most ``max_rows`` labelled documents of each class, outside the fold ``out``."""
+    rows = sample(docs, labels, label, modulus, out, max_rows, by_class=True).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(FOLDS)).cast("int"))
+    pairs = rows.select("label", "fold", "text").mapInArrow(_pairs, "label int, fold int, before long, h long, n long")
+    folder = work_dir(docs.sparkSession, "toxicity")
+    models = _models(pairs, folder)
+    remove(docs.sparkSession, folder)
+    shared = docs.sparkSession.sparkContext.broadcast(models)
+    held = rows.select("label", "fold", "text").mapInArrow(partial(_signals, models=shared), "label int, " + ", ".join(f"s{k} double" for k in range(SIGNALS))).toPandas()
     held = held.sort_values([*held.columns])  # the order of tasks must not matter
     y, x = held["label"].to_numpy(np.float64), held.iloc[:, 1:].to_numpy()
-    both = all(model.counts["stem4"].sum(1)) and len(y) and y.min() < y.max()
-    model = ClassModels(model.counts, _empty((y.sum() + 1) / (len(y) + 2)).weights, model.scale)
-    if both:
-        model.scale = (x.mean(0), x.std(0) + 1e-9)
-        model.weights = logistic((x - model.scale[0]) / model.scale[1], y)
-    return model
+    share = (y.sum() + 1) / (len(y) + 2)
+    if not len(y) or y.min() == y.max():
+        weights = np.zeros(SIGNALS + 1)
+        weights[-1] = np.log(share / (1 - share))
+        return Scorer(None, weights, np.zeros(SIGNALS), np.ones(SIGNALS))
+    mean, spread = x.mean(0), x.std(0) + 1e-9
+    return Scorer(models[-1], logistic((x - mean) / spread, y), mean, spread)
 
 
 def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     m = model.value
     for batch in batches:
         raw, off = column_bytes(batch.column("text"))
-        out = [m.score(*text_items(raw[off[a] : off[b]], off[a : b + 1] - off[a])) for a, b in slices(off)]
+        out = [m.score(*text_words(raw[off[a] : off[b]], off[a : b + 1] - off[a])) for a, b in slices(off)]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(out) if out else np.zeros(0))], ["doc_id", "score"])
 
 
-def score(docs: DataFrame, model: ClassModels) -> DataFrame:
+def score(docs: DataFrame, model: Scorer) -> DataFrame:
     """(doc_id, score) of every document, in one pass over the whole texts."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
