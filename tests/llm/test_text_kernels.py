@@ -196,8 +196,26 @@ def test_features_of_empty_texts_are_zero():
     assert x[2].any()
 
 
-def test_toxic_items_ignore_marks_around_words():
-    raw, off = K.column_bytes(pa.array(["Idiot! (idiot)", "idiot"]))
-    items, n = toxicity.text_items(raw, off)
-    assert n.tolist() == [2, 1]
-    assert len(set(items["word"].tolist())) == 1
+def test_elias_fano_sequences_side_by_side():
+    rng = np.random.default_rng(5)
+    parts = [np.sort(rng.integers(0, top, n, dtype=np.uint64)) for n, top in ((0, 1), (700, 90), (1, 1 << 40), (3000, 1 << 34), (0, 1), (64, 64), (5000, 5100))]
+    e = EliasFano.join([EliasFano.build(p) for p in parts])
+    for k, p in enumerate(parts):
+        sec = np.full(len(p), k)
+        assert (e.get(np.arange(len(p)), sec) == p).all()
+        if len(p) > 1:
+            one, two = e.get_two(np.arange(len(p) - 1), sec[1:])
+            assert (one == p[:-1]).all()
+            assert (two == p[1:]).all()
+        ask = np.concatenate([p, p + np.uint64(1), rng.integers(0, 1 << 41, 50, dtype=np.uint64)])
+        want = np.searchsorted(p, ask)
+        there = np.append(p, np.uint64(1 << 63))[want] == ask
+        assert (e.locate(ask, sec=np.full(len(ask), k)) == np.where(there, want, -1)).all()
+
+
+def test_toxic_words_ignore_marks_around_them():
+    raw, off = K.column_bytes(pa.array(["Idiot! (idiot)", "", "idiot"]))
+    h, before, n = toxicity.text_words(raw, off)
+    assert n.tolist() == [2, 0, 1]
+    assert len(set(h.tolist())) == 1
+    assert before.tolist() == [0, int(h[0]), 0]
