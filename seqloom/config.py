@@ -102,6 +102,9 @@ class QcConfig:
     dup_length: int = 0
     unique_cap: int = 100_000
     compat: bool = True  # the four-worker sampling order of parallel FASTQ runs; False: one order
+    dense: bool = True  # each read of a file has its place in read_idx; alignments leave out what isn't mapped
+    tile_all: int = 10_000  # reads of a worker that all count for tiles, before each tenth does
+    keep_reads: bool = True  # in memory and on disk while a whole report is made; False: scanned for each module
     limits: dict[tuple[str, str], float] = field(init=False, default_factory=dict, compare=False)
     adapters: list[tuple[str, str]] = field(init=False, default_factory=list, compare=False)
     contaminants: list[tuple[str, str]] = field(init=False, default_factory=list, compare=False)

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import reads as R
-from ..functions.kernels import gc_fit, histogram_width
-from .common import lowest_codes, position_cube, unfiltered, worker
+from ..functions.columns import Counts, column_bytes, file_runs
+from ..functions.kernels import gc_fit, widths
+from .common import unfiltered, worker
 
 
-def basic_statistics(reads: DataFrame, cube: DataFrame | None = None, compat: bool = True) -> DataFrame:
+def basic_statistics(reads: DataFrame, compat: bool = True) -> DataFrame:
     """One row a file.  With ``compat`` a length of 0 counts as the least only if no worker's least is more."""
-    cube = position_cube(reads) if cube is None else cube
     seq = F.col("sequence")
     own = ~F.col("is_filtered")
     count = lambda letters: F.coalesce(F.sum(F.when(own, R.count_letters(seq, letters))), F.lit(0)).cast("long")
@@ -26,10 +30,10 @@ def basic_statistics(reads: DataFrame, cube: DataFrame | None = None, compat: bo
         count("GC").alias("gc"),
         count("ACGT").alias("acgt"),
         F.max(F.when(own, F.col("colorspace").isNotNull())).alias("coloured"),
+        F.min(F.when(own & (F.length(seq) > 0) & (F.length("quality") > 0), F.ascii(F.array_min(F.split("quality", ""))))).alias("lowest"),
     )
     least = F.coalesce(F.min(F.when(F.col("least") > 0, F.col("least"))), F.lit(0)) if compat else F.coalesce(F.min("least"), F.lit(0))
-    out = per.groupBy("file_name").agg(F.sum("total").alias("total_sequences"), F.sum("filtered").alias("filtered_sequences"), F.sum("bases").alias("total_bases"), least.alias("min_length"), F.coalesce(F.max("most"), F.lit(0)).alias("max_length"), F.sum("gc").alias("gc"), F.sum("acgt").alias("acgt"), F.coalesce(F.max("coloured"), F.lit(False)).alias("coloured"))
-    out = out.join(F.broadcast(lowest_codes(cube)), "file_name", "left").withColumn("lowest", F.coalesce("lowest", F.lit(126)))
+    out = per.groupBy("file_name").agg(F.sum("total").alias("total_sequences"), F.sum("filtered").alias("filtered_sequences"), F.sum("bases").alias("total_bases"), least.alias("min_length"), F.coalesce(F.max("most"), F.lit(0)).alias("max_length"), F.sum("gc").alias("gc"), F.sum("acgt").alias("acgt"), F.coalesce(F.max("coloured"), F.lit(False)).alias("coloured"), F.coalesce(F.min("lowest"), F.lit(126)).alias("lowest"))
     return out.select(
         "file_name",
         F.when(F.col("coloured"), "Colorspace converted to bases").otherwise("Conventional base calls").alias("file_type"),
@@ -44,10 +48,25 @@ def basic_statistics(reads: DataFrame, cube: DataFrame | None = None, compat: bo
     )
 
 
+def _mean_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each task's counts of reads by whole mean code, with the least code of a file that the task saw."""
+    found, lowest = Counts(), {}
+    for batch in batches:
+        raw, off = column_bytes(batch.column("quality"))
+        for name, a, b in file_runs(batch.column("file_name")):
+            size, code = np.diff(off[a : b + 1]), raw[off[a] : off[b]].astype(np.int64)
+            means = np.add.reduceat(code, off[a:b] - off[a]) // size
+            found.add(name, *np.unique(means, return_counts=True))
+            lowest[name] = min(lowest.get(name, 255), int(code.min()))
+    for name, least in lowest.items():
+        keys, n = found.merged(name)
+        yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys.astype(np.int32)), pa.array(n), pa.array(np.full(len(keys), least, np.int32))], ["file_name", "code", "n", "least"])
+
+
 def sequence_quality(reads: DataFrame) -> DataFrame:
     """(file_name, quality, n): reads by whole mean quality, from this module's own lowest mean code."""
-    rows = unfiltered(reads).where(F.length("quality") > 0).select("file_name", R.mean_code(F.col("quality")).alias("code"), F.array_min(R.codes(F.col("quality"))).alias("least"))
-    counts = rows.groupBy("file_name", "code").agg(F.count("*").alias("n"), F.min("least").alias("least"))
+    rows = unfiltered(reads).where(F.length("quality") > 0).select("file_name", "quality").mapInArrow(_mean_codes, "file_name string, code int, n long, least int")
+    counts = rows.groupBy("file_name", "code").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
     least = F.min("least").over(Window.partitionBy("file_name"))
     return counts.select("file_name", (F.col("code") - R.phred_offset(least)).alias("quality"), "n")
 
@@ -61,17 +80,25 @@ def length_counts(reads: DataFrame) -> DataFrame:
     return unfiltered(reads).groupBy("file_name", F.length("sequence").alias("length")).agg(F.count("*").alias("n"))
 
 
+def bin_width(span: Column) -> Column:
+    out = F.lit(1)
+    for w in reversed([*widths(4)]):
+        out = F.when(F.floor(span / w) <= 50, F.lit(w)).otherwise(out)
+    return F.when(span <= 75, F.lit(1)).otherwise(out)
+
+
 def length_distribution(reads: DataFrame) -> DataFrame:
     """(file_name, lo, hi, label, n): bins of one width from the least length to the greatest, empty ones too."""
-    counts = length_counts(reads)
-    spans = counts.groupBy("file_name").agg(F.min("length").alias("least"), F.max("length").alias("most")).collect()  # a row a file
-    bins = [(r["file_name"], r["least"], r["most"], histogram_width(r["most"] - r["least"] + 1)) for r in spans]
-    frame = reads.sparkSession.createDataFrame(bins, "file_name string, least int, most int, width int")
-    every = frame.select("file_name", "most", "width", F.explode(F.sequence("least", "most", "width")).alias("lo"))
-    every = every.select("file_name", "lo", F.least(F.col("lo") + F.col("width") - 1, F.col("most")).alias("hi"))
-    binned = counts.join(F.broadcast(frame), "file_name").withColumn("lo", (F.col("least") + F.floor((F.col("length") - F.col("least")) / F.col("width")) * F.col("width")).cast("int")).groupBy("file_name", "lo").agg(F.sum("n").alias("n"))
+    of = Window.partitionBy("file_name")
+    counts = length_counts(reads).withColumns({"least": F.min("length").over(of), "most": F.max("length").over(of)})
+    counts = counts.withColumn("width", bin_width(F.col("most") - F.col("least") + 1).cast("int"))
+    lo = (F.col("least") + F.floor((F.col("length") - F.col("least")) / F.col("width")) * F.col("width")).cast("int")
+    binned = counts.groupBy("file_name", "least", "most", "width", lo.alias("lo")).agg(F.sum("n").alias("n"))
+    # some hundred bins a file at most
+    bins = binned.groupBy("file_name", "least", "most", "width").agg(F.map_from_entries(F.collect_list(F.struct("lo", "n"))).alias("own"))
+    every = bins.select("file_name", "most", "width", "own", F.explode(F.sequence("least", "most", "width")).alias("lo")).withColumn("hi", F.least(F.col("lo") + F.col("width") - 1, F.col("most")))
     text = F.when(F.col("lo") == F.col("hi"), F.col("lo").cast("string")).otherwise(F.concat_ws("-", "lo", "hi"))
-    return every.join(binned, ["file_name", "lo"], "left").select("file_name", "lo", "hi", text.alias("label"), F.coalesce("n", F.lit(0)).alias("n"))
+    return every.select("file_name", "lo", "hi", text.alias("label"), F.coalesce(F.try_element_at("own", F.col("lo")), F.lit(0)).alias("n"))
 
 
 def gc_counts(reads: DataFrame) -> DataFrame:
@@ -80,25 +107,31 @@ def gc_counts(reads: DataFrame) -> DataFrame:
     return part.groupBy("file_name", F.length("part").alias("len"), R.gc_count(F.col("part")).alias("gc")).agg(F.count("*").alias("n"))
 
 
-def gc_model(lengths: DataFrame) -> DataFrame:
-    """(len, gc, pct, weight): which percentages a GC count of a read of this length stands for.
+def gc_claims(counts: DataFrame) -> DataFrame:
+    """Beside each (len, gc): pct and weight, the percentages that this GC count stands for.
 
-    A count claims the percentages from half a base below to half a base above; a percentage that several counts claim is
-    shared among them."""
-    half = lambda x: F.floor(x * 100.0 / F.col("len") + 0.5).cast("int")
-    rows = lengths.select("len", F.explode(F.sequence(F.lit(0), F.col("len"))).alias("gc"))
-    rows = rows.select("len", "gc", F.explode(F.sequence(half(F.greatest(F.col("gc") - 0.5, F.lit(0.0))), half(F.least(F.col("gc") + 0.5, F.col("len").cast("double"))))).alias("pct"))
-    return rows.withColumn("weight", F.lit(1.0) / F.count("*").over(Window.partitionBy("len", "pct")))
+    A count claims the percentages from half a base below to half a base above; a percentage that several counts of a length claim
+    is shared among them: those about pct * len / 100 are asked."""
+    n, pct = F.col("len"), F.col("pct")
+    half = lambda x: F.floor(x * 100.0 / n + 0.5).cast("int")
+    low = lambda g: half(F.greatest(g - 0.5, F.lit(0.0)))
+    high = lambda g: half(F.least(g + 0.5, n.cast("double")))
+    rows = counts.withColumn("pct", F.explode(F.sequence(low(F.col("gc")), high(F.col("gc")))))
+    near = F.sequence(F.greatest(F.floor((pct - 0.5) * n / 100) - 2, F.lit(0).cast("long")), F.least(F.ceil((pct + 0.5) * n / 100) + 2, n.cast("long")))
+    shared = F.size(F.filter(near, lambda g: (low(g) <= pct) & (pct <= high(g))))
+    return rows.withColumn("weight", F.lit(1.0) / shared)
 
 
 def gc_distribution(reads: DataFrame) -> DataFrame:
-    """(file_name, pct, count) for 0 to 100."""
-    counts = gc_counts(reads)
-    model = gc_model(counts.select("len").distinct())
+    """(file_name, pct, count) for 0 to 100, also for a file all of whose reads are filtered."""
+    part = F.when(~F.col("is_filtered"), R.gc_part(F.col("sequence")))
+    counts = reads.select("file_name", part.alias("part")).groupBy("file_name", F.length("part").alias("len"), R.gc_count(F.col("part")).alias("gc")).agg(F.count("*").alias("n"))
+    claims = gc_claims(counts.where("len > 0"))
     # equal weights are added as whole numbers first, so that the sums don't depend on the order of rows
-    found = counts.join(model, ["len", "gc"]).groupBy("file_name", "pct", "weight").agg(F.sum("n").alias("n")).groupBy("file_name", "pct").agg(F.sum(F.col("n") * F.col("weight")).alias("count"))
-    every = reads.select("file_name").distinct().select("file_name", F.explode(F.sequence(F.lit(0), F.lit(100))).alias("pct"))
-    return every.join(found, ["file_name", "pct"], "left").select("file_name", "pct", F.coalesce("count", F.lit(0.0)).alias("count"))
+    found = claims.groupBy("file_name", "pct", "weight").agg(F.sum("n").alias("n")).groupBy("file_name", "pct").agg(F.sum(F.col("n") * F.col("weight")).alias("count"))
+    every = counts.where("len IS NULL OR len = 0").select("file_name").distinct().select("file_name", F.lit(0).alias("pct"), F.lit(0.0).alias("count"))
+    by_file = found.unionByName(every).groupBy("file_name", "pct").agg(F.sum("count").alias("count")).groupBy("file_name").agg(F.map_from_entries(F.collect_list(F.struct("pct", "count"))).alias("own"))  # 101 at most
+    return by_file.select("file_name", "own", F.explode(F.sequence(F.lit(0), F.lit(100))).alias("pct")).select("file_name", "pct", F.coalesce(F.try_element_at("own", F.col("pct")), F.lit(0.0)).alias("count"))
 
 
 def gc_fitted(distribution: DataFrame) -> DataFrame:

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import QcConfig
-from ..functions import reads as R
-from ..functions.kernels import base_groups, label
+from ..functions.columns import NOTHING, Counts, base_counts, column_bytes, file_runs
+from ..functions.kernels import EXPONENTIAL, MOST_GROUPS, widths
 
 BATCH, WORKERS = 4096, 4
+SPAN = 1 << 16  # batches whose running sums one task adds up
+_letters = pa.array([*map(chr, range(NOTHING)), None])
 
 
 def unfiltered(reads: DataFrame) -> DataFrame:
@@ -21,47 +27,105 @@ def worker(compat: bool) -> Column:
     return (F.floor(F.col("read_idx") / BATCH) % WORKERS).cast("int") if compat else F.lit(0)
 
 
-def with_ordinal(rows: DataFrame, name: str, compat: bool) -> DataFrame:
-    """Adds the 1-based ordinal of each row within its file and worker, in the order of read_idx.
-
-    Rows are counted by batch; the batches' running sums (one row for 4096 reads) give each batch's first ordinal, so that no
-    task sorts a whole file."""
-    rows = rows.withColumn("_batch", F.floor(F.col("read_idx") / BATCH)).withColumn("_worker", worker(compat))
-    sizes = rows.groupBy("file_name", "_worker", "_batch").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("file_name", "_worker").orderBy("_batch").rowsBetween(Window.unboundedPreceding, -1))
-    firsts = sizes.select("file_name", "_batch", F.coalesce(before, F.lit(0)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("file_name", "_batch").orderBy("read_idx"))
-    return rows.join(firsts, ["file_name", "_batch"]).withColumn(name, F.col("_before") + own).drop("_batch", "_worker", "_before")
+def _upto(sizes: DataFrame, by: list[str], at: str, n: str, out: str) -> DataFrame:
+    """Adds the sum of ``n`` over smaller ``at`` of the same ``by``: within spans, and over spans, so that no task has all."""
+    rows = sizes.withColumn("_span", F.floor(F.col(at) / SPAN))
+    before = lambda keys, order: F.coalesce(F.sum(n).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = rows.groupBy(*by, "_span").agg(F.sum(n).alias(n)).select(*by, "_span", before(by, "_span").alias("_earlier"))
+    rows = rows.withColumn("_within", before([*by, "_span"], at))
+    return rows.join(spans, [*by, "_span"]).withColumn(out, F.col("_earlier") + F.col("_within")).drop("_span", "_within", "_earlier")
+
+
+def _skipped(reads: DataFrame, skip: Column, compat: bool) -> DataFrame:
+    """(file_name, _batch, _before, _gone) for each batch of the files with skipped reads: how many are skipped in earlier
+    batches of the worker, and which in this one.  Nothing is read where the plan tells that none is skipped."""
+    batch = F.floor(F.col("read_idx") / BATCH)
+    gone = reads.where(skip).groupBy("file_name", batch.alias("_batch")).agg(F.count("*").alias("_n"), F.collect_list("read_idx").alias("_gone"))
+    ends = reads.groupBy("file_name").agg(F.max(batch).alias("_last")).join(gone.select("file_name").distinct(), "file_name")
+    spans = ends.select("file_name", "_last", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_last") / SPAN))).alias("_at")).repartition("file_name", "_at")
+    every = spans.select("file_name", F.explode(F.sequence(F.col("_at") * SPAN, F.least(F.col("_at") * SPAN + SPAN - 1, F.col("_last")))).alias("_batch"))
+    sizes = every.join(gone, ["file_name", "_batch"], "left").withColumn("_n", F.coalesce("_n", F.lit(0))).withColumn("_worker", F.col("_batch") % WORKERS if compat else F.lit(0))
+    return _upto(sizes, ["file_name", "_worker"], "_batch", "_n", "_before").select("file_name", "_batch", "_before", "_gone")
+
+
+def with_ordinal(reads: DataFrame, name: str, compat: bool, skip: Column | None = None, dense: bool = True) -> DataFrame:
+    """The reads that aren't skipped (filtered, unless told otherwise), with each one's 1-based ordinal among those of its file
+    and worker, in the order of read_idx.
+
+    Where read_idx is ``dense`` (each read of a file has its place, as readers of FASTQ give it) the ordinal follows from it, less
+    the skipped reads before; without skipped reads nothing is joined.  Else a batch's reads are numbered, and batches' running
+    sums give each batch's first ordinal.  No task has all reads or all batches of a file."""
+    skip = F.col("is_filtered") if skip is None else skip
+    idx, keys = F.col("read_idx"), ["file_name", "_batch"]
+    rows = reads.where(~skip).withColumn("_batch", F.floor(idx / BATCH))
+    if dense:
+        rows = rows.join(_skipped(reads, skip, compat), keys, "left")
+        place = (F.floor(F.col("_batch") / WORKERS) * BATCH + idx % BATCH if compat else idx) + 1
+        inside = F.coalesce(F.size(F.filter("_gone", lambda x: x < idx)), F.lit(0))
+        return rows.withColumn(name, place - F.coalesce("_before", F.lit(0)) - F.when(F.col("_gone").isNull(), 0).otherwise(inside)).drop("_batch", "_before", "_gone")
+    sizes = rows.withColumn("_worker", worker(compat)).groupBy("file_name", "_worker", "_batch").agg(F.count("*").alias("_n"))
+    firsts = _upto(sizes, ["file_name", "_worker"], "_batch", "_n", "_before").select(*keys, "_before")
+    own = F.row_number().over(Window.partitionBy(*keys).orderBy("read_idx"))
+    return rows.join(firsts, keys).withColumn(name, F.col("_before") + own).drop("_batch", "_before")
+
+
+def position_partials(reads: DataFrame) -> DataFrame:
+    """(file_name, pos, base, code, n): each task's counts of bases and quality codes by position, from 1 on."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Counts()
+        for batch in batches:
+            seq, qual = column_bytes(batch.column("sequence")), column_bytes(batch.column("quality"))
+            for name, a, b in file_runs(batch.column("file_name")):
+                found.add(name, *base_counts(seq, qual, a, b))
+        for name in found.parts:
+            keys, n = found.merged(name)
+            code = keys & 511
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name] * len(keys), pa.string()), pa.array((keys >> 18).astype(np.int32)), _letters.take(pa.array(keys >> 9 & 511)), pa.array(code.astype(np.int32), mask=code == NOTHING), pa.array(n)],
+                ["file_name", "pos", "base", "code", "n"],
+            )
+
+    return unfiltered(reads).select("file_name", "sequence", "quality").mapInArrow(count, "file_name string, pos int, base string, code int, n long")
 
 
 def position_cube(reads: DataFrame) -> DataFrame:
-    """(file_name, pos, base, code, n): how often each base has each quality code at each position, from 1 on.
-
-    One scan and one aggregation, from which quality, base and N content, encodings and totals are derived."""
-    pairs = F.arrays_zip(F.split("sequence", "").alias("base"), F.split("quality", "").alias("q"))
-    rows = unfiltered(reads).where(F.length("sequence") > 0).select("file_name", F.posexplode(pairs).alias("pos", "p"))
-    return rows.select("file_name", (F.col("pos") + 1).alias("pos"), F.col("p.base").alias("base"), F.ascii("p.q").alias("code")).groupBy("file_name", "pos", "base", "code").agg(F.count("*").alias("n"))
-
-
-def groups_for(lengths: DataFrame, config: QcConfig) -> DataFrame:
-    """(file_name, pos, grp, lo, hi, label) for (file_name, length): a row for each file comes to the driver."""
-    rows = []
-    for r in lengths.collect():
-        for g, (lo, hi) in enumerate(base_groups(r["length"] or 0, config.nogroup, config.expgroup, config.min_length)):
-            rows.append((r["file_name"], g, lo, hi, label(lo, hi)))
-    frame = lengths.sparkSession.createDataFrame(rows, "file_name string, grp int, lo int, hi int, label string")
-    return frame.withColumn("pos", F.explode(F.sequence("lo", "hi")))
-
-
-def lowest_codes(cube: DataFrame) -> DataFrame:
-    return cube.where("code IS NOT NULL AND code > 0").groupBy("file_name").agg(F.min("code").alias("lowest"))
-
-
-def with_offset(rows: DataFrame, lowest: DataFrame) -> DataFrame:
-    """A file's Phred offset beside its rows; the lowest codes are a row a file."""
-    return rows.join(F.broadcast(lowest), "file_name").withColumn("offset", R.phred_offset(F.col("lowest"))).drop("lowest")
-
-
-def exact(value: Column) -> Column:
-    """NaN as 0, as JSON reports want it."""
-    return F.when(F.isnan(value) | value.isNull() | (F.abs(value) == float("inf")), F.lit(0.0)).otherwise(value)
+    """The partial counts (a key may have several rows), dealt by file and position: what is then grouped by these, or windowed,
+    isn't dealt out again.  Quality, base and N content and encodings are derived from it."""
+    return position_partials(reads).repartition("file_name", "pos")
+
+
+def wide_group(length: Column) -> Column:
+    """How many positions a group behind the ninth has."""
+    out = F.lit(1)
+    for w in reversed([*widths(6)]):
+        out = F.when(length <= 9 + (MOST_GROUPS - 9) * w, F.lit(w)).otherwise(out)
+    return out
+
+
+def in_groups(rows: DataFrame, config: QcConfig, length: Column | None = None) -> DataFrame:
+    """Adds to rows by (file_name, pos) their group's grp (its first position), lo, hi and label.
+
+    The length is a file's last position, unless it is given; ``min_length`` adds empty positions behind it."""
+    rows = rows.withColumn("_length", F.max("pos").over(Window.partitionBy("file_name")) if length is None else length)
+    if config.min_length:
+        ends = rows.groupBy("file_name").agg(F.max("_length").alias("_length")).where(F.col("_length") < config.min_length)
+        blank = ends.select("file_name", F.explode(F.sequence(F.col("_length") + 1, F.lit(config.min_length))).cast("int").alias("pos"))
+        rows = rows.unionByName(blank, allowMissingColumns=True).withColumn("_length", F.greatest(F.max("_length").over(Window.partitionBy("file_name")), F.lit(config.min_length)))
+    pos, n = F.col("pos"), F.col("_length")
+    within = lambda start, w: start + F.floor((pos - start) / w) * w
+    if config.nogroup:
+        lo, wide = pos, F.lit(1)
+    elif config.expgroup:
+        lo, wide = pos, F.lit(1)
+        for start, above, w in EXPONENTIAL:
+            on = (pos >= start) & (n > above)
+            lo, wide = F.when(on, within(F.lit(start), w)).otherwise(lo), F.when(on, F.lit(w)).otherwise(wide)
+    else:
+        grouped = (n > MOST_GROUPS) & (pos > 9)
+        wide = F.when(grouped, wide_group(n)).otherwise(1)
+        lo = F.when(grouped, within(F.lit(10), wide_group(n))).otherwise(pos)
+    rows = rows.withColumns({"lo": lo.cast("int"), "_wide": wide.cast("int")})
+    hi = F.least(F.col("lo") + F.col("_wide") - 1, n).cast("int")
+    text = F.when(F.col("lo") == F.col("hi"), F.col("lo").cast("string")).otherwise(F.concat_ws("-", "lo", "hi"))
+    return rows.withColumn("hi", hi).withColumns({"grp": F.col("lo"), "label": text}).drop("_length", "_wide")

@@ -2,51 +2,53 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import QcConfig
 from ..functions import reads as R
-from .common import groups_for, lowest_codes, position_cube, unfiltered, with_offset, with_ordinal
+from ..functions.columns import Counts, column_bytes, file_runs, places
+from .common import in_groups, position_cube, with_ordinal
 
 PERCENTILES = (50, 25, 75, 10, 90)
 LEAST_SEEN = 100
-TILE_ALL, TILE_EVERY, TILE_MOST = 10_000, 10, 2_500
-
-
-def position_histogram(cube: DataFrame) -> DataFrame:
-    return cube.where("code > 0").groupBy("file_name", "pos", "code").agg(F.sum("n").alias("n"))
+LEAST_CODE = 33
+TILE_EVERY, TILE_MOST = 10, 2_500
 
 
 def position_quality(cube: DataFrame) -> DataFrame:
     """(file_name, pos, total, mean, p50, p25, p75, p10, p90): percentiles are null up to LEAST_SEEN observations.
 
-    A percentile is the first code at which the running count reaches the whole part of its share of all."""
-    rows = with_offset(position_histogram(cube), lowest_codes(cube))
+    A percentile is the first code at which the running count reaches the whole part of its share of all.  The file's offset,
+    which follows from its least code, is taken off at the end: codes below the lower offset don't count either way."""
+    rows = cube.where("code > 0").groupBy("file_name", "pos", "code").agg(F.sum("n").alias("n"))
     by = Window.partitionBy("file_name", "pos")
-    rows = rows.withColumn("total", F.sum("n").over(by)).where("code >= offset")
+    rows = rows.withColumns({"total": F.sum("n").over(by), "least": F.min("code").over(by)}).where(F.col("code") >= LEAST_CODE)
     rows = rows.withColumn("upto", F.sum("n").over(by.orderBy("code").rowsBetween(Window.unboundedPreceding, 0)))
-    score = F.col("code") - F.col("offset")
-    reach = lambda p: F.min(F.when(F.col("upto") >= F.floor(F.col("total") * p / 100), score))
-    out = rows.groupBy("file_name", "pos").agg(F.max("total").alias("total"), (F.sum(F.col("n") * score) / F.sum("n")).alias("mean"), *(reach(p).alias(f"p{p}") for p in PERCENTILES))
-    return out.select("file_name", "pos", "total", "mean", *(F.when(F.col("total") > LEAST_SEEN, F.coalesce(F.col(f"p{p}"), F.lit(-1))).cast("double").alias(f"p{p}") for p in PERCENTILES))
+    reach = lambda p: F.min(F.when(F.col("upto") >= F.floor(F.col("total") * p / 100), F.col("code")))
+    out = rows.groupBy("file_name", "pos").agg(F.max("total").alias("total"), F.min("least").alias("least"), F.sum(F.col("n") * F.col("code")).alias("codes"), F.sum("n").alias("n"), *(reach(p).alias(f"p{p}") for p in PERCENTILES))
+    offset = R.phred_offset(F.min("least").over(Window.partitionBy("file_name")))
+    out = out.withColumn("offset", offset)
+    mean = (F.col("codes") - F.col("n") * F.col("offset")) / F.col("n")
+    share = lambda p: F.when(F.col("total") > LEAST_SEEN, F.coalesce(F.col(f"p{p}") - F.col("offset"), F.lit(-1))).cast("double")
+    return out.select("file_name", "pos", "total", mean.alias("mean"), *(share(p).alias(f"p{p}") for p in PERCENTILES))
 
 
 def base_quality(reads: DataFrame, config: QcConfig, cube: DataFrame | None = None) -> DataFrame:
     """(file_name, grp, label, mean, median, lower, upper, p10, p90): unweighted means over a group's positions; NaN where no
     position has enough observations, and 0 for the mean of a group without any."""
-    cube = position_cube(reads) if cube is None else cube
-    found = position_quality(cube)
-    groups = groups_for(found.groupBy("file_name").agg(F.max("pos").alias("length")), config)
+    found = in_groups(position_quality(position_cube(reads) if cube is None else cube), config)
     nan = F.lit(float("nan"))
-    rows = groups.join(found, ["file_name", "pos"], "left").groupBy("file_name", "grp", "label").agg(F.coalesce(F.avg("mean"), F.lit(0.0)).alias("mean"), *(F.coalesce(F.avg(f"p{p}"), nan).alias(name) for p, name in zip(PERCENTILES, ("median", "lower", "upper", "p10", "p90"), strict=True)))
-    return rows
+    return found.groupBy("file_name", "grp", "label").agg(F.coalesce(F.avg("mean"), F.lit(0.0)).alias("mean"), *(F.coalesce(F.avg(f"p{p}"), nan).alias(name) for p, name in zip(PERCENTILES, ("median", "lower", "upper", "p10", "p90"), strict=True)))
 
 
 def _by_group(cube: DataFrame, config: QcConfig, aggregates: list[Column]) -> DataFrame:
     counts = cube.groupBy("file_name", "pos", "base").agg(F.sum("n").alias("n"))
-    groups = groups_for(counts.groupBy("file_name").agg(F.max("pos").alias("length")), config)
-    return groups.join(counts, ["file_name", "pos"], "left").groupBy("file_name", "grp", "label").agg(*aggregates)
+    return in_groups(counts, config).groupBy("file_name", "grp", "label").agg(*aggregates)
 
 
 def _sum(bases: str) -> Column:
@@ -66,29 +68,68 @@ def n_content(reads: DataFrame, config: QcConfig, cube: DataFrame | None = None)
     return rows.select("file_name", "grp", "label", F.when(F.col("every") > 0, F.col("ns") * 100.0 / F.col("every")).otherwise(0.0).alias("n_percent"))
 
 
-def tile_reads(reads: DataFrame, config: QcConfig) -> DataFrame:
-    """(file_name, tile, quality) of the sampled reads: a worker's first TILE_ALL, then each TILE_EVERY-th.
-
-    The tile's field is told by each file's first read with qualities; a file whose ids have no tile in it, or more than
-    TILE_MOST tiles, gives nothing (a row a file comes to the driver)."""
-    rows = unfiltered(reads).where(F.length("quality") > 0)
-    first = rows.groupBy("file_name").agg(F.min_by(R.tile_field(F.col("id")), "read_idx").alias("field"))
-    rows = with_ordinal(rows, "ordinal", config.compat).where((F.col("ordinal") <= TILE_ALL) | (F.col("ordinal") % TILE_EVERY == 0))
+def _tile_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each task's sums by (file, tile, place).  A file of which a task meets a read without a tile, or too many tiles, has one row
+    with a null tile from it: that file gives nothing."""
+    found, tiles, lowest = Counts(), {}, {}
+    for batch in batches:
+        raw, off = column_bytes(batch.column("quality"))
+        for name, a, b in file_runs(batch.column("file_name")):
+            own, known = batch.column("tile")[a:b], tiles.setdefault(name, set())
+            if known is None:
+                continue
+            known.update(own.drop_null().unique().to_pylist())
+            if own.null_count or len(known) > TILE_MOST + 1:
+                tiles[name] = None
+                continue
+            ranked = np.sort(np.array([*known], np.int64))
+            row, at = places(np.diff(off[a : b + 1]))
+            code = raw[off[a] : off[b]].astype(np.int64)
+            wide = int(at.max(initial=0)) + 1
+            key = np.searchsorted(ranked, own.to_numpy())[row] * wide + at
+            counts = code >= LEAST_CODE
+            if len(ranked) * wide <= 4 * len(key) + (1 << 20):
+                seen = np.bincount(key, minlength=len(ranked) * wide)
+                full = np.flatnonzero(seen)
+                n, s = (np.bincount(key, w, len(seen)).astype(np.int64)[full] for w in (counts, code * counts))
+            else:
+                full, back = np.unique(key, return_inverse=True)
+                n, s = (np.bincount(back, w, len(full)).astype(np.int64) for w in (counts, code * counts))
+            tile, place = np.divmod(full, wide)
+            found.add(name, ranked[tile] << 31 | place, n, s)
+            lowest[name] = min(lowest.get(name, 255), int(code.min(initial=255)))
+    for name, known in tiles.items():
+        keys, n, s = (np.zeros(1, np.int64),) * 3 if known is None else found.merged(name)
+        tile = pa.array((keys >> 31).astype(np.int32), mask=np.full(len(keys), known is None))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([name] * len(keys), pa.string()), tile, pa.array((keys & ((1 << 31) - 1)).astype(np.int32) + 1), pa.array(n), pa.array(s), pa.array(np.full(len(keys), lowest.get(name, 255), np.int32))],
+            ["file_name", "tile", "pos", "n", "s", "least"],
+        )
+
+
+def tile_sums(reads: DataFrame, config: QcConfig) -> DataFrame:
+    """(file_name, tile, pos, n, s, least) of the sampled reads, a worker's first TILE_ALL, then each TILE_EVERY-th: partial counts
+    and sums of the codes, and the least code of the file that the task saw.
+
+    The tile's field is told by each file's first read with qualities (a row a file is broadcast)."""
+    none = F.col("is_filtered") | (F.coalesce(F.length("quality"), F.lit(0)) == 0)
+    first = reads.where(~none).groupBy("file_name").agg(F.min_by(R.tile_field(F.col("id")), "read_idx").alias("field"))
+    rows = with_ordinal(reads, "ordinal", config.compat, none, config.dense).where((F.col("ordinal") <= config.tile_all) | (F.col("ordinal") % TILE_EVERY == 0))
     rows = rows.join(F.broadcast(first), "file_name").select("file_name", R.tile(F.col("id"), F.col("field")).alias("tile"), "quality")
-    good = rows.groupBy("file_name").agg(F.count_if(F.col("tile").isNull()).alias("odd"), F.count_distinct("tile").alias("tiles")).where((F.col("odd") == 0) & (F.col("tiles") <= TILE_MOST))
-    return rows.join(F.broadcast(good.select("file_name")), "file_name", "left_semi")
+    return rows.mapInArrow(_tile_sums, "file_name string, tile int, pos int, n long, s long, least int")
 
 
 def tile_quality(reads: DataFrame, config: QcConfig) -> DataFrame:
     """(file_name, tile, grp, label, mean_deviation): each tile's mean quality less the mean over tiles; a tile without data
-    in a group counts as 0, so the grid of tiles and groups is dense."""
-    rows = tile_reads(reads, config).select("file_name", "tile", F.posexplode(R.codes(F.col("quality"))).alias("pos", "code"))
-    counts = rows.groupBy("file_name", "tile", (F.col("pos") + 1).alias("pos"), "code").agg(F.count("*").alias("n"))
-    lowest = counts.groupBy("file_name").agg(F.min("code").alias("lowest"))
-    score = F.col("code") - F.col("offset")
-    means = with_offset(counts, lowest).where("code >= offset").groupBy("file_name", "tile", "pos").agg((F.sum(F.col("n") * score) / F.sum("n")).alias("mean"))
-    groups = groups_for(counts.groupBy("file_name").agg(F.max("pos").alias("length")), config)
-    grid = counts.select("file_name", "tile").distinct().join(F.broadcast(groups.select("file_name", "grp", "label").distinct()), "file_name")
-    found = means.join(F.broadcast(groups), ["file_name", "pos"]).groupBy("file_name", "tile", "grp").agg(F.avg("mean").alias("mean"))
-    dense = grid.join(found, ["file_name", "tile", "grp"], "left").withColumn("mean", F.coalesce("mean", F.lit(0.0)))
+    in a group counts as 0, so the grid of tiles and groups is dense.  A file whose ids have no tile in it, or more tiles than may
+    be there (one more is still taken in when TILE_MOST are), gives nothing."""
+    counts = tile_sums(reads, config).groupBy("file_name", "tile", "pos").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.min("least").alias("least"))
+    of = Window.partitionBy("file_name")
+    counts = counts.withColumns({"offset": R.phred_offset(F.min("least").over(of)), "odd": F.max(F.col("tile").isNull()).over(of), "tiles": F.size(F.collect_set("tile").over(of))})
+    counts = counts.where((~F.col("odd")) & (F.col("tiles") <= TILE_MOST + 1))
+    means = counts.select("file_name", "tile", "pos", ((F.col("s") - F.col("n") * F.col("offset")) / F.nullif("n", F.lit(0))).alias("mean"))
+    found = in_groups(means, config).groupBy("file_name", "tile", "grp", "label").agg(F.avg("mean").alias("mean"))
+    found = found.withColumn("groups", F.collect_set(F.struct("grp", "label")).over(of))
+    each = found.groupBy("file_name", "tile").agg(F.map_from_entries(F.collect_list(F.struct("grp", "mean"))).alias("own"), F.first("groups").alias("groups"))
+    dense = each.select("file_name", "tile", "own", F.explode("groups").alias("g")).select("file_name", "tile", "g.grp", "g.label", F.coalesce(F.try_element_at("own", F.col("g.grp")), F.lit(0.0)).alias("mean"))
     return dense.select("file_name", "tile", "grp", "label", (F.col("mean") - F.avg("mean").over(Window.partitionBy("file_name", "grp"))).alias("mean_deviation"))

@@ -11,28 +11,27 @@ from pyspark.sql import functions as F
 from ..config import QcConfig
 from ..functions import reads as R
 from ..functions.kernels import DUPLICATION_LABELS, duplication_levels
-from .common import groups_for, unfiltered, with_ordinal, worker
+from .common import in_groups, unfiltered, with_ordinal, worker
 
-KMER_EVERY, KMER_PART, KMER_TOP = 50, 500, 20
+KMER_EVERY, KMER_PART, KMER_TOP, KMER_DRAWN = 50, 500, 20, 6
 PARTIAL = 20  # bases of a contaminant that may match with one mismatch
 
 
 def key_counts(reads: DataFrame, config: QcConfig) -> DataFrame:
-    """(file_name, key, n, first): copies of each key, of the first ``unique_cap`` distinct keys of a file, and the ordinal of
-    the read that brought it.  Which keys are first follows from their least ordinals: no order of processing matters."""
-    rows = with_ordinal(unfiltered(reads), "ordinal", False).select("file_name", R.duplicate_key(F.col("sequence"), config.dup_length).alias("key"), "ordinal")
+    """(file_name, key, n, first, rank, total): copies of each key, of the first ``unique_cap`` distinct keys of a file, the ordinal
+    of the read that brought it, and the file's reads.  Which keys are first follows from their least ordinals: no order of
+    processing matters."""
+    rows = with_ordinal(reads, "ordinal", False, dense=config.dense).select("file_name", R.duplicate_key(F.col("sequence"), config.dup_length).alias("key"), "ordinal")
     keys = rows.groupBy("file_name", "key").agg(F.count("*").alias("n"), F.min("ordinal").alias("first"))
     # the cap's rank is decided among batches of ordinals first, so that no task ranks all keys of a file
     keys = keys.withColumn("_part", F.floor(F.col("first") / 65_536))
-    sizes = keys.groupBy("file_name", "_part").agg(F.count("*").alias("_n"))
+    sizes = keys.groupBy("file_name", "_part").agg(F.count("*").alias("_n"), F.sum("n").alias("_m"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("file_name").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select("file_name", "_part", before.alias("_before"))
+    sizes = sizes.select("file_name", "_part", before.alias("_before"), F.sum("_m").over(Window.partitionBy("file_name")).alias("total"))
+    # parts that begin beyond the cap have no key in it
+    sizes = sizes.where(F.col("_before") < config.unique_cap)
     rank = F.col("_before") + F.row_number().over(Window.partitionBy("file_name", "_part").orderBy("first"))
-    return keys.join(sizes, ["file_name", "_part"]).withColumn("rank", rank).where(F.col("rank") <= config.unique_cap).select("file_name", "key", "n", "first", "rank")
-
-
-def read_totals(reads: DataFrame) -> DataFrame:
-    return unfiltered(reads).groupBy("file_name").agg(F.count("*").alias("total"))
+    return keys.join(sizes, ["file_name", "_part"]).withColumn("rank", rank).where(F.col("rank") <= config.unique_cap).select("file_name", "key", "n", "first", "rank", "total")
 
 
 def duplication_histogram(keys: DataFrame) -> DataFrame:
@@ -43,11 +42,12 @@ def duplication_histogram(keys: DataFrame) -> DataFrame:
 def duplication(reads: DataFrame, config: QcConfig, keys: DataFrame | None = None) -> DataFrame:
     """(file_name, slot, label, percent, deduplicated): a row for each level and file goes through the correction."""
     keys = key_counts(reads, config) if keys is None else keys
-    limit = keys.groupBy("file_name").agg(F.max(F.when(F.col("rank") == config.unique_cap, F.col("first"))).alias("limit"))
-    rows = duplication_histogram(keys).join(F.broadcast(read_totals(reads)), "file_name").join(F.broadcast(limit), "file_name").withColumn("limit", F.coalesce("limit", "total"))
+    at_cap = F.max(F.when(F.col("rank") == config.unique_cap, F.col("first"))).alias("limit")
+    rows = keys.groupBy("file_name", F.col("n").alias("level")).agg(F.count("*").alias("keys"), at_cap, F.max("total").alias("total"))
 
     def levels(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept, slots = duplication_levels(list(zip(pdf["level"].tolist(), pdf["keys"].tolist(), strict=True)), int(pdf["limit"].iloc[0]), int(pdf["total"].iloc[0]))
+        total, limit = int(pdf["total"].iloc[0]), pdf["limit"].max()
+        kept, slots = duplication_levels(list(zip(pdf["level"].tolist(), pdf["keys"].tolist(), strict=True)), total if pd.isna(limit) else int(limit), total)
         return pd.DataFrame({"file_name": pdf["file_name"].iloc[0], "slot": range(16), "label": DUPLICATION_LABELS, "percent": slots, "deduplicated": kept})
 
     return rows.groupBy("file_name").applyInPandas(levels, "file_name string, slot int, label string, percent double, deduplicated double")
@@ -84,7 +84,7 @@ def overrepresented(reads: DataFrame, config: QcConfig, keys: DataFrame | None =
     """(file_name, sequence, n, percent, source): keys above the warning limit of all reads, the most frequent first."""
     keys = key_counts(reads, config) if keys is None else keys
     percent = F.col("n") * 100.0 / F.col("total")
-    rows = keys.join(F.broadcast(read_totals(reads)), "file_name").where(percent > config.limit("overrepresented", "warn"))
+    rows = keys.where(percent > config.limit("overrepresented", "warn"))
     out = rows.select("file_name", F.col("key").alias("sequence"), "n", percent.alias("percent"))
     return out.withColumn("source", possible_source(F.col("sequence"), config.contaminants)).orderBy("file_name", F.desc("n"), "sequence")
 
@@ -106,28 +106,38 @@ def adapter_content(reads: DataFrame, config: QcConfig) -> DataFrame:
     longest = max((len(s) for _, s in config.adapters), default=0)
     own = unfiltered(reads)
     sizes = own.groupBy("file_name", worker(config.compat).alias("worker")).agg(F.max(F.length("sequence")).alias("most"), F.count("*").alias("n"))
+    of = Window.partitionBy("file_name")  # a row a worker
     sizes = sizes.withColumn("last", F.when(F.col("most") > longest, F.col("most") - longest).otherwise(0))
-    totals = sizes.groupBy("file_name").agg(F.sum("n").alias("total"), F.max("last").alias("last"))
-    groups = groups_for(totals.select("file_name", (F.col("last") + 1).alias("length")), config)
+    sizes = sizes.withColumns({"total": F.sum("n").over(of), "top": F.max("last").over(of) + 1})
     hits = adapter_hits(reads, config)
-    places = sizes.select("file_name", "worker", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("at"))
+    places = sizes.select("file_name", "worker", "total", "top", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("at"))
     each = places.withColumn("adapter", F.explode(F.sequence(F.lit(0), F.lit(len(config.adapters) - 1))))
     filled = each.join(hits, ["file_name", "worker", "adapter", "at"], "left")
     upto = filled.withColumn("upto", F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy("file_name", "worker", "adapter").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
-    summed = upto.groupBy("file_name", "adapter", (F.col("at") + 1).alias("pos")).agg(F.sum("upto").alias("upto"))
-    names = reads.sparkSession.createDataFrame([(i, n) for i, (n, _) in enumerate(config.adapters)], "adapter int, name string")
-    rows = groups.withColumn("adapter", F.explode(F.sequence(F.lit(0), F.lit(len(config.adapters) - 1)))).join(F.broadcast(names), "adapter")
-    rows = rows.join(summed, ["file_name", "adapter", "pos"], "left").join(F.broadcast(totals.select("file_name", "total")), "file_name")
-    return rows.groupBy("file_name", "adapter", "name", "grp", "label", "lo", "hi").agg((F.sum(F.coalesce("upto", F.lit(0)) * 100.0 / F.col("total"))).alias("s")).select("file_name", "adapter", "name", "grp", "label", (F.col("s") / (F.col("hi") - F.col("lo") + 1)).alias("percent"))
+    summed = upto.groupBy("file_name", "adapter", "total", "top", (F.col("at") + 1).alias("pos")).agg(F.sum("upto").alias("upto"))
+    names = F.array(*(F.lit(n) for n, _ in config.adapters))
+    rows = _with_blank(in_groups(summed, config, F.col("top")), len(config.adapters))
+    rows = rows.groupBy("file_name", "adapter", "grp", "label", "lo", "hi").agg((F.sum(F.coalesce("upto", F.lit(0)) * 100.0 / F.col("total"))).alias("s"))
+    return rows.select("file_name", "adapter", F.get(names, "adapter").alias("name"), "grp", "label", (F.coalesce("s", F.lit(0.0)) / (F.col("hi") - F.col("lo") + 1)).alias("percent"))
+
+
+def _with_blank(rows: DataFrame, adapters: int) -> DataFrame:
+    """Positions that no read has, behind the last one, stand for every adapter."""
+    each = F.when(F.col("adapter").isNull(), F.sequence(F.lit(0), F.lit(adapters - 1))).otherwise(F.array("adapter"))
+    return rows.withColumn("adapter", F.explode(each))
 
 
 def kmer_counts(reads: DataFrame, config: QcConfig) -> DataFrame:
     """(file_name, kmer, pos, n): k-mers without N of each KMER_EVERY-th read's first KMER_PART bases."""
+    return _kmers(reads, config).where(~F.contains("kmer", F.lit("N"))).groupBy("file_name", "kmer", "pos").agg(F.count("*").alias("n"))
+
+
+def _kmers(reads: DataFrame, config: QcConfig) -> DataFrame:
     k = config.kmer_size
-    rows = with_ordinal(unfiltered(reads), "ordinal", config.compat).where(F.col("ordinal") % KMER_EVERY == 0)
+    rows = with_ordinal(reads, "ordinal", config.compat, dense=config.dense).where(F.col("ordinal") % KMER_EVERY == 0)
     rows = rows.select("file_name", F.substring("sequence", 1, KMER_PART).alias("s")).where(F.length("s") >= k)
     rows = rows.select("file_name", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("s") - k + 1), lambda i: F.substring("s", i, F.lit(k)))).alias("pos", "kmer"))
-    return rows.where(~F.contains("kmer", F.lit("N"))).groupBy("file_name", "kmer", (F.col("pos") + 1).alias("pos")).agg(F.count("*").alias("n"))
+    return rows.withColumn("pos", F.col("pos") + 1)
 
 
 def kmer_p_value(n: Column, p: Column, k: Column, size: int) -> Column:
@@ -146,16 +156,14 @@ def kmer_p_value(n: Column, p: Column, k: Column, size: int) -> Column:
 
 def kmer_enrichment(reads: DataFrame, config: QcConfig) -> DataFrame:
     """(file_name, kmer, count, grp, label, hits, ratio, p): observed to expected in each group of positions."""
-    counts = kmer_counts(reads, config)
-    sampled = with_ordinal(unfiltered(reads), "ordinal", config.compat).where(F.col("ordinal") % KMER_EVERY == 0)
-    lengths = sampled.groupBy("file_name").agg(F.greatest(F.max(F.least(F.length("sequence"), F.lit(KMER_PART))) - config.kmer_size + 1, F.lit(0)).alias("length"))
-    groups = groups_for(lengths, config)
-    placed = counts.join(F.broadcast(groups), ["file_name", "pos"])
-    by_group = placed.groupBy("file_name", "grp", "label").agg(F.sum("n").alias("group_count"))
-    every = by_group.groupBy("file_name").agg(F.sum("group_count").alias("every"))
-    hits = placed.groupBy("file_name", "kmer", "grp").agg(F.sum("n").alias("hits"))
-    of = counts.groupBy("file_name", "kmer").agg(F.sum("n").alias("count"))
-    rows = hits.join(of, ["file_name", "kmer"]).join(F.broadcast(by_group), ["file_name", "grp"]).join(F.broadcast(every), "file_name")
+    # k-mers with N tell how many positions there are, and count in nothing else
+    every_kmer = _kmers(reads, config).groupBy("file_name", F.when(~F.contains("kmer", F.lit("N")), F.col("kmer")).alias("kmer"), "pos").agg(F.count("*").alias("n"))
+    placed = in_groups(every_kmer, config).where("kmer IS NOT NULL").select("file_name", "kmer", "grp", "label", "n")
+    placed = placed.groupBy("file_name", "kmer", "grp", "label").agg(F.sum("n").alias("hits"))
+    rows = placed.withColumn("count", F.sum("hits").over(Window.partitionBy("file_name", "kmer")))
+    totals = placed.groupBy("file_name", "grp").agg(F.sum("hits").alias("group_count"))  # some dozen groups a file
+    totals = totals.withColumn("every", F.sum("group_count").over(Window.partitionBy("file_name")))
+    rows = rows.join(F.broadcast(totals), ["file_name", "grp"])
     share = (F.col("count").cast("float") / F.col("every").cast("float")).cast("float")
     rows = rows.withColumn("share", share).withColumn("predicted", (F.col("share") * F.col("group_count").cast("float")).cast("float"))
     rows = rows.withColumn("ratio", F.when(F.col("predicted") > 0, (F.col("hits").cast("float") / F.col("predicted")).cast("float")).otherwise(F.lit(0).cast("float")))
@@ -164,12 +172,18 @@ def kmer_enrichment(reads: DataFrame, config: QcConfig) -> DataFrame:
     return rows.select("file_name", "kmer", "count", "grp", "label", "hits", "ratio", F.when(tested, p).alias("p"))
 
 
-def kmer_content(reads: DataFrame, config: QcConfig) -> DataFrame:
+def kmer_content(reads: DataFrame, config: QcConfig, enriched: DataFrame | None = None) -> DataFrame:
     """(file_name, rank, kmer, count, p_value, ratio, label): the KMER_TOP most uneven k-mers that are significant somewhere."""
-    rows = kmer_enrichment(reads, config)
+    rows = kmer_enrichment(reads, config) if enriched is None else enriched
     best = rows.groupBy("file_name", "kmer", "count").agg(F.min(F.when(F.col("p") < 0.01, F.col("p"))).alias("p_value"), F.max("ratio").alias("ratio"), F.max_by("label", F.struct("ratio", "grp")).alias("label")).where("p_value IS NOT NULL")
     best = best.withColumn("rank", F.row_number().over(Window.partitionBy("file_name").orderBy(F.desc("ratio"), "kmer"))).where(F.col("rank") <= KMER_TOP)
     return best.select("file_name", "rank", "kmer", (F.col("count") * KMER_EVERY).alias("count"), "p_value", "ratio", "label").orderBy("file_name", "rank")
 
 
-__all__ = ["adapter_content", "adapter_hits", "contaminant_hit", "duplication", "duplication_histogram", "key_counts", "kmer_content", "kmer_counts", "kmer_enrichment", "overrepresented", "possible_source", "read_totals"]
+def kmer_series(enriched: DataFrame, content: DataFrame) -> DataFrame:
+    """(file_name, rank, kmer, grp, ratio): the course of the first KMER_DRAWN k-mers over the groups that they occur in."""
+    drawn = content.where(F.col("rank") <= KMER_DRAWN).select("file_name", "rank", "kmer")  # some rows a file
+    return enriched.select("file_name", "kmer", "grp", "ratio").join(F.broadcast(drawn), ["file_name", "kmer"]).orderBy("file_name", "rank", "grp")
+
+
+__all__ = ["adapter_content", "adapter_hits", "contaminant_hit", "duplication", "duplication_histogram", "key_counts", "kmer_content", "kmer_counts", "kmer_enrichment", "kmer_series", "overrepresented", "possible_source"]
