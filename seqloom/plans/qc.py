@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from copy import copy
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -67,12 +68,13 @@ def _verdict(fails: bool, warns: bool) -> str:
 
 def collect(reads: DataFrame, config: QcConfig) -> dict[str, dict[str, list]]:
     """Every module's rows by file: a few thousand for each file.  Modules that a report leaves out aren't computed."""
-    reads = reads.persist(StorageLevel.MEMORY_AND_DISK)
+    if config.keep_reads:
+        reads = reads.persist(StorageLevel.MEMORY_AND_DISK)
     cube = position_cube(reads).persist(StorageLevel.MEMORY_AND_DISK)
     keys = sequences.key_counts(reads, config).persist(StorageLevel.MEMORY_AND_DISK)
     quality = basic.sequence_quality(reads)
     frames = {
-        "basic": basic.basic_statistics(reads, cube, config.compat),
+        "basic": basic.basic_statistics(reads, config.compat),
         "lowest": cube.where("code > 0").groupBy("file_name").agg(F.min("code").alias("lowest")),
         "quality_base": positions.base_quality(reads, config, cube).orderBy("grp"),
         "tile": positions.tile_quality(reads, config).orderBy("tile", "grp"),
@@ -85,15 +87,18 @@ def collect(reads: DataFrame, config: QcConfig) -> dict[str, dict[str, list]]:
         "unique": keys.groupBy("file_name").agg(F.count("*").alias("unique"), F.max(F.when(F.col("rank") == config.unique_cap, F.col("first"))).alias("limit")),
         "overrepresented": sequences.overrepresented(reads, config, keys),
         "adapter": sequences.adapter_content(reads, config).orderBy("adapter", "grp"),
-        "kmer": sequences.kmer_content(reads, config),
     }
+    enriched = []
+    if config.limit("kmer", "ignore") <= 0:
+        enriched = [rows := sequences.kmer_enrichment(reads, config).persist(StorageLevel.MEMORY_AND_DISK)]
+        frames["kmer"] = sequences.kmer_content(reads, config, rows)
+        frames["kmer_series"] = sequences.kmer_series(rows, frames["kmer"])
+        frames["kmer_groups"] = rows.select("file_name", "grp", "label").distinct().orderBy("grp")
     out: dict[str, dict[str, list]] = defaultdict(lambda: defaultdict(list))
     for name, df in frames.items():
-        if name == "kmer" and config.limit("kmer", "ignore") > 0:
-            continue
         for r in df.collect():
             out[r["file_name"]][name].append(r)
-    for df in (keys, cube, reads):
+    for df in (keys, cube, *enriched, *([reads] if config.keep_reads else [])):
         df.unpersist()
     return out
 
@@ -185,16 +190,20 @@ def report_for(file_name: str, found: dict[str, list], config: QcConfig, source_
     add("adapter", _verdict(top_share > lim("adapter", "error"), longest > longest_read or top_share > lim("adapter", "warn")), {"total_sequences_considered": b.total_sequences, "max_read_length": longest_read, "max_adapter_length": longest, "read_length_too_short": longest > longest_read, "position_groups": groups, "series": [{"adapter_name": nm, "adapter_sequence": sq, "values": [r.percent for r in rs]} for (nm, sq), rs in zip(config.adapters, series, strict=True)]}, "\t".join(["#Position", *(nm for nm, _ in config.adapters)]), [(lb, *(rs[i].percent if i < len(rs) else 0.0 for rs in series)) for i, lb in enumerate(groups)], both("adapter"))
 
     k = found["kmer"]
+    course = {(r.kmer, r.grp): r.ratio for r in found["kmer_series"]}
+    drawn = list(dict.fromkeys(r.kmer for r in found["kmer_series"]))
+    series = [{"sequence": x, "obs_exp": [clean(course.get((x, r.grp), 0.0)) for r in found["kmer_groups"]]} for x in drawn]
     strength = -math.log10(k[0].p_value) if k and k[0].p_value > 0 else 0.0
-    add("kmer", _verdict(strength > lim("kmer", "error"), strength > lim("kmer", "warn")), {"kmer_size": config.kmer_size, "sampled_every_n_reads": sequences.KMER_EVERY, "estimated_count_multiplier": sequences.KMER_EVERY, "records": [{"sequence": r.kmer, "estimated_count": r["count"], "p_value": clean(r.p_value), "obs_exp_max": clean(r.ratio), "max_obs_exp_position": r.label} for r in k]}, "#Sequence\tCount\tPValue\tObs/Exp Max\tMax Obs/Exp Position" if k else "", [(r.kmer, r["count"], r.p_value, r.ratio, r.label) for r in k], both("kmer"))
+    add("kmer", _verdict(strength > lim("kmer", "error"), strength > lim("kmer", "warn")), {"kmer_size": config.kmer_size, "sampled_every_n_reads": sequences.KMER_EVERY, "estimated_count_multiplier": sequences.KMER_EVERY, "position_groups": [r.label for r in found["kmer_groups"]], "plot_series": series, "records": [{"sequence": r.kmer, "estimated_count": r["count"], "p_value": clean(r.p_value), "obs_exp_max": clean(r.ratio), "max_obs_exp_position": r.label} for r in k]}, "#Sequence\tCount\tPValue\tObs/Exp Max\tMax Obs/Exp Position" if k else "", [(r.kmer, r["count"], r.p_value, r.ratio, r.label) for r in k], both("kmer"))
     return FileReport(file_name, source_path or file_name, kind, out)
 
 
 def analyse(reads: DataFrame, config: QcConfig | None = None, kind: str = "fastq") -> list[FileReport]:
     """Reports of all files of ``reads``.  Sampling in batches holds for FASTQ only."""
     config = config or QcConfig()
-    if kind != "fastq" and config.compat:
-        from dataclasses import replace
-
-        config = replace(config, compat=False)
-    return [report_for(name, found, config, kind=kind) for name, found in sorted(collect(reads, config).items()) if found["basic"]]
+    if kind != "fastq":
+        config = copy(config)
+        for name in ("compat", "dense"):
+            object.__setattr__(config, name, False)
+    # files are told apart by their paths, and shown by their names
+    return [report_for(path.rsplit("/", 1)[-1], found, config, source_path=path, kind=kind) for path, found in sorted(collect(reads, config).items()) if found["basic"]]

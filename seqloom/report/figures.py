@@ -80,6 +80,9 @@ def figure(m: Module) -> str | None:
         return None
     labels = [str(r[0]) for r in m.rows]
     match m.id:
+        case "kmer_content":
+            series = [(x["sequence"], x["obs_exp"]) for x in m.data["plot_series"]]
+            return lines("Observed to expected k-mers by position", m.data["position_groups"], series, 0, max((v for _, x in series for v in x), default=1.0))
         case "per_base_sequence_quality":
             return boxes("Quality scores across all bases", m.rows)
         case "per_tile_sequence_quality":

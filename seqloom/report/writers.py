@@ -87,14 +87,15 @@ def html_report(report: FileReport) -> str:
         parts.append(f"<h2 id='M{i}' class='{m.status}'>{e(m.name)}</h2>")
         if svg := figures.figure(m):
             parts.append(f"<img alt='{e(m.name)}' src='data:image/svg+xml;base64,{base64.b64encode(svg.encode()).decode()}'>")
-        if m.id in ("basic_statistics", "overrepresented_sequences", "kmer_content"):
-            if not m.rows:
-                parts.append(f"<p>No {e(m.name.lower())}</p>")
-                continue
-            head = m.header.lstrip("#").split("\t")
-            parts.append("<table><thead><tr>" + "".join(f"<th>{e(h)}</th>" for h in head) + "</tr></thead><tbody>")
-            parts += ["<tr>" + "".join(f"<td>{e(plain_number(v) if isinstance(v, float) else str(v))}</td>" for v in row) + "</tr>" for row in m.rows]
-            parts.append("</tbody></table>")
+        if not m.rows:
+            parts.append(f"<p>No {e(m.name.lower())}</p>")
+            continue
+        # what a figure shows is there as a table, too, folded up
+        folded = m.id not in ("basic_statistics", "overrepresented_sequences", "kmer_content")
+        head = m.header.split("\n")[-1].lstrip("#").split("\t")
+        parts.append(("<details><summary>Values</summary>" if folded else "") + "<table><thead><tr>" + "".join(f"<th>{e(h)}</th>" for h in head) + "</tr></thead><tbody>")
+        parts += ["<tr>" + "".join(f"<td>{e(plain_number(v) if isinstance(v, float) else str(v))}</td>" for v in row) + "</tr>" for row in m.rows]
+        parts.append("</tbody></table>" + ("</details>" if folded else ""))
     parts.append("</body></html>")
     return "".join(parts)
 

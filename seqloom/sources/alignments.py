@@ -5,7 +5,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import reads as R
 from ..schema import READS
-from .fastq import name_of, read_fastq
+from .fastq import read_fastq
 from .lines import index, numbered
 
 UNMAPPED, REVERSE = 0x4, 0x10
@@ -35,7 +35,7 @@ def to_reads(aligned: DataFrame, only_mapped: bool) -> DataFrame:
         rows = rows.withColumn("quality", R.clip_soft(F.col("quality"), cigar)).withColumn("sequence", R.clip_soft(F.col("sequence"), cigar))
     back = F.col("flag").bitwiseAND(REVERSE) != 0
     out = rows.select(
-        name_of(F.col("path")).alias("file_name"),
+        F.col("path").alias("file_name"),
         "read_idx",
         "id",
         F.when(back, R.reverse_complement("sequence")).otherwise(F.col("sequence")).alias("sequence"),
@@ -158,5 +158,7 @@ def read_any(spark: SparkSession, paths: str | list[str], config=None) -> tuple[
     kind = kinds.pop()
     if kind == "fastq":
         return read_fastq(spark, paths, config), kind
-    reader = partial(read_sam if paths[0].lower().endswith(".sam") else read_bam, only_mapped=kind.endswith("_mapped"))
-    return reader(spark, paths), kind
+    text = [p for p in paths if p.lower().endswith(".sam")]
+    binary = [p for p in paths if p not in text]
+    found = [reader(spark, own, kind.endswith("_mapped")) for reader, own in ((read_sam, text), (read_bam, binary)) if own]
+    return reduce(DataFrame.unionByName, found), kind

@@ -122,20 +122,30 @@ def records(spark: SparkSession, paths: str | list[str], lenient: bool = False)
     return out
 
 
-def name_of(path: F.Column) -> F.Column:
-    return F.element_at(F.split(path, "/"), -1)
+def records_of_lines(lines: DataFrame) -> DataFrame:
+    """(path, read_idx, id, sequence, plus, quality) from any DataFrame of lines: (path, line_idx, value), counted from 0 without
+    blank lines.  Four lines in a row are a record; what isn't one raises an error."""
+    at = F.col("line_idx") % 4
+    line = lambda k: F.max(F.when(at == k, F.regexp_replace("value", "\\r$", "")))
+    rows = lines.groupBy("path", F.floor(F.col("line_idx") / 4).alias("read_idx")).agg(*(line(k).alias(name) for k, name in enumerate(("id", "sequence", "plus", "quality"))))
+    good = F.startswith("id", F.lit("@")) & F.startswith("plus", F.lit("+")) & (F.length("sequence") == F.length("quality"))
+    checked = F.when(F.coalesce(good, F.lit(False)), F.col("id")).otherwise(F.raise_error(F.concat(F.lit("no FASTQ record at line "), F.col("read_idx") * 4 + 1)))
+    return rows.withColumn("id", checked)
 
 
 def read_fastq(spark: SparkSession, paths: str | list[str], config: QcConfig | None = None) -> DataFrame:
-    """Reads in READS' schema.  A file is in colour space if its first read is; its bases are then decoded."""
-    config = config or QcConfig()
-    rows = records(spark, paths)
+    """Reads in READS' schema; file_name is the path, so that files of equal names stay apart.  A file is in colour space if its first read is; its bases are then decoded."""
+    return as_reads(records(spark, paths), config or QcConfig())
+
+
+def as_reads(rows: DataFrame, config: QcConfig) -> DataFrame:
+    """Records in READS' schema."""
     first = rows.where("read_idx = 0").select("path", R.is_colorspace(F.col("sequence")).alias("_colours"))
     rows = rows.join(F.broadcast(first), "path", "left")  # a row for each file
     coloured = F.coalesce(F.col("_colours"), F.lit(False))
     filtered = R.is_casava_filtered(F.col("id")) if config.casava and not config.nofilter else F.lit(False)
     out = rows.select(
-        name_of(F.col("path")).alias("file_name"),
+        F.col("path").alias("file_name"),
         "read_idx",
         F.substring("id", F.lit(2), F.length("id")).alias("id"),
         F.when(coloured, R.colorspace_to_bases(F.col("sequence"))).otherwise(R.upper_ascii(F.col("sequence"))).alias("sequence"),
