@@ -209,9 +209,9 @@ def trim_single(reads: DataFrame, config: TrimConfig, adapter: str | None = None
 
 def pair_up(first: DataFrame, second: DataFrame) -> DataFrame:
     """Reads of two files by their places; files of different lengths are an error."""
-    cols = ("id", "sequence", "quality")
-    a = first.select("read_idx", F.lit(True).alias("_a"), *(F.col(c).alias(f"r1_{c}") for c in cols))
-    b = second.select("read_idx", F.lit(True).alias("_b"), *(F.col(c).alias(f"r2_{c}") for c in cols))
+    cols = ("id", "sequence", "quality", "quality_trimmed", "adapter_trimmed")
+    a = first.select("read_idx", F.lit(True).alias("_a"), *(F.col(c).alias(f"r1_{c}") for c in cols if c in first.columns))
+    b = second.select("read_idx", F.lit(True).alias("_b"), *(F.col(c).alias(f"r2_{c}") for c in cols if c in second.columns))
     rows = a.join(b, "read_idx", "full_outer")
     whole = F.when(F.col("_a").isNull() | F.col("_b").isNull(), F.raise_error(F.lit("the two files have different numbers of reads"))).otherwise(F.col("r1_id"))
     return rows.withColumn("r1_id", whole).drop("_a", "_b")
@@ -233,9 +233,9 @@ def classify_pairs(pairs: DataFrame, config: TrimConfig, least: int) -> DataFram
     return rows.withColumn("unpaired_1", alone & (n1 >= config.length_1)).withColumn("unpaired_2", alone & (n2 >= config.length_2))
 
 
-def trim_pairs(first: DataFrame, second: DataFrame, config: TrimConfig) -> DataFrame:
+def trim_pairs(first: DataFrame, second: DataFrame, config: TrimConfig, adapters: tuple[str, str] | None = None) -> DataFrame:
     """Paired-end trimming: both files on their own, then pairs with their class."""
-    one, two = adapters_for(first, config)
+    one, two = adapters or adapters_for(first, config)
     return classify_pairs(pair_up(trim_ends(first, one, config), trim_ends(second, two, config)), config, least_length(one, config))
 
 
@@ -258,5 +258,11 @@ def pair_counts(classified: DataFrame) -> dict[str, int]:
     return out | {"removed_for_length": out["too_many_n"] + out["too_short"], "unpaired_1": alone["a"], "unpaired_2": alone["b"]}
 
 
+def trimmed_counts(classified: DataFrame, prefix: str = "") -> tuple[int, int]:
+    """Bases taken off for quality, and reads with an adapter."""
+    found = classified.agg(F.coalesce(F.sum(f"{prefix}quality_trimmed"), F.lit(0)), F.count_if(F.col(f"{prefix}adapter_trimmed") > 0)).first()
+    return found[0], found[1]
+
+
 def percent(part: int, total: int, digits: int = 1) -> str:
     return f"{part / total * 100:.{digits}f}%" if total else "N/A"

@@ -8,6 +8,10 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import QcConfig
+from ..operators.common import with_ordinal
+from ..plans.qc import analyse
+from ..report.writers import write_all
 from ..sources.fastq import records, write_fastq
 from . import operators as O
 
@@ -30,7 +34,7 @@ def output_names(files: tuple[str, ...], config: O.TrimConfig, gzip: bool) -> di
         return {"hard": f"{stem(files[0])}.{n}bp_{side}{end}"}
     if not config.paired:
         return {"kept": f"{config.basename or stem(files[0])}_trimmed{end}"}
-    return {f"{role}_{i + 1}": f"{stem(f)}_{word}_{i + 1}{end}" for i, f in enumerate(files) for role, word in (("kept", "val"), ("unpaired", "unpaired"))}
+    return {f"{role}_{i + 1}": f"{config.basename or stem(f)}_{word}_{i + 1}{end}" for i, f in enumerate(files) for role, word in (("kept", "val"), ("unpaired", "unpaired"))}
 
 
 def _reads(spark: SparkSession, path: str) -> DataFrame:
@@ -65,35 +69,48 @@ def report_text(name: str, config: O.TrimConfig, adapter: str, counts: dict[str,
     return "\n".join(lines) + "\n"
 
 
-def run(spark: SparkSession, files: list[str], out: str, config: O.TrimConfig, gzip: bool | None = None) -> list[str]:
-    """Trim a file or a pair into ``out``; outputs are folders of part files in the reads' order.  Returns their paths."""
+def qc_reads(kept: DataFrame, name: str) -> DataFrame:
+    """Trimmed reads as those of a file: each has its place among them."""
+    own = kept.select(F.lit(name).alias("file_name"), "read_idx", F.regexp_replace("id", "^@", "").alias("id"), "sequence", "quality", F.lit(None).cast("string").alias("colorspace"), F.lit(False).alias("is_filtered"))
+    return with_ordinal(own, "place", False, dense=False).withColumn("read_idx", F.col("place") - 1).drop("place")
+
+
+def run(spark: SparkSession, files: list[str], out: str, config: O.TrimConfig, gzip: bool | None = None, adapters: tuple[str, str] | None = None, report: bool = True, qc: QcConfig | None = None) -> list[str]:
+    """Trim a file or a pair into ``out``; outputs are folders of part files in the reads' order.  Returns their paths.
+
+    ``adapters``: those of first and second reads, where they are known (of several files the first one tells them for all).
+    A report is written for each file, unless ``report`` is false; with ``qc`` the outputs' quality reports, too."""
     gzip = files[0].endswith(".gz") if gzip is None else gzip
     names = {k: f"{out}/{v}" for k, v in output_names(tuple(files), config, gzip).items()}
     if "hard" in names:
         write_fastq(O.hard_trim(_reads(spark, files[0]), config.hardtrim5 or config.hardtrim3, 5 if config.hardtrim5 else 3), names["hard"], gzip)
         return [names["hard"]]
-    made: list[str] = []
-    if not config.paired:
-        reads = _reads(spark, files[0])
-        adapter = O.adapters_for(reads, config)[0]
-        rows = O.trim_single(reads, config, adapter).persist(StorageLevel.MEMORY_AND_DISK)
-        counts = O.single_counts(rows)
-        write_fastq(rows.where("class = 'kept'"), names["kept"], gzip)
-        made.append(names["kept"])
-    else:
-        first, second = (_reads(spark, f) for f in files[:2])
-        adapter = O.adapters_for(first, config)[0]
-        rows = O.trim_pairs(first, second, config).persist(StorageLevel.MEMORY_AND_DISK)
-        counts = O.pair_counts(rows)
+    first = _reads(spark, files[0])
+    adapters = adapters or O.adapters_for(first, config)
+    if config.paired:
+        rows = O.trim_pairs(first, _reads(spark, files[1]), config, adapters).persist(StorageLevel.MEMORY_AND_DISK)
+        counts, trimmed = O.pair_counts(rows), [O.trimmed_counts(rows, f"r{i}_") for i in (1, 2)]
+        side = lambda i: ["read_idx", *(F.col(f"r{i}_{c}").alias(c) for c in ("id", "sequence", "quality"))]
+        made = {}
         for i in (1, 2):
-            own = [F.col(f"r{i}_{c}").alias(c) for c in ("id", "sequence", "quality")]
-            write_fastq(rows.where("class = 'kept'").select("read_idx", *own), names[f"kept_{i}"], gzip)
-            made.append(names[f"kept_{i}"])
+            made[names[f"kept_{i}"]] = rows.where("class = 'kept'").select(*side(i))
             if config.retain_unpaired:
-                write_fastq(rows.where(f"unpaired_{i}").select("read_idx", *own), names[f"unpaired_{i}"], gzip)
-                made.append(names[f"unpaired_{i}"])
-    trimmed = rows.agg(F.coalesce(F.sum("quality_trimmed"), F.lit(0)), F.count_if(F.col("adapter_trimmed") > 0)).first() if "quality_trimmed" in rows.columns else (0, 0)
-    text = report_text(", ".join(Path(f).name for f in files), config, adapter, counts, trimmed[0], trimmed[1], O.least_length(adapter, config))
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(report := f"{out}/{Path(files[0]).name}_trimming_report")
+                made[names[f"unpaired_{i}"]] = rows.where(f"unpaired_{i}").select(*side(i))
+    else:
+        rows = O.trim_single(first, config, adapters[0]).persist(StorageLevel.MEMORY_AND_DISK)
+        counts, trimmed = O.single_counts(rows), [O.trimmed_counts(rows)]
+        made = {names["kept"]: rows.where("class = 'kept'")}
+    paths = []
+    for path, kept in made.items():
+        write_fastq(kept, path, gzip)
+        paths.append(path)
+    for file, adapter, (bases, reads) in zip(files, adapters, trimmed, strict=False) if report else ():
+        text = report_text(Path(file).name, config, adapter, counts, bases, reads, O.least_length(adapters[0], config))
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(at := f"{out}/{Path(file).name}_trimming_report")
+        paths.append(at)
+    if qc is not None:
+        for path, kept in made.items():
+            for found in analyse(qc_reads(kept, path), qc):
+                paths += write_all(found, out.removeprefix("file://"))
     rows.unpersist()
-    return [*made, report]
+    return paths
