@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .config import QcConfig
 from .functions import reads as R
+from .functions.kernels import widths
 from .operators import basic, positions, sequences
 from .operators.common import position_cube, with_ordinal
 from .plans.qc import analyse
@@ -31,6 +32,8 @@ select event_id as read_idx,
             '0123456789abcdef', 'IIIIHHGGFFEDB=5#'), 1, cast(36 + event_id % 4000 % 15 as int)) as quality
 from events) derived
 """
+#: The same, but most sequences are their reads' own: the number of different ones grows with the table.
+VARIED_SQL = READS_SQL.replace("event_id % 4000", "(case when event_id % 5 = 0 then event_id % 400 else event_id end)")
 #: The same with an adapter in each tenth read.
 SPLICED_SQL = f"""
 select file_name, read_idx, id,
@@ -41,10 +44,8 @@ LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 BASES = ("ACGT" * 6 + "AN") * 2
 LONG_SQL = f"""
 select 'documents.fastq' as file_name, doc_id as read_idx, cast(doc_id as varchar(20)) as id,
-  regexp_replace(translate(substring(text, 1, 2000), '{LETTERS}', '{BASES}'), '[^ACGTN]', 'N'%s) as sequence from documents where length(text) > 0
+  regexp_replace(translate(text, '{LETTERS}', '{BASES}'), '[^ACGTN]', 'N'%s) as sequence from documents where length(text) > 0
 """
-#: The queries take whole texts; the 2,000 characters are the SQL's.
-WHOLE_SQL = LONG_SQL.replace("substring(text, 1, 2000)", "text")
 SIX = "floor(({}) * 1e6 + 0.5) / 1e6"
 
 
@@ -56,24 +57,30 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, READS_SQL, "events")
 
 
+def varied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir, VARIED_SQL, "events")
+
+
 def spliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, SPLICED_SQL, "events")
 
 
 def long_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _view(spark, sf_dir, WHOLE_SQL % "", "documents")
+    rows = _view(spark, sf_dir, LONG_SQL % "", "documents")
     return rows.withColumn("quality", F.repeat(F.lit("I"), F.length("sequence"))).withColumn("colorspace", F.lit(None).cast("string")).withColumn("is_filtered", F.lit(False))
 
 
 def six(c: Column | str) -> Column:
-    c = F.col(c) if isinstance(c, str) else c
-    return F.floor(c * 1e6 + 0.5) / 1e6
+    c = (F.col(c) if isinstance(c, str) else c).cast("double")
+    return F.when(F.isnan(c), c).otherwise(F.floor(c * 1e6 + 0.5) / 1e6)  # floor() makes a NaN 0
 
 
 CFG = QcConfig()
 LOOSE = QcConfig()
 LOOSE.limits["overrepresented", "warn"] = 0.02
-SMALL_CAP = QcConfig(unique_cap=500)
+#: A part of the sequence of read 5, and others.
+CONTAMINANTS = [("Adapter A", "AGATCGGAAGAGC"), ("Read five", "GACGTTTNTTAGGTACCTTTGTAGTAGT"), ("Long one", "ACGTACGTTGCAACGTACGTTTGACA")]
+LOOSE.contaminants[:] = CONTAMINANTS
 
 
 def long(*names: str) -> list[Column]:
@@ -84,7 +91,7 @@ def long(*names: str) -> list[Column]:
 
 
 def basic_stats(s, d):
-    return basic.basic_statistics(reads(s, d), compat=True).select("file_name", "file_type", "encoding", *long("total_sequences", "filtered_sequences", "total_bases", "min_length", "max_length", "gc_percent"), six("gc_exact").alias("gc_exact"))
+    return basic.basic_statistics(reads(s, d)).select("file_name", "file_type", "encoding", *long("total_sequences", "filtered_sequences", "total_bases", "min_length", "max_length", "gc_percent"), six("gc_exact").alias("gc_exact"))
 
 
 def per_base_quality(s, d):
@@ -140,20 +147,22 @@ def length_distribution_wide(s, d):
 
 
 def duplication_levels(s, d):
-    return sequences.duplication(reads(s, d), CFG).select("label", six("percent").alias("percent"), six("deduplicated").alias("deduplicated"))
+    return sequences.duplication(varied(s, d), CFG).select("label", six("percent").alias("percent"), six("deduplicated").alias("deduplicated"))
 
 
 def first_distinct_keys(s, d):
-    return sequences.key_counts(reads(s, d), SMALL_CAP).select("key", *long("n", "first", "rank"))
+    return sequences.key_counts(varied(s, d), CFG).select("key", *long("n", "first", "rank"))
 
 
 def overrepresented(s, d):
-    return sequences.overrepresented(reads(s, d), LOOSE).select("sequence", *long("n"), six("percent").alias("percent"), "source")
+    return sequences.overrepresented(varied(s, d), LOOSE).select("sequence", *long("n"), six("percent").alias("percent"), "source")
+
+
+TWO = [CONTAMINANTS[0], CONTAMINANTS[2]]
 
 
 def contaminants(s, d):
-    names = [("Adapter A", "AGATCGGAAGAGC"), ("Long one", "ACGTACGTTGCAACGTACGTTTGACA")]
-    return spliced(s, d).where("NOT is_filtered").select("read_idx", sequences.possible_source(F.col("sequence"), names).alias("source"))
+    return spliced(s, d).where("NOT is_filtered").select("read_idx", sequences.possible_source(F.col("sequence"), TWO).alias("source"))
 
 
 def adapter_content(s, d):
@@ -164,18 +173,24 @@ def kmer_counts(s, d):
     return sequences.kmer_counts(reads(s, d), CFG).select("kmer", *long("pos", "n"))
 
 
-def kmer_content(s, d):
+def kmer_enrichment(s, d):
     rows = sequences.kmer_enrichment(spliced(s, d), CFG)
     return rows.select("kmer", "label", *long("count", "hits"), six(F.col("ratio").cast("double")).alias("ratio"))
 
 
+def kmer_content(s, d):
+    rows = sequences.kmer_content(spliced(s, d), CFG)
+    return rows.select(*long("rank"), "kmer", *long("count"), six(F.col("p_value").cast("double")).alias("p_value"), six(F.col("ratio").cast("double")).alias("ratio"), "label")
+
+
 def kmer_pvalue(s, d):
-    rows = s.range(1, 200).select(F.col("id").cast("double").alias("k"))
+    """Of as many hits as reads have letters beyond 35, at a share of 0.002."""
+    rows = reads(s, d).select((F.length("sequence") - 35).cast("double").alias("k")).distinct()
     return rows.select("k", six(sequences.kmer_p_value(F.lit(5000.0), F.lit(0.002), F.col("k"), 2)).alias("p"))
 
 
 def sampled_reads(s, d):
-    rows = with_ordinal(reads(s, d).where("NOT is_filtered"), "ordinal", True)
+    rows = with_ordinal(reads(s, d), "ordinal", True)
     return rows.where("ordinal % 50 = 0").select(*long("read_idx", "ordinal"))
 
 
@@ -248,7 +263,7 @@ def adapter_autodetect(s, d):
 
 
 def trim_quality(s, d):
-    return T.trim_ends(spliced(s, d), "X", T.TrimConfig()).select("read_idx", F.length("sequence").alias("kept"), "quality_trimmed")
+    return T.trim_ends(spliced(s, d), "X", T.TrimConfig()).select("read_idx", F.length("sequence").cast("long").alias("kept"), "quality_trimmed")
 
 
 def trim_adapter(s, d):
@@ -261,11 +276,12 @@ def module_verdicts(s, d):
 
 
 def dedup_documents(s, d):
-    docs = s.read.parquet(f"{d}/documents.parquet").select(F.substring("text", 1, 50).alias("key"))
+    """How many texts occur how often; copies are told by the whole text."""
+    docs = s.read.parquet(f"{d}/documents.parquet").select(F.sha2("text", 256).alias("key"))
     return docs.groupBy("key").agg(F.count("*").alias("level")).groupBy("level").agg(F.count("*").alias("keys"))
 
 
-QUERIES = [basic_stats, per_base_quality, per_base_percentiles, per_tile_quality, per_sequence_quality, quality_mode, per_base_content, per_base_content_grouped, n_content, gc_counts, gc_distribution, gc_deviation, length_distribution, length_distribution_wide, duplication_levels, first_distinct_keys, overrepresented, contaminants, adapter_content, kmer_counts, kmer_content, kmer_pvalue, sampled_reads, casava_filter, read_functions, revcomp_softclip, colorspace_decode, trim_hard5, trim_hard3, trim_clip, trim_filter_classes, trim_ns, trim_pairs, trim_unpaired, adapter_autodetect, trim_quality, trim_adapter, module_verdicts, dedup_documents]
+QUERIES = [basic_stats, per_base_quality, per_base_percentiles, per_tile_quality, per_sequence_quality, quality_mode, per_base_content, per_base_content_grouped, n_content, gc_counts, gc_distribution, gc_deviation, length_distribution, length_distribution_wide, duplication_levels, first_distinct_keys, overrepresented, contaminants, adapter_content, kmer_counts, kmer_enrichment, kmer_content, kmer_pvalue, sampled_reads, casava_filter, read_functions, revcomp_softclip, colorspace_decode, trim_hard5, trim_hard3, trim_clip, trim_filter_classes, trim_ns, trim_pairs, trim_unpaired, adapter_autodetect, trim_quality, trim_adapter, module_verdicts, dedup_documents]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -275,6 +291,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 # --- the same in SQL ---------------------------------------------------------------------------------------------------
 
 _R = f"WITH all_reads AS ({READS_SQL}), reads AS (SELECT * FROM all_reads WHERE NOT is_filtered)"
+_V = f"WITH all_reads AS ({VARIED_SQL}), reads AS (SELECT * FROM all_reads WHERE NOT is_filtered)"
 _S = f"WITH all_reads AS ({SPLICED_SQL}), reads AS (SELECT * FROM all_reads WHERE NOT is_filtered)"
 _L = "WITH reads AS (" + LONG_SQL % ", 'g'" + ")"
 _POS = """, bases AS (SELECT read_idx, unnest(range(1, length(sequence) + 1)) AS pos, sequence, quality FROM reads),
@@ -285,9 +302,14 @@ run AS (SELECT pos, code - o AS q, n, sum(n) OVER (PARTITION BY pos) AS total, s
 _P = ", ".join(f"CASE WHEN max(total) > 100 THEN CAST(min(q) FILTER (upto >= floor(total * {p} / 100)) AS DOUBLE) END AS p{p}" for p in (50, 25, 75, 10, 90))
 _ORD = ", ord AS (SELECT *, row_number() OVER (PARTITION BY (read_idx // 4096) % 4 ORDER BY read_idx) AS ordinal FROM reads)"
 _SIX = lambda x: SIX.format(x)
+_WIDTHS, _BINS = (", ".join(f"({w})" for w in widths(times)) for times in (6, 4))
 _KMER = """, picked AS (SELECT substring(sequence, 1, 500) AS s FROM ord WHERE ordinal % 50 = 0),
 kmers AS (SELECT substring(s, pos, 7) AS kmer, pos FROM (SELECT s, unnest(range(1, length(s) - 5)) AS pos FROM picked)),
 counts AS (SELECT kmer, pos, count(*) AS n FROM kmers WHERE NOT contains(kmer, 'N') GROUP BY ALL)"""
+_TAIL = "(CASE WHEN x >= 0 THEN {0} ELSE 2 - {0} END * 0.5)".format("t * (0.254829592::DOUBLE + t * (-0.284496736::DOUBLE + t * (1.421413741::DOUBLE + t * (-1.453152027::DOUBLE + t * 1.061405429::DOUBLE)))) * exp(-x * x)")
+_ENRICHED = """, k AS (SELECT kmer, CAST(sum(n) AS BIGINT) AS count FROM counts GROUP BY ALL), g AS (SELECT pos, CAST(sum(n) AS BIGINT) AS total FROM counts GROUP BY ALL),
+shares AS (SELECT kmer, pos, n AS hits, count, total, CAST(CAST(count AS FLOAT) / CAST((SELECT sum(n) FROM counts) AS FLOAT) AS FLOAT) AS share FROM counts JOIN k USING (kmer) JOIN g USING (pos)),
+rated AS (SELECT *, CAST(share * CAST(total AS FLOAT) AS FLOAT) AS predicted, CAST(CAST(hits AS FLOAT) / CAST(share * CAST(total AS FLOAT) AS FLOAT) AS FLOAT) AS ratio FROM shares)"""
 _PAIRS = """, two AS (SELECT read_idx, sequence AS s1, substring(translate(reverse(sequence), 'ACGT', 'TGCA'), 1, CAST(length(sequence) - read_idx % 9 AS INT)) AS s2 FROM all_reads),
 cut AS (SELECT read_idx, s1, CASE WHEN length(s2) > 2 THEN substring(s2, 3) ELSE s2 END AS s2 FROM two),
 cls AS (SELECT *, CASE WHEN (length(s1) > 0 AND (length(s1) - length(replace(s1, 'N', ''))) / length(s1) > 0.12) OR (length(s2) > 0 AND (length(s2) - length(replace(s2, 'N', ''))) / length(s2) > 0.12) THEN 'too_many_n'
@@ -303,9 +325,9 @@ def _turned(seq: str) -> str:
     return seq.translate(str.maketrans("ACGT", "TGCA"))[::-1]
 
 
-def _source_sql() -> str:
+def _source_sql(contaminants: list[tuple[str, str]]) -> str:
     parts = []
-    for name, seq in (("Adapter A", "AGATCGGAAGAGC"), ("Long one", "ACGTACGTTGCAACGTACGTTTGACA")):
+    for name, seq in contaminants:
         for s in (seq, _turned(seq)):
             parts.append(f"WHEN contains(sequence, '{s}') OR contains('{s}', sequence) THEN '{name} (100%)'")
             if len(s) >= 20:
@@ -332,8 +354,8 @@ ORACLES = {
       m AS (SELECT CAST(list_sum(codes) // len(codes) AS BIGINT) AS code, list_min(codes) AS least FROM c)
       SELECT code - (SELECT CASE WHEN min(least) < 64 THEN 33 ELSE 64 END FROM m) AS mode FROM m GROUP BY code ORDER BY count(*) DESC, code LIMIT 1""",
     "per_base_content": _R + _POS + ", s AS (SELECT pos, " + ", ".join(f"coalesce(sum(n) FILTER (base = '{b}'), 0) AS {b.lower()}" for b in "GATC") + " FROM cube GROUP BY pos) SELECT CAST(pos AS VARCHAR) AS label, " + ", ".join(f"CASE WHEN g + a + t + c > 0 THEN {_SIX(f'{b} * 100.0 / (g + a + t + c)')} ELSE 0 END AS {b}_percent" for b in "gatc") + " FROM s",
-    "per_base_content_grouped": _L + """, top AS (SELECT max(length(sequence)) AS l FROM reads),
-      w AS (SELECT l, (SELECT min(v) FROM (VALUES (2), (5), (10), (20), (50), (100)) x(v) WHERE 9 + (l - 9 + v - 1) // v <= 75) AS w FROM top),
+    "per_base_content_grouped": _L + f""", top AS (SELECT max(length(sequence)) AS l FROM reads),
+      w AS (SELECT l, (SELECT min(v) FROM (VALUES {_WIDTHS}) x(v) WHERE 9 + (l - 9 + v - 1) // v <= 75) AS w FROM top),
       b AS (SELECT substring(sequence, pos, 1) AS base, pos FROM (SELECT sequence, unnest(range(1, length(sequence) + 1)) AS pos FROM reads)),
       g AS (SELECT CASE WHEN pos <= 9 OR l <= 75 THEN pos ELSE 10 + (pos - 10) // w * w END AS lo, CASE WHEN pos <= 9 OR l <= 75 THEN pos ELSE least(l, 10 + (pos - 10) // w * w + w - 1) END AS hi, base FROM b, w),
       s AS (SELECT CASE WHEN lo = hi THEN CAST(lo AS VARCHAR) ELSE concat(CAST(lo AS VARCHAR), '-', CAST(hi AS VARCHAR)) END AS label, """ + ", ".join(f"count(*) FILTER (base = '{b}') AS {b.lower()}" for b in "GATC") + " FROM g GROUP BY ALL) SELECT label, " + ", ".join(f"CASE WHEN g + a + t + c > 0 THEN {_SIX(f'{b} * 100.0 / (g + a + t + c)')} ELSE 0 END AS {b}_percent" for b in "gatc") + " FROM s",
@@ -342,31 +364,39 @@ ORACLES = {
       SELECT CAST(length(s) AS BIGINT) AS len, CAST(length(s) - length(translate(s, 'GC', '')) AS BIGINT) AS gc, count(*) AS n FROM p WHERE length(s) > 0 GROUP BY ALL""",
     "length_distribution": _R + """, l AS (SELECT length(sequence) AS len FROM reads), e AS (SELECT unnest(range(min(len), max(len) + 1)) AS lo FROM l)
       SELECT CAST(lo AS VARCHAR) AS label, (SELECT count(*) FROM l WHERE len = lo) AS n FROM e""",
-    "length_distribution_wide": _L + """, l AS (SELECT length(sequence) AS len FROM reads), x AS (SELECT min(len) AS a, max(len) AS b FROM l),
-      w AS (SELECT a, b, CASE WHEN b - a + 1 <= 75 THEN 1 ELSE (SELECT min(v) FROM (VALUES (2), (5), (10), (20), (50), (100)) y(v) WHERE (b - a + 1) // v <= 50) END AS w FROM x),
+    "length_distribution_wide": _L + f""", l AS (SELECT length(sequence) AS len FROM reads), x AS (SELECT min(len) AS a, max(len) AS b FROM l),
+      w AS (SELECT a, b, CASE WHEN b - a + 1 <= 75 THEN 1 ELSE (SELECT min(v) FROM (VALUES {_BINS}) y(v) WHERE (b - a + 1) // v <= 50) END AS w FROM x),
       e AS (SELECT unnest(range(a, b + 1, w)) AS lo, w, b FROM w), h AS (SELECT lo, least(b, lo + w - 1) AS hi FROM e)
       SELECT CASE WHEN lo = hi THEN CAST(lo AS VARCHAR) ELSE concat(CAST(lo AS VARCHAR), '-', CAST(hi AS VARCHAR)) END AS label, (SELECT count(*) FROM l WHERE len BETWEEN lo AND hi) AS n FROM h""",
-    "duplication_levels": _R + f""", k AS (SELECT count(*) AS level FROM reads GROUP BY CASE WHEN length(sequence) > 50 THEN substring(sequence, 1, 50) ELSE sequence END),
+    "duplication_levels": _V + f""", k AS (SELECT count(*) AS level FROM reads GROUP BY CASE WHEN length(sequence) > 50 THEN substring(sequence, 1, 50) ELSE sequence END),
       s AS (SELECT CASE WHEN level <= 10 THEN level - 1 WHEN level <= 50 THEN 9 WHEN level <= 100 THEN 10 WHEN level <= 500 THEN 11 WHEN level <= 1000 THEN 12 WHEN level <= 5000 THEN 13 WHEN level <= 10000 THEN 14 ELSE 15 END AS slot, level FROM k),
       n AS (SELECT unnest(range(0, 16)) AS slot, unnest(['1','2','3','4','5','6','7','8','9','>10','>50','>100','>500','>1k','>5k','>10k']) AS label)
       SELECT label, {_SIX('coalesce((SELECT sum(level) FROM s WHERE s.slot = n.slot), 0) * 100.0 / (SELECT sum(level) FROM s)')} AS percent, {_SIX('(SELECT count(*) FROM s) * 100.0 / (SELECT sum(level) FROM s)')} AS deduplicated FROM n""",
-    "first_distinct_keys": _R + """, o AS (SELECT *, row_number() OVER (ORDER BY read_idx) AS ordinal FROM reads),
+    "first_distinct_keys": _V + """, o AS (SELECT *, row_number() OVER (ORDER BY read_idx) AS ordinal FROM reads),
       k AS (SELECT substring(sequence, 1, 50) AS key, count(*) AS n, min(ordinal) AS first FROM o GROUP BY ALL)
-      SELECT * FROM (SELECT key, n, first, row_number() OVER (ORDER BY first) AS rank FROM k) WHERE rank <= 500""",
-    "overrepresented": _R + f""" SELECT substring(sequence, 1, 50) AS sequence, count(*) AS n, {_SIX('count(*) * 100.0 / (SELECT count(*) FROM reads)')} AS percent, 'No Hit' AS source
-      FROM reads GROUP BY substring(sequence, 1, 50) HAVING count(*) * 100.0 / (SELECT count(*) FROM reads) > 0.02""",
-    "contaminants": _S + f" SELECT read_idx, {_source_sql()} AS source FROM reads",
+      SELECT * FROM (SELECT key, n, first, row_number() OVER (ORDER BY first) AS rank FROM k) WHERE rank <= 100000""",
+    "overrepresented": _V + f""", found AS (SELECT substring(sequence, 1, 50) AS sequence, count(*) AS n, {_SIX('count(*) * 100.0 / (SELECT count(*) FROM reads)')} AS percent
+      FROM reads GROUP BY substring(sequence, 1, 50) HAVING count(*) * 100.0 / (SELECT count(*) FROM reads) > 0.02) SELECT *, {_source_sql(CONTAMINANTS)} AS source FROM found""",
+    "contaminants": _S + f" SELECT read_idx, {_source_sql(TWO)} AS source FROM reads",
     "adapter_content": _S + f""", ad(name, s) AS (VALUES {', '.join("('" + n.replace("'", "''") + "', '" + q + "')" for n, q in CFG.adapters)}),
       w AS (SELECT (read_idx // 4096) % 4 AS w, greatest(max(length(sequence)) - 12, 0) AS last FROM reads GROUP BY ALL),
       h AS (SELECT (read_idx // 4096) % 4 AS w, name, instr(sequence, s) AS pos FROM reads CROSS JOIN ad WHERE contains(sequence, s)),
       p AS (SELECT name, unnest(range(1, (SELECT max(last) FROM w) + 2)) AS pos FROM ad)
       SELECT name, CAST(pos AS VARCHAR) AS label, {_SIX('(SELECT count(*) FROM h JOIN w USING (w) WHERE h.name = p.name AND h.pos <= p.pos AND p.pos - 1 <= w.last) * 100.0 / (SELECT count(*) FROM reads)')} AS percent FROM p""",
     "kmer_counts": _R + _ORD + _KMER + " SELECT * FROM counts",
-    "kmer_content": _S + _ORD + _KMER + f""", k AS (SELECT kmer, CAST(sum(n) AS BIGINT) AS count FROM counts GROUP BY ALL), g AS (SELECT pos, CAST(sum(n) AS BIGINT) AS total FROM counts GROUP BY ALL)
-      SELECT kmer, CAST(pos AS VARCHAR) AS label, count, n AS hits, {_SIX('CAST(CAST(CAST(n AS FLOAT) / CAST(CAST(CAST(count AS FLOAT) / CAST((SELECT sum(n) FROM counts) AS FLOAT) AS FLOAT) * CAST(total AS FLOAT) AS FLOAT) AS FLOAT) AS DOUBLE)')} AS ratio FROM counts JOIN k USING (kmer) JOIN g USING (pos)""",
-    "kmer_pvalue": f"""WITH k AS (SELECT CAST(unnest(range(1, 200)) AS DOUBLE) AS k), x AS (SELECT k, (k - 5000.0::DOUBLE * 0.002::DOUBLE) / sqrt(5000.0::DOUBLE * 0.002::DOUBLE * (1 - 0.002::DOUBLE)) / sqrt(2.0::DOUBLE) AS x FROM k),
-      t AS (SELECT k, x, 1 / (1 + 0.3275911::DOUBLE * abs(x)) AS t FROM x), e AS (SELECT k, x, t * (0.254829592::DOUBLE + t * (-0.284496736::DOUBLE + t * (1.421413741::DOUBLE + t * (-1.453152027::DOUBLE + t * 1.061405429::DOUBLE)))) * exp(-x * x) AS e FROM t)
-      SELECT k, {_SIX('CASE WHEN x >= 0 THEN e ELSE 2 - e END * 0.5 * 16')} AS p FROM e""",
+    "kmer_enrichment": _S + _ORD + _KMER + _ENRICHED + f" SELECT kmer, CAST(pos AS VARCHAR) AS label, count, hits, {_SIX('CAST(ratio AS DOUBLE)')} AS ratio FROM rated",
+    "kmer_content": _S + _ORD + _KMER + _ENRICHED + f""", x AS (SELECT *, (CAST(hits AS DOUBLE) - total * CAST(share AS DOUBLE)) / sqrt(total * CAST(share AS DOUBLE) * (1 - CAST(share AS DOUBLE))) / sqrt(2.0::DOUBLE) AS x FROM rated),
+      tested AS (SELECT *, CASE WHEN CAST(hits AS FLOAT) > predicted AND ratio > 5 THEN CAST(CASE WHEN share >= 1 OR total = 0 THEN 1 ELSE {_TAIL} END * {4.0**7!r}::DOUBLE AS FLOAT) END AS p FROM (SELECT *, 1 / (1 + 0.3275911::DOUBLE * abs(x)) AS t FROM x)),
+      best AS (SELECT kmer, count, min(p) FILTER (p < 0.01) AS p_value, max(ratio) AS ratio, max_by(CAST(pos AS VARCHAR), (ratio, pos)) AS label FROM tested GROUP BY kmer, count HAVING min(p) FILTER (p < 0.01) IS NOT NULL)
+      SELECT rank, kmer, count * 50 AS count, {_SIX('CAST(p_value AS DOUBLE)')} AS p_value, {_SIX('CAST(ratio AS DOUBLE)')} AS ratio, label FROM (SELECT *, row_number() OVER (ORDER BY ratio DESC, kmer) AS rank FROM best) WHERE rank <= 20""",
+    "kmer_pvalue": _R + f""", k AS (SELECT DISTINCT CAST(length(sequence) - 35 AS DOUBLE) AS k FROM all_reads), x AS (SELECT k, (k - 5000.0::DOUBLE * 0.002::DOUBLE) / sqrt(5000.0::DOUBLE * 0.002::DOUBLE * (1 - 0.002::DOUBLE)) / sqrt(2.0::DOUBLE) AS x FROM k),
+      t AS (SELECT k, x, 1 / (1 + 0.3275911::DOUBLE * abs(x)) AS t FROM x) SELECT k, {_SIX(f"{_TAIL} * 16")} AS p FROM t""",
+    "colorspace_decode": _R + f""" SELECT read_idx, substring(list_reduce(list_prepend('T', string_split(translate(sequence, 'ACGTN', '0123.'), '')), lambda s, c: concat(s, CASE WHEN right(s, 1) = 'N' THEN 'N' {' '.join(f"WHEN c = '{digit}' THEN translate(right(s, 1), 'ACGT', '{to}')" for digit, to in R.COLOURS.items())} ELSE 'N' END)), 2) AS bases FROM all_reads""",
+    "trim_quality": _S + """, b AS (SELECT read_idx, quality, length(quality) AS n, unnest(range(1, length(quality) + 1)) AS pos FROM all_reads),
+      s AS (SELECT read_idx, n, pos, sum(53 - ascii(substring(quality, pos, 1))) OVER (PARTITION BY read_idx ORDER BY pos DESC) AS s FROM b),
+      a AS (SELECT *, coalesce(max(pos) FILTER (s < 0) OVER (PARTITION BY read_idx), 0) AS stop FROM s),
+      c AS (SELECT read_idx, n, arg_max(pos, (s, pos)) FILTER (pos > stop AND s > 0) AS cut FROM a GROUP BY ALL)
+      SELECT read_idx, CAST(coalesce(cut - 1, n) AS BIGINT) AS kept, CAST(n - coalesce(cut - 1, n) AS BIGINT) AS quality_trimmed FROM c""",
     "sampled_reads": _R + _ORD + " SELECT read_idx, ordinal FROM ord WHERE ordinal % 50 = 0",
     "casava_filter": _R + " SELECT is_filtered AS flag, count(*) AS n FROM all_reads GROUP BY ALL",
     "read_functions": _R + """ SELECT read_idx, translate(reverse(sequence), 'ACGT', 'TGCA') AS turned, substring(sequence, 1, 30) AS key, CAST(length(sequence) - length(translate(sequence, 'GC', '')) AS BIGINT) AS gc, CAST(length(sequence) - length(translate(sequence, 'Nn', '')) AS BIGINT) AS ns,
@@ -383,7 +413,7 @@ ORACLES = {
     "trim_pairs": _R + _PAIRS + " SELECT read_idx, s2 AS r2_sequence, class FROM cls",
     "trim_unpaired": _R + _PAIRS + " SELECT class, count(*) AS n, count(*) FILTER (class = 'too_short' AND length(s1) >= 40) AS unpaired_1, count(*) FILTER (class = 'too_short' AND length(s2) >= 42) AS unpaired_2 FROM cls GROUP BY ALL",
     "adapter_autodetect": _S + " SELECT count(*) FILTER (contains(sequence, 'AGATCGGAAGAGC')) AS illumina, count(*) FILTER (contains(sequence, 'CTGTCTCTTATA')) AS nextera, count(*) FILTER (contains(sequence, 'TGGAATTCTCGG')) AS small_rna FROM all_reads",
-    "dedup_documents": "SELECT level, count(*) AS keys FROM (SELECT count(*) AS level FROM documents GROUP BY substring(text, 1, 50)) GROUP BY ALL",
+    "dedup_documents": "SELECT level, count(*) AS keys FROM (SELECT count(*) AS level FROM documents GROUP BY text) GROUP BY ALL",
 }
 _GC = _R + """, g AS (SELECT length(sequence) AS len, length(sequence) - length(translate(sequence, 'GC', '')) AS gc, count(*) AS n FROM reads WHERE length(sequence) > 0 GROUP BY ALL),
   lens AS (SELECT DISTINCT len FROM g), claims AS (SELECT len, gc, unnest(range(CAST(floor(greatest(gc - 0.5::DOUBLE, 0) * 100.0::DOUBLE / len + 0.5) AS BIGINT), CAST(floor(least(gc + 0.5::DOUBLE, len) * 100.0::DOUBLE / len + 0.5) AS BIGINT) + 1)) AS pct FROM (SELECT len, unnest(range(0, len + 1)) AS gc FROM lens)),

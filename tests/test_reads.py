@@ -196,8 +196,28 @@ def test_trimming_runs(spark, tmp_path):
     assert "Sequences with adapters: 3 (42.9%)" in report and "too many Ns: 1 (14.3%)" in report
     hard = run_trim(spark, [str(tmp_path / "a.fastq")], f"file://{tmp_path}/out", T.TrimConfig(hardtrim3=7, files=("a",)))
     assert {len(r.sequence) for r in records(spark, hard[0]).collect()} == {7}
-    pair = run_trim(spark, [str(tmp_path / "a.fastq")] * 2, f"file://{tmp_path}/out", T.TrimConfig(paired=True, adapter=adapter, retain_unpaired=True, length=35, length_1=20, length_2=50, stringency=3, files=("a", "a")))
-    assert len(pair) == 5
+
+
+def test_paired_trimming_counts_both_files(spark, tmp_path):
+    adapter = "AGATCGGAAGAGC"
+    for name, quality in (("a", "I" * 43), ("b", "I" * 37 + "#" * 6)):
+        (tmp_path / f"{name}.fastq").write_text("".join(f"@r{i}\n{'ACGTACGTAC' * 3 + (adapter if i % 2 and name == 'a' else 'TTTTTTTTTTTTG')}\n+\n{quality}\n" for i in range(6)))
+    files = [str(tmp_path / f"{n}.fastq") for n in "ab"]
+    config = T.TrimConfig(paired=True, adapter=adapter, retain_unpaired=True, length=35, length_1=20, length_2=35, stringency=3, basename="both", files=tuple(files))
+    made = run_trim(spark, files, f"file://{tmp_path}/out", config, qc=QcConfig())
+    names = [m.rsplit("/", 1)[-1] if isinstance(m, str) else m.name for m in made]
+    assert names[:6] == ["both_val_1.fq", "both_unpaired_1.fq", "both_val_2.fq", "both_unpaired_2.fq", "a.fastq_trimming_report", "b.fastq_trimming_report"]
+    texts = ["".join(r.value + "\n" for r in spark.read.text(made[k]).collect()) for k in (4, 5)]
+    assert "Sequences with adapters: 3 (50.00%)" in texts[0]
+    assert "Bases trimmed for quality: 0" in texts[0]
+    assert "Bases trimmed for quality: 36" in texts[1]
+    assert "Sequences with adapters: 0 (0.00%)" in texts[1]
+    assert [records(spark, m).count() for m in made[:4]] == [3, 3, 3, 3]
+    assert any(n.endswith(".zip") for n in names[6:])
+    assert "no report" not in str(run_trim(spark, files, f"file://{tmp_path}/other", config, report=False))
+
+
+def test_pairs_of_different_lengths_are_an_error(spark):
     short = frame(spark, ["ACGT"])
     with pytest.raises(Exception, match="different numbers"):
         T.pair_up(short, short.limit(0)).collect()
@@ -234,3 +254,72 @@ def test_streamed_cube_equals_the_batch(spark, tmp_path):
     from seqloom.operators.common import position_cube
 
     assert streamed == sorted(map(str, positions.position_quality(position_cube(reads)).collect()))
+
+
+def test_files_of_equal_names_stay_apart(spark, tmp_path):
+    for folder, n in (("a", 3), ("b", 5)):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "r.fastq").write_text("".join(f"@r{i}\nACGTACGT\n+\nIIIIIIII\n" for i in range(n)))
+    reports = analyse(read_fastq(spark, [str(tmp_path / f / "r.fastq") for f in "ab"]))
+    assert [(r.file_name, r.modules[0].data["total_sequences"]) for r in reports] == [("r.fastq", 3), ("r.fastq", 5)]
+
+
+def test_ordinals_skip_filtered_reads(spark):
+    from seqloom.operators.common import BATCH, with_ordinal
+
+    rows = spark.range(5 * BATCH + 100).select(F.lit("f").alias("file_name"), F.col("id").alias("read_idx"), (F.pmod(F.xxhash64("id"), F.lit(7)) == 0).alias("is_filtered"))
+    skipped = {r.read_idx for r in rows.where("is_filtered").collect()}
+    for compat in (True, False):
+        count, want = {}, {}
+        for i in range(5 * BATCH + 100):
+            w = i // BATCH % 4 if compat else 0
+            if i not in skipped:
+                want[i] = count[w] = count.get(w, 0) + 1
+        for dense in (True, False):
+            assert {r.read_idx: r.n for r in with_ordinal(rows, "n", compat, dense=dense).collect()} == want
+    none = rows.withColumn("is_filtered", F.lit(False))
+    plan = with_ordinal(none, "n", True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    assert with_ordinal(none, "n", False).where("n <> read_idx + 1").count() == 0
+
+
+def test_tiles_sampled_and_given_up(spark):
+    from seqloom.operators import positions
+
+    def reads(n, tile):
+        data = [("f", i, f"S:1:F:1:{tile(i)}:{i}:0", "ACGT", "IIII" if i % 3 else "II#I", None, False) for i in range(n)]
+        return spark.createDataFrame(data, "file_name string, read_idx long, id string, sequence string, quality string, colorspace string, is_filtered boolean")
+
+    config = QcConfig(tile_all=20)
+    found = {r.tile: r.n for r in positions.tile_sums(reads(400, lambda i: 7 + i % 2), config).where("pos = 1").groupBy("tile").agg(F.sum("n").alias("n")).collect()}
+    picked = [i for i in range(400) if i + 1 <= 20 or (i + 1) % 10 == 0]
+    assert found == {t: sum(7 + i % 2 == t for i in picked) for t in {7 + i % 2 for i in picked}}
+    assert positions.tile_quality(reads(2501, lambda i: i), QcConfig()).select("tile").distinct().count() == 2501
+    assert positions.tile_quality(reads(2502, lambda i: i), QcConfig()).count() == 0
+    assert positions.tile_quality(reads(30, lambda i: "x" if i == 29 else 1), QcConfig()).count() == 0
+
+
+def test_lines_of_any_source_are_records(spark):
+    from seqloom.sources.fastq import as_reads, records_of_lines
+
+    lines = ["@a", "ACGT", "+", "IIII", "@b", "GG", "+b", "##"]
+    frame_ = spark.createDataFrame([("socket", i, x) for i, x in enumerate(lines)], "path string, line_idx long, value string")
+    assert rows(as_reads(records_of_lines(frame_), QcConfig()), "id", "sequence", "quality") == [("a", "ACGT", "IIII"), ("b", "GG", "##")]
+    with pytest.raises(Exception, match="no FASTQ record at line 5"):
+        records_of_lines(frame_.where("line_idx < 6")).collect()
+
+
+def test_kmers_are_drawn_and_in_the_json(spark):
+    from seqloom.report.figures import figure
+
+    data = [("f", i, f"r{i}", ("GATTACA" + "ACGT" * 6) if i % 50 == 49 else "ACGT" * 8, "I" * 31 if i % 50 == 49 else "I" * 32, None, False) for i in range(4000)]
+    reads = spark.createDataFrame(data, "file_name string, read_idx long, id string, sequence string, quality string, colorspace string, is_filtered boolean")
+    config = QcConfig()
+    config.limits["kmer", "ignore"] = 0.0
+    module = analyse(reads, config)[0].modules[-1]
+    top = [r["sequence"] for r in module.data["records"]]
+    assert "GATTACA" in top
+    assert [x["sequence"] for x in module.data["plot_series"]] == top[:6]
+    assert all(len(x["obs_exp"]) == len(module.data["position_groups"]) for x in module.data["plot_series"])
+    assert max(module.data["plot_series"][0]["obs_exp"]) == module.data["records"][0]["obs_exp_max"]
+    assert figure(module).startswith("<svg")
