@@ -3,13 +3,14 @@
 A line (trimmed, in lower case) is known by a 64-bit hash.  A HyperLogLog sketch for each line, merged by aggregation, estimates
 on how many sites it stands; lines whose estimate is within the sketch's error of the threshold get an exact distinct count.
 Lines that reach ``min_sites`` sites are boilerplate: of each only its first occurrence, by (document, place), stays.  Lines of
-fewer than ``min_chars`` characters stay where they are: short sentences recur by chance.
+fewer than ``min_chars`` characters (none, unless asked for) stay where they are.
 
 Frequent lines are met in salted form, so that no task gets all rows of one line; each map task hands on one sketch a line.
 
 Edge cases: blank lines are no lines; a null text stays null and has none; a null site counts nowhere; a null doc_id is the last;
-repeated rows are one document (both keep the first occurrence); an empty table gives no rows; other columns are kept, whatever
-their names (the operator's own begin with an underscore).
+repeated rows are one document (both keep the first occurrence); very long texts are split like others, and equal lines of one
+document count once for its site; of equal first places (ties) all stay; an empty table gives no rows; other columns are kept,
+whatever their names, but for those named like the two new ones (_n_lines and _n_removed, unless others are asked for).
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stage
+from .shared import own_name, stage
 
 SALTS = 16
 LG_K = 9
@@ -59,13 +60,22 @@ def salted(lines: DataFrame, few: DataFrame) -> DataFrame:
     return lines.withColumn("_salt", F.pmod(F.xxhash64("_doc"), F.lit(SALTS)).cast("int")).join(salts, ["_line", "_salt"]).drop("_salt")
 
 
-def remove(docs: DataFrame, path: str, site: str = "source", min_sites: int = 3, min_chars: int = 24, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with boilerplate lines taken out of ``text``, and two columns: _n_lines and _n_removed."""
+def without(lines: Column, gone: Column) -> Column:
+    """An array without the elements at some places, in one pass: the array is bound once, places are taken off by hashing."""
+    places = lambda own: F.array_except(F.sequence(F.lit(0), F.size(own) - 1), gone)
+    return F.get(F.transform(F.array(lines), lambda own: F.transform(places(own), lambda i: F.get(own, i))), F.lit(0))
+
+
+def remove(docs: DataFrame, path: str, site: str = "source", min_sites: int = 3, min_chars: int = 1, doc_id: str = "doc_id", text: str = "text", n_lines: str = "_n_lines", n_removed: str = "_n_removed") -> DataFrame:
+    """The documents with boilerplate lines taken out of ``text``, and two columns: ``n_lines`` and ``n_removed``."""
+    docs = docs.drop(n_lines, n_removed)
     lines = stage(occurrences(docs, site, min_chars, doc_id, text), f"{path}/lines")  # some 20 bytes a line: texts are split once
     found = salted(lines.select("_doc", "_at", "_line"), boilerplate(lines, path, min_sites))
     again = (F.coalesce(F.col("_doc").cast("long"), F.lit((1 << 63) - 1)) != F.col("_first.doc")) | (F.col("_at") != F.col("_first.at"))
-    gone = found.where(again).groupBy("_doc").agg(F.collect_set("_at").alias("_gone"))
-    out = docs.join(gone, docs[doc_id].eqNullSafe(gone["_doc"]), "left").drop("_doc")
-    kept = F.filter(line_array(text), lambda x, i: ~F.array_contains("_gone", i))
+    of, at = own_name(docs, "_of"), own_name(docs, "_gone")
+    gone = found.where(again).groupBy(F.col("_doc").alias(of)).agg(F.collect_set("_at").alias(at))
+    out = docs.join(gone, docs[doc_id].eqNullSafe(gone[of]), "left")
     count = F.size(F.filter(line_array(text), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
-    return out.withColumn("_n_lines", F.coalesce(count, F.lit(0))).withColumn("_n_removed", F.coalesce(F.size("_gone"), F.lit(0))).withColumn(text, F.when(F.col("_n_removed") > 0, F.array_join(kept, "\n")).otherwise(F.col(text))).drop("_gone")
+    removed = F.coalesce(F.size(at), F.lit(0))
+    clean = F.when(removed > 0, F.array_join(without(line_array(text), F.col(at)), "\n")).otherwise(F.col(text))
+    return out.withColumns({n_lines: F.coalesce(count, F.lit(0)), n_removed: removed, text: clean}).drop(of, at)

@@ -12,7 +12,8 @@ import uuid
 from contextlib import suppress
 
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 KEY = "spark.checkpoint.dir"
 
@@ -47,6 +48,11 @@ def own_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """All columns, also those whose names have dots."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a work folder once nothing reads it."""
     jvm = spark.sparkContext._jvm
