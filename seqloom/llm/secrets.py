@@ -6,11 +6,14 @@ candidate's log-likelihood ratio is the sum of its transitions' entries in one t
 entries whatever the samples' size, and the table travels in the plan.
 
 A match's place isn't given by Spark's functions; it follows from the lengths of the gaps that split() leaves and of the matches
-that regexp_extract_all() finds.  Texts without a match are told apart first by a cheaper test.
+that regexp_extract_all() finds, added up once along a text.  Only texts with a match are split.
+
+The ratio decides on every candidate, and has to be higher where a candidate has no digit or no letter.  A learned span inside a
+base span adds nothing and goes; one that reaches beyond stays whole, beside the base span.
 
 Edge cases: a null or empty text has no spans; a text of any length is scanned whole; spans are code points, end exclusive, of
-the whole match; repeated rows repeat; an empty table gives no rows; other columns are kept, and the operator's own columns
-replace columns of the same names.
+the whole match; spans that begin alike (ties) come by kind; a null doc_id is a row like others; repeated rows repeat; an empty
+table gives no rows; other columns are kept, whatever their names, but for those named like the two new ones.
 """
 
 from __future__ import annotations
@@ -20,19 +23,22 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Fixed kinds: name, pattern, the group whose length counts, the least length, and a literal that a text must have.
+from .shared import own_name
+
+# Fixed kinds: name, pattern, and the least length of its second group, if that counts.  A run of too few letters holds no long
+# one, so that the least lengths of the others are in their patterns; a short assignment takes up what a later one might begin with.
 KINDS = [
-    ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, None),
-    ("access", r"AKIA[A-Z0-9]+", 0, 16, "AKIA"),
-    ("hex", r"[0-9a-f]+", 0, 32, None),
+    ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8),
+    ("access", r"AKIA[A-Z0-9]{12,}", None),
+    ("hex", r"[0-9a-f]{32,}", None),
 ]
-LONG_HEX = r"[0-9a-f]{32}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 LEARNED = "markov"
 NAMES = [k[0] for k in KINDS] + [LEARNED]
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SPANS = "array<struct<start:int,kind:int,end:int>>"
 REPLACEMENT = "[SECRET]"
+UNMIXED = 2.0  # times the ratio that candidates with digits and letters need
 
 # Parts of the ordinary identifiers that the default samples are made of.
 PARTS = "get set user name value index count list item file path data key page line text node size type first last time date max min new old left right main test view model form base code read write open close start stop send call event error state table column row total price order sum group width height image color button click handle update delete create parse build load save cache query result config option default string number".split()
@@ -81,45 +87,46 @@ def ratio(text: Column, table: list[float]) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(text) - 1), F.lit(0.0), lambda s, i: s + F.get(cells, (at(i) * k + at(i + 1)).cast("int")))
 
 
-def _places(gaps: Column, sizes: Column, i: Column) -> Column:
-    """Where the i-th match begins: behind the gaps up to it and the matches before it."""
-    add = lambda x: F.aggregate(x, F.lit(0), lambda a, b: a + b)
-    return add(F.slice(gaps, F.lit(1), i + 1)) + add(F.slice(sizes, F.lit(1), i))
-
-
-def _found(df: DataFrame, text: str, out: str, kind: int, pattern: str, test: Column, counted: int, keep) -> DataFrame:
-    """A column of spans of the matches that ``keep`` (of a match's counted group) accepts."""
-    df = df.withColumn("_hit", F.when(test, F.regexp_extract_all(text, F.lit(pattern), F.lit(counted))))
-    df = df.withColumn("_good", F.filter(F.transform("_hit", lambda x, i: F.struct(i.alias("i"), keep(x).alias("ok"))), lambda s: s["ok"]))
-    some = F.size("_good") > 0
-    sizes = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
-    df = df.withColumn("_gaps", F.when(some, F.transform(F.split(text, pattern, -1), F.length))).withColumn("_sizes", F.when(some, sizes))
+def _found(df: DataFrame, text: str, out: str, kind: int, pattern: str, keep) -> DataFrame:
+    """A column of spans of the matches that ``keep`` accepts."""
+    hits, gaps = own_name(df, "hits"), own_name(df, "gaps")
+    df = df.withColumn(hits, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    df = df.withColumn(gaps, F.when(F.exists(hits, keep), F.split(text, pattern, -1)))
+    each = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(F.length(g).alias("gap"), F.length(h).alias("size"), keep(h).alias("ok")))
+    none = F.array().cast(SPANS)
 
-    def span(s: Column) -> Column:
-        start = _places(F.col("_gaps"), F.col("_sizes"), s["i"])
-        return F.struct(start.cast("int").alias("start"), F.lit(kind).alias("kind"), (start + F.get("_sizes", s["i"])).cast("int").alias("end"))
+    def step(a: Column, x: Column) -> Column:
+        start = a["at"] + x["gap"]
+        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + x["size"]).alias("end"))
+        return F.struct((start + x["size"]).alias("at"), F.when(x["ok"], F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
 
-    return df.withColumn(out, F.coalesce(F.when(some, F.transform("_good", span)), F.array().cast(SPANS))).drop("_hit", "_good", "_gaps", "_sizes")
+    spans = F.aggregate(each, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
+    return df.withColumn(out, F.coalesce(F.when(F.col(gaps).isNotNull(), spans), none)).drop(hits, gaps)
 
 
-def scan(docs: DataFrame, table: list[float], text: str = "text", least_ratio: float = 20.0, least_mean: float = 0.8) -> DataFrame:
-    """The documents with ``base`` and ``spans``: arrays of (start, kind, end) in order, a kind being a place in NAMES.
+def scan(docs: DataFrame, table: list[float], text: str = "text", least_ratio: float = 20.0, least_mean: float = 0.8, base: str = "base", spans: str = "spans") -> DataFrame:
+    """The documents with ``base`` and ``spans``: arrays of (start, kind, end) in order, a kind being a place in NAMES."""
+    docs = docs.drop(base, spans)
+    own = own_name(docs, "scanned")
+    df = docs.withColumn(own, F.coalesce(F.col(text), F.lit("")))
+    kinds = []
+    for k, (name, pattern, least) in enumerate(KINDS):
+        kinds.append(own_name(df, name))
+        df = _found(df, own, kinds[-1], k, pattern, _long_enough(pattern, least))
+    learned = own_name(df, "learned")
+    df = _found(df, own, learned, len(KINDS), CANDIDATE, lambda x: _random_looking(x, table, least_ratio, least_mean))
+    df = df.withColumn(base, F.array_sort(F.concat(*kinds)))
+    beyond = F.filter(learned, lambda s: ~F.exists(base, lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
+    return df.withColumn(spans, F.array_sort(F.concat(base, beyond))).drop(own, learned, *kinds)
 
-    A candidate without a digit or with one kind of letters only is no secret, nor is one inside a base span."""
-    df = docs.drop("base", "spans").withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    for k, (name, pattern, counted, least, literal) in enumerate(KINDS):
-        test = F.contains("_text", F.lit(literal)) if literal else F.col("_text").rlike(LONG_HEX) if name == "hex" else F.col("_text").rlike(pattern)
-        df = _found(df, "_text", f"_{name}", k, pattern, test, counted, lambda x, least=least: F.length(x) >= least)
 
-    df = _found(df, "_text", "_learned", len(KINDS), CANDIDATE, F.col("_text").rlike(CANDIDATE), 0, lambda x: _random_looking(x, table, least_ratio, least_mean))
-    df = df.withColumn("base", F.array_sort(F.concat(*(f"_{k[0]}" for k in KINDS))))
-    apart = F.filter("_learned", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return df.withColumn("spans", F.array_sort(F.concat("base", apart))).drop("_text", "_learned", *(f"_{k[0]}" for k in KINDS))
+def _long_enough(pattern: str, least: int | None):
+    return lambda x: F.length(F.regexp_extract(x, pattern, 2)) >= least if least else F.lit(True)
 
 
 def _random_looking(x: Column, table: list[float], least_ratio: float, least_mean: float) -> Column:
     mixed = x.rlike("[0-9]") & x.rlike("[A-Za-z]")
-    return F.when(mixed, ratio(x, table) >= F.greatest(F.lit(least_ratio), F.length(x) * least_mean)).otherwise(F.lit(False))
+    return ratio(x, table) >= F.greatest(F.lit(least_ratio), F.length(x) * least_mean) * F.when(mixed, 1.0).otherwise(UNMIXED)
 
 
 def spans_text(spans: Column | str) -> Column:
@@ -128,7 +135,7 @@ def spans_text(spans: Column | str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
-def redact(scanned: DataFrame, text: str = "text") -> DataFrame:
+def redact(scanned: DataFrame, text: str = "text", base: str = "base", spans: str = "spans") -> DataFrame:
     """Texts with each run of overlapping spans replaced; ``base`` and ``spans`` go.  A text without spans stays as it is."""
     own = F.col(text)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
@@ -137,5 +144,5 @@ def redact(scanned: DataFrame, text: str = "text") -> DataFrame:
         apart = F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(own, a["at"] + 1, s["start"] - a["at"]), F.lit(REPLACEMENT)).alias("out"))
         return F.when(s["start"] >= a["at"], apart).otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out")))
 
-    clean = F.aggregate("spans", start, step, lambda a: F.concat(a["out"], F.substring(own, a["at"] + 1, F.length(own))))
-    return scanned.withColumn(text, F.when(F.size("spans") > 0, clean).otherwise(own)).drop("base", "spans")
+    clean = F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(own, a["at"] + 1, F.length(own))))
+    return scanned.withColumn(text, F.when(F.size(spans) > 0, clean).otherwise(own)).drop(base, spans)
