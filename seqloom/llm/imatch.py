@@ -2,15 +2,16 @@
 
 Terms are white-space words in lower case, as 64-bit hashes.  The lexicon holds the terms whose document frequency lies
 within a band of shares of all documents.  A fingerprint has a 32-bit hash for each of SUBSETS random subsets of the lexicon: of the
-text's distinct terms in the subset, in order.  A hash of the term deals each to one subset, so that the subsets cover the lexicon.  Two texts' likeness is the share of equal hashes among the subsets in which
-either has a term.
+text's distinct terms in the subset, in order.  A hash of the term deals each to one subset, so that the subsets cover the
+lexicon.  Two texts' likeness is the share of equal hashes among the subsets in which either has a term.
 
 The lexicon is bounded: with P distinct (document, term) pairs in N documents at most P / (low * N) terms reach a share of
 ``low``, which is the mean number of distinct terms divided by ``low``, at any corpus size.  Its size is checked before it is
 broadcast; a larger one is joined by shuffling.  Only a text's terms of the band are gathered, in its own map task.
 
-Edge cases: a null text is empty; a text without a term in the band is fingerprinted as a whole; equal
-texts have equal fingerprints; rows with equal ids are ordered by text; the document after the last is the first, and a lone document's next is itself; an empty table gives no rows; other columns are ignored.
+Edge cases: a null text is empty; a very long one is read whole; a text without a term in the band is fingerprinted as a whole;
+equal texts have equal fingerprints; rows with equal ids (ties) are ordered by text; null ids come last; the document after the last
+is the first, and a lone document's next is itself; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,8 +40,12 @@ def lexicon(docs: DataFrame, path: str, low: float, high: float, text: str = "te
     rows = docs.select(F.explode(F.array_distinct(words(F.coalesce(F.col(text), F.lit(""))))).alias("word")).where("word <> ''")
     counts = rows.select(F.xxhash64("word").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     n = docs.count()
-    band = stage(counts.where((F.col("df") >= max(1.0, low * n)) & (F.col("df") <= max(1.0, high * n))).select("term"), f"{path}/band")
-    return stage(band.withColumn("place", F.row_number().over(Window.orderBy("term"))), f"{path}/lexicon")  # bounded, see above
+    # places by ranges of terms: each range numbers its own, behind the sizes of those before
+    band = stage(counts.where((F.col("df") >= max(1.0, low * n)) & (F.col("df") <= max(1.0, high * n))).select("term").repartitionByRange("term").withColumn("range", F.spark_partition_id()), f"{path}/band")
+    sizes = band.groupBy("range").agg(F.count("*").alias("n"))
+    before = sizes.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("range").orderBy("term"))
+    return stage(band.withColumn("own", own).join(before, "range").select("term", (F.col("before") + F.col("own")).cast("int").alias("place")), f"{path}/lexicon")
 
 
 def fingerprints(texts: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
