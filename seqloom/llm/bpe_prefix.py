@@ -5,8 +5,9 @@ encoding of both their bytes together is just these two; then exactly one token
 of what is before it.  So a byte can be appended without looking at more than the longest token's bytes, dropped by forgetting
 table entries, and an edit needs new entries only until they fall in step with the old ones.
 
-Edge cases: null and empty texts have no tokens; repeated rows repeat; an empty table gives no rows; any other columns, also
-ones called ``ids``, are kept out of the result.
+Edge cases: null and empty texts have no tokens; very long texts are encoded whole (a lone surrogate can't be: Spark's strings are
+UTF-8); a prefix has one valid last token, so that there are no ties; a null doc_id stays null; repeated rows repeat; an empty table
+gives no rows; any other columns, also ones called ``ids``, are kept out of the result.
 """
 
 from __future__ import annotations

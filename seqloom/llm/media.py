@@ -7,8 +7,9 @@ rows and tasks that met it: all rows with equal payloads carry the same place.
 that several tasks met lies in a shard of each, at most once a task; only one copy is named.)  Metadata come from reads of the
 first 33 bytes at each offset; a whole payload is read only when features are wanted.
 
-Edge cases: a null text is empty; an empty payload is one row of padding; repeated rows share a stored payload; an empty table
-makes no shard; other columns are ignored.
+Edge cases: a null text is empty; an empty payload is one row of padding; a very long text is one payload; repeated rows share a
+stored payload, and of several places (ties) the catalog names the least; a null doc_id stays null; an empty table makes no shard;
+other columns are ignored.
 """
 
 from __future__ import annotations

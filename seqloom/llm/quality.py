@@ -9,7 +9,9 @@ Training uses at most ``max_rows`` labelled texts (a documented bound; 20,000 ro
 scoring reads every whole text, in one pass without a shuffle.  Labels, language, source and ids are never features.
 
 Edge cases: a null or empty text has features 0 and gets a score like any other; without labels, or with one class only, the
-score is the (smoothed) share of label 1; repeated rows repeat; an empty table gives no rows; other columns are ignored.
+score is the (smoothed) share of label 1; repeated rows repeat (in training, a repeated doc_id counts once); a null doc_id is scored
+and never learned from; very long texts are read whole; ties have equal scores; an empty table gives no rows; other columns are
+ignored by score() and kept, whatever their names, by keep().
 """
 
 from __future__ import annotations
@@ -234,9 +236,9 @@ def score(docs: DataFrame, model: AdditiveModel) -> DataFrame:
     return cols.mapInArrow(partial(_score, model=model), SCORED)
 
 
-def _keep(batches: Iterator[pa.RecordBatch], model: AdditiveModel, least: float) -> Iterator[pa.RecordBatch]:
+def _keep(batches: Iterator[pa.RecordBatch], model: AdditiveModel, least: float, text: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        raw, off = column_bytes(batch.column(batch.schema.get_field_index("text")))
+        raw, off = column_bytes(batch.column(text))
         out = [model.score(features(raw[off[a] : off[b]], off[a : b + 1] - off[a])) for a, b in slices(off)]
         if out:
             yield batch.filter(pa.array(np.concatenate(out) >= least))
@@ -244,4 +246,5 @@ def _keep(batches: Iterator[pa.RecordBatch], model: AdditiveModel, least: float)
 
 def keep(docs: DataFrame, model: AdditiveModel, least: float = 0.3) -> DataFrame:
     """The documents, with all their columns, that score at least ``least``."""
-    return docs.mapInArrow(partial(_keep, model=model, least=least), docs.schema)
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # names with dots can't be handed to Python
+    return plain.mapInArrow(partial(_keep, model=model, least=least, text=docs.columns.index("text")), plain.schema).toDF(*docs.columns)
