@@ -2,6 +2,11 @@
 
 Quality (rejected documents go), line dedup (cross-site boilerplate lines go), near-dedup (one document of each group stays),
 secret scan (secrets are replaced) and packing (token sequences).  All but the last return the columns of documents.
+
+Edge cases, the same in every stage: a null text counts as empty and stays null; very long texts are taken whole; a null doc_id
+is kept (the near-dedup stage never takes such a row for a copy); repeated rows are treated alike, so that they stay or go
+together; ties are decided by the smaller doc_id and the earlier line; an empty table gives no rows; columns that documents have
+besides doc_id, text, lang, source and n_chars, whatever their names, are handed on until the last stage.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import functions as F
 
 from seqloom.llm import linededup, neardup, packing, quality, secrets
 from seqloom.llm.queries import table, tokenizer_file
-from seqloom.llm.shared import stage, work_dir
+from seqloom.llm.shared import columns, own_name, stage, work_dir
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,9 +29,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take out lines that stand on three sites or more, but for their first occurrence; a document with nothing left goes."""
-    out = linededup.remove(docs, work_dir(spark, "pipeline-lines"), site="source", min_sites=3, min_chars=1)
-    gone = (F.col("_n_removed") > 0) & (F.col("_n_removed") >= F.col("_n_lines"))
-    return out.where(~gone).withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    lines, removed = own_name(docs, "lines_seen"), own_name(docs, "lines_removed")
+    out = linededup.remove(docs, work_dir(spark, "pipeline-lines"), site="source", min_sites=3, min_chars=1, n_lines=lines, n_removed=removed)
+    some = F.col(removed) > 0
+    out = out.where(~(some & (F.col(removed) >= F.col(lines))))
+    return out.withColumn("n_chars", F.when(some, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*columns(docs))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,10 +43,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace secrets; every document stays."""
-    found = secrets.scan(docs, secrets.train(secrets.default_samples(spark)))
-    some = F.col("_some")
-    out = secrets.redact(found.withColumn("_some", F.size("spans") > 0))
-    return out.withColumn("n_chars", F.when(some, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    names = {"base": own_name(docs, "base_spans"), "spans": own_name(docs, "secret_spans")}
+    found = secrets.scan(docs, secrets.train(secrets.default_samples(spark)), **names)
+    some = own_name(found, "with_secrets")
+    out = secrets.redact(found.withColumn(some, F.size(names["spans"]) > 0), **names)
+    return out.withColumn("n_chars", F.when(F.col(some), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*columns(docs))
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
