@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from concurrent.futures import ThreadPoolExecutor
 from copy import copy
 from dataclasses import dataclass, field
 
@@ -32,6 +33,8 @@ MODULES = [
     ("kmer_content", "Kmer Content", "kmer", "Identifies short sequences which have uneven representation"),
 ]
 
+TOGETHER = 4  # modules whose jobs run at the same time
+
 
 @dataclass
 class Module:
@@ -95,9 +98,10 @@ def collect(reads: DataFrame, config: QcConfig) -> dict[str, dict[str, list]]:
         frames["kmer_series"] = sequences.kmer_series(rows, frames["kmer"])
         frames["kmer_groups"] = rows.select("file_name", "grp", "label").distinct().orderBy("grp")
     out: dict[str, dict[str, list]] = defaultdict(lambda: defaultdict(list))
-    for name, df in frames.items():
-        for r in df.collect():
-            out[r["file_name"]][name].append(r)
+    with ThreadPoolExecutor(TOGETHER) as pool:  # small jobs fill each other's gaps
+        for name, found in zip(frames, pool.map(DataFrame.collect, frames.values()), strict=True):
+            for r in found:
+                out[r["file_name"]][name].append(r)
     for df in (keys, cube, *enriched, *([reads] if config.keep_reads else [])):
         df.unpersist()
     return out

@@ -427,5 +427,31 @@ ORACLES["gc_deviation"] = _GC + f""", top AS (SELECT pct AS t, c AS m FROM dist
   SELECT {_SIX('sum(abs(exp(-(pct - mu) * (pct - mu) / (2 * sd * sd)) / sqrt(2 * pi() * sd * sd) * total - c)) / any_value(total) * 100')} AS deviation FROM dist, sd"""
 
 
+def _verdict_sql(module: str, query: str, fails: str, warns: str) -> str:
+    """A module's verdict over the spliced reads; the conditions are on aggregates of another query's rows."""
+    rows = ORACLES[query].replace(_R, _S, 1).replace(_V, _S, 1)
+    return f"SELECT '{module}' AS module, CASE WHEN {fails} THEN 'fail' WHEN {warns} THEN 'warn' ELSE 'pass' END AS status FROM ({rows}) x"
+
+
+_LOW = "coalesce(bool_or(NOT isnan(lower) AND lower < {} OR NOT isnan(median) AND median < {}), false)"
+_APART = "max(greatest(abs(g_percent - c_percent), abs(a_percent - t_percent))) > {}"
+ORACLES["module_verdicts"] = " UNION ALL ".join(
+    [
+        "SELECT 'basic_statistics' AS module, 'pass' AS status",
+        _verdict_sql("per_base_sequence_quality", "per_base_quality", _LOW.format(5, 20), _LOW.format(10, 25)),
+        _verdict_sql("per_tile_sequence_quality", "per_tile_quality", "max(abs(mean_deviation)) > 10", "max(abs(mean_deviation)) > 5"),
+        _verdict_sql("per_sequence_quality_scores", "quality_mode", "max(mode) < 20", "max(mode) < 27"),
+        _verdict_sql("per_base_sequence_content", "per_base_content", _APART.format(20), _APART.format(10)),
+        _verdict_sql("per_sequence_gc_content", "gc_deviation", "max(deviation) > 30", "max(deviation) > 15"),
+        _verdict_sql("per_base_n_content", "n_content", "max(n_percent) > 20", "max(n_percent) > 5"),
+        _verdict_sql("sequence_length_distribution", "length_distribution", "bool_or(label = '0' AND n > 0)", "count(*) > 1"),
+        _verdict_sql("sequence_duplication_levels", "duplication_levels", "max(deduplicated) < 50", "max(deduplicated) < 70"),
+        _verdict_sql("overrepresented_sequences", "overrepresented", "coalesce(max(percent), 0) > 1", "coalesce(max(percent), 0) > 0.1"),
+        _verdict_sql("adapter_content", "adapter_content", "max(percent) > 10", "max(percent) > 5"),
+        "SELECT 'kmer_content' AS module, 'not_applicable' AS status",
+    ]
+)
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)

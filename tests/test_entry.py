@@ -25,7 +25,7 @@ def plain(v):
     return f"{v:.6f}" if isinstance(v, int) and not isinstance(v, bool) else str(v)
 
 
-@pytest.mark.parametrize("name", ["basic_stats", "per_base_quality", "per_tile_quality", "gc_deviation", "duplication_levels", "adapter_content", "kmer_content", "contaminants", "revcomp_softclip", "trim_pairs", "per_base_content_grouped"])
+@pytest.mark.parametrize("name", [*Q.ORACLES])
 def test_queries_equal_sql(spark, con, sf_dir, name):
     df = entry.queries()[name](spark, sf_dir)
     cols = sorted(df.columns)

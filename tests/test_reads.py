@@ -323,3 +323,38 @@ def test_kmers_are_drawn_and_in_the_json(spark):
     assert all(len(x["obs_exp"]) == len(module.data["position_groups"]) for x in module.data["plot_series"])
     assert max(module.data["plot_series"][0]["obs_exp"]) == module.data["records"][0]["obs_exp_max"]
     assert figure(module).startswith("<svg")
+
+
+def test_bzip2_is_read(spark, tmp_path):
+    import bz2
+
+    (tmp_path / "r.fastq.bz2").write_bytes(bz2.compress("".join(f"@r{i}\nACGT\n+\nIIII\n" for i in range(50)).encode()))
+    assert read_fastq(spark, str(tmp_path / "r.fastq.bz2")).count() == 50
+
+
+def test_the_first_file_tells_the_adapter_for_all(spark, tmp_path):
+    from seqloom import cli
+
+    for name, adapter in (("a", "CTGTCTCTTATA"), ("b", "AGATCGGAAGAGC")):
+        (tmp_path / f"{name}.fastq").write_text("".join(f"@r{i}\n{'ACGTACGTAC' * 3}{adapter}\n+\n{'I' * (30 + len(adapter))}\n" for i in range(6)))
+    assert cli.main(["trim", str(tmp_path / "a.fastq"), str(tmp_path / "b.fastq"), "-o", f"file://{tmp_path}/out", "-s", "3"]) == 0
+    for name, adapters in (("a", 6), ("b", 0)):
+        text = "".join(r.value + "\n" for r in spark.read.text(f"{tmp_path}/out/{name}.fastq_trimming_report").collect())
+        assert "Adapter sequence: 'CTGTCTCTTATA'" in text
+        assert f"Sequences with adapters: {adapters} " in text
+
+
+def test_state_of_a_stream_as_files(spark, tmp_path):
+    from seqloom.operators.common import position_cube
+    from seqloom.operators.positions import position_quality
+    from seqloom.streaming import metrics
+
+    reads = frame(spark, ["ACGT", "GGN", "ACGTAC"])
+    for part in (reads.limit(2), reads.exceptAll(reads.limit(2))):
+        part.write.mode("append").parquet(f"{tmp_path}/in")
+    stream = metrics.cube_files(metrics.read_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/state", f"{tmp_path}/check")
+    stream.processAllAvailable()
+    stream.stop()
+    assert sorted(map(str, metrics.quality_so_far(spark, f"{tmp_path}/state").collect())) == sorted(map(str, position_quality(position_cube(reads)).collect()))
+    late = metrics.windowed_totals(reads.withColumn("came", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("read_idx") * 400)), "came")
+    assert sorted(r.reads for r in late.collect()) == [1, 2]
