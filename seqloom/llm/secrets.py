@@ -81,10 +81,16 @@ def train(samples: DataFrame, add: float = 0.5) -> list[float]:
 def ratio(text: Column, table: list[float]) -> Column:
     """The log-likelihood ratio of a string over ALPHABET."""
     k = len(ALPHABET)
-    weights = F.lit(",".join(map(str, table)))
-    cells = F.transform(F.split(weights, ","), lambda x: x.cast("double"))  # constant: folded once
-    at = lambda i: F.instr(F.lit(ALPHABET), F.substring(text, i, F.lit(1))) - 1
-    return F.aggregate(F.sequence(F.lit(1), F.length(text) - 1), F.lit(0.0), lambda s, i: s + F.get(cells, (at(i) * k + at(i + 1)).cast("int")))
+    numbers = lambda x: F.split(F.lit(",".join(map(str, x))), ",")  # noqa: E731  constants: folded once
+    cells = F.transform(numbers(table), lambda x: x.cast("double"))
+    places = F.transform(numbers(max(0, ALPHABET.find(chr(c))) for c in range(128)), lambda x: x.cast("int"))
+    start = F.struct(F.lit(-1).alias("before"), F.lit(0.0).alias("sum"))
+
+    def step(s: Column, c: Column) -> Column:
+        at = F.get(places, F.ascii(c))
+        return F.struct(at.alias("before"), F.when(s["before"] >= 0, s["sum"] + F.get(cells, s["before"] * k + at)).otherwise(s["sum"]).alias("sum"))
+
+    return F.aggregate(F.split(text, ""), start, step, lambda s: s["sum"])
 
 
 def _found(df: DataFrame, text: str, out: str, kind: int, pattern: str, keep) -> DataFrame:
