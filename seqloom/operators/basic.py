@@ -111,26 +111,25 @@ def gc_claims(counts: DataFrame) -> DataFrame:
     """Beside each (len, gc): pct and weight, the percentages that this GC count stands for.
 
     A count claims the percentages from half a base below to half a base above; a percentage that several counts of a length claim
-    is shared among them: those about pct * len / 100 are asked."""
+    is shared among them: those about pct * len / 100 are asked.  A row without a length stands for nothing, at -1."""
     n, pct = F.col("len"), F.col("pct")
     half = lambda x: F.floor(x * 100.0 / n + 0.5).cast("int")
     low = lambda g: half(F.greatest(g - 0.5, F.lit(0.0)))
     high = lambda g: half(F.least(g + 0.5, n.cast("double")))
-    rows = counts.withColumn("pct", F.explode(F.sequence(low(F.col("gc")), high(F.col("gc")))))
+    rows = counts.withColumn("pct", F.explode(F.when(n > 0, F.sequence(low(F.col("gc")), high(F.col("gc")))).otherwise(F.array(F.lit(-1)))))
     near = F.sequence(F.greatest(F.floor((pct - 0.5) * n / 100) - 2, F.lit(0).cast("long")), F.least(F.ceil((pct + 0.5) * n / 100) + 2, n.cast("long")))
     shared = F.size(F.filter(near, lambda g: (low(g) <= pct) & (pct <= high(g))))
-    return rows.withColumn("weight", F.lit(1.0) / shared)
+    return rows.withColumn("weight", F.when(pct >= 0, F.lit(1.0) / shared).otherwise(F.lit(0.0)))
 
 
 def gc_distribution(reads: DataFrame) -> DataFrame:
     """(file_name, pct, count) for 0 to 100, also for a file all of whose reads are filtered."""
     part = F.when(~F.col("is_filtered"), R.gc_part(F.col("sequence")))
     counts = reads.select("file_name", part.alias("part")).groupBy("file_name", F.length("part").alias("len"), R.gc_count(F.col("part")).alias("gc")).agg(F.count("*").alias("n"))
-    claims = gc_claims(counts.where("len > 0"))
+    claims = gc_claims(counts)
     # equal weights are added as whole numbers first, so that the sums don't depend on the order of rows
     found = claims.groupBy("file_name", "pct", "weight").agg(F.sum("n").alias("n")).groupBy("file_name", "pct").agg(F.sum(F.col("n") * F.col("weight")).alias("count"))
-    every = counts.where("len IS NULL OR len = 0").select("file_name").distinct().select("file_name", F.lit(0).alias("pct"), F.lit(0.0).alias("count"))
-    by_file = found.unionByName(every).groupBy("file_name", "pct").agg(F.sum("count").alias("count")).groupBy("file_name").agg(F.map_from_entries(F.collect_list(F.struct("pct", "count"))).alias("own"))  # 101 at most
+    by_file = found.groupBy("file_name").agg(F.map_from_entries(F.collect_list(F.struct("pct", "count"))).alias("own"))  # 102 at most
     return by_file.select("file_name", "own", F.explode(F.sequence(F.lit(0), F.lit(100))).alias("pct")).select("file_name", "pct", F.coalesce(F.try_element_at("own", F.col("pct")), F.lit(0.0)).alias("count"))
 
 

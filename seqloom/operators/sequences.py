@@ -89,27 +89,28 @@ def overrepresented(reads: DataFrame, config: QcConfig, keys: DataFrame | None =
     return out.withColumn("source", possible_source(F.col("sequence"), config.contaminants)).orderBy("file_name", F.desc("n"), "sequence")
 
 
-def adapter_hits(reads: DataFrame, config: QcConfig) -> DataFrame:
-    """(file_name, worker, adapter, at, n): reads by the first place of each adapter."""
+def adapter_places(reads: DataFrame, config: QcConfig) -> DataFrame:
+    """(file_name, worker, adapter, at, n): reads by the first place of each adapter, and by their length as adapter -1."""
     longest = max((len(s) for _, s in config.adapters), default=0)
-    rows = unfiltered(reads).select("file_name", "read_idx", worker(config.compat).alias("worker"), F.length("sequence").alias("len"), F.array(*(R.find_position(F.col("sequence"), s) for _, s in config.adapters)).alias("ats"))
+    rows = unfiltered(reads).select("file_name", "read_idx", worker(config.compat).alias("worker"), F.length("sequence").alias("len"), F.array(*(F.instr("sequence", F.lit(s)) - 1 for _, s in config.adapters)).cast("array<int>").alias("ats"))
     if config.compat and len({len(s) for _, s in config.adapters}) > 1:
         # with adapters of several lengths a hit beyond what the longest read so far allows is lost
         so_far = F.max("len").over(Window.partitionBy("file_name", "worker").orderBy("read_idx").rowsBetween(Window.unboundedPreceding, 0))
-        rows = rows.withColumn("_most", so_far).withColumn("ats", F.transform("ats", lambda a: F.when(a <= F.greatest(F.col("_most") - longest, F.lit(0)), a)))
-    return rows.select("file_name", "worker", F.posexplode("ats").alias("adapter", "at")).where("at IS NOT NULL").groupBy("file_name", "worker", "adapter", "at").agg(F.count("*").alias("n"))
+        rows = rows.withColumn("_most", so_far).withColumn("ats", F.transform("ats", lambda a: F.when(a <= F.greatest(F.col("_most") - longest, F.lit(0)), a).otherwise(-1)))
+    hits = F.filter(F.transform("ats", lambda a, i: F.struct(i.alias("adapter"), a.alias("at"))), lambda h: h["at"] >= 0)
+    size = F.array(F.struct(F.lit(-1).alias("adapter"), F.col("len").alias("at")))
+    return rows.select("file_name", "worker", F.inline(F.concat(size, hits))).groupBy("file_name", "worker", "adapter", "at").agg(F.count("*").alias("n"))
 
 
 def adapter_content(reads: DataFrame, config: QcConfig) -> DataFrame:
     """(file_name, adapter, name, grp, label, percent): reads in which the adapter began up to a position, averaged over the
     group's width.  A worker's reads count up to the last position that its longest read allows."""
     longest = max((len(s) for _, s in config.adapters), default=0)
-    own = unfiltered(reads)
-    sizes = own.groupBy("file_name", worker(config.compat).alias("worker")).agg(F.max(F.length("sequence")).alias("most"), F.count("*").alias("n"))
+    hits = adapter_places(reads, config)
+    sizes = hits.where("adapter < 0").groupBy("file_name", "worker").agg(F.max("at").alias("most"), F.sum("n").alias("n"))
     of = Window.partitionBy("file_name")  # a row a worker
     sizes = sizes.withColumn("last", F.when(F.col("most") > longest, F.col("most") - longest).otherwise(0))
     sizes = sizes.withColumns({"total": F.sum("n").over(of), "top": F.max("last").over(of) + 1})
-    hits = adapter_hits(reads, config)
     places = sizes.select("file_name", "worker", "total", "top", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("at"))
     each = places.withColumn("adapter", F.explode(F.sequence(F.lit(0), F.lit(len(config.adapters) - 1))))
     filled = each.join(hits, ["file_name", "worker", "adapter", "at"], "left")
@@ -186,4 +187,4 @@ def kmer_series(enriched: DataFrame, content: DataFrame) -> DataFrame:
     return enriched.select("file_name", "kmer", "grp", "ratio").join(F.broadcast(drawn), ["file_name", "kmer"]).orderBy("file_name", "rank", "grp")
 
 
-__all__ = ["adapter_content", "adapter_hits", "contaminant_hit", "duplication", "duplication_histogram", "key_counts", "kmer_content", "kmer_counts", "kmer_enrichment", "kmer_series", "overrepresented", "possible_source"]
+__all__ = ["adapter_content", "adapter_places", "contaminant_hit", "duplication", "duplication_histogram", "key_counts", "kmer_content", "kmer_counts", "kmer_enrichment", "kmer_series", "overrepresented", "possible_source"]
