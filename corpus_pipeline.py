@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from seqloom.llm import linededup, neardup, packing, quality, secrets
 from seqloom.llm.queries import table, tokenizer_file
-from seqloom.llm.shared import columns, own_name, stage, work_dir
+from seqloom.llm.shared import columns, own_name, remove, stage, work_dir
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +65,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     folder = work_dir(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, step in STAGES:
         docs = stage(step(spark, docs, sf_dir), f"{folder}/{name}")
+        if last:  # nothing reads the stage before any more
+            remove(spark, last)
+        last = f"{folder}/{name}"
     return docs
