@@ -44,7 +44,12 @@ def parser() -> argparse.ArgumentParser:
     trim.add_argument("--preset", choices=[*PRESETS])
     trim.add_argument("-s", "--stringency", type=int, default=1)
     trim.add_argument("-e", "--error-rate", type=float, default=0.1)
-    for name, kind in (("length", int), ("max-length", int), ("max-n", float), ("clip-r1", int), ("clip-r2", int), ("three-prime-clip-r1", int), ("three-prime-clip-r2", int), ("length-1", int), ("length-2", int), ("nextseq", int), ("consider-already-trimmed", int), ("hardtrim5", int), ("hardtrim3", int), ("basename", str)):
+    for name, kind in (
+        ("length", int), ("max-length", int), ("max-n", float), ("clip-r1", int), ("clip-r2", int),
+        ("three-prime-clip-r1", int), ("three-prime-clip-r2", int), ("length-1", int), ("length-2", int),
+        ("nextseq", int), ("consider-already-trimmed", int), ("hardtrim5", int), ("hardtrim3", int),
+        ("basename", str)
+    ):
         trim.add_argument(f"--{name}", type=kind, default=getattr(TrimConfig, name.replace("-", "_")))
     for name in ("phred64", "trim-n", "rename", "paired", "retain-unpaired", "rrbs", "non-directional", "gzip", "dont-gzip", "no-report-file", "qc"):
         trim.add_argument(f"--{name}", action="store_true")

@@ -42,7 +42,9 @@ def colorspace_to_bases(seq: Column) -> Column:
         return F.concat(state, F.when(before == "N", F.lit("N")).otherwise(next_base))
 
     colours = F.split(F.substring(seq, F.lit(2), F.length(seq)), "")
-    return F.when(F.length(seq) < 2, F.lit("")).otherwise(F.aggregate(colours, upper_ascii(F.substring(seq, F.lit(1), F.lit(1))), step, lambda s: F.substring(s, F.lit(2), F.length(s))))
+    return F.when(F.length(seq) < 2, F.lit("")).otherwise(
+        F.aggregate(colours, upper_ascii(F.substring(seq, F.lit(1), F.lit(1))), step, lambda s: F.substring(s, F.lit(2), F.length(s)))
+    )
 
 
 def soft_clip_sizes(cigar: Column) -> tuple[Column, Column]:

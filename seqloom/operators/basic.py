@@ -33,7 +33,13 @@ def basic_statistics(reads: DataFrame, compat: bool = True) -> DataFrame:
         F.min(F.when(own & (F.length(seq) > 0) & (F.length("quality") > 0), F.ascii(F.array_min(F.split("quality", ""))))).alias("lowest"),
     )
     least = F.coalesce(F.min(F.when(F.col("least") > 0, F.col("least"))), F.lit(0)) if compat else F.coalesce(F.min("least"), F.lit(0))
-    out = per.groupBy("file_name").agg(F.sum("total").alias("total_sequences"), F.sum("filtered").alias("filtered_sequences"), F.sum("bases").alias("total_bases"), least.alias("min_length"), F.coalesce(F.max("most"), F.lit(0)).alias("max_length"), F.sum("gc").alias("gc"), F.sum("acgt").alias("acgt"), F.coalesce(F.max("coloured"), F.lit(False)).alias("coloured"), F.coalesce(F.min("lowest"), F.lit(126)).alias("lowest"))
+    out = per.groupBy("file_name").agg(
+        F.sum("total").alias("total_sequences"), F.sum("filtered").alias("filtered_sequences"),
+        F.sum("bases").alias("total_bases"), least.alias("min_length"),
+        F.coalesce(F.max("most"), F.lit(0)).alias("max_length"), F.sum("gc").alias("gc"),
+        F.sum("acgt").alias("acgt"), F.coalesce(F.max("coloured"), F.lit(False)).alias("coloured"),
+        F.coalesce(F.min("lowest"), F.lit(126)).alias("lowest")
+    )
     return out.select(
         "file_name",
         F.when(F.col("coloured"), "Colorspace converted to bases").otherwise("Conventional base calls").alias("file_type"),
@@ -60,12 +66,17 @@ def _mean_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lowest[name] = min(lowest.get(name, 255), int(code.min()))
     for name, least in lowest.items():
         keys, n = found.merged(name)
-        yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys.astype(np.int32)), pa.array(n), pa.array(np.full(len(keys), least, np.int32))], ["file_name", "code", "n", "least"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([name] * len(keys), pa.string()), pa.array(keys.astype(np.int32)), pa.array(n), pa.array(np.full(len(keys), least, np.int32))],
+            ["file_name", "code", "n", "least"]
+        )
 
 
 def sequence_quality(reads: DataFrame) -> DataFrame:
     """(file_name, quality, n): reads by whole mean quality, from this module's own lowest mean code."""
-    rows = unfiltered(reads).where(F.length("quality") > 0).select("file_name", "quality").mapInArrow(_mean_codes, "file_name string, code int, n long, least int")
+    rows = unfiltered(reads).where(F.length("quality") > 0).select("file_name", "quality").mapInArrow(
+        _mean_codes, "file_name string, code int, n long, least int"
+    )
     counts = rows.groupBy("file_name", "code").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
     least = F.min("least").over(Window.partitionBy("file_name"))
     return counts.select("file_name", (F.col("code") - R.phred_offset(least)).alias("quality"), "n")
@@ -96,7 +107,9 @@ def length_distribution(reads: DataFrame) -> DataFrame:
     binned = counts.groupBy("file_name", "least", "most", "width", lo.alias("lo")).agg(F.sum("n").alias("n"))
     # some hundred bins a file at most
     bins = binned.groupBy("file_name", "least", "most", "width").agg(F.map_from_entries(F.collect_list(F.struct("lo", "n"))).alias("own"))
-    every = bins.select("file_name", "most", "width", "own", F.explode(F.sequence("least", "most", "width")).alias("lo")).withColumn("hi", F.least(F.col("lo") + F.col("width") - 1, F.col("most")))
+    every = bins.select(
+        "file_name", "most", "width", "own", F.explode(F.sequence("least", "most", "width")).alias("lo")
+    ).withColumn("hi", F.least(F.col("lo") + F.col("width") - 1, F.col("most")))
     text = F.when(F.col("lo") == F.col("hi"), F.col("lo").cast("string")).otherwise(F.concat_ws("-", "lo", "hi"))
     return every.select("file_name", "lo", "hi", text.alias("label"), F.coalesce(F.try_element_at("own", F.col("lo")), F.lit(0)).alias("n"))
 
@@ -125,12 +138,18 @@ def gc_claims(counts: DataFrame) -> DataFrame:
 def gc_distribution(reads: DataFrame) -> DataFrame:
     """(file_name, pct, count) for 0 to 100, also for a file all of whose reads are filtered."""
     part = F.when(~F.col("is_filtered"), R.gc_part(F.col("sequence")))
-    counts = reads.select("file_name", part.alias("part")).groupBy("file_name", F.length("part").alias("len"), R.gc_count(F.col("part")).alias("gc")).agg(F.count("*").alias("n"))
+    counts = reads.select("file_name", part.alias("part")).groupBy(
+        "file_name", F.length("part").alias("len"), R.gc_count(F.col("part")).alias("gc")
+    ).agg(F.count("*").alias("n"))
     claims = gc_claims(counts)
     # equal weights are added as whole numbers first, so that the sums don't depend on the order of rows
-    found = claims.groupBy("file_name", "pct", "weight").agg(F.sum("n").alias("n")).groupBy("file_name", "pct").agg(F.sum(F.col("n") * F.col("weight")).alias("count"))
+    found = claims.groupBy("file_name", "pct", "weight").agg(F.sum("n").alias("n")).groupBy("file_name", "pct").agg(
+        F.sum(F.col("n") * F.col("weight")).alias("count")
+    )
     by_file = found.groupBy("file_name").agg(F.map_from_entries(F.collect_list(F.struct("pct", "count"))).alias("own"))  # 102 at most
-    return by_file.select("file_name", "own", F.explode(F.sequence(F.lit(0), F.lit(100))).alias("pct")).select("file_name", "pct", F.coalesce(F.try_element_at("own", F.col("pct")), F.lit(0.0)).alias("count"))
+    return by_file.select("file_name", "own", F.explode(F.sequence(F.lit(0), F.lit(100))).alias("pct")).select(
+        "file_name", "pct", F.coalesce(F.try_element_at("own", F.col("pct")), F.lit(0.0)).alias("count")
+    )
 
 
 def gc_fitted(distribution: DataFrame) -> DataFrame:

@@ -42,9 +42,14 @@ def _skipped(reads: DataFrame, skip: Column, compat: bool) -> DataFrame:
     batch = F.floor(F.col("read_idx") / BATCH)
     gone = reads.where(skip).groupBy("file_name", batch.alias("_batch")).agg(F.count("*").alias("_n"), F.collect_list("read_idx").alias("_gone"))
     ends = reads.groupBy("file_name").agg(F.max(batch).alias("_last")).join(gone.select("file_name").distinct(), "file_name")
-    spans = ends.select("file_name", "_last", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_last") / SPAN))).alias("_at")).repartition("file_name", "_at")
+    spans = ends.select(
+        "file_name", "_last",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_last") / SPAN))).alias("_at")
+    ).repartition("file_name", "_at")
     every = spans.select("file_name", F.explode(F.sequence(F.col("_at") * SPAN, F.least(F.col("_at") * SPAN + SPAN - 1, F.col("_last")))).alias("_batch"))
-    sizes = every.join(gone, ["file_name", "_batch"], "left").withColumn("_n", F.coalesce("_n", F.lit(0))).withColumn("_worker", F.col("_batch") % WORKERS if compat else F.lit(0))
+    sizes = every.join(gone, ["file_name", "_batch"], "left").withColumn("_n", F.coalesce("_n", F.lit(0))).withColumn(
+        "_worker", F.col("_batch") % WORKERS if compat else F.lit(0)
+    )
     return _upto(sizes, ["file_name", "_worker"], "_batch", "_n", "_before").select("file_name", "_batch", "_before", "_gone")
 
 
@@ -62,7 +67,10 @@ def with_ordinal(reads: DataFrame, name: str, compat: bool, skip: Column | None
         rows = rows.join(_skipped(reads, skip, compat), keys, "left")
         place = (F.floor(F.col("_batch") / WORKERS) * BATCH + idx % BATCH if compat else idx) + 1
         inside = F.coalesce(F.size(F.filter("_gone", lambda x: x < idx)), F.lit(0))
-        return rows.withColumn(name, place - F.coalesce("_before", F.lit(0)) - F.when(F.col("_gone").isNull(), 0).otherwise(inside)).drop("_batch", "_before", "_gone")
+        return rows.withColumn(
+            name,
+            place - F.coalesce("_before", F.lit(0)) - F.when(F.col("_gone").isNull(), 0).otherwise(inside)
+        ).drop("_batch", "_before", "_gone")
     sizes = rows.withColumn("_worker", worker(compat)).groupBy("file_name", "_worker", "_batch").agg(F.count("*").alias("_n"))
     firsts = _upto(sizes, ["file_name", "_worker"], "_batch", "_n", "_before").select(*keys, "_before")
     own = F.row_number().over(Window.partitionBy(*keys).orderBy("read_idx"))
@@ -82,7 +90,11 @@ def position_partials(reads: DataFrame) -> DataFrame:
             keys, n = found.merged(name)
             code = keys & 511
             yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * len(keys), pa.string()), pa.array((keys >> 18).astype(np.int32)), _letters.take(pa.array(keys >> 9 & 511)), pa.array(code.astype(np.int32), mask=code == NOTHING), pa.array(n)],
+                [
+                    pa.array([name] * len(keys), pa.string()), pa.array((keys >> 18).astype(np.int32)),
+                    _letters.take(pa.array(keys >> 9 & 511)),
+                    pa.array(code.astype(np.int32), mask=code == NOTHING), pa.array(n)
+                ],
                 ["file_name", "pos", "base", "code", "n"],
             )
 
@@ -111,7 +123,10 @@ def in_groups(rows: DataFrame, config: QcConfig, length: Column | None = None) -
     if config.min_length:
         ends = rows.groupBy("file_name").agg(F.max("_length").alias("_length")).where(F.col("_length") < config.min_length)
         blank = ends.select("file_name", F.explode(F.sequence(F.col("_length") + 1, F.lit(config.min_length))).cast("int").alias("pos"))
-        rows = rows.unionByName(blank, allowMissingColumns=True).withColumn("_length", F.greatest(F.max("_length").over(Window.partitionBy("file_name")), F.lit(config.min_length)))
+        rows = rows.unionByName(blank, allowMissingColumns=True).withColumn(
+            "_length",
+            F.greatest(F.max("_length").over(Window.partitionBy("file_name")), F.lit(config.min_length))
+        )
     pos, n = F.col("pos"), F.col("_length")
     within = lambda start, w: start + F.floor((pos - start) / w) * w
     if config.nogroup:

@@ -30,7 +30,11 @@ def position_quality(cube: DataFrame) -> DataFrame:
     rows = rows.withColumns({"total": F.sum("n").over(by), "least": F.min("code").over(by)}).where(F.col("code") >= LEAST_CODE)
     rows = rows.withColumn("upto", F.sum("n").over(by.orderBy("code").rowsBetween(Window.unboundedPreceding, 0)))
     reach = lambda p: F.min(F.when(F.col("upto") >= F.floor(F.col("total") * p / 100), F.col("code")))
-    out = rows.groupBy("file_name", "pos").agg(F.max("total").alias("total"), F.min("least").alias("least"), F.sum(F.col("n") * F.col("code")).alias("codes"), F.sum("n").alias("n"), *(reach(p).alias(f"p{p}") for p in PERCENTILES))
+    out = rows.groupBy("file_name", "pos").agg(
+        F.max("total").alias("total"), F.min("least").alias("least"),
+        F.sum(F.col("n") * F.col("code")).alias("codes"), F.sum("n").alias("n"),
+        *(reach(p).alias(f"p{p}") for p in PERCENTILES)
+    )
     offset = R.phred_offset(F.min("least").over(Window.partitionBy("file_name")))
     out = out.withColumn("offset", offset)
     mean = (F.col("codes") - F.col("n") * F.col("offset")) / F.col("n")
@@ -43,7 +47,10 @@ def base_quality(reads: DataFrame, config: QcConfig, cube: DataFrame | None = No
     position has enough observations, and 0 for the mean of a group without any."""
     found = in_groups(position_quality(position_cube(reads) if cube is None else cube), config)
     nan = F.lit(float("nan"))
-    return found.groupBy("file_name", "grp", "label").agg(F.coalesce(F.avg("mean"), F.lit(0.0)).alias("mean"), *(F.coalesce(F.avg(f"p{p}"), nan).alias(name) for p, name in zip(PERCENTILES, ("median", "lower", "upper", "p10", "p90"), strict=True)))
+    return found.groupBy("file_name", "grp", "label").agg(
+        F.coalesce(F.avg("mean"), F.lit(0.0)).alias("mean"),
+        *(F.coalesce(F.avg(f"p{p}"), nan).alias(name) for p, name in zip(PERCENTILES, ("median", "lower", "upper", "p10", "p90"), strict=True))
+    )
 
 
 def _by_group(cube: DataFrame, config: QcConfig, aggregates: list[Column]) -> DataFrame:
@@ -102,7 +109,11 @@ def _tile_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, n, s = (np.zeros(1, np.int64),) * 3 if known is None else found.merged(name)
         tile = pa.array((keys >> 31).astype(np.int32), mask=np.full(len(keys), known is None))
         yield pa.RecordBatch.from_arrays(
-            [pa.array([name] * len(keys), pa.string()), tile, pa.array((keys & ((1 << 31) - 1)).astype(np.int32) + 1), pa.array(n), pa.array(s), pa.array(np.full(len(keys), lowest.get(name, 255), np.int32))],
+            [
+                pa.array([name] * len(keys), pa.string()), tile,
+                pa.array((keys & ((1 << 31) - 1)).astype(np.int32) + 1), pa.array(n), pa.array(s),
+                pa.array(np.full(len(keys), lowest.get(name, 255), np.int32))
+            ],
             ["file_name", "tile", "pos", "n", "s", "least"],
         )
 
@@ -125,11 +136,22 @@ def tile_quality(reads: DataFrame, config: QcConfig) -> DataFrame:
     be there (one more is still taken in when TILE_MOST are), gives nothing."""
     counts = tile_sums(reads, config).groupBy("file_name", "tile", "pos").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.min("least").alias("least"))
     of = Window.partitionBy("file_name")
-    counts = counts.withColumns({"offset": R.phred_offset(F.min("least").over(of)), "odd": F.max(F.col("tile").isNull()).over(of), "tiles": F.size(F.collect_set("tile").over(of))})
+    counts = counts.withColumns(
+        {
+            "offset": R.phred_offset(F.min("least").over(of)), "odd": F.max(F.col("tile").isNull()).over(of),
+            "tiles": F.size(F.collect_set("tile").over(of))
+        }
+    )
     counts = counts.where((~F.col("odd")) & (F.col("tiles") <= TILE_MOST + 1))
     means = counts.select("file_name", "tile", "pos", ((F.col("s") - F.col("n") * F.col("offset")) / F.nullif("n", F.lit(0))).alias("mean"))
     found = in_groups(means, config).groupBy("file_name", "tile", "grp", "label").agg(F.avg("mean").alias("mean"))
     found = found.withColumn("groups", F.collect_set(F.struct("grp", "label")).over(of))
     each = found.groupBy("file_name", "tile").agg(F.map_from_entries(F.collect_list(F.struct("grp", "mean"))).alias("own"), F.first("groups").alias("groups"))
-    dense = each.select("file_name", "tile", "own", F.explode("groups").alias("g")).select("file_name", "tile", "g.grp", "g.label", F.coalesce(F.try_element_at("own", F.col("g.grp")), F.lit(0.0)).alias("mean"))
-    return dense.select("file_name", "tile", "grp", "label", (F.col("mean") - F.avg("mean").over(Window.partitionBy("file_name", "grp"))).alias("mean_deviation"))
+    dense = each.select("file_name", "tile", "own", F.explode("groups").alias("g")).select(
+        "file_name", "tile", "g.grp", "g.label",
+        F.coalesce(F.try_element_at("own", F.col("g.grp")), F.lit(0.0)).alias("mean")
+    )
+    return dense.select(
+        "file_name", "tile", "grp", "label",
+        (F.col("mean") - F.avg("mean").over(Window.partitionBy("file_name", "grp"))).alias("mean_deviation")
+    )

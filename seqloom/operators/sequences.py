@@ -21,7 +21,9 @@ def key_counts(reads: DataFrame, config: QcConfig) -> DataFrame:
     """(file_name, key, n, first, rank, total): copies of each key, of the first ``unique_cap`` distinct keys of a file, the ordinal
     of the read that brought it, and the file's reads.  Which keys are first follows from their least ordinals: no order of
     processing matters."""
-    rows = with_ordinal(reads, "ordinal", False, dense=config.dense).select("file_name", R.duplicate_key(F.col("sequence"), config.dup_length).alias("key"), "ordinal")
+    rows = with_ordinal(reads, "ordinal", False, dense=config.dense).select(
+        "file_name", R.duplicate_key(F.col("sequence"), config.dup_length).alias("key"), "ordinal"
+    )
     keys = rows.groupBy("file_name", "key").agg(F.count("*").alias("n"), F.min("ordinal").alias("first"))
     # the cap's rank is decided among batches of ordinals first, so that no task ranks all keys of a file
     keys = keys.withColumn("_part", F.floor(F.col("first") / 65_536))
@@ -31,7 +33,9 @@ def key_counts(reads: DataFrame, config: QcConfig) -> DataFrame:
     # parts that begin beyond the cap have no key in it
     sizes = sizes.where(F.col("_before") < config.unique_cap)
     rank = F.col("_before") + F.row_number().over(Window.partitionBy("file_name", "_part").orderBy("first"))
-    return keys.join(sizes, ["file_name", "_part"]).withColumn("rank", rank).where(F.col("rank") <= config.unique_cap).select("file_name", "key", "n", "first", "rank", "total")
+    return keys.join(sizes, ["file_name", "_part"]).withColumn("rank", rank).where(F.col("rank") <= config.unique_cap).select(
+        "file_name", "key", "n", "first", "rank", "total"
+    )
 
 
 def duplication_histogram(keys: DataFrame) -> DataFrame:
@@ -92,11 +96,17 @@ def overrepresented(reads: DataFrame, config: QcConfig, keys: DataFrame | None =
 def adapter_places(reads: DataFrame, config: QcConfig) -> DataFrame:
     """(file_name, worker, adapter, at, n): reads by the first place of each adapter, and by their length as adapter -1."""
     longest = max((len(s) for _, s in config.adapters), default=0)
-    rows = unfiltered(reads).select("file_name", "read_idx", worker(config.compat).alias("worker"), F.length("sequence").alias("len"), F.array(*(F.instr("sequence", F.lit(s)) - 1 for _, s in config.adapters)).cast("array<int>").alias("ats"))
+    rows = unfiltered(reads).select(
+        "file_name", "read_idx", worker(config.compat).alias("worker"), F.length("sequence").alias("len"),
+        F.array(*(F.instr("sequence", F.lit(s)) - 1 for _, s in config.adapters)).cast("array<int>").alias("ats")
+    )
     if config.compat and len({len(s) for _, s in config.adapters}) > 1:
         # with adapters of several lengths a hit beyond what the longest read so far allows is lost
         so_far = F.max("len").over(Window.partitionBy("file_name", "worker").orderBy("read_idx").rowsBetween(Window.unboundedPreceding, 0))
-        rows = rows.withColumn("_most", so_far).withColumn("ats", F.transform("ats", lambda a: F.when(a <= F.greatest(F.col("_most") - longest, F.lit(0)), a).otherwise(-1)))
+        rows = rows.withColumn("_most", so_far).withColumn(
+            "ats",
+            F.transform("ats", lambda a: F.when(a <= F.greatest(F.col("_most") - longest, F.lit(0)), a).otherwise(-1))
+        )
     hits = F.filter(F.transform("ats", lambda a, i: F.struct(i.alias("adapter"), a.alias("at"))), lambda h: h["at"] >= 0)
     size = F.array(F.struct(F.lit(-1).alias("adapter"), F.col("len").alias("at")))
     return rows.select("file_name", "worker", F.inline(F.concat(size, hits))).groupBy("file_name", "worker", "adapter", "at").agg(F.count("*").alias("n"))
@@ -114,12 +124,20 @@ def adapter_content(reads: DataFrame, config: QcConfig) -> DataFrame:
     places = sizes.select("file_name", "worker", "total", "top", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("at"))
     each = places.withColumn("adapter", F.explode(F.sequence(F.lit(0), F.lit(len(config.adapters) - 1))))
     filled = each.join(hits, ["file_name", "worker", "adapter", "at"], "left")
-    upto = filled.withColumn("upto", F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy("file_name", "worker", "adapter").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
+    upto = filled.withColumn(
+        "upto",
+        F.sum(F.coalesce("n", F.lit(0))).over(
+            Window.partitionBy("file_name", "worker", "adapter").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+        )
+    )
     summed = upto.groupBy("file_name", "adapter", "total", "top", (F.col("at") + 1).alias("pos")).agg(F.sum("upto").alias("upto"))
     names = F.array(*(F.lit(n) for n, _ in config.adapters))
     rows = _with_blank(in_groups(summed, config, F.col("top")), len(config.adapters))
     rows = rows.groupBy("file_name", "adapter", "grp", "label", "lo", "hi").agg((F.sum(F.coalesce("upto", F.lit(0)) * 100.0 / F.col("total"))).alias("s"))
-    return rows.select("file_name", "adapter", F.get(names, "adapter").alias("name"), "grp", "label", (F.coalesce("s", F.lit(0.0)) / (F.col("hi") - F.col("lo") + 1)).alias("percent"))
+    return rows.select(
+        "file_name", "adapter", F.get(names, "adapter").alias("name"), "grp", "label",
+        (F.coalesce("s", F.lit(0.0)) / (F.col("hi") - F.col("lo") + 1)).alias("percent")
+    )
 
 
 def _with_blank(rows: DataFrame, adapters: int) -> DataFrame:
@@ -137,7 +155,10 @@ def _kmers(reads: DataFrame, config: QcConfig) -> DataFrame:
     k = config.kmer_size
     rows = with_ordinal(reads, "ordinal", config.compat, dense=config.dense).where(F.col("ordinal") % KMER_EVERY == 0)
     rows = rows.select("file_name", F.substring("sequence", 1, KMER_PART).alias("s")).where(F.length("s") >= k)
-    rows = rows.select("file_name", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("s") - k + 1), lambda i: F.substring("s", i, F.lit(k)))).alias("pos", "kmer"))
+    rows = rows.select(
+        "file_name",
+        F.posexplode(F.transform(F.sequence(F.lit(1), F.length("s") - k + 1), lambda i: F.substring("s", i, F.lit(k)))).alias("pos", "kmer")
+    )
     return rows.withColumn("pos", F.col("pos") + 1)
 
 
@@ -158,7 +179,9 @@ def kmer_p_value(n: Column, p: Column, k: Column, size: int) -> Column:
 def kmer_enrichment(reads: DataFrame, config: QcConfig) -> DataFrame:
     """(file_name, kmer, count, grp, label, hits, ratio, p): observed to expected in each group of positions."""
     # k-mers with N tell how many positions there are, and count in nothing else
-    every_kmer = _kmers(reads, config).groupBy("file_name", F.when(~F.contains("kmer", F.lit("N")), F.col("kmer")).alias("kmer"), "pos").agg(F.count("*").alias("n"))
+    every_kmer = _kmers(reads, config).groupBy(
+        "file_name", F.when(~F.contains("kmer", F.lit("N")), F.col("kmer")).alias("kmer"), "pos"
+    ).agg(F.count("*").alias("n"))
     placed = in_groups(every_kmer, config).where("kmer IS NOT NULL").select("file_name", "kmer", "grp", "label", "n")
     placed = placed.groupBy("file_name", "kmer", "grp", "label").agg(F.sum("n").alias("hits"))
     rows = placed.withColumn("count", F.sum("hits").over(Window.partitionBy("file_name", "kmer")))
@@ -167,7 +190,10 @@ def kmer_enrichment(reads: DataFrame, config: QcConfig) -> DataFrame:
     rows = rows.join(F.broadcast(totals), ["file_name", "grp"])
     share = (F.col("count").cast("float") / F.col("every").cast("float")).cast("float")
     rows = rows.withColumn("share", share).withColumn("predicted", (F.col("share") * F.col("group_count").cast("float")).cast("float"))
-    rows = rows.withColumn("ratio", F.when(F.col("predicted") > 0, (F.col("hits").cast("float") / F.col("predicted")).cast("float")).otherwise(F.lit(0).cast("float")))
+    rows = rows.withColumn(
+        "ratio",
+        F.when(F.col("predicted") > 0, (F.col("hits").cast("float") / F.col("predicted")).cast("float")).otherwise(F.lit(0).cast("float"))
+    )
     p = kmer_p_value(F.col("group_count").cast("double"), F.col("share").cast("double"), F.col("hits").cast("double"), config.kmer_size).cast("float")
     tested = (F.col("hits").cast("float") > F.col("predicted")) & (F.col("ratio") > 5)
     return rows.select("file_name", "kmer", "count", "grp", "label", "hits", "ratio", F.when(tested, p).alias("p"))
@@ -176,7 +202,10 @@ def kmer_enrichment(reads: DataFrame, config: QcConfig) -> DataFrame:
 def kmer_content(reads: DataFrame, config: QcConfig, enriched: DataFrame | None = None) -> DataFrame:
     """(file_name, rank, kmer, count, p_value, ratio, label): the KMER_TOP most uneven k-mers that are significant somewhere."""
     rows = kmer_enrichment(reads, config) if enriched is None else enriched
-    best = rows.groupBy("file_name", "kmer", "count").agg(F.min(F.when(F.col("p") < 0.01, F.col("p"))).alias("p_value"), F.max("ratio").alias("ratio"), F.max_by("label", F.struct("ratio", "grp")).alias("label")).where("p_value IS NOT NULL")
+    best = rows.groupBy("file_name", "kmer", "count").agg(
+        F.min(F.when(F.col("p") < 0.01, F.col("p"))).alias("p_value"), F.max("ratio").alias("ratio"),
+        F.max_by("label", F.struct("ratio", "grp")).alias("label")
+    ).where("p_value IS NOT NULL")
     best = best.withColumn("rank", F.row_number().over(Window.partitionBy("file_name").orderBy(F.desc("ratio"), "kmer"))).where(F.col("rank") <= KMER_TOP)
     return best.select("file_name", "rank", "kmer", (F.col("count") * KMER_EVERY).alias("count"), "p_value", "ratio", "label").orderBy("file_name", "rank")
 
@@ -187,4 +216,8 @@ def kmer_series(enriched: DataFrame, content: DataFrame) -> DataFrame:
     return enriched.select("file_name", "kmer", "grp", "ratio").join(F.broadcast(drawn), ["file_name", "kmer"]).orderBy("file_name", "rank", "grp")
 
 
-__all__ = ["adapter_content", "adapter_places", "contaminant_hit", "duplication", "duplication_histogram", "key_counts", "kmer_content", "kmer_counts", "kmer_enrichment", "kmer_series", "overrepresented", "possible_source"]
+__all__ = [
+    "adapter_content", "adapter_places", "contaminant_hit", "duplication", "duplication_histogram",
+    "key_counts", "kmer_content", "kmer_counts", "kmer_enrichment", "kmer_series", "overrepresented",
+    "possible_source"
+]

@@ -21,7 +21,10 @@ from ..operators.common import position_cube
 MODULES = [
     ("basic_statistics", "Basic Statistics", None, "Calculates some basic statistics about the file"),
     ("per_base_sequence_quality", "Per base sequence quality", "quality_base", "Shows the Quality scores of all bases at a given position in a sequencing run"),
-    ("per_tile_sequence_quality", "Per tile sequence quality", "tile", "Shows the per tile Quality scores of all bases at a given position in a sequencing run"),
+    (
+        "per_tile_sequence_quality", "Per tile sequence quality", "tile",
+        "Shows the per tile Quality scores of all bases at a given position in a sequencing run"
+    ),
     ("per_sequence_quality_scores", "Per sequence quality scores", "quality_sequence", "Shows the distribution of mean quality scores across all sequences"),
     ("per_base_sequence_content", "Per base sequence content", "sequence", "Shows the proportion of each base at each position in a sequence"),
     ("per_sequence_gc_content", "Per sequence GC content", "gc_sequence", "Shows the distribution of GC contents for whole sequences"),
@@ -135,7 +138,12 @@ def report_for(file_name: str, found: dict[str, list], config: QcConfig, source_
         "sequence_length": {"min": b.min_length, "max": b.max_length, "display": span},
         "gc_percent": b.gc_exact,
     }
-    rows = [("Filename", file_name), ("File type", b.file_type), ("Encoding", b.encoding), ("Total Sequences", b.total_sequences), ("Total Bases", bases_text(b.total_bases)), ("Sequences flagged as poor quality", b.filtered_sequences), ("Sequence length", span), ("%GC", b.gc_percent)]
+    rows = [
+        ("Filename", file_name), ("File type", b.file_type), ("Encoding", b.encoding),
+        ("Total Sequences", b.total_sequences), ("Total Bases", bases_text(b.total_bases)),
+        ("Sequences flagged as poor quality", b.filtered_sequences), ("Sequence length", span),
+        ("%GC", b.gc_percent)
+    ]
     add(None, "pass", data, "#Measure\tValue", rows)
 
     q = found["quality_base"]
@@ -144,7 +152,12 @@ def report_for(file_name: str, found: dict[str, list], config: QcConfig, source_
     names = ("mean", "median", "lower", "upper", "p10", "p90")
     long = ("mean", "median", "lower_quartile", "upper_quartile", "percentile_10", "percentile_90")
     marks = {f"{lv}_{part}": lim(f"quality_base_{part}", lv) for lv in ("warn", "error") for part in ("lower", "median")}
-    add("quality_base", _verdict(low, near), {"encoding": b.encoding, "position_groups": [{"label": r.label} | {k: clean(r[n]) for k, n in zip(long, names, strict=True)} for r in q]}, "#Base\tMean\tMedian\tLower Quartile\tUpper Quartile\t10th Percentile\t90th Percentile", [(r.label, *(float(r[n]) for n in names)) for r in q], marks, bool(q))
+    add(
+        "quality_base", _verdict(low, near),
+        {"encoding": b.encoding, "position_groups": [{"label": r.label} | {k: clean(r[n]) for k, n in zip(long, names, strict=True)} for r in q]},
+        "#Base\tMean\tMedian\tLower Quartile\tUpper Quartile\t10th Percentile\t90th Percentile",
+        [(r.label, *(float(r[n]) for n in names)) for r in q], marks, bool(q)
+    )
 
     t = found["tile"]
     worst = max((abs(r.mean_deviation) for r in t), default=0.0)
@@ -152,38 +165,87 @@ def report_for(file_name: str, found: dict[str, list], config: QcConfig, source_
     for r in t:
         tiles[r.tile].append(r)
     labels = [r.label for r in next(iter(tiles.values()), [])]
-    add("tile", _verdict(worst > lim("tile", "error"), worst > lim("tile", "warn")), {"max_deviation": worst, "position_groups": labels, "tiles": [{"tile": k, "mean_deviation": [r.mean_deviation for r in v]} for k, v in tiles.items()]}, "#Tile\tBase\tMean", [(r.tile, r.label, float(r.mean_deviation)) for r in t], both("tile"), bool(t))
+    add(
+        "tile", _verdict(worst > lim("tile", "error"), worst > lim("tile", "warn")),
+        {
+            "max_deviation": worst, "position_groups": labels,
+            "tiles": [{"tile": k, "mean_deviation": [r.mean_deviation for r in v]} for k, v in tiles.items()]
+        },
+        "#Tile\tBase\tMean", [(r.tile, r.label, float(r.mean_deviation)) for r in t], both("tile"), bool(t)
+    )
 
     s = found["quality_sequence"]
     mode = min(s, key=lambda r: (-r.n, r.quality)).quality if s else 0
-    add("quality_sequence", _verdict(bool(s) and mode < int(lim("quality_sequence", "error")), bool(s) and mode < int(lim("quality_sequence", "warn"))), {"encoding": b.encoding, "most_frequent_score": mode, "distribution": [{"quality": r.quality, "count": r.n} for r in s]}, "#Quality\tCount", [(r.quality, float(r.n)) for r in s], both("quality_sequence"), bool(s))
+    add(
+        "quality_sequence",
+        _verdict(bool(s) and mode < int(lim("quality_sequence", "error")), bool(s) and mode < int(lim("quality_sequence", "warn"))),
+        {"encoding": b.encoding, "most_frequent_score": mode, "distribution": [{"quality": r.quality, "count": r.n} for r in s]},
+        "#Quality\tCount", [(r.quality, float(r.n)) for r in s], both("quality_sequence"), bool(s)
+    )
 
     c = found["sequence"]
     apart = max((max(abs(r.g - r.c), abs(r.a - r.t)) for r in c), default=0.0)
-    add("sequence", _verdict(apart > lim("sequence", "error"), apart > lim("sequence", "warn")), {"position_groups": [{"label": r.label, "g_pct": r.g, "a_pct": r.a, "t_pct": r.t, "c_pct": r.c} for r in c]}, "#Base\tG\tA\tT\tC", [(r.label, r.g, r.a, r.t, r.c) for r in c], both("sequence"))
+    add(
+        "sequence", _verdict(apart > lim("sequence", "error"), apart > lim("sequence", "warn")),
+        {"position_groups": [{"label": r.label, "g_pct": r.g, "a_pct": r.a, "t_pct": r.t, "c_pct": r.c} for r in c]},
+        "#Base\tG\tA\tT\tC", [(r.label, r.g, r.a, r.t, r.c) for r in c], both("sequence")
+    )
 
     g = found["gc_sequence"]
     off = g[0].deviation if g else 0.0
-    add("gc_sequence", _verdict(off > lim("gc_sequence", "error"), off > lim("gc_sequence", "warn")), {"deviation_percent": clean(off), "distribution": [{"gc_percent": r.pct, "observed_count": r["count"], "theoretical_count": clean(r.theoretical)} for r in g]}, "#GC Content\tCount", [(r.pct, float(r["count"])) for r in g], both("gc_sequence"))
+    add(
+        "gc_sequence", _verdict(off > lim("gc_sequence", "error"), off > lim("gc_sequence", "warn")),
+        {
+            "deviation_percent": clean(off),
+            "distribution": [{"gc_percent": r.pct, "observed_count": r["count"], "theoretical_count": clean(r.theoretical)} for r in g]
+        },
+        "#GC Content\tCount", [(r.pct, float(r["count"])) for r in g], both("gc_sequence")
+    )
 
     n = found["n_content"]
     most = max((r.n_percent for r in n), default=0.0)
-    add("n_content", _verdict(most > lim("n_content", "error"), most > lim("n_content", "warn")), {"position_groups": [{"label": r.label, "n_pct": r.n_percent} for r in n]}, "#Base\tN-Count", [(r.label, float(r.n_percent)) for r in n], both("n_content"))
+    add(
+        "n_content", _verdict(most > lim("n_content", "error"), most > lim("n_content", "warn")),
+        {"position_groups": [{"label": r.label, "n_pct": r.n_percent} for r in n]}, "#Base\tN-Count",
+        [(r.label, float(r.n_percent)) for r in n], both("n_content")
+    )
 
     lens = found["sequence_length"]
     least, top = (lens[0].lo, lens[-1].hi) if lens else (0, 0)
     empty = bool(lens) and lens[0].lo == 0 and lens[0].n > 0
-    add("sequence_length", _verdict(empty, least != top), {"min_observed_length": least, "max_observed_length": top, "interval": histogram_width(top - least + 1), "distribution": [{"label": r.label, "count": r.n} for r in lens]}, "#Length\tCount", [(r.label, float(r.n)) for r in lens] or [("0", 0.0)])
+    add(
+        "sequence_length", _verdict(empty, least != top),
+        {
+            "min_observed_length": least, "max_observed_length": top,
+            "interval": histogram_width(top - least + 1),
+            "distribution": [{"label": r.label, "count": r.n} for r in lens]
+        },
+        "#Length\tCount", [(r.label, float(r.n)) for r in lens] or [("0", 0.0)]
+    )
 
     d = found["duplication"]
     kept = d[0].deduplicated if d else 100.0
     shown = [(r.label + "+" if r.slot == 15 else r.label, r.percent) for r in d]
-    add("duplication", _verdict(kept < lim("duplication", "error"), kept < lim("duplication", "warn")), {"deduplicated_percentage": kept, "distribution": [{"label": a, "percentage_of_total": p} for a, p in shown]}, f"#Total Deduplicated Percentage\t{kept!r}\n#Duplication Level\tPercentage of total", shown, both("duplication"))
+    add(
+        "duplication", _verdict(kept < lim("duplication", "error"), kept < lim("duplication", "warn")),
+        {"deduplicated_percentage": kept, "distribution": [{"label": a, "percentage_of_total": p} for a, p in shown]},
+        f"#Total Deduplicated Percentage\t{kept!r}\n#Duplication Level\tPercentage of total", shown,
+        both("duplication")
+    )
 
     o = found["overrepresented"]
     u = found["unique"][0] if found["unique"] else None
     frozen = bool(u and u.limit is not None)
-    add("overrepresented", _verdict(bool(o) and o[0].percent > lim("overrepresented", "error"), bool(o)), {"total_sequences_considered": b.total_sequences, "unique_sequence_count": u.unique if u else 0, "sampling_frozen": frozen, "count_at_unique_limit": u.limit if frozen else b.total_sequences, "records": [{"sequence": r.sequence, "count": r.n, "percentage": r.percent, "possible_source": r.source} for r in o]}, "#Sequence\tCount\tPercentage\tPossible Source" if o else "", [(r.sequence, r.n, float(r.percent), r.source) for r in o], both("overrepresented"))
+    add(
+        "overrepresented", _verdict(bool(o) and o[0].percent > lim("overrepresented", "error"), bool(o)),
+        {
+            "total_sequences_considered": b.total_sequences, "unique_sequence_count": u.unique if u else 0,
+            "sampling_frozen": frozen, "count_at_unique_limit": u.limit if frozen else b.total_sequences,
+            "records": [{"sequence": r.sequence, "count": r.n, "percentage": r.percent, "possible_source": r.source} for r in o]
+        },
+        "#Sequence\tCount\tPercentage\tPossible Source" if o else "",
+        [(r.sequence, r.n, float(r.percent), r.source) for r in o], both("overrepresented")
+    )
 
     a = found["adapter"]
     longest = max((len(x) for _, x in config.adapters), default=0)
@@ -191,14 +253,44 @@ def report_for(file_name: str, found: dict[str, list], config: QcConfig, source_
     series = [[r for r in a if r.adapter == i] for i in range(len(config.adapters))]
     groups = [r.label for r in series[0]] if series and series[0] else [label(*x) for x in base_groups(1)]
     top_share = max((r.percent for r in a), default=0.0)
-    add("adapter", _verdict(top_share > lim("adapter", "error"), longest > longest_read or top_share > lim("adapter", "warn")), {"total_sequences_considered": b.total_sequences, "max_read_length": longest_read, "max_adapter_length": longest, "read_length_too_short": longest > longest_read, "position_groups": groups, "series": [{"adapter_name": nm, "adapter_sequence": sq, "values": [r.percent for r in rs]} for (nm, sq), rs in zip(config.adapters, series, strict=True)]}, "\t".join(["#Position", *(nm for nm, _ in config.adapters)]), [(lb, *(rs[i].percent if i < len(rs) else 0.0 for rs in series)) for i, lb in enumerate(groups)], both("adapter"))
+    add(
+        "adapter",
+        _verdict(top_share > lim("adapter", "error"), longest > longest_read or top_share > lim("adapter", "warn")),
+        {
+            "total_sequences_considered": b.total_sequences, "max_read_length": longest_read,
+            "max_adapter_length": longest, "read_length_too_short": longest > longest_read,
+            "position_groups": groups,
+            "series": [
+                {"adapter_name": nm, "adapter_sequence": sq, "values": [r.percent for r in rs]} for (nm, sq),
+                rs in zip(config.adapters, series, strict=True)
+            ]
+        },
+        "\t".join(["#Position", *(nm for nm, _ in config.adapters)]),
+        [(lb, *(rs[i].percent if i < len(rs) else 0.0 for rs in series)) for i, lb in enumerate(groups)],
+        both("adapter")
+    )
 
     k = found["kmer"]
     course = {(r.kmer, r.grp): r.ratio for r in found["kmer_series"]}
     drawn = list(dict.fromkeys(r.kmer for r in found["kmer_series"]))
     series = [{"sequence": x, "obs_exp": [clean(course.get((x, r.grp), 0.0)) for r in found["kmer_groups"]]} for x in drawn]
     strength = -math.log10(k[0].p_value) if k and k[0].p_value > 0 else 0.0
-    add("kmer", _verdict(strength > lim("kmer", "error"), strength > lim("kmer", "warn")), {"kmer_size": config.kmer_size, "sampled_every_n_reads": sequences.KMER_EVERY, "estimated_count_multiplier": sequences.KMER_EVERY, "position_groups": [r.label for r in found["kmer_groups"]], "plot_series": series, "records": [{"sequence": r.kmer, "estimated_count": r["count"], "p_value": clean(r.p_value), "obs_exp_max": clean(r.ratio), "max_obs_exp_position": r.label} for r in k]}, "#Sequence\tCount\tPValue\tObs/Exp Max\tMax Obs/Exp Position" if k else "", [(r.kmer, r["count"], r.p_value, r.ratio, r.label) for r in k], both("kmer"))
+    add(
+        "kmer", _verdict(strength > lim("kmer", "error"), strength > lim("kmer", "warn")),
+        {
+            "kmer_size": config.kmer_size, "sampled_every_n_reads": sequences.KMER_EVERY,
+            "estimated_count_multiplier": sequences.KMER_EVERY,
+            "position_groups": [r.label for r in found["kmer_groups"]], "plot_series": series,
+            "records": [
+                {
+                    "sequence": r.kmer, "estimated_count": r["count"], "p_value": clean(r.p_value),
+                    "obs_exp_max": clean(r.ratio), "max_obs_exp_position": r.label
+                } for r in k
+            ]
+        },
+        "#Sequence\tCount\tPValue\tObs/Exp Max\tMax Obs/Exp Position" if k else "",
+        [(r.kmer, r["count"], r.p_value, r.ratio, r.label) for r in k], both("kmer")
+    )
     return FileReport(file_name, source_path or file_name, kind, out)
 
 
@@ -210,4 +302,7 @@ def analyse(reads: DataFrame, config: QcConfig | None = None, kind: str = "fastq
         for name in ("compat", "dense"):
             object.__setattr__(config, name, False)
     # files are told apart by their paths, and shown by their names
-    return [report_for(path.rsplit("/", 1)[-1], found, config, source_path=path, kind=kind) for path, found in sorted(collect(reads, config).items()) if found["basic"]]
+    return [
+        report_for(path.rsplit("/", 1)[-1], found, config, source_path=path, kind=kind) for path,
+        found in sorted(collect(reads, config).items()) if found["basic"]
+    ]

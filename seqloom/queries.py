@@ -67,7 +67,9 @@ def spliced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def long_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _view(spark, sf_dir, LONG_SQL % "", "documents")
-    return rows.withColumn("quality", F.repeat(F.lit("I"), F.length("sequence"))).withColumn("colorspace", F.lit(None).cast("string")).withColumn("is_filtered", F.lit(False))
+    return rows.withColumn(
+        "quality", F.repeat(F.lit("I"), F.length("sequence"))
+    ).withColumn("colorspace", F.lit(None).cast("string")).withColumn("is_filtered", F.lit(False))
 
 
 def six(c: Column | str) -> Column:
@@ -91,7 +93,11 @@ def long(*names: str) -> list[Column]:
 
 
 def basic_stats(s, d):
-    return basic.basic_statistics(reads(s, d)).select("file_name", "file_type", "encoding", *long("total_sequences", "filtered_sequences", "total_bases", "min_length", "max_length", "gc_percent"), six("gc_exact").alias("gc_exact"))
+    return basic.basic_statistics(reads(s, d)).select(
+        "file_name", "file_type", "encoding",
+        *long("total_sequences", "filtered_sequences", "total_bases", "min_length", "max_length", "gc_percent"),
+        six("gc_exact").alias("gc_exact")
+    )
 
 
 def per_base_quality(s, d):
@@ -180,7 +186,10 @@ def kmer_enrichment(s, d):
 
 def kmer_content(s, d):
     rows = sequences.kmer_content(spliced(s, d), CFG)
-    return rows.select(*long("rank"), "kmer", *long("count"), six(F.col("p_value").cast("double")).alias("p_value"), six(F.col("ratio").cast("double")).alias("ratio"), "label")
+    return rows.select(
+        *long("rank"), "kmer", *long("count"), six(F.col("p_value").cast("double")).alias("p_value"),
+        six(F.col("ratio").cast("double")).alias("ratio"), "label"
+    )
 
 
 def kmer_pvalue(s, d):
@@ -200,13 +209,27 @@ def casava_filter(s, d):
 
 def read_functions(s, d):
     seq = F.col("sequence")
-    return reads(s, d).select("read_idx", R.reverse_complement("sequence").alias("turned"), R.duplicate_key(seq, 30).alias("key"), *(c.cast("long").alias(n) for n, c in (("gc", R.gc_count(seq)), ("ns", R.n_count(seq)), ("mean_code", R.mean_code(F.col("quality"))), ("tile", R.tile(F.col("id"), R.tile_field(F.col("id")))))))
+    return reads(s, d).select(
+        "read_idx", R.reverse_complement("sequence").alias("turned"), R.duplicate_key(seq, 30).alias("key"),
+        *(
+            c.cast("long").alias(n) for n,
+            c in (
+                ("gc", R.gc_count(seq)), ("ns", R.n_count(seq)), ("mean_code", R.mean_code(F.col("quality"))),
+                ("tile", R.tile(F.col("id"), R.tile_field(F.col("id"))))
+            )
+        )
+    )
 
 
 def _aligned(s, d):
     rows = reads(s, d).withColumn("flag", F.when(F.col("read_idx") % 3 == 0, 16).when(F.col("read_idx") % 7 == 0, 4).otherwise(0))
     n = F.length("sequence")
-    return rows.withColumn("cigar", F.when(F.col("read_idx") % 5 == 0, F.concat(F.lit("5S"), n - 5, F.lit("M"))).when(F.col("read_idx") % 5 == 1, F.concat(n - 3, F.lit("M3S"))).otherwise(F.concat(n, F.lit("M")))).withColumn("path", F.col("file_name"))
+    return rows.withColumn(
+        "cigar",
+        F.when(
+            F.col("read_idx") % 5 == 0, F.concat(F.lit("5S"), n - 5, F.lit("M"))
+        ).when(F.col("read_idx") % 5 == 1, F.concat(n - 3, F.lit("M3S"))).otherwise(F.concat(n, F.lit("M")))
+    ).withColumn("path", F.col("file_name"))
 
 
 def revcomp_softclip(s, d):
@@ -255,7 +278,10 @@ def trim_pairs(s, d):
 
 
 def trim_unpaired(s, d):
-    return _pairs(s, d).groupBy("class").agg(F.count("*").alias("n"), F.count_if("unpaired_1").alias("unpaired_1"), F.count_if("unpaired_2").alias("unpaired_2"))
+    return _pairs(s, d).groupBy("class").agg(
+        F.count("*").alias("n"), F.count_if("unpaired_1").alias("unpaired_1"),
+        F.count_if("unpaired_2").alias("unpaired_2")
+    )
 
 
 def adapter_autodetect(s, d):
@@ -267,7 +293,9 @@ def trim_quality(s, d):
 
 
 def trim_adapter(s, d):
-    return T.trim_ends(spliced(s, d), "AGATCGGAAGAGC", T.TrimConfig(quality=0, stringency=3)).select("read_idx", F.length("sequence").alias("kept"), "adapter_trimmed")
+    return T.trim_ends(
+        spliced(s, d), "AGATCGGAAGAGC", T.TrimConfig(quality=0, stringency=3)
+    ).select("read_idx", F.length("sequence").alias("kept"), "adapter_trimmed")
 
 
 def module_verdicts(s, d):
@@ -281,7 +309,15 @@ def dedup_documents(s, d):
     return docs.groupBy("key").agg(F.count("*").alias("level")).groupBy("level").agg(F.count("*").alias("keys"))
 
 
-QUERIES = [basic_stats, per_base_quality, per_base_percentiles, per_tile_quality, per_sequence_quality, quality_mode, per_base_content, per_base_content_grouped, n_content, gc_counts, gc_distribution, gc_deviation, length_distribution, length_distribution_wide, duplication_levels, first_distinct_keys, overrepresented, contaminants, adapter_content, kmer_counts, kmer_enrichment, kmer_content, kmer_pvalue, sampled_reads, casava_filter, read_functions, revcomp_softclip, colorspace_decode, trim_hard5, trim_hard3, trim_clip, trim_filter_classes, trim_ns, trim_pairs, trim_unpaired, adapter_autodetect, trim_quality, trim_adapter, module_verdicts, dedup_documents]
+QUERIES = [
+    basic_stats, per_base_quality, per_base_percentiles, per_tile_quality, per_sequence_quality, quality_mode,
+    per_base_content, per_base_content_grouped, n_content, gc_counts, gc_distribution, gc_deviation,
+    length_distribution, length_distribution_wide, duplication_levels, first_distinct_keys, overrepresented,
+    contaminants, adapter_content, kmer_counts, kmer_enrichment, kmer_content, kmer_pvalue, sampled_reads,
+    casava_filter, read_functions, revcomp_softclip, colorspace_decode, trim_hard5, trim_hard3, trim_clip,
+    trim_filter_classes, trim_ns, trim_pairs, trim_unpaired, adapter_autodetect, trim_quality, trim_adapter,
+    module_verdicts, dedup_documents
+]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -306,7 +342,9 @@ _WIDTHS, _BINS = (", ".join(f"({w})" for w in widths(times)) for times in (6, 4)
 _KMER = """, picked AS (SELECT substring(sequence, 1, 500) AS s FROM ord WHERE ordinal % 50 = 0),
 kmers AS (SELECT substring(s, pos, 7) AS kmer, pos FROM (SELECT s, unnest(range(1, length(s) - 5)) AS pos FROM picked)),
 counts AS (SELECT kmer, pos, count(*) AS n FROM kmers WHERE NOT contains(kmer, 'N') GROUP BY ALL)"""
-_TAIL = "(CASE WHEN x >= 0 THEN {0} ELSE 2 - {0} END * 0.5)".format("t * (0.254829592::DOUBLE + t * (-0.284496736::DOUBLE + t * (1.421413741::DOUBLE + t * (-1.453152027::DOUBLE + t * 1.061405429::DOUBLE)))) * exp(-x * x)")
+_TAIL = "(CASE WHEN x >= 0 THEN {0} ELSE 2 - {0} END * 0.5)".format(
+    "t * (0.254829592::DOUBLE + t * (-0.284496736::DOUBLE + t * (1.421413741::DOUBLE + t * (-1.453152027::DOUBLE + t * 1.061405429::DOUBLE)))) * exp(-x * x)"
+)
 _ENRICHED = """, k AS (SELECT kmer, CAST(sum(n) AS BIGINT) AS count FROM counts GROUP BY ALL), g AS (SELECT pos, CAST(sum(n) AS BIGINT) AS total FROM counts GROUP BY ALL),
 shares AS (SELECT kmer, pos, n AS hits, count, total, CAST(CAST(count AS FLOAT) / CAST((SELECT sum(n) FROM counts) AS FLOAT) AS FLOAT) AS share FROM counts JOIN k USING (kmer) JOIN g USING (pos)),
 rated AS (SELECT *, CAST(share * CAST(total AS FLOAT) AS FLOAT) AS predicted, CAST(CAST(hits AS FLOAT) / CAST(share * CAST(total AS FLOAT) AS FLOAT) AS FLOAT) AS ratio FROM shares)"""
@@ -331,7 +369,9 @@ def _source_sql(contaminants: list[tuple[str, str]]) -> str:
         for s in (seq, _turned(seq)):
             parts.append(f"WHEN contains(sequence, '{s}') OR contains('{s}', sequence) THEN '{name} (100%)'")
             if len(s) >= 20:
-                parts.append(f"WHEN length(sequence) >= 20 AND {_mismatch_hit(s)} IS NOT NULL THEN concat('{name} (', CAST(100 - {_mismatch_hit(s)} * 5 AS VARCHAR), '%)')")
+                parts.append(
+                    f"WHEN length(sequence) >= 20 AND {_mismatch_hit(s)} IS NOT NULL THEN concat('{name} (', CAST(100 - {_mismatch_hit(s)} * 5 AS VARCHAR), '%)')"
+                )
     return "CASE " + " ".join(parts) + " ELSE 'No Hit' END"
 
 
@@ -353,7 +393,9 @@ ORACLES = {
     "quality_mode": _R + """, c AS (SELECT list_transform(range(1, length(quality) + 1), lambda i: ascii(substring(quality, i, 1))) AS codes FROM reads),
       m AS (SELECT CAST(list_sum(codes) // len(codes) AS BIGINT) AS code, list_min(codes) AS least FROM c)
       SELECT code - (SELECT CASE WHEN min(least) < 64 THEN 33 ELSE 64 END FROM m) AS mode FROM m GROUP BY code ORDER BY count(*) DESC, code LIMIT 1""",
-    "per_base_content": _R + _POS + ", s AS (SELECT pos, " + ", ".join(f"coalesce(sum(n) FILTER (base = '{b}'), 0) AS {b.lower()}" for b in "GATC") + " FROM cube GROUP BY pos) SELECT CAST(pos AS VARCHAR) AS label, " + ", ".join(f"CASE WHEN g + a + t + c > 0 THEN {_SIX(f'{b} * 100.0 / (g + a + t + c)')} ELSE 0 END AS {b}_percent" for b in "gatc") + " FROM s",
+    "per_base_content": _R + _POS + ", s AS (SELECT pos, " + ", ".join(f"coalesce(sum(n) FILTER (base = '{b}'), 0) AS {b.lower()}" for b in "GATC") + " FROM cube GROUP BY pos) SELECT CAST(pos AS VARCHAR) AS label, " + ", ".join(
+        f"CASE WHEN g + a + t + c > 0 THEN {_SIX(f'{b} * 100.0 / (g + a + t + c)')} ELSE 0 END AS {b}_percent" for b in "gatc"
+    ) + " FROM s",
     "per_base_content_grouped": _L + f""", top AS (SELECT max(length(sequence)) AS l FROM reads),
       w AS (SELECT l, (SELECT min(v) FROM (VALUES {_WIDTHS}) x(v) WHERE 9 + (l - 9 + v - 1) // v <= 75) AS w FROM top),
       b AS (SELECT substring(sequence, pos, 1) AS base, pos FROM (SELECT sequence, unnest(range(1, length(sequence) + 1)) AS pos FROM reads)),

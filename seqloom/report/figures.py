@@ -20,8 +20,13 @@ def _frame(title: str, labels: list[str], lo: float, hi: float, body: str) -> st
     for i in range(6):
         v = lo + (hi - lo) * i / 5
         y = _y(v, lo, hi)
-        ticks.append(f"<line x1='{LEFT}' x2='{WIDTH - 20}' y1='{y:.1f}' y2='{y:.1f}' stroke='#ddd'/><text x='{LEFT - 5}' y='{y + 4:.1f}' text-anchor='end' font-size='10'>{v:.4g}</text>")
-    names = "".join(f"<text x='{LEFT + wide * (i + 0.5):.1f}' y='{HEIGHT - BOTTOM + 14}' text-anchor='middle' font-size='8'>{e(t)}</text>" for i, t in enumerate(labels) if i % step == 0)
+        ticks.append(
+            f"<line x1='{LEFT}' x2='{WIDTH - 20}' y1='{y:.1f}' y2='{y:.1f}' stroke='#ddd'/><text x='{LEFT - 5}' y='{y + 4:.1f}' text-anchor='end' font-size='10'>{v:.4g}</text>"
+        )
+    names = "".join(
+        f"<text x='{LEFT + wide * (i + 0.5):.1f}' y='{HEIGHT - BOTTOM + 14}' text-anchor='middle' font-size='8'>{e(t)}</text>" for i,
+        t in enumerate(labels) if i % step == 0
+    )
     return f"<svg xmlns='http://www.w3.org/2000/svg' width='{WIDTH}' height='{HEIGHT}'><rect width='100%' height='100%' fill='white'/><text x='{WIDTH / 2}' y='20' text-anchor='middle' font-size='14'>{e(title)}</text>{''.join(ticks)}{names}{body}</svg>"
 
 
@@ -36,7 +41,9 @@ def lines(title: str, labels: list[str], series: list[tuple[str, list[float]]],
     for k, (name, values) in enumerate(series):
         colour = PALETTE[k % len(PALETTE)]
         points = " ".join(f"{LEFT + wide * (i + 0.5):.1f},{_y(v, lo, hi):.1f}" for i, v in enumerate(values))
-        body.append(f"<polyline points='{points}' fill='none' stroke='{colour}' stroke-width='2'/><text x='{WIDTH - 25}' y='{TOP + 14 * k + 10}' text-anchor='end' font-size='11' fill='{colour}'>{html.escape(name)}</text>")
+        body.append(
+            f"<polyline points='{points}' fill='none' stroke='{colour}' stroke-width='2'/><text x='{WIDTH - 25}' y='{TOP + 14 * k + 10}' text-anchor='end' font-size='11' fill='{colour}'>{html.escape(name)}</text>"
+        )
     return _frame(title, labels, lo, hi, "".join(body))
 
 
@@ -45,7 +52,10 @@ def boxes(title: str, rows: list[tuple]) -> str:
     labels = [r[0] for r in rows]
     hi = max([40.0, *(v for r in rows for v in r[1:] if not math.isnan(v))])
     wide = (WIDTH - LEFT - 20) / max(len(rows), 1)
-    body = "".join(f"<rect x='{LEFT}' y='{_y(b, 0, hi):.1f}' width='{WIDTH - LEFT - 20}' height='{_y(a, 0, hi) - _y(b, 0, hi):.1f}' fill='{c}'/>" for a, b, c in ((0, 20, "#f4cccc"), (20, 28, "#fce8cc"), (28, hi, "#d6efd6")))
+    body = "".join(
+        f"<rect x='{LEFT}' y='{_y(b, 0, hi):.1f}' width='{WIDTH - LEFT - 20}' height='{_y(a, 0, hi) - _y(b, 0, hi):.1f}' fill='{c}'/>" for a,
+        b, c in ((0, 20, "#f4cccc"), (20, 28, "#fce8cc"), (28, hi, "#d6efd6"))
+    )
     for i, (_, _, median, lower, upper, p10, p90) in enumerate(rows):
         if math.isnan(median):
             continue
@@ -65,7 +75,10 @@ def shade(share: float) -> str:
 
 def heat(title: str, labels: list[str], tiles: list[dict], worst: float) -> str:
     wide, high = (WIDTH - LEFT - 20) / max(len(labels), 1), (HEIGHT - BOTTOM - TOP) / max(len(tiles), 1)
-    body = "".join(f"<rect x='{LEFT + wide * j:.1f}' y='{TOP + high * i:.1f}' width='{wide:.2f}' height='{high:.2f}' fill='{shade(-v / (worst or 1))}'/>" for i, t in enumerate(tiles) for j, v in enumerate(t["mean_deviation"]))
+    body = "".join(
+        f"<rect x='{LEFT + wide * j:.1f}' y='{TOP + high * i:.1f}' width='{wide:.2f}' height='{high:.2f}' fill='{shade(-v / (worst or 1))}'/>" for i,
+        t in enumerate(tiles) for j, v in enumerate(t["mean_deviation"])
+    )
     return _frame(title, labels, 0, max(len(tiles), 1), body)
 
 
@@ -92,7 +105,13 @@ def figure(m: Module) -> str | None:
         case "per_base_sequence_content":
             return lines("Sequence content across all bases", labels, [(f"%{b}", [r[k + 1] for r in m.rows]) for k, b in enumerate("GATC")], 0, 100)
         case "per_sequence_gc_content":
-            return lines("GC distribution over all sequences", labels, [("GC count per read", [r[1] for r in m.rows]), ("Theoretical Distribution", [d["theoretical_count"] for d in m.data["distribution"]])])
+            return lines(
+                "GC distribution over all sequences", labels,
+                [
+                    ("GC count per read", [r[1] for r in m.rows]),
+                    ("Theoretical Distribution", [d["theoretical_count"] for d in m.data["distribution"]])
+                ]
+            )
         case "per_base_n_content":
             return lines("N content across all bases", labels, [("%N", [r[1] for r in m.rows])], 0, 100)
         case "sequence_length_distribution":

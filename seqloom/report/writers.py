@@ -59,7 +59,10 @@ def json_report(report: FileReport, now: datetime | None = None) -> dict:
     b = report.modules[0].data
     modules = []
     for m in report.modules:
-        entry = {"id": m.id, "name": m.name, "description": m.description, "status": m.status, "in_report": m.reported, "omitted_reason": None if m.reported else "module ignored"}
+        entry = {
+            "id": m.id, "name": m.name, "description": m.description, "status": m.status,
+            "in_report": m.reported, "omitted_reason": None if m.reported else "module ignored"
+        }
         if m.thresholds is not None:
             entry["thresholds"] = m.thresholds
         modules.append(entry | {"data": m.data})
@@ -71,7 +74,11 @@ def json_report(report: FileReport, now: datetime | None = None) -> dict:
         "summary": {
             "overall_status": report.overall(),
             "module_counts": counts,
-            "basic_statistics": {"total_sequences": b["total_sequences"], "filtered_sequences": b["filtered_sequences"], "total_bases": b["total_bases"], "min_sequence_length": b["sequence_length"]["min"], "max_sequence_length": b["sequence_length"]["max"], "gc_percent": b["gc_percent"]},
+            "basic_statistics": {
+                "total_sequences": b["total_sequences"], "filtered_sequences": b["filtered_sequences"],
+                "total_bases": b["total_bases"], "min_sequence_length": b["sequence_length"]["min"],
+                "max_sequence_length": b["sequence_length"]["max"], "gc_percent": b["gc_percent"]
+            },
         },
         "modules": modules,
     }
@@ -79,7 +86,9 @@ def json_report(report: FileReport, now: datetime | None = None) -> dict:
 
 def html_report(report: FileReport) -> str:
     e = html.escape
-    parts = [f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{e(report.file_name)}</title><style>body{{font-family:sans-serif;margin:1em}}table{{border-collapse:collapse}}td,th{{border:1px solid #ccc;padding:2px 6px}}.pass{{color:#080}}.warn{{color:#c80}}.fail{{color:#c00}}</style></head><body><h1>{e(report.file_name)}</h1><h2>Summary</h2><ul>"]
+    parts = [
+        f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{e(report.file_name)}</title><style>body{{font-family:sans-serif;margin:1em}}table{{border-collapse:collapse}}td,th{{border:1px solid #ccc;padding:2px 6px}}.pass{{color:#080}}.warn{{color:#c80}}.fail{{color:#c00}}</style></head><body><h1>{e(report.file_name)}</h1><h2>Summary</h2><ul>"
+    ]
     shown = [m for m in report.modules if m.reported]
     parts += [f"<li class='{m.status}'>[{STATUS_WORDS[m.status]}] <a href='#M{i}'>{e(m.name)}</a></li>" for i, m in enumerate(shown)]
     parts.append("</ul>")
@@ -93,14 +102,21 @@ def html_report(report: FileReport) -> str:
         # what a figure shows is there as a table, too, folded up
         folded = m.id not in ("basic_statistics", "overrepresented_sequences", "kmer_content")
         head = m.header.split("\n")[-1].lstrip("#").split("\t")
-        parts.append(("<details><summary>Values</summary>" if folded else "") + "<table><thead><tr>" + "".join(f"<th>{e(h)}</th>" for h in head) + "</tr></thead><tbody>")
+        parts.append(
+            (
+                "<details><summary>Values</summary>" if folded else ""
+            ) + "<table><thead><tr>" + "".join(f"<th>{e(h)}</th>" for h in head) + "</tr></thead><tbody>"
+        )
         parts += ["<tr>" + "".join(f"<td>{e(plain_number(v) if isinstance(v, float) else str(v))}</td>" for v in row) + "</tr>" for row in m.rows]
         parts.append("</tbody></table>" + ("</details>" if folded else ""))
     parts.append("</body></html>")
     return "".join(parts)
 
 
-def write_all(report: FileReport, folder: str | Path, suffix: str = "_qc", extract: bool = False, delete_zip: bool = False, as_json: bool = False) -> list[Path]:
+def write_all(
+    report: FileReport, folder: str | Path, suffix: str = "_qc", extract: bool = False,
+    delete_zip: bool = False, as_json: bool = False
+) -> list[Path]:
     """The HTML and the ZIP (a folder with report, data, summary and images), and what else is asked for."""
     folder = Path(folder)
     folder.mkdir(parents=True, exist_ok=True)

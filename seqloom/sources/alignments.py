@@ -28,7 +28,10 @@ def to_reads(aligned: DataFrame, only_mapped: bool) -> DataFrame:
 
     Mapped reads only: unmapped ones go, soft-clipped ends are cut.  A read on the reverse strand is turned round."""
     rows = aligned.withColumn("sequence", R.upper_ascii(F.when(F.col("sequence") == "*", "").otherwise(F.col("sequence"))))
-    rows = rows.withColumn("quality", F.when((F.col("quality") == "*") | (F.col("quality") == ""), F.repeat(F.lit("!"), F.length("sequence"))).otherwise(F.col("quality")))
+    rows = rows.withColumn(
+        "quality",
+        F.when((F.col("quality") == "*") | (F.col("quality") == ""), F.repeat(F.lit("!"), F.length("sequence"))).otherwise(F.col("quality"))
+    )
     if only_mapped:
         rows = rows.where(F.col("flag").bitwiseAND(UNMAPPED) == 0)
         cigar = F.col("cigar")
@@ -52,7 +55,10 @@ def read_sam(spark: SparkSession, paths: str | list[str], only_mapped: bool = Fa
     lines = numbered(spark, paths, index(spark, paths)).where(~F.startswith(F.col("line"), F.lit("@")))
     f = F.split("line", "\t")
     at = lambda i: F.get(f, F.lit(i))
-    rows = lines.where((F.size(f) >= 11) & at(1).try_cast("int").isNotNull()).select("path", F.col("line_idx").alias("read_idx"), at(0).alias("id"), at(1).try_cast("int").alias("flag"), at(5).alias("cigar"), at(9).alias("sequence"), F.regexp_replace(at(10), "\r$", "").alias("quality"))
+    rows = lines.where((F.size(f) >= 11) & at(1).try_cast("int").isNotNull()).select(
+        "path", F.col("line_idx").alias("read_idx"), at(0).alias("id"), at(1).try_cast("int").alias("flag"),
+        at(5).alias("cigar"), at(9).alias("sequence"), F.regexp_replace(at(10), "\r$", "").alias("quality")
+    )
     return to_reads(rows, only_mapped)
 
 
@@ -116,7 +122,12 @@ def bam_records(blocks: Iterator[bytes]) -> Iterator[tuple[str, int, str, str, s
 def _read_bam(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyarrow import fs as pafs
 
-    schema = pa.schema([("path", pa.string()), ("read_idx", pa.int64()), ("id", pa.string()), ("flag", pa.int32()), ("cigar", pa.string()), ("sequence", pa.string()), ("quality", pa.string())])
+    schema = pa.schema(
+        [
+            ("path", pa.string()), ("read_idx", pa.int64()), ("id", pa.string()), ("flag", pa.int32()),
+            ("cigar", pa.string()), ("sequence", pa.string()), ("quality", pa.string())
+        ]
+    )
     for batch in batches:
         for path in batch.column("path").to_pylist():
             local = path[5:] if path.startswith("file:") else path

@@ -37,7 +37,10 @@ def check(path: str, at: int, lines: list[str]) -> list[str]:
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i == 1 else pa.string()) for i, c in enumerate(cols)], ["path", "read_idx", "id", "sequence", "plus", "quality"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, pa.int64() if i == 1 else pa.string()) for i, c in enumerate(cols)],
+        ["path", "read_idx", "id", "sequence", "plus", "quality"]
+    )
 
 
 def _records(batches: Iterator[pa.RecordBatch], found: dict[str, FileIndex], lenient: bool) -> Iterator[pa.RecordBatch]:
@@ -127,9 +130,13 @@ def records_of_lines(lines: DataFrame) -> DataFrame:
     blank lines.  Four lines in a row are a record; what isn't one raises an error."""
     at = F.col("line_idx") % 4
     line = lambda k: F.max(F.when(at == k, F.regexp_replace("value", "\\r$", "")))
-    rows = lines.groupBy("path", F.floor(F.col("line_idx") / 4).alias("read_idx")).agg(*(line(k).alias(name) for k, name in enumerate(("id", "sequence", "plus", "quality"))))
+    rows = lines.groupBy("path", F.floor(F.col("line_idx") / 4).alias("read_idx")).agg(
+        *(line(k).alias(name) for k, name in enumerate(("id", "sequence", "plus", "quality")))
+    )
     good = F.startswith("id", F.lit("@")) & F.startswith("plus", F.lit("+")) & (F.length("sequence") == F.length("quality"))
-    checked = F.when(F.coalesce(good, F.lit(False)), F.col("id")).otherwise(F.raise_error(F.concat(F.lit("no FASTQ record at line "), F.col("read_idx") * 4 + 1)))
+    checked = F.when(F.coalesce(good, F.lit(False)), F.col("id")).otherwise(
+        F.raise_error(F.concat(F.lit("no FASTQ record at line "), F.col("read_idx") * 4 + 1))
+    )
     return rows.withColumn("id", checked)
 
 

@@ -22,7 +22,10 @@ COUNTED = "path string, block long, n long, blanks array<long>, trailing long, h
 
 def text_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(path, block, line): ``block`` is where the line's split begins."""
-    return spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
+    return spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+        F.col("value").alias("line")
+    )
 
 
 def split_runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], list[str]]]:
@@ -50,7 +53,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s["head"] = (s["head"] + lines[:EDGE])[:EDGE]
             s["tail"] = (s["tail"] + lines[-EDGE:])[-EDGE:]
     rows = [{"path": p, "block": b} | s for (p, b), s in found.items()]
-    yield pa.RecordBatch.from_pylist(rows, pa.schema([("path", pa.string()), ("block", pa.int64()), ("n", pa.int64()), ("blanks", pa.list_(pa.int64())), ("trailing", pa.int64()), ("head", pa.list_(pa.string())), ("tail", pa.list_(pa.string()))]))
+    yield pa.RecordBatch.from_pylist(
+        rows,
+        pa.schema(
+            [
+                ("path", pa.string()), ("block", pa.int64()), ("n", pa.int64()),
+                ("blanks", pa.list_(pa.int64())), ("trailing", pa.int64()), ("head", pa.list_(pa.string())),
+                ("tail", pa.list_(pa.string()))
+            ]
+        )
+    )
 
 
 @dataclass

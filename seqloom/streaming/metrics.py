@@ -29,7 +29,10 @@ def cube_stream(reads: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
 def totals_stream(reads: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
     """Reads, bases and GC by file."""
     seq = F.col("sequence")
-    rows = unfiltered(reads).groupBy("file_name").agg(F.count("*").alias("reads"), F.sum(F.length(seq)).alias("bases"), F.sum(R.gc_count(seq)).alias("gc"), F.min(F.length(seq)).alias("least"), F.max(F.length(seq)).alias("most"))
+    rows = unfiltered(reads).groupBy("file_name").agg(
+        F.count("*").alias("reads"), F.sum(F.length(seq)).alias("bases"), F.sum(R.gc_count(seq)).alias("gc"),
+        F.min(F.length(seq)).alias("least"), F.max(F.length(seq)).alias("most")
+    )
     return rows.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).start()
 
 

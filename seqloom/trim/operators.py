@@ -132,7 +132,10 @@ def clip_second(config: TrimConfig) -> int | None:
     return 2 if config.rrbs and config.paired and not config.non_directional and config.clip_r2 is None else config.clip_r2
 
 
-def _trim(batches: Iterator[pa.RecordBatch], adapter: str, cutoff: int, base: int, two_colour: bool, error_rate: float, overlap: int) -> Iterator[pa.RecordBatch]:
+def _trim(
+    batches: Iterator[pa.RecordBatch], adapter: str, cutoff: int, base: int, two_colour: bool,
+    error_rate: float, overlap: int
+) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sequences, qualities = batch.column("sequence").to_pylist(), batch.column("quality").to_pylist()
         seq, size = kernels.matrix([s or "" for s in sequences])
@@ -148,7 +151,10 @@ def _trim(batches: Iterator[pa.RecordBatch], adapter: str, cutoff: int, base: in
 def trim_ends(reads: DataFrame, adapter: str, config: TrimConfig) -> DataFrame:
     """Quality, then adapter, then N trimming; adds quality_trimmed and adapter_trimmed (bases taken off)."""
     cutoff = config.nextseq if config.nextseq is not None else config.quality
-    kernel = partial(_trim, adapter=adapter, cutoff=cutoff, base=64 if config.phred64 else 33, two_colour=config.nextseq is not None, error_rate=config.error_rate, overlap=config.stringency)
+    kernel = partial(
+        _trim, adapter=adapter, cutoff=cutoff, base=64 if config.phred64 else 33,
+        two_colour=config.nextseq is not None, error_rate=config.error_rate, overlap=config.stringency
+    )
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in reads.schema.fields) + ", quality_trimmed long, adapter_trimmed long"
     out = reads.mapInArrow(kernel, schema)
     return trim_n(out) if config.trim_n else out
@@ -160,7 +166,9 @@ def trim_n(reads: DataFrame) -> DataFrame:
     rest = F.length(F.regexp_replace("sequence", "[Nn]+$", ""))
     size = F.greatest(rest - front, F.lit(0))
     rows = reads.withColumn("_front", front).withColumn("_size", size)
-    return rows.withColumn("quality", F.substring("quality", F.col("_front") + 1, F.col("_size"))).withColumn("sequence", F.substring("sequence", F.col("_front") + 1, F.col("_size"))).drop("_front", "_size")
+    return rows.withColumn("quality", F.substring("quality", F.col("_front") + 1, F.col("_size"))).withColumn(
+        "sequence", F.substring("sequence", F.col("_front") + 1, F.col("_size"))
+    ).drop("_front", "_size")
 
 
 def clip5(reads: DataFrame, n: int | None, rename: bool = False, prefix: str = "") -> DataFrame:
@@ -198,7 +206,10 @@ def classify_single(reads: DataFrame, config: TrimConfig, least: int) -> DataFra
     rows = clip3(clip5(reads, config.clip_r1, config.rename), config.three_prime_clip_r1, config.rename)
     n = F.length("sequence")
     long = n > config.max_length if config.max_length is not None else F.lit(False)
-    return rows.withColumn("class", F.when(too_many_n(F.col("sequence"), config.max_n), "too_many_n").when(n < least, "too_short").when(long, "too_long").otherwise("kept"))
+    return rows.withColumn(
+        "class",
+        F.when(too_many_n(F.col("sequence"), config.max_n), "too_many_n").when(n < least, "too_short").when(long, "too_long").otherwise("kept")
+    )
 
 
 def trim_single(reads: DataFrame, config: TrimConfig, adapter: str | None = None) -> DataFrame:

@@ -34,7 +34,10 @@ def output_names(files: tuple[str, ...], config: O.TrimConfig, gzip: bool) -> di
         return {"hard": f"{stem(files[0])}.{n}bp_{side}{end}"}
     if not config.paired:
         return {"kept": f"{config.basename or stem(files[0])}_trimmed{end}"}
-    return {f"{role}_{i + 1}": f"{config.basename or stem(f)}_{word}_{i + 1}{end}" for i, f in enumerate(files) for role, word in (("kept", "val"), ("unpaired", "unpaired"))}
+    return {
+        f"{role}_{i + 1}": f"{config.basename or stem(f)}_{word}_{i + 1}{end}" for i,
+        f in enumerate(files) for role, word in (("kept", "val"), ("unpaired", "unpaired"))
+    }
 
 
 def _reads(spark: SparkSession, path: str) -> DataFrame:
@@ -65,17 +68,25 @@ def report_text(name: str, config: O.TrimConfig, adapter: str, counts: dict[str,
     short = counts.get("removed_for_length", counts["too_short"])
     lines.append(f"Sequences removed because they were shorter than {least} bp: {short} ({O.percent(short, total, digits)})")
     if config.max_length is not None:
-        lines.append(f"Sequences removed because they were longer than {config.max_length} bp: {counts['too_long']} ({O.percent(counts['too_long'], total, digits)})")
+        lines.append(
+            f"Sequences removed because they were longer than {config.max_length} bp: {counts['too_long']} ({O.percent(counts['too_long'], total, digits)})"
+        )
     return "\n".join(lines) + "\n"
 
 
 def qc_reads(kept: DataFrame, name: str) -> DataFrame:
     """Trimmed reads as those of a file: each has its place among them."""
-    own = kept.select(F.lit(name).alias("file_name"), "read_idx", F.regexp_replace("id", "^@", "").alias("id"), "sequence", "quality", F.lit(None).cast("string").alias("colorspace"), F.lit(False).alias("is_filtered"))
+    own = kept.select(
+        F.lit(name).alias("file_name"), "read_idx", F.regexp_replace("id", "^@", "").alias("id"), "sequence",
+        "quality", F.lit(None).cast("string").alias("colorspace"), F.lit(False).alias("is_filtered")
+    )
     return with_ordinal(own, "place", False, dense=False).withColumn("read_idx", F.col("place") - 1).drop("place")
 
 
-def run(spark: SparkSession, files: list[str], out: str, config: O.TrimConfig, gzip: bool | None = None, adapters: tuple[str, str] | None = None, report: bool = True, qc: QcConfig | None = None) -> list[str]:
+def run(
+    spark: SparkSession, files: list[str], out: str, config: O.TrimConfig, gzip: bool | None = None,
+    adapters: tuple[str, str] | None = None, report: bool = True, qc: QcConfig | None = None
+) -> list[str]:
     """Trim a file or a pair into ``out``; outputs are folders of part files in the reads' order.  Returns their paths.
 
     ``adapters``: those of first and second reads, where they are known (of several files the first one tells them for all).

@@ -25,7 +25,10 @@ def test_groups():
 
 
 def test_number_text():
-    for value, text in ((1e-4, "1.0E-4"), (12345678.9, "1.23456789E7"), (100.0, "100.0"), (0.001, "0.001"), (float("nan"), "NaN"), (-math.inf, "-Infinity"), (0.0, "0.0")):
+    for value, text in (
+        (1e-4, "1.0E-4"), (12345678.9, "1.23456789E7"), (100.0, "100.0"), (0.001, "0.001"),
+        (float("nan"), "NaN"), (-math.inf, "-Infinity"), (0.0, "0.0")
+    ):
         assert K.number_text(value) == text
     assert K.plain_number(5.0) == "5"
     assert K.bases_text(80) == "80 bp" and K.bases_text(1999) == "1.9 kbp" and K.bases_text(1_000_000) == "1 Mbp" and K.bases_text(2_050_000_000) == "2 Gbp"
@@ -125,6 +128,10 @@ def test_adapter_cut_finds_matches_of_the_definition():
 
 
 def test_trim_options():
-    for wrong in ({"error_rate": 2}, {"adapter": "A", "preset": "nextera"}, {"hardtrim5": 3, "hardtrim3": 3}, {"hardtrim5": 0}, {"nextseq": 20, "quality": 30}, {"retain_unpaired": True}, {"paired": True, "files": ("a",)}):
+    for wrong in (
+        {"error_rate": 2}, {"adapter": "A", "preset": "nextera"}, {"hardtrim5": 3, "hardtrim3": 3},
+        {"hardtrim5": 0}, {"nextseq": 20, "quality": 30}, {"retain_unpaired": True},
+        {"paired": True, "files": ("a",)}
+    ):
         with pytest.raises(ValueError):
             TrimConfig(**wrong)

@@ -66,7 +66,9 @@ def bam_bytes():
     def record(name, flag, cigar, seq, qual):
         code = {"A": 1, "C": 2, "G": 4, "T": 8, "N": 15}
         packed = bytes(code[seq[i]] << 4 | (code[seq[i + 1]] if i + 1 < len(seq) else 0) for i in range(0, len(seq), 2))
-        body = struct.pack("<iiBBHHHiiii", 0, 0, len(name) + 1, 60, 0, len(cigar), flag, len(seq), -1, -1, 0) + name.encode() + b"\0" + b"".join(struct.pack("<I", n << 4 | op) for n, op in cigar) + packed + qual
+        body = struct.pack(
+            "<iiBBHHHiiii", 0, 0, len(name) + 1, 60, 0, len(cigar), flag, len(seq), -1, -1, 0
+        ) + name.encode() + b"\0" + b"".join(struct.pack("<I", n << 4 | op) for n, op in cigar) + packed + qual
         return struct.pack("<i", len(body)) + body
 
     head = b"BAM\x01" + struct.pack("<i", 0) + struct.pack("<i", 1) + struct.pack("<i", 2) + b"c\0" + struct.pack("<i", 99)
@@ -97,24 +99,60 @@ def expected(name, reads, gc, statuses, gc_counts, bases, slot, kept, record, po
     def section(title, lines):
         out.extend([f">>{title}\t{statuses[title]}", *lines, ">>END_MODULE"])
 
-    section("Basic Statistics", ["#Measure\tValue", f"Filename\t{name}", "File type\tConventional base calls", "Encoding\tIllumina 1.5", f"Total Sequences\t{reads}", f"Total Bases\t{16 * reads} bp", "Sequences flagged as poor quality\t0", "Sequence length\t16", f"%GC\t{gc}"])
-    section("Per base sequence quality", ["#Base\tMean\tMedian\tLower Quartile\tUpper Quartile\t10th Percentile\t90th Percentile", *(f"{i}\t9.0" + "\tNaN" * 5 for i in range(1, 17))])
+    section(
+        "Basic Statistics",
+        [
+            "#Measure\tValue", f"Filename\t{name}", "File type\tConventional base calls",
+            "Encoding\tIllumina 1.5", f"Total Sequences\t{reads}", f"Total Bases\t{16 * reads} bp",
+            "Sequences flagged as poor quality\t0", "Sequence length\t16", f"%GC\t{gc}"
+        ]
+    )
+    section(
+        "Per base sequence quality",
+        ["#Base\tMean\tMedian\tLower Quartile\tUpper Quartile\t10th Percentile\t90th Percentile", *(f"{i}\t9.0" + "\tNaN" * 5 for i in range(1, 17))]
+    )
     section("Per sequence quality scores", ["#Quality\tCount", f"9\t{reads}.0"])
-    section("Per base sequence content", ["#Base\tG\tA\tT\tC", *(f"{i + 1}\t" + "\t".join("100.0" if b == bases[i] else "0.0" for b in "GATC") for i in range(16))])
+    section(
+        "Per base sequence content",
+        ["#Base\tG\tA\tT\tC", *(f"{i + 1}\t" + "\t".join("100.0" if b == bases[i] else "0.0" for b in "GATC") for i in range(16))]
+    )
     section("Per sequence GC content", ["#GC Content\tCount", *(f"{i}\t{gc_counts.get(i, 0.0)}" for i in range(101))])
     section("Per base N content", ["#Base\tN-Count", *(f"{i}\t0.0" for i in range(1, 17))])
     section("Sequence Length Distribution", ["#Length\tCount", f"16\t{reads}.0"])
     labels = ["1", "2", "3", "4", "5", "6", "7", "8", "9", ">10", ">50", ">100", ">500", ">1k", ">5k", ">10k+"]
-    section("Sequence Duplication Levels", [f"#Total Deduplicated Percentage\t{kept}", "#Duplication Level\tPercentage of total", *(f"{x}\t{100.0 if i == slot else 0.0}" for i, x in enumerate(labels))])
+    section(
+        "Sequence Duplication Levels",
+        [
+            f"#Total Deduplicated Percentage\t{kept}", "#Duplication Level\tPercentage of total",
+            *(f"{x}\t{100.0 if i == slot else 0.0}" for i, x in enumerate(labels))
+        ]
+    )
     section("Overrepresented sequences", ["#Sequence\tCount\tPercentage\tPossible Source", record])
     section("Adapter Content", ["#Position\t" + "\t".join(n for n, _ in DEFAULT_ADAPTERS), *(f"{i}\t0.0\t0.0\t0.0\t0.0\t{poly_a}\t0.0" for i in range(1, 6))])
     return out
 
 
-SAME = {t: "pass" for t in ("Basic Statistics", "Per base sequence quality", "Per base N content", "Sequence Length Distribution")} | {t: "fail" for t in ("Per sequence quality scores", "Per base sequence content", "Overrepresented sequences")}
+SAME = {
+    t: "pass" for t in ("Basic Statistics", "Per base sequence quality", "Per base N content", "Sequence Length Distribution")
+} | {t: "fail" for t in ("Per sequence quality scores", "Per base sequence content", "Overrepresented sequences")}
 KNOWN = {
-    "minimal": ("A" * 16, 1, dict(gc=0, statuses=SAME | {"Per sequence GC content": "fail", "Sequence Duplication Levels": "pass", "Adapter Content": "fail"}, gc_counts={0: 1.0, 1: 1.0, 2: 1.0, 3: 0.5}, slot=0, kept=100.0, poly_a=100.0)),
-    "complex": ("ACGT" * 4, 5, dict(gc=50, statuses=SAME | {"Per sequence GC content": "warn", "Sequence Duplication Levels": "fail", "Adapter Content": "pass"}, gc_counts={47: 2.5, 48: 5.0, 49: 5.0, 50: 5.0, 51: 5.0, 52: 5.0, 53: 2.5}, slot=4, kept=20.0, poly_a=0.0)),
+    "minimal": (
+        "A" * 16, 1,
+        dict(
+            gc=0,
+            statuses=SAME | {"Per sequence GC content": "fail", "Sequence Duplication Levels": "pass", "Adapter Content": "fail"},
+            gc_counts={0: 1.0, 1: 1.0, 2: 1.0, 3: 0.5}, slot=0, kept=100.0, poly_a=100.0
+        )
+    ),
+    "complex": (
+        "ACGT" * 4, 5,
+        dict(
+            gc=50,
+            statuses=SAME | {"Per sequence GC content": "warn", "Sequence Duplication Levels": "fail", "Adapter Content": "pass"},
+            gc_counts={47: 2.5, 48: 5.0, 49: 5.0, 50: 5.0, 51: 5.0, 52: 5.0, 53: 2.5}, slot=4, kept=20.0,
+            poly_a=0.0
+        )
+    ),
 }
 
 
@@ -161,7 +199,10 @@ def test_metrics_dont_depend_on_partitions(spark):
     seqs = [("ACGTN" * 30)[i : i + 20 + i % 40] for i in range(120)]
     reads = frame(spark, seqs, ids=[f"S:1:F:1:{1100 + i % 3}:{i}:1" for i in range(120)])
     config = QcConfig(compat=False)
-    for make in (lambda r: positions.tile_quality(r, config), lambda r: sequences.adapter_content(r, config), basic.length_distribution, lambda r: positions.base_content(r, config)):
+    for make in (
+        lambda r: positions.tile_quality(r, config), lambda r: sequences.adapter_content(r, config),
+        basic.length_distribution, lambda r: positions.base_content(r, config)
+    ):
         a, b = (sorted(map(str, make(r).collect())) for r in (reads, reads.repartition(7, F.rand(3))))
         assert a == b
 
@@ -181,14 +222,21 @@ def test_key_and_gc_parts(spark):
 
 
 def test_contaminants(spark):
-    df = spark.createDataFrame([("TTT" + "ACGTACGTTGCAACGTACGTTTGACA"[:20] + "CC",), ("TTT" + "ACGTACGTTGCAACCTACGT" + "CC",), ("G" * 30,), ("CCATG",)], "q string")
+    df = spark.createDataFrame(
+        [("TTT" + "ACGTACGTTGCAACGTACGTTTGACA"[:20] + "CC",), ("TTT" + "ACGTACGTTGCAACCTACGT" + "CC",), ("G" * 30,), ("CCATG",)],
+        "q string"
+    )
     source = sequences.possible_source(F.col("q"), [("Tiny", "CATG"), ("Long", "ACGTACGTTGCAACGTACGTTTGACA")])
     assert [r[0] for r in df.select(source).collect()] == ["Long (100%)", "Long (95%)", "No Hit", "Tiny (100%)"]
 
 
 def test_trimming_runs(spark, tmp_path):
     adapter = "AGATCGGAAGAGC"
-    (tmp_path / "a.fastq").write_text("".join(f"@r{i}\n{'ACGTACGTAC' * 3 + (adapter if i % 2 else 'TTTTTTTTTTTTG')}\n+\n{'I' * 43}\n" for i in range(6)) + "@s\n" + "N" * 43 + "\n+\n" + "I" * 43 + "\n")
+    (tmp_path / "a.fastq").write_text(
+        "".join(
+            f"@r{i}\n{'ACGTACGTAC' * 3 + (adapter if i % 2 else 'TTTTTTTTTTTTG')}\n+\n{'I' * 43}\n" for i in range(6)
+        ) + "@s\n" + "N" * 43 + "\n+\n" + "I" * 43 + "\n"
+    )
     made = run_trim(spark, [str(tmp_path / "a.fastq")], f"file://{tmp_path}/out", T.TrimConfig(max_n=5, stringency=3, files=("a",)))
     kept = records(spark, made[0])
     assert sorted(len(r.sequence) for r in kept.collect()) == [30] * 3 + [43] * 3
@@ -201,9 +249,14 @@ def test_trimming_runs(spark, tmp_path):
 def test_paired_trimming_counts_both_files(spark, tmp_path):
     adapter = "AGATCGGAAGAGC"
     for name, quality in (("a", "I" * 43), ("b", "I" * 37 + "#" * 6)):
-        (tmp_path / f"{name}.fastq").write_text("".join(f"@r{i}\n{'ACGTACGTAC' * 3 + (adapter if i % 2 and name == 'a' else 'TTTTTTTTTTTTG')}\n+\n{quality}\n" for i in range(6)))
+        (tmp_path / f"{name}.fastq").write_text(
+            "".join(f"@r{i}\n{'ACGTACGTAC' * 3 + (adapter if i % 2 and name == 'a' else 'TTTTTTTTTTTTG')}\n+\n{quality}\n" for i in range(6))
+        )
     files = [str(tmp_path / f"{n}.fastq") for n in "ab"]
-    config = T.TrimConfig(paired=True, adapter=adapter, retain_unpaired=True, length=35, length_1=20, length_2=35, stringency=3, basename="both", files=tuple(files))
+    config = T.TrimConfig(
+        paired=True, adapter=adapter, retain_unpaired=True, length=35, length_1=20, length_2=35, stringency=3,
+        basename="both", files=tuple(files)
+    )
     made = run_trim(spark, files, f"file://{tmp_path}/out", config, qc=QcConfig())
     names = [m.rsplit("/", 1)[-1] if isinstance(m, str) else m.name for m in made]
     assert names[:6] == ["both_val_1.fq", "both_unpaired_1.fq", "both_val_2.fq", "both_unpaired_2.fq", "a.fastq_trimming_report", "b.fastq_trimming_report"]
@@ -267,7 +320,10 @@ def test_files_of_equal_names_stay_apart(spark, tmp_path):
 def test_ordinals_skip_filtered_reads(spark):
     from seqloom.operators.common import BATCH, with_ordinal
 
-    rows = spark.range(5 * BATCH + 100).select(F.lit("f").alias("file_name"), F.col("id").alias("read_idx"), (F.pmod(F.xxhash64("id"), F.lit(7)) == 0).alias("is_filtered"))
+    rows = spark.range(5 * BATCH + 100).select(
+        F.lit("f").alias("file_name"), F.col("id").alias("read_idx"),
+        (F.pmod(F.xxhash64("id"), F.lit(7)) == 0).alias("is_filtered")
+    )
     skipped = {r.read_idx for r in rows.where("is_filtered").collect()}
     for compat in (True, False):
         count, want = {}, {}
@@ -288,10 +344,17 @@ def test_tiles_sampled_and_given_up(spark):
 
     def reads(n, tile):
         data = [("f", i, f"S:1:F:1:{tile(i)}:{i}:0", "ACGT", "IIII" if i % 3 else "II#I", None, False) for i in range(n)]
-        return spark.createDataFrame(data, "file_name string, read_idx long, id string, sequence string, quality string, colorspace string, is_filtered boolean")
+        return spark.createDataFrame(
+            data,
+            "file_name string, read_idx long, id string, sequence string, quality string, colorspace string, is_filtered boolean"
+        )
 
     config = QcConfig(tile_all=20)
-    found = {r.tile: r.n for r in positions.tile_sums(reads(400, lambda i: 7 + i % 2), config).where("pos = 1").groupBy("tile").agg(F.sum("n").alias("n")).collect()}
+    found = {
+        r.tile: r.n for r in positions.tile_sums(
+            reads(400, lambda i: 7 + i % 2), config
+        ).where("pos = 1").groupBy("tile").agg(F.sum("n").alias("n")).collect()
+    }
     picked = [i for i in range(400) if i + 1 <= 20 or (i + 1) % 10 == 0]
     assert found == {t: sum(7 + i % 2 == t for i in picked) for t in {7 + i % 2 for i in picked}}
     assert positions.tile_quality(reads(2501, lambda i: i), QcConfig()).select("tile").distinct().count() == 2501
@@ -312,7 +375,12 @@ def test_lines_of_any_source_are_records(spark):
 def test_kmers_are_drawn_and_in_the_json(spark):
     from seqloom.report.figures import figure
 
-    data = [("f", i, f"r{i}", ("GATTACA" + "ACGT" * 6) if i % 50 == 49 else "ACGT" * 8, "I" * 31 if i % 50 == 49 else "I" * 32, None, False) for i in range(4000)]
+    data = [
+        (
+            "f", i, f"r{i}", ("GATTACA" + "ACGT" * 6) if i % 50 == 49 else "ACGT" * 8,
+            "I" * 31 if i % 50 == 49 else "I" * 32, None, False
+        ) for i in range(4000)
+    ]
     reads = spark.createDataFrame(data, "file_name string, read_idx long, id string, sequence string, quality string, colorspace string, is_filtered boolean")
     config = QcConfig()
     config.limits["kmer", "ignore"] = 0.0
