@@ -309,7 +309,10 @@ class Encoder:
 
             begin = np.array([a + m.start() for a, t in zip(starts.tolist(), texts, strict=True) for m in regex.finditer(self.pattern, t)], np.int64)
         end = np.append(begin[1:], len(points))
-        ids, count = self.known.ids(*span_hashes(points, begin, end, second=True), lambda at: self.v.encode_many([joined[begin[i] : end[i]].encode() for i in at.tolist()]))
+        ids, count = self.known.ids(
+            *span_hashes(points, begin, end, second=True),
+            lambda at: self.v.encode_many([joined[begin[i] : end[i]].encode() for i in at.tolist()])
+        )
         rows = np.searchsorted(starts, begin, "right") - 1
         return ids, np.bincount(rows, weights=count, minlength=len(texts)).astype(np.int64)
 
@@ -339,7 +342,10 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Itera
             ids = np.concatenate(parts)
             edges = lambda x: pa.array(np.concatenate([[0], np.cumsum(np.concatenate(x))]).astype(np.int32))
             decoded = pa.Array.from_buffers(pa.binary(), b - a, [None, edges(lengths).buffers()[1], pa.py_buffer(encoder.decode(ids))])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.ListArray.from_arrays(edges(counts), pa.array(ids)), decoded], ["doc_id", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id")[a:b], pa.ListArray.from_arrays(edges(counts), pa.array(ids)), decoded],
+                ["doc_id", "ids", "decoded"]
+            )
 
 
 def _decode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:

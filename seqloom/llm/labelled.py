@@ -15,7 +15,9 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, out: in
     """(doc_id, text, label) of labelled documents outside the fold ``out``, at most ``max_rows`` (for each label if
     ``by_class``): those whose ids hash lowest, so that a run repeats.  Rows without id or label don't count; of rows with the
     same id, one (with the least text) does."""
-    rows = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (remainder(F.col("doc_id"), modulus) != out))
+    rows = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("label")).where(
+        F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (remainder(F.col("doc_id"), modulus) != out)
+    )
     rows = rows.groupBy("doc_id").agg(F.max("label").alias("label"))
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     if by_class:

@@ -66,7 +66,10 @@ def without(lines: Column, gone: Column) -> Column:
     return F.get(F.transform(F.array(lines), lambda own: F.transform(places(own), lambda i: F.get(own, i))), F.lit(0))
 
 
-def remove(docs: DataFrame, path: str, site: str = "source", min_sites: int = 3, min_chars: int = 1, doc_id: str = "doc_id", text: str = "text", n_lines: str = "_n_lines", n_removed: str = "_n_removed") -> DataFrame:
+def remove(
+    docs: DataFrame, path: str, site: str = "source", min_sites: int = 3, min_chars: int = 1,
+    doc_id: str = "doc_id", text: str = "text", n_lines: str = "_n_lines", n_removed: str = "_n_removed"
+) -> DataFrame:
     """The documents with boilerplate lines taken out of ``text``, and two columns: ``n_lines`` and ``n_removed``."""
     docs = docs.drop(n_lines, n_removed)
     lines = stage(occurrences(docs, site, min_chars, doc_id, text), f"{path}/lines")  # some 20 bytes a line: texts are split once

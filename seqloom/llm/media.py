@@ -147,7 +147,12 @@ def _read(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordB
     opened: dict[str, object] = {}
     for batch in batches:
         out = batch.to_pydict()
-        extra: dict[str, list] = {k: [] for k in ("width", "height", "bit_depth", "colour_type", *(("payload_bytes", "payload_sha256", "tail_crc32", "media_sha256", "feature") if whole else ()))}
+        extra: dict[str, list] = {
+            k: [] for k in (
+                "width", "height", "bit_depth", "colour_type",
+                *(("payload_bytes", "payload_sha256", "tail_crc32", "media_sha256", "feature") if whole else ())
+            )
+        }
         for shard, offset, length in zip(out["shard"], out["offset"], out["length"], strict=True):
             if shard not in opened:
                 if len(opened) >= 64:
@@ -162,12 +167,19 @@ def _read(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordB
                 f.seek(offset)
                 data = f.read(length)
                 samples = decode_png(data)
-                for k, v in (("payload_bytes", len(samples)), ("payload_sha256", hashlib.sha256(samples).hexdigest()), ("tail_crc32", zlib.crc32(samples[-WIDTH:])), ("media_sha256", hashlib.sha256(data).hexdigest()), ("feature", features(samples))):
+                for k, v in (
+                    ("payload_bytes", len(samples)), ("payload_sha256", hashlib.sha256(samples).hexdigest()),
+                    ("tail_crc32", zlib.crc32(samples[-WIDTH:])),
+                    ("media_sha256", hashlib.sha256(data).hexdigest()), ("feature", features(samples))
+                ):
                     extra[k].append(v)
         cols = out | extra
         ints = {"width", "height", "bit_depth", "colour_type"}
         longs = {"offset", "length", "payload_bytes", "tail_crc32"}
-        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if k in ints else pa.int64() if k in longs else pa.string()) for k, v in cols.items()], [*cols])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(v, pa.int32() if k in ints else pa.int64() if k in longs else pa.string()) for k, v in cols.items()],
+            [*cols]
+        )
 
 
 def store(docs: DataFrame, folder: str, text: str = "text") -> DataFrame:

@@ -94,7 +94,10 @@ def _sign(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
             full = count > 0
             both = np.zeros((b - a, 2), np.int64)
             both[full] = keys
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.array(count), pa.array(both[:, 0]), pa.array(both[:, 1]), _fixed(bands, full), _fixed(sketch, full)], ["doc_id", "n", "k1", "k2", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id")[a:b], pa.array(count), pa.array(both[:, 0]), pa.array(both[:, 1]), _fixed(bands, full), _fixed(sketch, full)],
+                ["doc_id", "n", "k1", "k2", "bands", "sketch"]
+            )
 
 
 def sketch_similarity(a: str, b: str) -> Column:
@@ -220,18 +223,31 @@ def across(beside: DataFrame, label: DataFrame, texts: DataFrame, k: int, percen
     """(u, v): links between members of one pivot that are of different components; see step 4 of the module's text.
 
     ``beside``: (pivot, rep, n), the pivot among them; ``label``: (u, v), a member and its component, where it has one."""
-    named = beside.join(label.select(F.col("u").alias("rep"), F.col("v").alias("_label")), "rep", "left").select("pivot", "rep", "n", F.coalesce("_label", "rep").alias("label"))
+    named = beside.join(
+        label.select(F.col("u").alias("rep"), F.col("v").alias("_label")), "rep", "left"
+    ).select("pivot", "rep", "n", F.coalesce("_label", "rep").alias("label"))
     each = named.groupBy("pivot", "label").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
-    both = each.groupBy("pivot").agg(F.max(F.struct("m", "label", "s")).alias("top"), F.sum("m").alias("m"), F.sum("s").alias("s")).where(F.col("m") > F.col("top.m"))
+    both = each.groupBy("pivot").agg(
+        F.max(F.struct("m", "label", "s")).alias("top"), F.sum("m").alias("m"), F.sum("s").alias("s")
+    ).where(F.col("m") > F.col("top.m"))
     blocks = lambda m, s: F.greatest(F.ceil(m / BLOCK), F.ceil(s / BLOCK_SHINGLES)).cast("long")
-    both = both.select("pivot", F.col("top.label").alias("largest"), blocks(F.col("m") - F.col("top.m"), F.col("s") - F.col("top.s")).alias("lefts"), blocks(F.col("m"), F.col("s")).alias("rights"))
+    both = both.select(
+        "pivot", F.col("top.label").alias("largest"),
+        blocks(F.col("m") - F.col("top.m"), F.col("s") - F.col("top.s")).alias("lefts"),
+        blocks(F.col("m"), F.col("s")).alias("rights")
+    )
     rows = _beside(named, both, "pivot", "rep")
     up_to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     right = rows.select("pivot", "rep", "label", F.pmod(F.xxhash64("rep"), F.col("rights")).alias("r"), F.lit(1).alias("side"), up_to("lefts").alias("l"))
-    left = rows.where("label <> largest").select("pivot", "rep", "label", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("lefts")).alias("l"), F.lit(0).alias("side"), up_to("rights").alias("r"))
+    left = rows.where("label <> largest").select(
+        "pivot", "rep", "label", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("lefts")).alias("l"),
+        F.lit(0).alias("side"), up_to("rights").alias("r")
+    )
     asked = right.unionByName(left).withColumnRenamed("rep", "doc_id").join(texts, "doc_id")
     asked = asked.repartition("pivot", "l", "r").sortWithinPartitions("pivot", "l", "r")
-    return asked.select("pivot", "l", "r", "side", "doc_id", "label", "sketch", "text").mapInArrow(partial(_compare, k=k, percent=percent, least=least), "u long, v long")
+    return asked.select("pivot", "l", "r", "side", "doc_id", "label", "sketch", "text").mapInArrow(
+        partial(_compare, k=k, percent=percent, least=least), "u long, v long"
+    )
 
 
 def groups(docs: DataFrame, path: str, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -268,5 +284,7 @@ def groups(docs: DataFrame, path: str, k: int = 5, percent: int = 80, doc_id: st
 
 def keep_one(docs: DataFrame, path: str, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without those that a smaller id stands for: one of each group stays, with all its columns."""
-    gone = groups(docs, path, k, percent, doc_id, text).where("doc_id <> component_id").select(F.col("doc_id").alias(column := own_name(docs, "gone"))).distinct()
+    gone = groups(docs, path, k, percent, doc_id, text).where("doc_id <> component_id").select(
+        F.col("doc_id").alias(column := own_name(docs, "gone"))
+    ).distinct()
     return docs.join(gone, docs[doc_id].cast("long") == gone[column], "left_anti")

@@ -356,8 +356,20 @@ def _build_pairs(table: pa.Table, folder: str, state: str) -> pa.Table:
     pairs, total = pair[at], np.add.reduceat(n, at)
     third = c != NONE
     a, b = pairs >> 32, pairs & ((1 << 32) - 1)
-    save(f"{folder}/parts/level2-{k}.bin", fields("first", EliasFano.build(np.searchsorted(a, np.arange(trie.words_in[k] + 1)))) | fields("next", EliasFano.build(shift(a, b))) | fields("sum", EliasFano.build(np.concatenate([[0], np.cumsum(total)]))))
-    save(f"{folder}/parts/grams-{k}.bin", {"size": np.array([third.sum()]), "of": squeeze(np.add.reduceat(third.astype("<u4"), at, dtype="<u4").tobytes()), "third": squeeze(planes(c[third])), "n": squeeze(n[third].astype("<u8").tobytes())})
+    save(
+        f"{folder}/parts/level2-{k}.bin",
+        fields(
+            "first", EliasFano.build(np.searchsorted(a, np.arange(trie.words_in[k] + 1)))
+        ) | fields("next", EliasFano.build(shift(a, b))) | fields("sum", EliasFano.build(np.concatenate([[0], np.cumsum(total)])))
+    )
+    save(
+        f"{folder}/parts/grams-{k}.bin",
+        {
+            "size": np.array([third.sum()]),
+            "of": squeeze(np.add.reduceat(third.astype("<u4"), at, dtype="<u4").tobytes()),
+            "third": squeeze(planes(c[third])), "n": squeeze(n[third].astype("<u8").tobytes())
+        }
+    )
     return pa.table({"shard": pa.array([k], pa.int64()), "pairs": pa.array([len(pairs)], pa.int64())})
 
 
@@ -400,7 +412,12 @@ def _save_level(trie: Trie, level: int, m: int, sections: list[tuple[EliasFano,
         each = [quantise(v, name) for v in values]
         coded |= {f: np.concatenate([e[f] for e in each]) for f in each[0]}
     at = lambda values: np.cumsum([0, *map(len, values)])[:-1].astype(np.int64)
-    save(f"{trie.folder}/level{level}-{m}.bin", fields("first", EliasFano.join(first)) | fields("next", EliasFano.join(following)) | coded | {"children_at": at(shares), "parents_at": at(weights)})
+    save(
+        f"{trie.folder}/level{level}-{m}.bin",
+        fields("first", EliasFano.join(first)) | fields("next", EliasFano.join(following)) | coded | {
+            "children_at": at(shares), "parents_at": at(weights)
+        }
+    )
 
 
 def _join_pairs(trie: Trie, shards: range, m: int) -> None:
@@ -479,7 +496,9 @@ def train(docs: DataFrame, folder: str, shard_tokens: int = SHARD_TOKENS) -> str
     state = lambda upto: json.dumps({"folder": folder, "bits": bits, "tokens": int(total), "upto": upto})
 
     top = F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long")
-    built = counted.withColumn("shard", top).groupBy("shard").applyInArrow(lambda t: _build_words(t, folder, bits, shard_tokens), "shard long, at long, parts long").collect()
+    built = counted.withColumn("shard", top).groupBy("shard").applyInArrow(
+        lambda t: _build_words(t, folder, bits, shard_tokens), "shard long, at long, parts long"
+    ).collect()
     words, bounds = np.zeros(1 << bits, np.int64), []
     for r in built:
         if r.at < 0:
@@ -545,7 +564,10 @@ def _score(batches: Iterator[pa.RecordBatch], state: str) -> Iterator[pa.RecordB
         at = np.cumsum(n) - n
         total = lambda x: np.add.reduceat(x, at)  # noqa: B023,E731  a text has one token at least
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(n), pa.array(total((counts > 0).astype(np.int64))), pa.array(np.full(len(n), trie.tokens, np.int64)), pa.array(total(base)), pa.array(total(own))],
+            [
+                batch.column("doc_id"), pa.array(n), pa.array(total((counts > 0).astype(np.int64))),
+                pa.array(np.full(len(n), trie.tokens, np.int64)), pa.array(total(base)), pa.array(total(own))
+            ],
             ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 

@@ -105,7 +105,10 @@ def cut_windows(places: np.ndarray, penalty: np.ndarray, capacity: int) -> np.nd
     return np.array(out[::-1], np.int64)
 
 
-def possible_cuts(ids: np.ndarray, doc_ends: np.ndarray, ends_sentence: np.ndarray, capacity: int, sentence_penalty: float, hard_penalty: float) -> tuple[np.ndarray, np.ndarray]:
+def possible_cuts(
+    ids: np.ndarray, doc_ends: np.ndarray, ends_sentence: np.ndarray, capacity: int, sentence_penalty: float,
+    hard_penalty: float
+) -> tuple[np.ndarray, np.ndarray]:
     """Places where a window may end, from 0, and their penalties; hard ones, HARD_STEP apart, in longer sentences only."""
     places = np.union1d(np.flatnonzero(ends_sentence[ids]) + 1, doc_ends)
     cost = np.where(np.isin(places, doc_ends), 0.0, sentence_penalty)
@@ -126,7 +129,10 @@ def powers(length: int) -> list[int]:
     return [1 << b for b in range(length.bit_length() - 1, -1, -1) if length >> b & 1]
 
 
-def _pack_partition(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: int, sentence_penalty: float, hard_penalty: float) -> Iterator[pa.RecordBatch]:
+def _pack_partition(
+    batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: int, sentence_penalty: float,
+    hard_penalty: float
+) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     tok = _loaded.get(path) or _loaded.setdefault(path, WordTokenizer(path))
@@ -198,7 +204,11 @@ def _pack_partition(batches: Iterator[pa.RecordBatch], path: str, end_id: int, c
             yield out
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = 4096, sentence_penalty: float = 2.0, hard_penalty: float = 8.0, doc_id: str | Column = "doc_id", text: str | Column = "text") -> DataFrame:
+def pack(
+    docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = 4096,
+    sentence_penalty: float = 2.0, hard_penalty: float = 8.0, doc_id: str | Column = "doc_id",
+    text: str | Column = "text"
+) -> DataFrame:
     """One row for each piece of a document: its place in the document and in its sequence, and its token ids
     (``ids``: little-endian unsigned 32-bit numbers).  No shuffle: partitions are packed on their own, in their order.
     A null doc_id stays null."""

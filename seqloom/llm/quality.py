@@ -43,8 +43,15 @@ _kind[[ord(c) for c in "!?"]] = 9
 _kind[[ord(c) for c in ".,;:"]] = 10
 _kind[[i for i in range(32) if not SPACE[i]] + [127]] = 11
 NAMES = [
-    *("log_bytes", "log_words", "lower", "upper", "digits", "blanks", "newlines", "beyond_ascii", "bars", "symbols", "shouts", "stops", "controls", "other_marks"),
-    *("word_size", "word_size_spread", "long_words", "short_words", "distinct", "distinct_pairs", "top_share", "repeated_next", "upper_words", "marked_words", "stop_words", "words_a_line", "word_after_mark"),
+    *(
+        "log_bytes", "log_words", "lower", "upper", "digits", "blanks", "newlines", "beyond_ascii", "bars",
+        "symbols", "shouts", "stops", "controls", "other_marks"
+    ),
+    *(
+        "word_size", "word_size_spread", "long_words", "short_words", "distinct", "distinct_pairs",
+        "top_share", "repeated_next", "upper_words", "marked_words", "stop_words", "words_a_line",
+        "word_after_mark"
+    ),
 ]
 
 
@@ -167,7 +174,10 @@ def _corner(g: np.ndarray, h: np.ndarray, ridge: float) -> tuple[np.ndarray, flo
     return found, best
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 150, rate: float = 0.1, bins: int = 32, leaves: int = 3, n_pairs: int = 4, pair_bins: int = 8, pair_rounds: int = 40, ridge: float = 4.0) -> AdditiveModel:
+def fit(
+    x: np.ndarray, y: np.ndarray, rounds: int = 150, rate: float = 0.1, bins: int = 32, leaves: int = 3,
+    n_pairs: int = 4, pair_bins: int = 8, pair_rounds: int = 40, ridge: float = 4.0
+) -> AdditiveModel:
     """Cyclic boosting; with no rows or one class the model is its intercept."""
     share = (y.sum() + 1) / (len(y) + 2)
     model = AdditiveModel(float(np.log(share / (1 - share))))
@@ -218,7 +228,9 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 5, out: int = 0, max_rows: int = 20_000) -> AdditiveModel:
     """Fit on at most ``max_rows`` labelled documents outside the fold ``out``."""
-    rows = sample(docs, labels, label, modulus, out, max_rows).select("label", "text").mapInArrow(_rows, "label int, " + ", ".join(f"{n} double" for n in NAMES)).toPandas()
+    rows = sample(docs, labels, label, modulus, out, max_rows).select("label", "text").mapInArrow(
+        _rows, "label int, " + ", ".join(f"{n} double" for n in NAMES)
+    ).toPandas()
     rows = rows.sort_values([*rows.columns])  # the order of tasks must not matter
     return fit(rows[NAMES].to_numpy(), rows["label"].to_numpy(np.float64))
 

@@ -34,14 +34,21 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     catalog = media.read_back(media.store(docs, work_dir(spark, "media")))
     out = media.attach(docs, catalog)
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.col("length").alias("media_bytes"), "media_sha256", "feature", "width", "height", "shard", "offset")
+    return out.select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32",
+        F.col("length").alias("media_bytes"), "media_sha256", "feature", "width", "height", "shard", "offset"
+    )
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     table_ = secrets.train(secrets.default_samples(spark))
     found = secrets.scan(table(spark, sf_dir, "documents"), table_)
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
-    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secrets.spans_text("base"), 256).alias("base_sha256"), secrets.spans_text("spans").alias("spans"))
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(secrets.spans_text("base"), 256).alias("base_sha256"),
+        secrets.spans_text("spans").alias("spans")
+    )
 
 
 def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,13 +67,19 @@ def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"), label="quality", modulus=5, out=0)
-    return quality.score(docs, model).select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return quality.score(docs, model).select(
+        "doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), label="toxic", modulus=5, out=0)
-    return toxicity.score(docs, model).select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return toxicity.score(docs, model).select(
+        "doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +89,10 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linededup.remove(table(spark, sf_dir, "documents"), work_dir(spark, "lines"), site="source", min_sites=3, min_chars=1)
-    return found.select("doc_id", F.col("_n_lines").cast("long").alias("n_lines"), F.col("_n_removed").cast("long").alias("n_removed"), F.col("text").alias("clean_text"))
+    return found.select(
+        "doc_id", F.col("_n_lines").cast("long").alias("n_lines"),
+        F.col("_n_removed").cast("long").alias("n_removed"), F.col("text").alias("clean_text")
+    )
 
 
 OP7_SQL = r"""
@@ -107,11 +123,20 @@ def op9_bpe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     out = bpe_prefix.encode(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return out.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256")
+    )
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram, op2_media, op3_secrets, op4_imatch, op5_quality, op6_minhash, op7_lines, op8_pack, op9_bpe_prefix, op10_toxicity)}
+    return {
+        f.__name__: f for f in (
+            op1_ngram, op2_media, op3_secrets, op4_imatch, op5_quality, op6_minhash, op7_lines, op8_pack,
+            op9_bpe_prefix, op10_toxicity
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:

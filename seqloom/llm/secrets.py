@@ -51,7 +51,12 @@ def default_samples(spark: SparkSession, rows: int = 6_000) -> DataFrame:
     b64 = F.base64(F.unhex(F.concat("a", "b")))
     size = (F.lit(20) + F.col("id") % 29).cast("int")
     kind = F.col("id") % 4
-    random = n.select(F.when(kind == 0, F.substring("a", F.lit(1), size)).when(kind == 1, F.substring(b64, F.lit(1), size)).when(kind == 2, F.substring(F.regexp_replace(b64, "[+/=]", "x"), F.lit(1), size)).otherwise(F.upper(F.substring(F.regexp_replace(b64, "[+/=]", "7"), F.lit(1), size))).alias("text"), F.lit(1).alias("label"))
+    random = n.select(
+        F.when(kind == 0, F.substring("a", F.lit(1), size)).when(kind == 1, F.substring(b64, F.lit(1), size)).when(
+            kind == 2, F.substring(F.regexp_replace(b64, "[+/=]", "x"), F.lit(1), size)
+        ).otherwise(F.upper(F.substring(F.regexp_replace(b64, "[+/=]", "7"), F.lit(1), size))).alias("text"),
+        F.lit(1).alias("label")
+    )
 
     def pick(words: list[str], k: int) -> Column:
         return F.element_at(F.array(*map(F.lit, words)), (F.pmod(F.xxhash64(F.col("id"), F.lit(k)), F.lit(len(words))) + 1).cast("int"))
@@ -59,7 +64,9 @@ def default_samples(spark: SparkSession, rows: int = 6_000) -> DataFrame:
     part, syl = [pick(PARTS, k) for k in range(5)], [pick(SYLLABLES, 10 + k) for k in range(7)]
     kind = F.col("id") % 6
     ordinary = spark.range(rows).select(
-        F.when(kind == 0, F.concat_ws("_", *part[:4])).when(kind == 1, F.concat(part[0], *map(F.initcap, part[1:5]))).when(kind == 2, F.upper(F.concat_ws("_", *part[:4]))).when(kind == 3, F.concat_ws("/", *part[:4])).when(kind == 4, F.concat(F.initcap(syl[0]), *syl[1:])).otherwise(F.concat_ws("-", *part[:3], (F.col("id") % 97).cast("string"))).alias("text"),
+        F.when(kind == 0, F.concat_ws("_", *part[:4])).when(kind == 1, F.concat(part[0], *map(F.initcap, part[1:5]))).when(kind == 2, F.upper(F.concat_ws("_", *part[:4]))).when(kind == 3, F.concat_ws("/", *part[:4])).when(kind == 4, F.concat(F.initcap(syl[0]), *syl[1:])).otherwise(
+            F.concat_ws("-", *part[:3], (F.col("id") % 97).cast("string"))
+        ).alias("text"),
         F.lit(0).alias("label"),
     )
     return random.unionAll(ordinary)
@@ -68,7 +75,12 @@ def default_samples(spark: SparkSession, rows: int = 6_000) -> DataFrame:
 def train(samples: DataFrame, add: float = 0.5) -> list[float]:
     """Log ratios of transition probabilities, random to ordinary, for each ordered pair of characters of ALPHABET."""
     k = len(ALPHABET)
-    pairs = samples.where(F.col("text").isNotNull() & F.col("label").isin(0, 1)).select("label", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - 1, F.lit(1))), lambda i: F.substring("text", i, F.lit(2)))).alias("pair"))
+    pairs = samples.where(F.col("text").isNotNull() & F.col("label").isin(0, 1)).select(
+        "label",
+        F.explode(
+            F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - 1, F.lit(1))), lambda i: F.substring("text", i, F.lit(2)))
+        ).alias("pair")
+    )
     counts = pairs.where(F.length("pair") == 2).groupBy("label", "pair").count().collect()  # at most 2 * k * k rows count
     found = [[[add] * k for _ in range(k)] for _ in range(2)]
     for label, pair, n in counts:
@@ -98,7 +110,10 @@ def _found(df: DataFrame, text: str, out: str, kind: int, pattern: str, keep) ->
     hits, gaps = own_name(df, "hits"), own_name(df, "gaps")
     df = df.withColumn(hits, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
     df = df.withColumn(gaps, F.when(F.exists(hits, keep), F.split(text, pattern, -1)))
-    each = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(F.length(g).alias("gap"), F.length(h).alias("size"), keep(h).alias("ok")))
+    each = F.zip_with(
+        F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g,
+        h: F.struct(F.length(g).alias("gap"), F.length(h).alias("size"), keep(h).alias("ok"))
+    )
     none = F.array().cast(SPANS)
 
     def step(a: Column, x: Column) -> Column:
@@ -110,7 +125,10 @@ def _found(df: DataFrame, text: str, out: str, kind: int, pattern: str, keep) ->
     return df.withColumn(out, F.coalesce(F.when(F.col(gaps).isNotNull(), spans), none)).drop(hits, gaps)
 
 
-def scan(docs: DataFrame, table: list[float], text: str = "text", least_ratio: float = 20.0, least_mean: float = 0.8, base: str = "base", spans: str = "spans") -> DataFrame:
+def scan(
+    docs: DataFrame, table: list[float], text: str = "text", least_ratio: float = 20.0,
+    least_mean: float = 0.8, base: str = "base", spans: str = "spans"
+) -> DataFrame:
     """The documents with ``base`` and ``spans``: arrays of (start, kind, end) in order, a kind being a place in NAMES."""
     docs = docs.drop(base, spans)
     own = own_name(docs, "scanned")

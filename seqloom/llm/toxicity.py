@@ -173,7 +173,14 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h, before, _ = text_words(raw[off[k] : off[k + 1]], off[k : k + 2] - off[k])
             both = np.stack([before, h], 1).view([("b", U), ("h", U)]).ravel()
             own, many = np.unique(both, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), label, np.int32)), pa.array(np.full(len(own), fold, np.int32)), pa.array(own["b"].view(np.int64) if len(own) else np.zeros(0, np.int64)), pa.array(np.ascontiguousarray(own["h"]).view(np.int64)), pa.array(many)], names)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(own), label, np.int32)), pa.array(np.full(len(own), fold, np.int32)),
+                    pa.array(own["b"].view(np.int64) if len(own) else np.zeros(0, np.int64)),
+                    pa.array(np.ascontiguousarray(own["h"]).view(np.int64)), pa.array(many)
+                ],
+                names
+            )
 
 
 def _signals(batches: Iterator[pa.RecordBatch], models) -> Iterator[pa.RecordBatch]:
@@ -196,7 +203,10 @@ def _models(pairs: DataFrame, folder: str) -> list[ClassModels]:
     for each pair above its discount and each such pair's first word."""
     every = range(FOLDS + 1)
     count = [F.col("n") - F.col(f"n{f}") for f in range(FOLDS)] + [F.col("n")]  # without the fold; of all
-    by = pairs.groupBy("label", "before", "h").agg(F.sum("n").alias("n"), *(F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).alias(f"n{f}") for f in range(FOLDS)))
+    by = pairs.groupBy("label", "before", "h").agg(
+        F.sum("n").alias("n"),
+        *(F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).alias(f"n{f}") for f in range(FOLDS))
+    )
     by = stage(by.select("label", "before", "h", *(count[f].alias(f"m{f}") for f in every)), f"{folder}/pairs")
     is_ = lambda c: [F.col("label") == k for k in (0, 1)][c]
     each = lambda what: [F.sum(F.when(is_(c), what(f)).otherwise(0)).cast("long").alias(f"c{c}_{f}") for c in (0, 1) for f in every]
@@ -204,12 +214,22 @@ def _models(pairs: DataFrame, folder: str) -> list[ClassModels]:
     # the lowest level's sums over all words, also those that aren't handed on
     both = [F.col(f"c0_{f}") + F.col(f"c1_{f}") for f in every]
     stays = [F.when(b >= 3, b - DISCOUNTS[2]).when(b == 2, b - DISCOUNTS[1]).otherwise(0.0) for b in both]
-    sums = words.agg(*(F.coalesce(F.sum(f"c{c}_{f}"), F.lit(0)) for c in (0, 1) for f in every), *(F.coalesce(F.sum(s), F.lit(0.0)) for s in stays), *(F.coalesce(F.sum((b > 0).cast("long")), F.lit(0)) for b in both)).first()
+    sums = words.agg(
+        *(F.coalesce(F.sum(f"c{c}_{f}"), F.lit(0)) for c in (0, 1) for f in every),
+        *(F.coalesce(F.sum(s), F.lit(0.0)) for s in stays),
+        *(F.coalesce(F.sum((b > 0).cast("long")), F.lit(0)) for b in both)
+    ).first()
     names = [f"c{c}_{f}" for c in (0, 1) for f in every]
     w_h, *w_n = _columns(words.where(both[FOLDS] >= 2), "h", *names)
     often = by.where(F.col(f"m{FOLDS}") > PAIR_DISCOUNT)
-    p_before, p_h, *p_n = _columns(often.groupBy("before", "h").agg(*each(lambda f: F.when(F.col(f"m{f}") > PAIR_DISCOUNT, F.col(f"m{f}")).otherwise(0))), "before", "h", *names)
-    c_h, *c_n = _columns(by.join(often.select("before").distinct(), "before", "left_semi").groupBy("before").agg(*each(lambda f: F.col(f"m{f}"))), "before", *names)
+    p_before, p_h, *p_n = _columns(
+        often.groupBy("before", "h").agg(*each(lambda f: F.when(F.col(f"m{f}") > PAIR_DISCOUNT, F.col(f"m{f}")).otherwise(0))),
+        "before", "h", *names
+    )
+    c_h, *c_n = _columns(
+        by.join(often.select("before").distinct(), "before", "left_semi").groupBy("before").agg(*each(lambda f: F.col(f"m{f}"))),
+        "before", *names
+    )
     out, k = [], FOLDS + 1
     for f in every:
         two = lambda x: np.stack([x[f], x[k + f]])  # noqa: B023,E731
@@ -227,13 +247,17 @@ def _models(pairs: DataFrame, folder: str) -> list[ClassModels]:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, out: int = 0, max_rows: int = 12_000) -> Scorer:
     """Fit on at most ``max_rows`` labelled documents of each class, outside the fold ``out``."""
-    rows = sample(docs, labels, label, modulus, out, max_rows, by_class=True).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(FOLDS)).cast("int"))
+    rows = sample(docs, labels, label, modulus, out, max_rows, by_class=True).withColumn(
+        "fold", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(FOLDS)).cast("int")
+    )
     pairs = rows.select("label", "fold", "text").mapInArrow(_pairs, "label int, fold int, before long, h long, n long")
     folder = work_dir(docs.sparkSession, "toxicity")
     models = _models(pairs, folder)
     remove(docs.sparkSession, folder)
     shared = docs.sparkSession.sparkContext.broadcast(models)
-    held = rows.select("label", "fold", "text").mapInArrow(partial(_signals, models=shared), "label int, " + ", ".join(f"s{k} double" for k in range(SIGNALS))).toPandas()
+    held = rows.select("label", "fold", "text").mapInArrow(
+        partial(_signals, models=shared), "label int, " + ", ".join(f"s{k} double" for k in range(SIGNALS))
+    ).toPandas()
     held = held.sort_values([*held.columns])  # the order of tasks must not matter
     y, x = held["label"].to_numpy(np.float64), held.iloc[:, 1:].to_numpy()
     share = (y.sum() + 1) / (len(y) + 2)

@@ -45,7 +45,9 @@ def docs(spark):
 def folder(spark, docs, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("sf"))
     docs.write.parquet(f"{d}/documents.parquet")
-    spark.createDataFrame([(i, 1, 0) for i in range(9)] + [(None, 0, 1), (5, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame(
+        [(i, 1, 0) for i in range(9)] + [(None, 0, 1), (5, None, None)], "doc_id long, quality int, toxic int"
+    ).write.parquet(f"{d}/labels.parquet")
     return d
 
 
@@ -75,7 +77,11 @@ def test_stages(spark, docs, folder, name):
         assert sizes[3] == sizes[4] == 1
         return
     assert out.columns == docs.columns
-    first = {"quality": lambda i, t: t, "lines": lambda i, t: t.removesuffix("\n" + NOTICE) if i in (1, 2) else t, "copies": lambda i, t: ... if i in (1, 8) and i != 7 and (i == 1 or t == "alone") else t, "secrets": lambda i, t: "[SECRET] and [SECRET]" if i == 5 else t}[name]
+    first = {
+        "quality": lambda i, t: t, "lines": lambda i, t: t.removesuffix("\n" + NOTICE) if i in (1, 2) else t,
+        "copies": lambda i, t: ... if i in (1, 8) and i != 7 and (i == 1 or t == "alone") else t,
+        "secrets": lambda i, t: "[SECRET] and [SECRET]" if i == 5 else t
+    }[name]
     assert rows_of(out) == expected(first)
 
 
@@ -146,7 +152,9 @@ def test_learned_spans_beyond_base_ones_stay(spark):
     assert any(k == "markov" and random in t for k, t in names)
     assert ("markov", letters) in names
     assert not any("international" in t for _, t in names)
-    assert secrets.redact(secrets.scan(spark.createDataFrame([(0, text)], "doc_id long, text string"), table)).first().text == "see [SECRET] and [SECRET] or internationalisationofeverything"
+    assert secrets.redact(
+        secrets.scan(spark.createDataFrame([(0, text)], "doc_id long, text string"), table)
+    ).first().text == "see [SECRET] and [SECRET] or internationalisationofeverything"
 
 
 def test_short_assignments_take_up_what_follows(spark):
@@ -162,9 +170,17 @@ def test_imatch_equals_brute_force(spark, docs):
     words = lambda t: {w for w in t.lower().split() if w}
     df = Counter(w for _, t in texts for w in words(t))
     band = {w for w, c in df.items() if max(1, low * len(texts)) <= c <= max(1, high * len(texts))}
-    key = {r.w: (r.h, r.k) for r in spark.createDataFrame([(w,) for w in band], "w string").select("w", F.xxhash64("w").alias("h"), F.lit(0).alias("k")).collect()}
+    key = {
+        r.w: (r.h, r.k) for r in spark.createDataFrame([(w,) for w in band], "w string").select(
+            "w", F.xxhash64("w").alias("h"), F.lit(0).alias("k")
+        ).collect()
+    }
     place = {w: n + 1 for n, w in enumerate(sorted(band, key=lambda w: key[w][0]))}
-    subset = {r.p: r.k for r in spark.createDataFrame([(p,) for p in place.values()], "p int").select("p", F.pmod(F.xxhash64("p"), F.lit(imatch.SUBSETS)).alias("k")).collect()}
+    subset = {
+        r.p: r.k for r in spark.createDataFrame([(p,) for p in place.values()], "p int").select(
+            "p", F.pmod(F.xxhash64("p"), F.lit(imatch.SUBSETS)).alias("k")
+        ).collect()
+    }
 
     def parts(t):
         used = [place[w] for w in words(t) if w in band]
@@ -185,7 +201,10 @@ def test_imatch_equals_brute_force(spark, docs):
         edited = t[: len(t) - cut] + following[:cut]
         want.append((i, hashlib.sha256(edited.encode()).hexdigest(), round(near(parts(t), parts(edited)), 9), round(near(parts(t), parts(following)), 9)))
     rows = imatch.compare(docs, work_dir(spark, "t"), low, high)
-    rows = rows.select("doc_id", "edited_sha256", imatch.likeness("fingerprint", "edited_fingerprint").alias("e"), imatch.likeness("fingerprint", "next_fingerprint").alias("f"))
+    rows = rows.select(
+        "doc_id", "edited_sha256", imatch.likeness("fingerprint", "edited_fingerprint").alias("e"),
+        imatch.likeness("fingerprint", "next_fingerprint").alias("f")
+    )
     assert Counter((r.doc_id, r.edited_sha256, round(r.e, 9), round(r.f, 9)) for r in rows.collect()) == Counter(want)
 
 

@@ -10,7 +10,13 @@ def test_fingerprints_and_likeness_equal_brute_force(spark):
     lexicon = spark.createDataFrame([(t,) for t in TERMS], "word string").select(imatch.F.xxhash64("word").alias("term")).select("term", terms)
     own = imatch.fingerprints(rows, lexicon)
     k1, k2 = imatch.keys(imatch.F.col("text"))
-    named = imatch.with_rest(rows.select("text", k1.alias("f_k1"), k2.alias("f_k2")).join(own.select(imatch.F.col("k1").alias("f_k1"), imatch.F.col("k2").alias("f_k2"), imatch.F.col("fingerprint").alias("f")), ["f_k1", "f_k2"], "left"), "f").select("text", "f").cache()
+    named = imatch.with_rest(
+        rows.select("text", k1.alias("f_k1"), k2.alias("f_k2")).join(
+            own.select(imatch.F.col("k1").alias("f_k1"), imatch.F.col("k2").alias("f_k2"), imatch.F.col("fingerprint").alias("f")),
+            ["f_k1", "f_k2"], "left"
+        ),
+        "f"
+    ).select("text", "f").cache()
     found = {r.text: r.f for r in named.collect()}
     place = {}
     for t in TERMS:  # each term is in one subset

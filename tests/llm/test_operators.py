@@ -65,7 +65,9 @@ def test_near_duplicates_equal_brute_force(spark, docs, empty):
                     both = len(sets[a] & sets[b])
                     if sets[a] and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
                         label[a] = label[b] = min(label[a], label[b])
-        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == sorted((r.doc_id, len(sets[r.doc_id]), label[r.doc_id]) for r in table.collect())
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == sorted(
+            (r.doc_id, len(sets[r.doc_id]), label[r.doc_id]) for r in table.collect()
+        )
     kept = neardup.keep_one(table, work_dir(spark, "t"))
     assert kept.columns == table.columns
     assert neardup.groups(empty, work_dir(spark, "t")).count() == 0
@@ -131,9 +133,15 @@ def test_lines_equal_brute_force(spark, docs, empty):
 def test_secrets(spark, docs, empty):
     table = secrets.train(secrets.default_samples(spark))
     found = {r.doc_id: r for r in secrets.scan(docs, table).withColumn("joined", secrets.spans_text("spans")).collect()}
-    kinds = [re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]+")]
+    kinds = [
+        re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A),
+        re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]+")
+    ]
     for i, t, _ in TEXTS:
-        want = sorted((m.start(), k, m.end()) for k, (rx, g, least) in enumerate(zip(kinds, (2, 0, 0), (8, 16, 32), strict=True)) for m in rx.finditer(t or "") if len(m.group(g)) >= least)
+        want = sorted(
+            (m.start(), k, m.end()) for k,
+            (rx, g, least) in enumerate(zip(kinds, (2, 0, 0), (8, 16, 32), strict=True)) for m in rx.finditer(t or "") if len(m.group(g)) >= least
+        )
         assert [(s.start, s.kind, s.end) for s in found[i].base] == want
     assert found[8].joined.endswith("markov:82:122")
     assert all(not found[i].spans for i in range(8))
@@ -147,7 +155,10 @@ def test_secrets(spark, docs, empty):
 
 def test_secret_scores_tell_identifiers_from_random_strings(spark):
     table = secrets.train(secrets.default_samples(spark))
-    ordinary = ["getUserAccountBalanceByIdentifier2", "user_name_index_table_column_12", "http/path/to/index-page-2024-01-02", "1234567890123456789012345", "intionretindinandonndinges4"]
+    ordinary = [
+        "getUserAccountBalanceByIdentifier2", "user_name_index_table_column_12",
+        "http/path/to/index-page-2024-01-02", "1234567890123456789012345", "intionretindinandonndinges4"
+    ]
     random = ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "sk-proj-9aF3kLmQ2xZ7vB1nT5yR8wE4", "xoxb-123456789012-AbCdEfGhIjKlMnOpQrStUvWx"]
     rows = spark.createDataFrame([(i, f"see {t} ok") for i, t in enumerate(ordinary + random)], "doc_id long, text string")
     hit = {r.doc_id: len(r.spans) for r in secrets.scan(rows, table).collect()}
@@ -236,7 +247,9 @@ def test_bpe(spark, docs, empty):
     path = P.path("byte_bpe_50k.tiktoken")
     ref = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe_prefix.read_ranks(path), special_tokens={})
     rows = bpe_prefix.encode(docs, path, P.PATTERN)
-    assert sorted(((r.doc_id, r.ids, bytes(r.decoded)) for r in rows.collect())) == sorted((i, ref.encode_ordinary(t or ""), (t or "").encode()) for i, t, _ in TEXTS)
+    assert sorted(((r.doc_id, r.ids, bytes(r.decoded)) for r in rows.collect())) == sorted(
+        (i, ref.encode_ordinary(t or ""), (t or "").encode()) for i, t, _ in TEXTS
+    )
     assert {bytes(r.decoded).decode() for r in bpe_prefix.decode(rows, path).collect()} == {t or "" for _, t, _ in TEXTS}
     assert bpe_prefix.encode(empty, path, P.PATTERN).count() == 0
 

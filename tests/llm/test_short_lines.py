@@ -16,7 +16,10 @@ TEXTS = [
 
 def test_spread_decides_for_short_lines(spark, tmp_path):
     folder = str(tmp_path)
-    spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in TEXTS], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(
+        [(i, t, "en", s, len(t)) for i, t, s in TEXTS],
+        "doc_id long, text string, lang string, source string, n_chars long"
+    ).write.parquet(f"{folder}/documents.parquet")
     key = lambda line: line.strip(" \t\n\x0b\f\r").lower()
     sites, first = defaultdict(set), {}
     for i, t, s in TEXTS:
