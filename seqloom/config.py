@@ -121,7 +121,8 @@ class QcConfig:
             limits |= WITHOUT_KEY | parse_limits(Path(self.limits_file).read_text())
         object.__setattr__(self, "limits", limits)
         object.__setattr__(self, "adapters", parse_sequences(Path(self.adapters_file).read_text()) if self.adapters_file else DEFAULT_ADAPTERS)
-        object.__setattr__(self, "contaminants", parse_sequences(Path(self.contaminants_file).read_text()) if self.contaminants_file else [])
+        listed = Path(self.contaminants_file) if self.contaminants_file else Path(__file__).parent / "data" / "contaminants.txt"
+        object.__setattr__(self, "contaminants", parse_sequences(listed.read_text()))
 
     def limit(self, module: str, level: str) -> float:
         return self.limits.get((module, level), 0.0)

@@ -10,11 +10,10 @@ from pyspark.sql import functions as F
 
 from ..config import QcConfig
 from ..functions import reads as R
-from ..functions.kernels import DUPLICATION_LABELS, duplication_levels
+from ..functions.kernels import DUPLICATION_LABELS, Contaminants, duplication_levels
 from .common import in_groups, unfiltered, with_ordinal, worker
 
 KMER_EVERY, KMER_PART, KMER_TOP, KMER_DRAWN = 50, 500, 20, 6
-PARTIAL = 20  # bases of a contaminant that may match with one mismatch
 
 
 def key_counts(reads: DataFrame, config: QcConfig) -> DataFrame:
@@ -57,31 +56,15 @@ def duplication(reads: DataFrame, config: QcConfig, keys: DataFrame | None = Non
     return rows.groupBy("file_name").applyInPandas(levels, "file_name string, slot int, label string, percent double, deduplicated double")
 
 
-def contaminant_hit(query: Column, sequence: str) -> Column:
-    """How well a contaminant's sequence matches, in whole percent; null if it doesn't."""
-    seq = sequence.upper()
-    whole = F.contains(query, F.lit(seq)) | F.contains(F.lit(seq), query)
-    if len(seq) < PARTIAL:
-        return F.when(whole, 100)
-    head = F.array(*map(F.lit, seq[:PARTIAL]))
-
-    def misses(at: Column) -> Column:
-        own = F.split(F.substring(query, at + 1, F.lit(PARTIAL)), "")
-        return F.aggregate(F.zip_with(own, head, lambda a, b: (a != b).cast("int")), F.lit(0), lambda s, x: s + x)
-
-    found = F.filter(F.transform(F.sequence(F.lit(0), F.length(query) - PARTIAL), misses), lambda m: m <= 1)
-    return F.when(whole, 100).when((F.length(query) >= PARTIAL) & (F.size(found) > 0), F.expr("100") - F.get(found, F.lit(0)) * 100 / PARTIAL)
+def possible_source(query: Column, contaminants: list[tuple[str, str]]) -> Column:
+    """The first contaminant of the list that matches; 'No Hit' if none does.  It is asked of few sequences, in Arrow batches."""
+    table = Contaminants(contaminants)
 
+    @F.pandas_udf("string")
+    def source(sequences: pd.Series) -> pd.Series:
+        return sequences.map(table.source)
 
-def possible_source(query: Column, contaminants: list[tuple[str, str]]) -> Column:
-    """The first contaminant of the list that matches, as it is or as its reverse complement; 'No Hit' if none does."""
-    turn = str.maketrans("ACGT", "TGCA")
-    hits = []
-    for name, seq in contaminants:
-        for s in (seq, seq.upper().translate(turn)[::-1]):
-            hit = contaminant_hit(query, s)
-            hits.append(F.when(hit.isNotNull(), F.concat(F.lit(f"{name} ("), hit.cast("int").cast("string"), F.lit("%)"))))
-    return F.coalesce(*hits, F.lit("No Hit"))
+    return source(query)
 
 
 def overrepresented(reads: DataFrame, config: QcConfig, keys: DataFrame | None = None) -> DataFrame:
@@ -217,7 +200,7 @@ def kmer_series(enriched: DataFrame, content: DataFrame) -> DataFrame:
 
 
 __all__ = [
-    "adapter_content", "adapter_places", "contaminant_hit", "duplication", "duplication_histogram",
+    "adapter_content", "adapter_places", "duplication", "duplication_histogram",
     "key_counts", "kmer_content", "kmer_counts", "kmer_enrichment", "kmer_series", "overrepresented",
     "possible_source"
 ]
