@@ -23,6 +23,7 @@ from .shared import stage
 
 SUBSETS = 32
 MOST_BROADCAST = 1_000_000
+RANGE_BYTES = 64 << 20  # of texts in a range
 SPACES = "[\\x20\\x09-\\x0D]+"
 
 
@@ -41,11 +42,19 @@ def lexicon(docs: DataFrame, path: str, low: float, high: float, text: str = "te
     counts = rows.select(F.xxhash64("word").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     n = docs.count()
     # places by ranges of terms: each range numbers its own, behind the sizes of those before
-    band = stage(counts.where((F.col("df") >= max(1.0, low * n)) & (F.col("df") <= max(1.0, high * n))).select("term").repartitionByRange("term").withColumn("range", F.spark_partition_id()), f"{path}/band")
+    band = stage(
+        counts.where(
+            (F.col("df") >= max(1.0, low * n)) & (F.col("df") <= max(1.0, high * n))
+        ).select("term").repartitionByRange("term").withColumn("range", F.spark_partition_id()),
+        f"{path}/band"
+    )
     sizes = band.groupBy("range").agg(F.count("*").alias("n"))
     before = sizes.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     own = F.row_number().over(Window.partitionBy("range").orderBy("term"))
-    return stage(band.withColumn("own", own).join(before, "range").select("term", (F.col("before") + F.col("own")).cast("int").alias("place")), f"{path}/lexicon")
+    return stage(
+        band.withColumn("own", own).join(before, "range").select("term", (F.col("before") + F.col("own")).cast("int").alias("place")),
+        f"{path}/lexicon"
+    )
 
 
 def fingerprints(texts: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
@@ -53,19 +62,21 @@ def fingerprints(texts: DataFrame, terms: DataFrame, text: str = "text") -> Data
     few = F.broadcast(terms) if terms.count() <= MOST_BROADCAST else terms
     k1, k2 = keys(F.col(text))
     rows = texts.select(k1.alias("k1"), k2.alias("k2"), F.explode(words(F.col(text))).alias("word")).select("k1", "k2", F.xxhash64("word").alias("term"))
-    found = rows.join(few, "term").groupBy("k1", "k2").agg(F.sort_array(F.collect_set("place")).alias("_used"))
-    return _subsets(found).select("k1", "k2", "fingerprint")
+    found = rows.join(few, "term").groupBy("k1", "k2").agg(F.sort_array(F.collect_set("place")).alias("own"))
+    return _subsets(found, "own", "fingerprint").select("k1", "k2", "fingerprint")
 
 
-def _subsets(df: DataFrame) -> DataFrame:
-    """Adds ``fingerprint`` from the sorted array ``_used``."""
-    marked = df.withColumn("_used", F.transform("_used", lambda t: F.struct(t.alias("t"), F.pmod(F.xxhash64(t), F.lit(SUBSETS)).alias("k"))))
+def _subsets(df: DataFrame, used: str, name: str) -> DataFrame:
+    """The sorted array ``used`` as the fingerprint ``name``, null where it is empty."""
+    marked = df.withColumn("_used", F.transform(used, lambda t: F.struct(t.alias("t"), F.pmod(F.xxhash64(t), F.lit(SUBSETS)).alias("k"))))
 
     def part(k: int) -> Column:
         return F.transform(F.filter("_used", lambda t: t["k"] == k), lambda t: t["t"])
 
     one = lambda p: F.when(F.size(p) > 0, F.coalesce(F.nullif(F.hash(p), F.lit(0)), F.lit(1))).otherwise(F.lit(0))
-    return marked.withColumn("_parts", F.array(*map(part, range(SUBSETS)))).withColumn("fingerprint", F.transform("_parts", one)).drop("_parts")
+    return marked.withColumn("_parts", F.array(*map(part, range(SUBSETS)))).withColumn(
+        name, F.when(F.size(used) > 0, F.transform("_parts", one))
+    ).drop("_parts", "_used")
 
 
 def with_rest(df: DataFrame, name: str) -> DataFrame:
@@ -86,15 +97,24 @@ def likeness(a: str, b: str) -> Column:
     return F.when(F.col(a) == F.col(b), F.lit(1.0)).when(some > 0, same / some).otherwise(F.lit(0.0))
 
 
-def next_documents(docs: DataFrame, carry: tuple[str, ...] = (), partitions: int | None = None) -> DataFrame:
-    """(doc_id, text, next_id, next_text, and each column c of ``carry`` also as next_c): each document with the next one by descending doc_id, and the first after the last.
+def neighbours(docs: DataFrame, partitions: int | None = None) -> DataFrame:
+    """(doc_id, text, next_id, next_text, range, place, guest): each document with the next one by descending doc_id, and the first
+    after the last.
 
     Documents are dealt to ranges of ids, whose limits are quantiles; the largest document of a range also goes, as a guest, to
     the range above it, where it is the last one's next.  One shuffle of the texts, and no range is larger than its share."""
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *carry)
-    limits = sorted({*(docs.select(F.col("doc_id").cast("long").alias("doc_id")).agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000)).first()[0] or [])}) if n > 1 else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    limits = sorted(
+        {
+            *(
+                docs.select(F.col("doc_id").cast("long").alias("doc_id")).agg(
+                    F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000)
+                ).first()[0] or []
+            )
+        }
+    ) if n > 1 else []
 
     def range_of(lo: int, hi: int) -> Column:  # how many limits are at most the id, by halving
         if lo == hi:
@@ -110,25 +130,55 @@ def next_documents(docs: DataFrame, carry: tuple[str, ...] = (), partitions: int
     guest = F.when(F.col("doc_id").eqNullSafe(pick(most)), F.array(F.struct(pick(host).cast("int").alias("r"), F.lit(True).alias("guest"))))
     here = F.array(F.struct(F.col("_range").alias("r"), F.lit(False).alias("guest")))
     rows = rows.withColumn("_place", F.explode(F.concat(here, F.coalesce(guest, F.array().cast("array<struct<r:int,guest:boolean>>")))))
-    order = Window.partitionBy("_place.r").orderBy(F.col("_place.guest"), F.col("doc_id").desc_nulls_last(), F.col("text").desc())
-    follow = F.lead(F.struct("doc_id", "text", *carry)).over(order)
-    out = rows.withColumn("_next", follow).where("NOT _place.guest")
-    return out.select("doc_id", "text", *carry, F.col("_next.doc_id").alias("next_id"), *(F.col(f"_next.{c}").alias(f"next_{c}") for c in ("text", *carry)))
+    rows = rows.select("doc_id", "text", F.col("_place.r").alias("range"), F.col("_place.guest").alias("guest"))
+    order = Window.partitionBy("range").orderBy("guest", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
+    rows = rows.withColumns({"_next": F.lead(F.struct("doc_id", "text")).over(order), "place": F.row_number().over(order)})
+    return rows.select("doc_id", "text", F.col("_next.doc_id").alias("next_id"), F.col("_next.text").alias("next_text"), "range", "place", "guest")
+
+
+def next_documents(docs: DataFrame, partitions: int | None = None) -> DataFrame:
+    """(doc_id, text, next_id, next_text) of each document; see neighbours()."""
+    return neighbours(docs, partitions).where("NOT guest").drop("range", "place", "guest")
 
 
 def compare(docs: DataFrame, path: str, low: float = 0.002, high: float = 0.2) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, next_id, fingerprint, edited_fingerprint, next_fingerprint): for each document and
-    the same with its last third replaced by as much of the next one's beginning; fingerprints are arrays of hashes."""
+    the same with its last third replaced by as much of the next one's beginning; fingerprints are arrays of hashes.
+
+    Once neighbours lie in one range nothing is dealt out again: a text's words, those of its edited text and what is known of
+    both are rows of the range, words out of the band go, and the rest is gathered by (range, place)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     terms = lexicon(docs, path, low, high)
+    few = F.broadcast(terms) if terms.count() <= MOST_BROADCAST else terms
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    pairs = neighbours(docs, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES)))
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
-    pairs = next_documents(docs).withColumn("edited", F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut)))
-    named = {"fingerprint": "text", "edited_fingerprint": "edited", "next_fingerprint": "next_text"}
-    out = pairs.select("doc_id", "next_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *(k.alias(f"{name}_k{i + 1}") for name, source in named.items() for i, k in enumerate(keys(F.col(source)))))
-    whole = stage(fingerprints(docs, terms), f"{path}/texts")
-    for name in named:
-        own = whole if name != "edited_fingerprint" else fingerprints(pairs.select(F.col("edited").alias("text")), terms)
-        own = own.select(F.col("k1").alias(f"{name}_k1"), F.col("k2").alias(f"{name}_k2"), F.col("fingerprint").alias(name))
-        out = with_rest(out.join(own, [f"{name}_k1", f"{name}_k2"], "left"), name)
-    return out.select("doc_id", "n_chars", "edited_sha256", "next_id", *named)
+    pairs = pairs.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut)))
+    known = F.struct(
+        "doc_id", "next_id", "guest", n.cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        *(
+            k.alias(f"{name}_k{i + 1}") for name,
+            source in (("fingerprint", "text"), ("edited_fingerprint", "edited")) for i,
+            k in enumerate(keys(F.col(source)))
+        )
+    )
+    word = lambda side, source: F.transform(F.array_distinct(words(F.col(source))), lambda w: F.struct(F.lit(side).alias("side"), F.xxhash64(w).alias("term")))
+    marks = F.concat(
+        F.array(F.struct(F.lit(-1).alias("side"), F.lit(None).cast("long").alias("term"))), word(0, "text"),
+        F.coalesce(word(1, "edited"), F.array().cast("array<struct<side:int,term:bigint>>"))
+    )
+    rows = pairs.select("range", "place", known.alias("known"), F.explode(marks).alias("m"))
+    rows = rows.select(
+        "range", F.col("place").alias("at"), F.when(F.col("m.side") < 0, F.col("known")).alias("known"),
+        F.col("m.side").alias("side"), F.col("m.term").alias("term")
+    )
+    rows = rows.join(few, "term", "left").where("side < 0 OR place IS NOT NULL")
+    used = lambda side: F.sort_array(F.collect_set(F.when(F.col("side") == side, F.col("place"))))
+    found = rows.groupBy("range", "at").agg(F.first("known", ignorenulls=True).alias("known"), used(0).alias("own"), used(1).alias("new"))
+    out = found.select("range", "at", "known.*", "own", "new")
+    for name, source in (("fingerprint", "own"), ("edited_fingerprint", "new")):
+        out = with_rest(_subsets(out, source, name), name)
+    out = out.withColumn("next_fingerprint", F.lead("fingerprint").over(Window.partitionBy("range").orderBy("at"))).where("NOT guest")
+    return out.select("doc_id", "n_chars", "edited_sha256", "next_id", "fingerprint", "edited_fingerprint", "next_fingerprint")
