@@ -16,12 +16,12 @@ from ..functions.kernels import gc_fit, widths
 from .common import unfiltered, worker
 
 
-def basic_statistics(reads: DataFrame, compat: bool = True) -> DataFrame:
-    """One row a file.  With ``compat`` a length of 0 counts as the least only if no worker's least is more."""
+def worker_statistics(reads: DataFrame, compat: bool = True) -> DataFrame:
+    """Sums, least and greatest values by file and worker."""
     seq = F.col("sequence")
     own = ~F.col("is_filtered")
     count = lambda letters: F.coalesce(F.sum(F.when(own, R.count_letters(seq, letters))), F.lit(0)).cast("long")
-    per = reads.groupBy("file_name", worker(compat).alias("w")).agg(
+    return reads.groupBy("file_name", worker(compat).alias("w")).agg(
         F.count_if(own).alias("total"),
         F.count_if(F.col("is_filtered")).alias("filtered"),
         F.coalesce(F.sum(F.when(own, F.length(seq))), F.lit(0)).cast("long").alias("bases"),
@@ -32,6 +32,11 @@ def basic_statistics(reads: DataFrame, compat: bool = True) -> DataFrame:
         F.max(F.when(own, F.col("colorspace").isNotNull())).alias("coloured"),
         F.min(F.when(own & (F.length(seq) > 0) & (F.length("quality") > 0), F.ascii(F.array_min(F.split("quality", ""))))).alias("lowest"),
     )
+
+
+def basic_statistics(reads: DataFrame, compat: bool = True, per: DataFrame | None = None) -> DataFrame:
+    """One row a file.  With ``compat`` a length of 0 counts as the least only if no worker's least is more."""
+    per = worker_statistics(reads, compat) if per is None else per
     least = F.coalesce(F.min(F.when(F.col("least") > 0, F.col("least"))), F.lit(0)) if compat else F.coalesce(F.min("least"), F.lit(0))
     out = per.groupBy("file_name").agg(
         F.sum("total").alias("total_sequences"), F.sum("filtered").alias("filtered_sequences"),
@@ -72,11 +77,11 @@ def _mean_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def sequence_quality(reads: DataFrame) -> DataFrame:
+def sequence_quality(reads: DataFrame, means: DataFrame | None = None) -> DataFrame:
     """(file_name, quality, n): reads by whole mean quality, from this module's own lowest mean code."""
     rows = unfiltered(reads).where(F.length("quality") > 0).select("file_name", "quality").mapInArrow(
         _mean_codes, "file_name string, code int, n long, least int"
-    )
+    ) if means is None else means
     counts = rows.groupBy("file_name", "code").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
     least = F.min("least").over(Window.partitionBy("file_name"))
     return counts.select("file_name", (F.col("code") - R.phred_offset(least)).alias("quality"), "n")
@@ -98,10 +103,10 @@ def bin_width(span: Column) -> Column:
     return F.when(span <= 75, F.lit(1)).otherwise(out)
 
 
-def length_distribution(reads: DataFrame) -> DataFrame:
+def length_distribution(reads: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """(file_name, lo, hi, label, n): bins of one width from the least length to the greatest, empty ones too."""
     of = Window.partitionBy("file_name")
-    counts = length_counts(reads).withColumns({"least": F.min("length").over(of), "most": F.max("length").over(of)})
+    counts = (length_counts(reads) if counts is None else counts).withColumns({"least": F.min("length").over(of), "most": F.max("length").over(of)})
     counts = counts.withColumn("width", bin_width(F.col("most") - F.col("least") + 1).cast("int"))
     lo = (F.col("least") + F.floor((F.col("length") - F.col("least")) / F.col("width")) * F.col("width")).cast("int")
     binned = counts.groupBy("file_name", "least", "most", "width", lo.alias("lo")).agg(F.sum("n").alias("n"))
@@ -135,12 +140,12 @@ def gc_claims(counts: DataFrame) -> DataFrame:
     return rows.withColumn("weight", F.when(pct >= 0, F.lit(1.0) / shared).otherwise(F.lit(0.0)))
 
 
-def gc_distribution(reads: DataFrame) -> DataFrame:
+def gc_distribution(reads: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """(file_name, pct, count) for 0 to 100, also for a file all of whose reads are filtered."""
     part = F.when(~F.col("is_filtered"), R.gc_part(F.col("sequence")))
     counts = reads.select("file_name", part.alias("part")).groupBy(
         "file_name", F.length("part").alias("len"), R.gc_count(F.col("part")).alias("gc")
-    ).agg(F.count("*").alias("n"))
+    ).agg(F.count("*").alias("n")) if counts is None else counts
     claims = gc_claims(counts)
     # equal weights are added as whole numbers first, so that the sums don't depend on the order of rows
     found = claims.groupBy("file_name", "pct", "weight").agg(F.sum("n").alias("n")).groupBy("file_name", "pct").agg(

@@ -22,6 +22,12 @@ def unfiltered(reads: DataFrame) -> DataFrame:
     return reads.where(~F.col("is_filtered"))
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than there are cores (one small or compressed file) is dealt out evenly; others stay as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def worker(compat: bool) -> Column:
     """Batches of reads go round the workers in turn; without ``compat`` there is one."""
     return (F.floor(F.col("read_idx") / BATCH) % WORKERS).cast("int") if compat else F.lit(0)

@@ -75,44 +75,53 @@ def n_content(reads: DataFrame, config: QcConfig, cube: DataFrame | None = None)
     return rows.select("file_name", "grp", "label", F.when(F.col("every") > 0, F.col("ns") * 100.0 / F.col("every")).otherwise(0.0).alias("n_percent"))
 
 
+def add_tiles(name: object, own: pa.Array, raw: np.ndarray, off: np.ndarray, tiles: dict, lowest: dict, found: Counts) -> None:
+    """Add a file's sums by (tile, place).  Where a read has no tile, or there are too many tiles, the file gives nothing."""
+    known = tiles.setdefault(name, set())
+    if known is None:
+        return
+    known.update(own.drop_null().unique().to_pylist())
+    if own.null_count or len(known) > TILE_MOST + 1:
+        tiles[name] = None
+        return
+    ranked = np.sort(np.array([*known], np.int64))
+    row, at = places(np.diff(off))
+    code = raw.astype(np.int64)
+    wide = int(at.max(initial=0)) + 1
+    key = np.searchsorted(ranked, own.to_numpy())[row] * wide + at
+    counts = code >= LEAST_CODE
+    if len(ranked) * wide <= 4 * len(key) + (1 << 20):
+        seen = np.bincount(key, minlength=len(ranked) * wide)
+        full = np.flatnonzero(seen)
+        n, s = (np.bincount(key, w, len(seen)).astype(np.int64)[full] for w in (counts, code * counts))
+    else:
+        full, back = np.unique(key, return_inverse=True)
+        n, s = (np.bincount(back, w, len(full)).astype(np.int64) for w in (counts, code * counts))
+    tile, place = np.divmod(full, wide)
+    found.add(name, ranked[tile] << 31 | place, n, s)
+    lowest[name] = min(lowest.get(name, 255), int(code.min(initial=255)))
+
+
+def merged_tiles(name: object, tiles: dict, lowest: dict, found: Counts) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, int]:
+    """Places (from 1 on), tiles, numbers, sums and the least code of a file; one row with a null tile where it gives nothing."""
+    gone = tiles[name] is None
+    keys, n, s = (np.zeros(1, np.int64),) * 3 if gone else found.merged(name)
+    return (keys & ((1 << 31) - 1)) + 1, pa.array(keys >> 31, mask=np.full(len(keys), gone)), n, s, lowest.get(name, 255)
+
+
 def _tile_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each task's sums by (file, tile, place).  A file of which a task meets a read without a tile, or too many tiles, has one row
-    with a null tile from it: that file gives nothing."""
+    """Each task's sums by (file, tile, place)."""
     found, tiles, lowest = Counts(), {}, {}
     for batch in batches:
         raw, off = column_bytes(batch.column("quality"))
         for name, a, b in file_runs(batch.column("file_name")):
-            own, known = batch.column("tile")[a:b], tiles.setdefault(name, set())
-            if known is None:
-                continue
-            known.update(own.drop_null().unique().to_pylist())
-            if own.null_count or len(known) > TILE_MOST + 1:
-                tiles[name] = None
-                continue
-            ranked = np.sort(np.array([*known], np.int64))
-            row, at = places(np.diff(off[a : b + 1]))
-            code = raw[off[a] : off[b]].astype(np.int64)
-            wide = int(at.max(initial=0)) + 1
-            key = np.searchsorted(ranked, own.to_numpy())[row] * wide + at
-            counts = code >= LEAST_CODE
-            if len(ranked) * wide <= 4 * len(key) + (1 << 20):
-                seen = np.bincount(key, minlength=len(ranked) * wide)
-                full = np.flatnonzero(seen)
-                n, s = (np.bincount(key, w, len(seen)).astype(np.int64)[full] for w in (counts, code * counts))
-            else:
-                full, back = np.unique(key, return_inverse=True)
-                n, s = (np.bincount(back, w, len(full)).astype(np.int64) for w in (counts, code * counts))
-            tile, place = np.divmod(full, wide)
-            found.add(name, ranked[tile] << 31 | place, n, s)
-            lowest[name] = min(lowest.get(name, 255), int(code.min(initial=255)))
-    for name, known in tiles.items():
-        keys, n, s = (np.zeros(1, np.int64),) * 3 if known is None else found.merged(name)
-        tile = pa.array((keys >> 31).astype(np.int32), mask=np.full(len(keys), known is None))
+            add_tiles(name, batch.column("tile")[a:b], raw[off[a] : off[b]], off[a : b + 1] - off[a], tiles, lowest, found)
+    for name in tiles:
+        place, tile, n, s, least = merged_tiles(name, tiles, lowest, found)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([name] * len(keys), pa.string()), tile,
-                pa.array((keys & ((1 << 31) - 1)).astype(np.int32) + 1), pa.array(n), pa.array(s),
-                pa.array(np.full(len(keys), lowest.get(name, 255), np.int32))
+                pa.array([name] * len(n), pa.string()), tile.cast(pa.int32()), pa.array(place.astype(np.int32)), pa.array(n), pa.array(s),
+                pa.array(np.full(len(n), least, np.int32))
             ],
             ["file_name", "tile", "pos", "n", "s", "least"],
         )
@@ -130,11 +139,11 @@ def tile_sums(reads: DataFrame, config: QcConfig) -> DataFrame:
     return rows.mapInArrow(_tile_sums, "file_name string, tile int, pos int, n long, s long, least int")
 
 
-def tile_quality(reads: DataFrame, config: QcConfig) -> DataFrame:
+def tile_quality(reads: DataFrame, config: QcConfig, sums: DataFrame | None = None) -> DataFrame:
     """(file_name, tile, grp, label, mean_deviation): each tile's mean quality less the mean over tiles; a tile without data
     in a group counts as 0, so the grid of tiles and groups is dense.  A file whose ids have no tile in it, or more tiles than may
     be there (one more is still taken in when TILE_MOST are), gives nothing."""
-    counts = tile_sums(reads, config).groupBy("file_name", "tile", "pos").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.min("least").alias("least"))
+    counts = (tile_sums(reads, config) if sums is None else sums).groupBy("file_name", "tile", "pos").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.min("least").alias("least"))
     of = Window.partitionBy("file_name")
     counts = counts.withColumns(
         {

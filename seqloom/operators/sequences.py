@@ -95,11 +95,11 @@ def adapter_places(reads: DataFrame, config: QcConfig) -> DataFrame:
     return rows.select("file_name", "worker", F.inline(F.concat(size, hits))).groupBy("file_name", "worker", "adapter", "at").agg(F.count("*").alias("n"))
 
 
-def adapter_content(reads: DataFrame, config: QcConfig) -> DataFrame:
+def adapter_content(reads: DataFrame, config: QcConfig, hits: DataFrame | None = None) -> DataFrame:
     """(file_name, adapter, name, grp, label, percent): reads in which the adapter began up to a position, averaged over the
     group's width.  A worker's reads count up to the last position that its longest read allows."""
     longest = max((len(s) for _, s in config.adapters), default=0)
-    hits = adapter_places(reads, config)
+    hits = adapter_places(reads, config) if hits is None else hits
     sizes = hits.where("adapter < 0").groupBy("file_name", "worker").agg(F.max("at").alias("most"), F.sum("n").alias("n"))
     of = Window.partitionBy("file_name")  # a row a worker
     sizes = sizes.withColumn("last", F.when(F.col("most") > longest, F.col("most") - longest).otherwise(0))
@@ -159,12 +159,12 @@ def kmer_p_value(n: Column, p: Column, k: Column, size: int) -> Column:
     return F.when((n == 0) | (p <= 0) | (p >= 1) | (spread < 2.220446049250313e-16), F.lit(1.0)).otherwise(tail * 0.5) * float(4**size)
 
 
-def kmer_enrichment(reads: DataFrame, config: QcConfig) -> DataFrame:
+def kmer_enrichment(reads: DataFrame, config: QcConfig, placed: DataFrame | None = None) -> DataFrame:
     """(file_name, kmer, count, grp, label, hits, ratio, p): observed to expected in each group of positions."""
     # k-mers with N tell how many positions there are, and count in nothing else
     every_kmer = _kmers(reads, config).groupBy(
         "file_name", F.when(~F.contains("kmer", F.lit("N")), F.col("kmer")).alias("kmer"), "pos"
-    ).agg(F.count("*").alias("n"))
+    ).agg(F.count("*").alias("n")) if placed is None else placed
     placed = in_groups(every_kmer, config).where("kmer IS NOT NULL").select("file_name", "kmer", "grp", "label", "n")
     placed = placed.groupBy("file_name", "kmer", "grp", "label").agg(F.sum("n").alias("hits"))
     rows = placed.withColumn("count", F.sum("hits").over(Window.partitionBy("file_name", "kmer")))

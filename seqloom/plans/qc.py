@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import QcConfig
 from ..functions.kernels import base_groups, bases_text, histogram_width, label
-from ..operators import basic, positions, sequences
+from ..operators import basic, fused, positions, sequences
 from ..operators.common import position_cube
 
 # The modules in the order of reports: id, name, key of their limits, description.
@@ -36,7 +36,7 @@ MODULES = [
     ("kmer_content", "Kmer Content", "kmer", "Identifies short sequences which have uneven representation"),
 ]
 
-TOGETHER = 4  # modules whose jobs run at the same time
+TOGETHER = 8  # modules whose jobs run at the same time
 
 
 @dataclass
@@ -72,40 +72,59 @@ def _verdict(fails: bool, warns: bool) -> str:
     return "fail" if fails else "warn" if warns else "pass"
 
 
-def collect(reads: DataFrame, config: QcConfig) -> dict[str, dict[str, list]]:
-    """Every module's rows by file: a few thousand for each file.  Modules that a report leaves out aren't computed."""
-    if config.keep_reads:
-        reads = reads.persist(StorageLevel.MEMORY_AND_DISK)
-    cube = position_cube(reads).persist(StorageLevel.MEMORY_AND_DISK)
-    keys = sequences.key_counts(reads, config).persist(StorageLevel.MEMORY_AND_DISK)
-    quality = basic.sequence_quality(reads)
+def frames_of(reads: DataFrame, config: QcConfig) -> tuple[dict[str, DataFrame], list]:
+    """Every module's rows, and what to let go of afterwards.  One pass over the reads counts for all modules; where that can't be
+    (places that aren't dense, very many filtered reads) each module asks the reads itself."""
+    kmers = config.limit("kmer", "ignore") <= 0
+    gone = fused.skips(reads) if config.dense else None
+    if gone is None:
+        if config.keep_reads:
+            reads = reads.persist(StorageLevel.MEMORY_AND_DISK)
+        cube = position_cube(reads).persist(StorageLevel.MEMORY_AND_DISK)
+        keys = sequences.key_counts(reads, config).persist(StorageLevel.MEMORY_AND_DISK)
+        held = [keys, cube, *([reads] if config.keep_reads else [])]
+        per = means = sums = gc = lengths = hits = placed = None
+    else:
+        one = fused.Fused(reads, config, gone, tuple(k for k in fused.EVERY if kmers or k != "kmer"))
+        cube, per, means, gc, lengths = one.cube(), one.basic(), one.means(), one.gc(), one.lengths()
+        keys = one.keys().persist(StorageLevel.MEMORY_AND_DISK)
+        # a worker's longest read so far counts where adapters have several lengths
+        several = config.compat and len({len(s) for _, s in config.adapters}) > 1
+        sums, hits, placed = one.tiles(), None if several else one.adapters(), one.kmers() if kmers else None
+        held = [keys, one.merged, one.raw]
     frames = {
-        "basic": basic.basic_statistics(reads, config.compat),
+        "basic": basic.basic_statistics(reads, config.compat, per),
         "lowest": cube.where("code > 0").groupBy("file_name").agg(F.min("code").alias("lowest")),
         "quality_base": positions.base_quality(reads, config, cube).orderBy("grp"),
-        "tile": positions.tile_quality(reads, config).orderBy("tile", "grp"),
-        "quality_sequence": quality.orderBy("quality"),
+        "tile": positions.tile_quality(reads, config, sums).orderBy("tile", "grp"),
+        "quality_sequence": basic.sequence_quality(reads, means).orderBy("quality"),
         "sequence": positions.base_content(reads, config, cube).orderBy("grp"),
-        "gc_sequence": basic.gc_fitted(basic.gc_distribution(reads)).orderBy("pct"),
+        "gc_sequence": basic.gc_fitted(basic.gc_distribution(reads, gc)).orderBy("pct"),
         "n_content": positions.n_content(reads, config, cube).orderBy("grp"),
-        "sequence_length": basic.length_distribution(reads).orderBy("lo"),
+        "sequence_length": basic.length_distribution(reads, lengths).orderBy("lo"),
         "duplication": sequences.duplication(reads, config, keys).orderBy("slot"),
         "unique": keys.groupBy("file_name").agg(F.count("*").alias("unique"), F.max(F.when(F.col("rank") == config.unique_cap, F.col("first"))).alias("limit")),
         "overrepresented": sequences.overrepresented(reads, config, keys),
-        "adapter": sequences.adapter_content(reads, config).orderBy("adapter", "grp"),
+        "adapter": sequences.adapter_content(reads, config, hits).orderBy("adapter", "grp"),
     }
-    enriched = []
-    if config.limit("kmer", "ignore") <= 0:
-        enriched = [rows := sequences.kmer_enrichment(reads, config).persist(StorageLevel.MEMORY_AND_DISK)]
+    if kmers:
+        rows = sequences.kmer_enrichment(reads, config, placed).persist(StorageLevel.MEMORY_AND_DISK)
+        held.append(rows)
         frames["kmer"] = sequences.kmer_content(reads, config, rows)
         frames["kmer_series"] = sequences.kmer_series(rows, frames["kmer"])
         frames["kmer_groups"] = rows.select("file_name", "grp", "label").distinct().orderBy("grp")
+    return frames, held
+
+
+def collect(reads: DataFrame, config: QcConfig) -> dict[str, dict[str, list]]:
+    """Every module's rows by file: a few thousand for each file.  Modules that a report leaves out aren't computed."""
+    frames, held = frames_of(reads, config)
     out: dict[str, dict[str, list]] = defaultdict(lambda: defaultdict(list))
     with ThreadPoolExecutor(TOGETHER) as pool:  # small jobs fill each other's gaps
         for name, found in zip(frames, pool.map(DataFrame.collect, frames.values()), strict=True):
             for r in found:
                 out[r["file_name"]][name].append(r)
-    for df in (keys, cube, *enriched, *([reads] if config.keep_reads else [])):
+    for df in held:
         df.unpersist()
     return out
 

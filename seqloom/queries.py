@@ -15,7 +15,7 @@ from .config import QcConfig
 from .functions import reads as R
 from .functions.kernels import widths
 from .operators import basic, positions, sequences
-from .operators.common import position_cube, with_ordinal
+from .operators.common import position_cube, spread, with_ordinal
 from .plans.qc import analyse
 from .sources.alignments import to_reads
 from .trim import operators as T
@@ -50,7 +50,8 @@ SIX = "floor(({}) * 1e6 + 0.5) / 1e6"
 
 
 def _view(spark: SparkSession, sf_dir: str, sql: str, table: str) -> DataFrame:
-    return spark.sql(sql.replace(f"from {table}", "from {t}"), t=spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+    columns = ["event_id", "user_id"] if table == "events" else ["doc_id", "text"]
+    return spark.sql(sql.replace(f"from {table}", "from {t}"), t=spread(spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)))
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from functools import partial
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,7 @@ PRESETS = {
 # Second reads' adapters that follow from the first reads'.
 SECOND = {"TGGAATTCTCGG": "GATCGTCGGACT", "AAGTCGGAGGCCAAGCGGTCTTAGGAAGACAA": "AAGTCGGATCGTAGCCATGTCGTTCTGTGAGCCAAGGAGTTG"}
 CANDIDATES = ("illumina", "nextera", "small_rna")
+BASES = 1 << 22  # that are trimmed at a time
 HEAD_READS, HEAD_TOTAL = 999_999, 1_000_000
 
 
@@ -136,16 +138,23 @@ def _trim(
     batches: Iterator[pa.RecordBatch], adapter: str, cutoff: int, base: int, two_colour: bool,
     error_rate: float, overlap: int
 ) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sequences, qualities = batch.column("sequence").to_pylist(), batch.column("quality").to_pylist()
-        seq, size = kernels.matrix([s or "" for s in sequences])
-        qual, _ = kernels.matrix([(q or "").ljust(len(s or ""), "!")[: len(s or "")] for s, q in zip(sequences, qualities, strict=True)])
-        after_quality = kernels.quality_cut(qual, size, cutoff, base, seq if two_colour else None) if cutoff > 0 else size
-        kept = kernels.adapter_cut(seq, after_quality, adapter, error_rate, overlap) if adapter and adapter != "X" else after_quality
-        cut = [pa.array([None if t is None else t[:k] for t, k in zip(texts, kept.tolist(), strict=True)], pa.string()) for texts in (sequences, qualities)]
-        columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)} | dict(zip(("sequence", "quality"), cut, strict=True))
-        columns |= {"quality_trimmed": pa.array(size - after_quality), "adapter_trimmed": pa.array(after_quality - kept)}
-        yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
+    for whole in batches:
+        for batch in _slices(whole):
+            seq, size = kernels.flat(batch.column("sequence"))
+            qual = kernels.fitted(kernels.flat(batch.column("quality"))[0], size)
+            after_quality = kernels.quality_cut(qual, size, cutoff, base, seq if two_colour else None) if cutoff > 0 else size
+            kept = kernels.adapter_cut(seq, after_quality, adapter, error_rate, overlap) if adapter and adapter != "X" else after_quality
+            cut = {c: kernels.first_parts(batch.column(c), kept) for c in ("sequence", "quality")}
+            columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)} | cut
+            columns |= {"quality_trimmed": pa.array(size - after_quality), "adapter_trimmed": pa.array(after_quality - kept)}
+            yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about BASES bases, or one longer read."""
+    sizes = pc.binary_length(batch.column("sequence")).fill_null(0).to_numpy(zero_copy_only=False).astype("int64")
+    for a, b in kernels.slices(sizes, BASES):
+        yield batch.slice(a, b - a)
 
 
 def trim_ends(reads: DataFrame, adapter: str, config: TrimConfig) -> DataFrame:

@@ -86,7 +86,7 @@ def quality_by_definition(quality, cutoff):
 def test_quality_cut():
     rng = np.random.default_rng(0)
     texts = ["".join(map(chr, rng.integers(33, 74, n))) for n in rng.integers(0, 40, 200)]
-    m, size = T.matrix(texts)
+    m, size = T.flat(texts)
     assert T.quality_cut(m, size, 20).tolist() == [quality_by_definition(t, 20) for t in texts]
 
 
@@ -115,18 +115,70 @@ def adapter_by_definition(read, adapter, rate, overlap):
 def test_exact_and_partial_adapters():
     adapter = "AGATCGGAAGAGC"
     reads = ["ACGTTTGC" + adapter + "AAAA", "ACGTTTGCAGATCGG", "CCCCCCCC", "", adapter, "ACGTTTGCAGATCGCAAGAGCTT", "ACGTTTGCAGATGGAAGAGCTT"]
-    m, size = T.matrix(reads)
+    m, size = T.flat(reads)
     assert T.adapter_cut(m, size, adapter, 0.1, 3).tolist() == [8, 8, 8, 0, 0, 8, 8]
 
 
 def test_adapter_cut_finds_matches_of_the_definition():
     rng = np.random.default_rng(4)
     reads = ["".join(rng.choice(list("AC"), n)) for n in rng.integers(0, 9, 60)]
-    m, size = T.matrix(reads)
+    m, size = T.flat(reads)
     got = T.adapter_cut(m, size, "ACCA", 0.0, 2)
     assert got.tolist() == [adapter_by_definition(r, "ACCA", 0.0, 2) for r in reads]
 
 
+def test_adapter_cut_across_windows(monkeypatch):
+    """Windows of few bases, as if reads were long: the same as one table for each whole read."""
+    rng = np.random.default_rng(7)
+    adapter = "ACGGTNAC"
+    plant = lambda r, p: r[:p] + "".join(rng.choice(list(adapter.replace("N", "T"))) if rng.random() < 0.1 else c for c in adapter.replace("N", "G")) + r[p:]
+    reads = ["".join(rng.choice(list("ACGT"), n)) for n in rng.integers(0, 70, 150)]
+    reads = [plant(r, int(rng.integers(0, len(r) + 1))) if i % 2 else r for i, r in enumerate(reads)]
+    m, size = T.flat(reads)
+    for rate, overlap in ((0.0, 1), (0.13, 3), (0.26, 2), (1.0, 1)):
+        monkeypatch.setattr(T, "WINDOW", 256)
+        whole = T.adapter_cut(m, size, adapter, rate, overlap)
+        for window, cells in ((5, 40), (16, 1 << 21)):
+            monkeypatch.setattr(T, "WINDOW", window)
+            monkeypatch.setattr(T, "CELLS", cells)
+            assert T.adapter_cut(m, size, adapter, rate, overlap).tolist() == whole.tolist()
+    part = size // 2
+    assert T.adapter_cut(m, part, adapter, 0.13, 2).tolist() == T.adapter_cut(*T.flat([r[: len(r) // 2] for r in reads]), adapter, 0.13, 2).tolist()
+
+
+def test_a_long_read_among_short_ones_takes_memory_for_its_bases_only():
+    import resource
+    import subprocess
+    import sys
+
+    code = """
+import resource, numpy as np
+from seqloom.trim import kernels as T
+rng = np.random.default_rng(1)
+reads = ["".join(rng.choice(list("ACGT"), 150)) for _ in range(9_999)] + ["".join(rng.choice(list("ACGT"), 1_000_000))]
+reads[-1] = reads[-1][:777_777] + "AGATCGGAAGAGC" + reads[-1][777_777:]
+m, size = T.flat(reads)
+q, _ = T.flat(["I" * len(r) for r in reads])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+assert T.quality_cut(q, size, 20).tolist() == size.tolist()
+kept = T.adapter_cut(m, size, "AGATCGGAAGAGC", 0.0, 13)
+assert kept[-1] == 777_777, kept[-1]
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    assert resource and int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) < 500
+
+
+def test_odd_texts():
+    m, size = T.flat(["é" * 3 + "ACGT", None, "", "ACGT"])
+    assert size.tolist() == [7, 0, 0, 4] and T.adapter_cut(m, size, "ACGT", 0.0, 4).tolist() == [3, 0, 0, 0]
+    q = T.fitted(T.flat(["II", None, "", "IIIIII"])[0], size)
+    assert T.quality_cut(q, size, 20).tolist() == [2, 0, 0, 4]
+    import pyarrow as pa
+
+    assert T.first_parts(pa.array(["éab", None, "", "ACGT"]), np.array([2, 3, 1, 3])).to_pylist() == ["éa", None, "", "ACG"]
+    assert T.first_parts(pa.array(["Aab", None, "", "ACGT"]), np.array([2, 3, 1, 3])).to_pylist() == ["Aa", None, "", "ACG"]
+
+
 def test_trim_options():
     for wrong in (
         {"error_rate": 2}, {"adapter": "A", "preset": "nextera"}, {"hardtrim5": 3, "hardtrim3": 3},
