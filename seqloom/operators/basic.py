@@ -96,18 +96,16 @@ def length_counts(reads: DataFrame) -> DataFrame:
     return unfiltered(reads).groupBy("file_name", F.length("sequence").alias("length")).agg(F.count("*").alias("n"))
 
 
-def bin_width(span: Column) -> Column:
-    out = F.lit(1)
-    for w in reversed([*widths(4)]):
-        out = F.when(F.floor(span / w) <= 50, F.lit(w)).otherwise(out)
-    return F.when(span <= 75, F.lit(1)).otherwise(out)
+def bin_width(span: str) -> Column:
+    whens = " ".join(f"WHEN floor(({span}) / {w}) <= 50 THEN {w}" for w in widths(4))
+    return F.expr(f"CASE WHEN {span} <= 75 THEN 1 {whens} ELSE 1 END")
 
 
 def length_distribution(reads: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """(file_name, lo, hi, label, n): bins of one width from the least length to the greatest, empty ones too."""
     of = Window.partitionBy("file_name")
     counts = (length_counts(reads) if counts is None else counts).withColumns({"least": F.min("length").over(of), "most": F.max("length").over(of)})
-    counts = counts.withColumn("width", bin_width(F.col("most") - F.col("least") + 1).cast("int"))
+    counts = counts.withColumn("width", bin_width("most - least + 1").cast("int"))
     lo = (F.col("least") + F.floor((F.col("length") - F.col("least")) / F.col("width")) * F.col("width")).cast("int")
     binned = counts.groupBy("file_name", "least", "most", "width", lo.alias("lo")).agg(F.sum("n").alias("n"))
     # some hundred bins a file at most

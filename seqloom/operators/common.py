@@ -113,12 +113,10 @@ def position_cube(reads: DataFrame) -> DataFrame:
     return position_partials(reads).repartition("file_name", "pos")
 
 
-def wide_group(length: Column) -> Column:
-    """How many positions a group behind the ninth has."""
-    out = F.lit(1)
-    for w in reversed([*widths(6)]):
-        out = F.when(length <= 9 + (MOST_GROUPS - 9) * w, F.lit(w)).otherwise(out)
-    return out
+def wide_group(length: str) -> str:
+    """How many positions a group behind the ninth has, as SQL."""
+    whens = " ".join(f"WHEN {length} <= {9 + (MOST_GROUPS - 9) * w} THEN {w}" for w in widths(6))
+    return f"CASE {whens} ELSE 1 END"
 
 
 def in_groups(rows: DataFrame, config: QcConfig, length: Column | None = None) -> DataFrame:
@@ -133,20 +131,16 @@ def in_groups(rows: DataFrame, config: QcConfig, length: Column | None = None) -
             "_length",
             F.greatest(F.max("_length").over(Window.partitionBy("file_name")), F.lit(config.min_length))
         )
-    pos, n = F.col("pos"), F.col("_length")
-    within = lambda start, w: start + F.floor((pos - start) / w) * w
-    if config.nogroup:
-        lo, wide = pos, F.lit(1)
-    elif config.expgroup:
-        lo, wide = pos, F.lit(1)
+    # SQL texts: building these trees a call at a time takes longer than running them
+    within = lambda start, w: f"({start} + floor((pos - {start}) / ({w})) * ({w}))"
+    lo, wide = "pos", "1"
+    if config.expgroup and not config.nogroup:
         for start, above, w in EXPONENTIAL:
-            on = (pos >= start) & (n > above)
-            lo, wide = F.when(on, within(F.lit(start), w)).otherwise(lo), F.when(on, F.lit(w)).otherwise(wide)
-    else:
-        grouped = (n > MOST_GROUPS) & (pos > 9)
-        wide = F.when(grouped, wide_group(n)).otherwise(1)
-        lo = F.when(grouped, within(F.lit(10), wide_group(n))).otherwise(pos)
-    rows = rows.withColumns({"lo": lo.cast("int"), "_wide": wide.cast("int")})
-    hi = F.least(F.col("lo") + F.col("_wide") - 1, n).cast("int")
-    text = F.when(F.col("lo") == F.col("hi"), F.col("lo").cast("string")).otherwise(F.concat_ws("-", "lo", "hi"))
-    return rows.withColumn("hi", hi).withColumns({"grp": F.col("lo"), "label": text}).drop("_length", "_wide")
+            on = f"pos >= {start} AND _length > {above}"
+            lo, wide = f"CASE WHEN {on} THEN {within(start, w)} ELSE {lo} END", f"CASE WHEN {on} THEN {w} ELSE {wide} END"
+    elif not config.nogroup:
+        grouped, w = f"_length > {MOST_GROUPS} AND pos > 9", wide_group("_length")
+        lo, wide = f"CASE WHEN {grouped} THEN {within(10, w)} ELSE pos END", f"CASE WHEN {grouped} THEN {w} ELSE 1 END"
+    rows = rows.selectExpr("*", f"CAST({lo} AS int) AS lo", f"CAST({wide} AS int) AS _wide")
+    rows = rows.selectExpr("*", "lo AS grp", "CAST(least(lo + _wide - 1, _length) AS int) AS hi")
+    return rows.selectExpr("*", "CASE WHEN lo = hi THEN CAST(lo AS string) ELSE concat_ws('-', lo, hi) END AS label").drop("_length", "_wide")

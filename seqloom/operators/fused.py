@@ -10,6 +10,7 @@ tasks.  Beyond SKIPS_MOST of them, or where places aren't dense, the modules' ow
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,6 +28,7 @@ from .positions import TILE_EVERY, add_tiles, merged_tiles
 from .sequences import KMER_EVERY, KMER_PART
 
 SKIPS_MOST = 4_000_000  # sorted numbers of 8 bytes
+FEW_ROWS = 300_000
 KEY_SPAN = 65_536  # ordinals
 EARLY_MOST = 2_000_000  # keys of 50 bytes that are broadcast at most
 KEYS_KEPT = 500_000  # distinct keys that a task holds before it hands them on
@@ -273,6 +275,15 @@ class Keys:
         self.parts, self.waiting, self.turn = [], 0, self.turn + 1
 
 
+def _field(parts: pa.ListArray, n: int) -> pa.Array:
+    """The n-th part of each as a whole number of 32 bits; null where there is none."""
+    size = pc.list_value_length(parts).to_numpy()
+    there = np.where(size >= n, np.asarray(parts.offsets)[:-1] + n - 1, 0)
+    text = parts.values.take(pa.array(there, mask=size < n)).dictionary_encode()
+    known = [int(t) if re.fullmatch(r"\s*[+-]?[0-9]+\s*", t) and -(1 << 31) <= int(t) < 1 << 31 else None for t in text.dictionary.to_pylist()]
+    return pa.array(known, pa.int32()).take(text.indices)
+
+
 class Tiles:
     """Sums by (field of the id, tile, place) of sampled reads; which field has the tile is told by the file's first read, so both
     are tried.  A read without qualities tells that ordinals for tiles are others: that file's are counted by their own operator."""
@@ -285,15 +296,17 @@ class Tiles:
             self.blank.add(r.name)
             return
         at = int(r.idx.argmin())
-        seen = (int(r.idx[at]), r.table.column("fields")[at].as_py() or 0)
+        seen = (int(r.idx[at]), (r.table.column("id")[at].as_py() or "").count(":") + 1)
         self.first[r.name] = min(self.first.get(r.name, seen), seen)
         ordinal = ordinals(r.idx, r.gone, r.compat)
         pick = np.flatnonzero((ordinal <= self.tile_all) | (ordinal % TILE_EVERY == 0))
         if len(pick):
-            rows = r.table.select(["quality", "tile5", "tile3"]).take(pa.array(pick))
+            rows = r.table.select(["quality", "id"]).take(pa.array(pick))
             qual = column_bytes(rows.column("quality"))
+            parts = pc.split_pattern(rows.column("id").fill_null(""), ":")
             for f, (tiles, lowest, found) in self.state.items():
-                add_tiles(r.name, rows.column(f"tile{f}"), *qual, tiles, lowest, found)
+                if tiles.get(r.name, ()) is not None:
+                    add_tiles(r.name, _field(parts, f), *qual, tiles, lowest, found)
 
     def rows(self) -> Iterator[tuple]:
         for f, (tiles, lowest, found) in self.state.items():
@@ -355,15 +368,15 @@ class Kernel:
 
 def partials(reads: DataFrame, config: QcConfig, kinds: tuple[str, ...], gone: dict[str, np.ndarray]) -> DataFrame:
     """The tasks' tagged rows, not added up yet."""
-    parts = F.split("id", ":")
-    tile = lambda k: F.try_element_at(parts, F.lit(k)).try_cast("int").alias(f"tile{k}") if "tile" in kinds else F.lit(None).cast("int").alias(f"tile{k}")
-    rows = reads.select(
-        "file_name", "read_idx", "is_filtered", "sequence", "quality", "colorspace",
-        *([F.size(parts).alias("fields"), tile(5), tile(3)] if "tile" in kinds else [])
-    )
+    rows = reads.select("file_name", "read_idx", "is_filtered", "sequence", "quality", "colorspace", *(["id"] if "tile" in kinds else []))
     return rows.mapInArrow(Kernel(config, kinds, reads.sparkSession.sparkContext.broadcast(gone), config.adapters), SCHEMA)
 
 
+def together(rows: DataFrame) -> DataFrame:
+    """Few rows (counted) in one partition: what is derived from them needs no further shuffle."""
+    return rows.coalesce(1) if rows.count() <= FEW_ROWS else rows
+
+
 class Fused:
     """One pass over the reads for ``kinds`` of rows; each method gives what an operator would have counted itself."""
 
@@ -375,11 +388,12 @@ class Fused:
         tops = F.col("text").isin("most", "coloured")
         value = F.when((F.col("kind") == "basic") & F.max(ends), F.min("n")).when((F.col("kind") == "basic") & F.max(tops), F.max("n")).otherwise(F.sum("n"))
         merged = self.raw.where("kind <> 'key' AND kind <> 'fields'").groupBy(*by).agg(value.alias("n"), F.sum("s").alias("s"))
-        self.merged = merged.persist(StorageLevel.MEMORY_AND_DISK)
+        self.held = [merged.persist(StorageLevel.MEMORY_AND_DISK), self.raw]
+        self.merged = together(merged)
 
     def close(self) -> None:
-        self.merged.unpersist()
-        self.raw.unpersist()
+        for df in self.held:
+            df.unpersist()
 
     def kind(self, name: str) -> DataFrame:
         return self.merged.where(F.col("kind") == name)
@@ -428,7 +442,9 @@ class Fused:
     def keys(self) -> DataFrame:
         """As sequences.key_counts().  Where one task alone met ``unique_cap`` different keys, none that comes first behind the last of
         them is among the first: rows of such keys are dropped before they are shuffled, unless the key also came before."""
-        return capped_keys(self.raw.where("kind = 'key'").select("file_name", F.col("text").alias("key"), "n", F.col("s").alias("first"), F.struct(F.spark_partition_id(), F.col("a")).alias("part")), self.config.unique_cap)
+        part = F.struct(F.spark_partition_id(), F.col("a")).alias("part")
+        rows = self.raw.where("kind = 'key'").select("file_name", F.col("text").alias("key"), "n", F.col("s").alias("first"), part)
+        return capped_keys(together(rows), self.config.unique_cap)
 
 
 def capped_keys(rows: DataFrame, cap: int) -> DataFrame:

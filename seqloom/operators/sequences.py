@@ -131,7 +131,20 @@ def _with_blank(rows: DataFrame, adapters: int) -> DataFrame:
 
 def kmer_counts(reads: DataFrame, config: QcConfig) -> DataFrame:
     """(file_name, kmer, pos, n): k-mers without N of each KMER_EVERY-th read's first KMER_PART bases."""
-    return _kmers(reads, config).where(~F.contains("kmer", F.lit("N"))).groupBy("file_name", "kmer", "pos").agg(F.count("*").alias("n"))
+    return kmer_places(reads, config).where("kmer IS NOT NULL")
+
+
+def kmer_places(reads: DataFrame, config: QcConfig) -> DataFrame:
+    """As kmer_counts(), with how many k-mers with N a position has, as a null kmer.  Two bits a base in the tasks, where sampled
+    reads can be told there."""
+    from . import fused  # which counts by this module's rules
+
+    gone = fused.skips(reads) if config.dense else None
+    if gone is None:
+        own = F.when(~F.contains("kmer", F.lit("N")), F.col("kmer")).alias("kmer")
+        return _kmers(reads, config).groupBy("file_name", own, "pos").agg(F.count("*").alias("n"))
+    rows = fused.partials(reads, config, ("kmer",), gone)
+    return rows.groupBy("file_name", F.col("text").alias("kmer"), F.col("a").cast("int").alias("pos")).agg(F.sum("n").alias("n"))
 
 
 def _kmers(reads: DataFrame, config: QcConfig) -> DataFrame:
@@ -162,9 +175,7 @@ def kmer_p_value(n: Column, p: Column, k: Column, size: int) -> Column:
 def kmer_enrichment(reads: DataFrame, config: QcConfig, placed: DataFrame | None = None) -> DataFrame:
     """(file_name, kmer, count, grp, label, hits, ratio, p): observed to expected in each group of positions."""
     # k-mers with N tell how many positions there are, and count in nothing else
-    every_kmer = _kmers(reads, config).groupBy(
-        "file_name", F.when(~F.contains("kmer", F.lit("N")), F.col("kmer")).alias("kmer"), "pos"
-    ).agg(F.count("*").alias("n")) if placed is None else placed
+    every_kmer = kmer_places(reads, config) if placed is None else placed
     placed = in_groups(every_kmer, config).where("kmer IS NOT NULL").select("file_name", "kmer", "grp", "label", "n")
     placed = placed.groupBy("file_name", "kmer", "grp", "label").agg(F.sum("n").alias("hits"))
     rows = placed.withColumn("count", F.sum("hits").over(Window.partitionBy("file_name", "kmer")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from copy import copy
 from dataclasses import dataclass, field
@@ -72,8 +73,8 @@ def _verdict(fails: bool, warns: bool) -> str:
     return "fail" if fails else "warn" if warns else "pass"
 
 
-def frames_of(reads: DataFrame, config: QcConfig) -> tuple[dict[str, DataFrame], list]:
-    """Every module's rows, and what to let go of afterwards.  One pass over the reads counts for all modules; where that can't be
+def frames_of(reads: DataFrame, config: QcConfig) -> tuple[dict[str, Callable[[], DataFrame]], list]:
+    """What makes every module's rows, and what to let go of afterwards.  One pass over the reads counts for all modules; where that can't be
     (places that aren't dense, very many filtered reads) each module asks the reads itself."""
     kmers = config.limit("kmer", "ignore") <= 0
     gone = fused.skips(reads) if config.dense else None
@@ -91,28 +92,30 @@ def frames_of(reads: DataFrame, config: QcConfig) -> tuple[dict[str, DataFrame],
         # a worker's longest read so far counts where adapters have several lengths
         several = config.compat and len({len(s) for _, s in config.adapters}) > 1
         sums, hits, placed = one.tiles(), None if several else one.adapters(), one.kmers() if kmers else None
-        held = [keys, one.merged, one.raw]
+        held = [keys, *one.held]
+    by_file = keys.groupBy("file_name")
     frames = {
-        "basic": basic.basic_statistics(reads, config.compat, per),
-        "lowest": cube.where("code > 0").groupBy("file_name").agg(F.min("code").alias("lowest")),
-        "quality_base": positions.base_quality(reads, config, cube).orderBy("grp"),
-        "tile": positions.tile_quality(reads, config, sums).orderBy("tile", "grp"),
-        "quality_sequence": basic.sequence_quality(reads, means).orderBy("quality"),
-        "sequence": positions.base_content(reads, config, cube).orderBy("grp"),
-        "gc_sequence": basic.gc_fitted(basic.gc_distribution(reads, gc)).orderBy("pct"),
-        "n_content": positions.n_content(reads, config, cube).orderBy("grp"),
-        "sequence_length": basic.length_distribution(reads, lengths).orderBy("lo"),
-        "duplication": sequences.duplication(reads, config, keys).orderBy("slot"),
-        "unique": keys.groupBy("file_name").agg(F.count("*").alias("unique"), F.max(F.when(F.col("rank") == config.unique_cap, F.col("first"))).alias("limit")),
-        "overrepresented": sequences.overrepresented(reads, config, keys),
-        "adapter": sequences.adapter_content(reads, config, hits).orderBy("adapter", "grp"),
+        "basic": lambda: basic.basic_statistics(reads, config.compat, per),
+        "lowest": lambda: cube.where("code > 0").groupBy("file_name").agg(F.min("code").alias("lowest")),
+        "quality_base": lambda: positions.base_quality(reads, config, cube).orderBy("grp"),
+        "tile": lambda: positions.tile_quality(reads, config, sums).orderBy("tile", "grp"),
+        "quality_sequence": lambda: basic.sequence_quality(reads, means).orderBy("quality"),
+        "sequence": lambda: positions.base_content(reads, config, cube).orderBy("grp"),
+        "gc_sequence": lambda: basic.gc_fitted(basic.gc_distribution(reads, gc)).orderBy("pct"),
+        "n_content": lambda: positions.n_content(reads, config, cube).orderBy("grp"),
+        "sequence_length": lambda: basic.length_distribution(reads, lengths).orderBy("lo"),
+        "duplication": lambda: sequences.duplication(reads, config, keys).orderBy("slot"),
+        "unique": lambda: by_file.agg(F.count("*").alias("unique"), F.max(F.when(F.col("rank") == config.unique_cap, F.col("first"))).alias("limit")),
+        "overrepresented": lambda: sequences.overrepresented(reads, config, keys),
+        "adapter": lambda: sequences.adapter_content(reads, config, hits).orderBy("adapter", "grp"),
     }
     if kmers:
         rows = sequences.kmer_enrichment(reads, config, placed).persist(StorageLevel.MEMORY_AND_DISK)
         held.append(rows)
-        frames["kmer"] = sequences.kmer_content(reads, config, rows)
-        frames["kmer_series"] = sequences.kmer_series(rows, frames["kmer"])
-        frames["kmer_groups"] = rows.select("file_name", "grp", "label").distinct().orderBy("grp")
+        content = sequences.kmer_content(reads, config, rows)
+        frames["kmer"] = lambda: content
+        frames["kmer_series"] = lambda: sequences.kmer_series(rows, content)
+        frames["kmer_groups"] = lambda: rows.select("file_name", "grp", "label").distinct().orderBy("grp")
     return frames, held
 
 
@@ -121,7 +124,7 @@ def collect(reads: DataFrame, config: QcConfig) -> dict[str, dict[str, list]]:
     frames, held = frames_of(reads, config)
     out: dict[str, dict[str, list]] = defaultdict(lambda: defaultdict(list))
     with ThreadPoolExecutor(TOGETHER) as pool:  # small jobs fill each other's gaps
-        for name, found in zip(frames, pool.map(DataFrame.collect, frames.values()), strict=True):
+        for name, found in zip(frames, pool.map(lambda make: make().collect(), frames.values()), strict=True):
             for r in found:
                 out[r["file_name"]][name].append(r)
     for df in held:

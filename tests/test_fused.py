@@ -36,7 +36,7 @@ def tables(frames):
     def norm(v):
         return None if v is None else ("nan" if math.isnan(v) else round(v, 9)) if isinstance(v, float) else v
 
-    return {k: sorted(map(str, (tuple(norm(v) for v in r) for r in df.select(*sorted(df.columns)).collect()))) for k, df in frames.items()}
+    return {k: sorted(map(str, (tuple(norm(v) for v in r) for r in df.select(*sorted(df.columns)).collect()))) for k, df in ((k, make()) for k, make in frames.items())}
 
 
 def run(df, config, monkeypatch, one_pass):
