@@ -38,6 +38,7 @@ NAMES = [k[0] for k in KINDS] + [LEARNED]
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SPANS = "array<struct<start:int,kind:int,end:int>>"
 REPLACEMENT = "[SECRET]"
+CHUNK = 256  # spans of a text that are dealt with at a time
 UNMIXED = 2.0  # times the ratio that candidates with digits and letters need
 
 # Parts of the ordinary identifiers that the default samples are made of.
@@ -93,9 +94,7 @@ def train(samples: DataFrame, add: float = 0.5) -> list[float]:
 def ratio(text: Column, table: list[float]) -> Column:
     """The log-likelihood ratio of a string over ALPHABET."""
     k = len(ALPHABET)
-    numbers = lambda x: F.split(F.lit(",".join(map(str, x))), ",")  # noqa: E731  constants: folded once
-    cells = F.transform(numbers(table), lambda x: x.cast("double"))
-    places = F.transform(numbers(max(0, ALPHABET.find(chr(c))) for c in range(128)), lambda x: x.cast("int"))
+    cells, places = F.lit(table), F.lit([max(0, ALPHABET.find(chr(c))) for c in range(128)])  # two constants of the plan
     start = F.struct(F.lit(-1).alias("before"), F.lit(0.0).alias("sum"))
 
     def step(s: Column, c: Column) -> Column:
@@ -105,15 +104,26 @@ def ratio(text: Column, table: list[float]) -> Column:
     return F.aggregate(F.split(text, ""), start, step, lambda s: s["sum"])
 
 
+def _chunks(items: Column | str, carry: Column, onward) -> Column:
+    """Parts of CHUNK items, each with what ``onward`` carries up to its beginning and its end: arrays that grow item by item, or
+    texts that are cut at places, would otherwise cost the square of a long text's matches."""
+    items = F.col(items) if isinstance(items, str) else items
+    upto = lambda n: F.aggregate(F.slice(items, F.lit(1), n), carry, onward)
+    last = F.greatest(F.floor((F.size(items) - 1) / CHUNK).cast("int"), F.lit(0))
+    return F.transform(
+        F.sequence(F.lit(0), last), lambda c: F.struct(
+            upto(c * CHUNK).alias("begin"), upto(F.least(c * CHUNK + CHUNK, F.size(items))).alias("end"), F.slice(items, c * CHUNK + 1, F.lit(CHUNK)).alias("part")
+        )
+    )
+
+
 def _found(df: DataFrame, text: str, out: str, kind: int, pattern: str, keep) -> DataFrame:
     """A column of spans of the matches that ``keep`` accepts."""
     hits, gaps = own_name(df, "hits"), own_name(df, "gaps")
-    df = df.withColumn(hits, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    df = df.withColumn(gaps, F.when(F.exists(hits, keep), F.split(text, pattern, -1)))
-    each = F.zip_with(
-        F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g,
-        h: F.struct(F.length(g).alias("gap"), F.length(h).alias("size"), keep(h).alias("ok"))
-    )
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    df = df.withColumn(hits, F.transform(found, lambda h: F.struct(F.length(h).alias("size"), keep(h).alias("ok"))))  # asked once a match
+    df = df.withColumn(gaps, F.when(F.exists(hits, lambda h: h["ok"]), F.split(text, pattern, -1)))
+    each = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(F.length(g).alias("gap"), h["size"].alias("size"), h["ok"].alias("ok")))
     none = F.array().cast(SPANS)
 
     def step(a: Column, x: Column) -> Column:
@@ -121,8 +131,10 @@ def _found(df: DataFrame, text: str, out: str, kind: int, pattern: str, keep) ->
         span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + x["size"]).alias("end"))
         return F.struct((start + x["size"]).alias("at"), F.when(x["ok"], F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
 
-    spans = F.aggregate(each, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
-    return df.withColumn(out, F.coalesce(F.when(F.col(gaps).isNotNull(), spans), none)).drop(hits, gaps)
+    rows = own_name(df, "each")
+    parts = _chunks(rows, F.lit(0), lambda a, x: a + x["gap"] + x["size"])
+    spans = F.flatten(F.transform(parts, lambda c: F.aggregate(c["part"], F.struct(c["begin"].alias("at"), none.alias("out")), step, lambda a: a["out"])))
+    return df.withColumn(rows, each).withColumn(out, F.coalesce(F.when(F.col(gaps).isNotNull(), spans), none)).drop(hits, gaps, rows)
 
 
 def scan(
@@ -140,8 +152,24 @@ def scan(
     learned = own_name(df, "learned")
     df = _found(df, own, learned, len(KINDS), CANDIDATE, lambda x: _random_looking(x, table, least_ratio, least_mean))
     df = df.withColumn(base, F.array_sort(F.concat(*kinds)))
-    beyond = F.filter(learned, lambda s: ~F.exists(base, lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
-    return df.withColumn(spans, F.array_sort(F.concat(base, beyond))).drop(own, learned, *kinds)
+    return df.withColumn(spans, F.array_sort(F.concat(base, learned))).withColumn(
+        spans, F.when(F.size(learned) > 0, _with_learned(F.col(spans))).otherwise(F.col(base))
+    ).drop(own, learned, *kinds)
+
+
+def _with_learned(spans: Column) -> Column:
+    """Sorted spans without the learned ones that lie in a base one: as that begins no later, it is known by the furthest end so far."""
+
+    def step(a: Column, s: Column) -> Column:
+        extra = s["kind"] == len(KINDS)
+        return F.struct(
+            F.when(extra, a["most"]).otherwise(F.greatest(a["most"], s["end"])).alias("most"),
+            F.when(extra & (s["end"] <= a["most"]), a["out"]).otherwise(F.concat(a["out"], F.array(s))).alias("out")
+        )
+
+    onward = lambda a, s: F.when(s["kind"] == len(KINDS), a).otherwise(F.greatest(a, s["end"]))
+    none = F.array().cast(SPANS).alias("out")
+    return F.flatten(F.transform(_chunks(spans, F.lit(-1), onward), lambda c: F.aggregate(c["part"], F.struct(c["begin"].alias("most"), none), step, lambda a: a["out"])))
 
 
 def _long_enough(pattern: str, least: int | None):
@@ -162,11 +190,19 @@ def spans_text(spans: Column | str) -> Column:
 def redact(scanned: DataFrame, text: str = "text", base: str = "base", spans: str = "spans") -> DataFrame:
     """Texts with each run of overlapping spans replaced; ``base`` and ``spans`` go.  A text without spans stays as it is."""
     own = F.col(text)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    cut = F.transform(
+        _chunks(spans, F.lit(0), lambda a, s: F.greatest(a, s["end"])),
+        lambda c: F.struct(c["begin"].alias("begin"), c["part"].alias("part"), F.substring(own, c["begin"] + 1, c["end"] - c["begin"]).alias("text"))
+    )
 
-    def step(a: Column, s: Column) -> Column:
-        apart = F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(own, a["at"] + 1, s["start"] - a["at"]), F.lit(REPLACEMENT)).alias("out"))
-        return F.when(s["start"] >= a["at"], apart).otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out")))
+    def pieces(c: Column) -> Column:
+        def step(a: Column, s: Column) -> Column:
+            more = F.array(F.substring(c["text"], a["at"] - c["begin"] + 1, s["start"] - a["at"]), F.lit(REPLACEMENT))
+            return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], F.concat(a["out"], more)).otherwise(a["out"]).alias("out"))
+
+        start = F.struct(c["begin"].alias("at"), F.array().cast("array<string>").alias("out"))
+        return F.array_join(F.aggregate(c["part"], start, step, lambda a: a["out"]), "")
 
-    clean = F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(own, a["at"] + 1, F.length(own))))
+    end = F.aggregate(spans, F.lit(0), lambda a, s: F.greatest(a, s["end"]))
+    clean = F.concat(F.array_join(F.transform(cut, pieces), ""), F.substring(own, end + 1, F.length(own)))
     return scanned.withColumn(text, F.when(F.size(spans) > 0, clean).otherwise(own)).drop(base, spans)
