@@ -16,6 +16,8 @@ is the first, and a lone document's next is itself; an empty table gives no rows
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,6 +99,26 @@ def likeness(a: str, b: str) -> Column:
     return F.when(F.col(a) == F.col(b), F.lit(1.0)).when(some > 0, same / some).otherwise(F.lit(0.0))
 
 
+def numbers(values: Iterable[int | None]) -> Column:
+    """One constant of the plan, however many numbers there are; an array built value by value takes a node for each."""
+    return F.split(F.lit(",".join("" if v is None else str(v) for v in values)), ",").try_cast("array<bigint>")
+
+
+def range_of(doc_id: Column, limits: list[int]) -> Column:
+    """How many limits are at most the id, by halving; 0 for null."""
+    if not limits:
+        return F.lit(0)
+    of, n = numbers(limits), len(limits)
+    start = F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.shiftright(s["lo"] + s["hi"], 1)
+        above = F.coalesce((s["lo"] < s["hi"]) & (doc_id >= F.get(of, mid)), F.lit(False))
+        return F.struct(F.when(above, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(above | (s["lo"] >= s["hi"]), s["hi"]).otherwise(mid).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(n.bit_length())), start, halve, lambda s: s["lo"])
+
+
 def neighbours(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """(doc_id, text, next_id, next_text, range, place, guest): each document with the next one by descending doc_id, and the first
     after the last.
@@ -106,27 +128,14 @@ def neighbours(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    limits = sorted(
-        {
-            *(
-                docs.select(F.col("doc_id").cast("long").alias("doc_id")).agg(
-                    F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000)
-                ).first()[0] or []
-            )
-        }
-    ) if n > 1 else []
-
-    def range_of(lo: int, hi: int) -> Column:  # how many limits are at most the id, by halving
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("doc_id") >= limits[mid], range_of(mid + 1, hi)).otherwise(range_of(lo, mid))
-
-    rows = rows.withColumn("_range", range_of(0, len(limits)))
-    largest = sorted((r, -1 if m is None else m, m) for r, m in docs.select(F.col("doc_id").cast("long").alias("doc_id")).groupBy(range_of(0, len(limits)).alias("_range")).agg(F.max("doc_id")).collect())  # a row for each range
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    limits = sorted({*(ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], max(10_000, 20 * n))).first()[0] or [])}) if n > 1 else []
+    range_ = range_of(F.col("doc_id"), limits)
+    rows = rows.withColumn("_range", range_)
+    largest = sorted((r, -1 if m is None else m, m) for r, m in ids.groupBy(range_.alias("_range")).agg(F.max("doc_id")).collect())  # a row for each range
     host = {r: largest[(k + 1) % len(largest)][0] for k, (r, _, _) in enumerate(largest)}
     most = {r: m for r, _, m in largest}
-    pick = lambda x: F.get(F.array(*(F.lit(x.get(r)).cast("long") for r in range(len(limits) + 1))), F.col("_range"))
+    pick = lambda x: F.get(numbers(x.get(r) for r in range(len(limits) + 1)), F.col("_range"))
     guest = F.when(F.col("doc_id").eqNullSafe(pick(most)), F.array(F.struct(pick(host).cast("int").alias("r"), F.lit(True).alias("guest"))))
     here = F.array(F.struct(F.col("_range").alias("r"), F.lit(False).alias("guest")))
     rows = rows.withColumn("_place", F.explode(F.concat(here, F.coalesce(guest, F.array().cast("array<struct<r:int,guest:boolean>>")))))

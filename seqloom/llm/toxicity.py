@@ -5,15 +5,16 @@ probability of a word after the word before it, by counts of pairs; its weight f
 lower level counts continuations: in how many different contexts of the class a word occurs.  The lowest level is one for both
 classes, by the pooled continuations, so that a rare expression has the same share in both and doesn't tell.
 
-A text's signals are the difference of the two log-likelihoods divided by its length, over the whole text (both levels), and the
-highest such differences over passages of some words, where pairs are too few and the lower level speaks.  A logistic calibrated
-on labelled texts turns them into a probability.  So that these texts are new to the models, they are dealt into FOLDS parts, and
+Discounts of either level follow from its counts of counts, for things seen once, twice and more often, and lie below the count
+that they are taken from: every pair and every word keeps a share.
+
+A text's signals are the differences of the two log-likelihoods divided by length: over the whole text, and the highest ones over
+passages of some words, each by both levels and by the lower one alone.  A logistic calibrated on labelled texts turns them into a
+probability.  So that these texts are new to the models, they are dealt into FOLDS parts, and
 each part is seen by models without it, whose counts come from the same aggregation; the final models have all parts.
 
-Training uses at most ``max_rows`` labelled texts of each class (a documented bound).  Words are counted by exact keys (64-bit
-hashes, no slots).  A word in one context of each class, or a pair seen no more often than its discount, has nothing kept and
-needs no row: what it gets is the lower level's share either way.  So the model, which is broadcast, has a row for each word in
-two contexts of the sample, at most a few million.
+Training uses at most ``max_rows`` labelled texts of each class (a documented bound).  Pairs are counted by exact keys (64-bit
+hashes, no slots) in Spark; what comes to the driver and is broadcast has a row for each distinct pair of the sample.
 
 Edge cases: a null or empty text has differences of 0; with one class or no labels every score is the share of label 1,
 smoothed; repeated rows repeat (in training, a repeated doc_id counts once); a null doc_id is scored and never learned from; very
@@ -33,13 +34,10 @@ from pyspark.sql import functions as F
 
 from .kernels import U, column_bytes, join_hashes, slices, span_hashes, word_bounds
 from .labelled import sample
-from .shared import remove, stage, work_dir
 
 SCORED = "doc_id long, score double"
-DISCOUNTS = (1.0, 1.5, 2.0)  # of continuations seen once, twice, more often
-PAIR_DISCOUNT = 3.0
 WINDOWS = (1, 2, 4, 8, 16, 32, 64, 128)
-SIGNALS = len(WINDOWS) + 1
+SIGNALS = 2 * len(WINDOWS) + 1
 FOLDS = 4
 _mark = np.zeros(256, bool)
 _mark[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
@@ -62,9 +60,20 @@ def text_words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return h, before, n
 
 
+def discounts(n: np.ndarray) -> np.ndarray:
+    """What is taken off a count of 0, 1, 2 and more, by the numbers of counts 1 to 4; where one of these is missing, a half of the
+    count, three at most."""
+    seen = np.bincount(np.minimum(n, 5).astype(np.int64), minlength=6)[1:5].astype(np.float64)
+    out = np.array([0.0, 0.5, 1.0, 1.5])
+    if seen.all():
+        y = seen[0] / (seen[0] + 2 * seen[1])
+        out[1:] = np.clip([k - (k + 1) * y * seen[k] / seen[k - 1] for k in (1, 2, 3)], 0.05, [0.95, 1.95, 2.95])
+    return out
+
+
 def kept_of(n: np.ndarray) -> np.ndarray:
-    """Continuation counts less their discounts."""
-    return n - np.select([n <= 0, n == 1, n == 2], [0.0, DISCOUNTS[0], DISCOUNTS[1]], DISCOUNTS[2])
+    """Counts less their discounts."""
+    return n - discounts(n)[np.minimum(n, 3).astype(np.int64)]
 
 
 def _place(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,6 +83,26 @@ def _place(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, table[at] == keys
 
 
+@dataclass
+class Frame:
+    """The sample's pairs, words and words before, sorted; all folds' models share it."""
+
+    pairs: np.ndarray  # keys of (word before, word)
+    words: np.ndarray
+    contexts: np.ndarray
+    of_word: np.ndarray  # of each pair
+    of_context: np.ndarray
+
+    @classmethod
+    def of(cls, before: np.ndarray, h: np.ndarray) -> tuple[Frame, np.ndarray]:
+        """The frame, and the order of its pairs."""
+        keys = join_hashes([before, h])
+        order = np.argsort(keys)
+        words, of_word = np.unique(h[order], return_inverse=True)
+        contexts, of_context = np.unique(before[order], return_inverse=True)
+        return cls(keys[order], words, contexts, of_word, of_context), order
+
+
 @dataclass
 class ClassModels:
     """The two models' tables; row 0 ordinary, row 1 toxic."""
@@ -89,28 +118,26 @@ class ClassModels:
     context_rest: np.ndarray  # (2, contexts): weight of the lower level
 
     @classmethod
-    def build(cls, words: dict, pairs: dict, contexts: dict, totals: np.ndarray, pooled: tuple[float, float, float]) -> ClassModels:
-        """``words``: h, (2, n) continuations; ``pairs``: before, h, (2, n) counts above the discount (else 0); ``contexts``: h,
-        (2, n) totals; ``totals``: continuations of each class; ``pooled``: their sum, what is kept of it, and distinct words."""
-        order = np.argsort(words["h"])
-        h, n = words["h"][order], words["n"][:, order].astype(np.float64)
-        kept = kept_of(n) / np.maximum(totals, 1)[:, None]
-        total, stays, size = pooled
-        other = (total - stays) / max(total, 1) / (size + 1)
-        keys = join_hashes([pairs["before"], pairs["h"]])
-        order = np.argsort(keys)
-        c = np.argsort(contexts["h"])
-        ch, ct = contexts["h"][c], np.maximum(contexts["n"][:, c].astype(np.float64), 1)
-        above = np.where(pairs["n"] > 0, pairs["n"] - PAIR_DISCOUNT, 0.0)
-        of, _ = _place(ch, pairs["before"])
-        pair_kept = above / ct[:, of] if len(ch) else np.zeros((2, 0))
-        context_rest = np.stack([1 - np.bincount(of, pair_kept[k], len(ch)) for k in (0, 1)]) if len(ch) else np.zeros((2, 0))
-        return cls(h, kept, 1 - kept.sum(1), kept_of(n.sum(0)) / max(total, 1) + other, other, keys[order], pair_kept[:, order], ch, context_rest)
+    def build(cls, frame: Frame, n: np.ndarray) -> ClassModels:
+        """``n``: (2, pairs) counts in the frame's order."""
+        contexts = np.stack([np.bincount(frame.of_context, n[c], len(frame.contexts)) for c in (0, 1)])
+        pair_kept = np.stack([kept_of(n[c]) for c in (0, 1)]) / np.maximum(contexts, 1)[:, frame.of_context]
+        context_rest = np.stack([1 - np.bincount(frame.of_context, pair_kept[c], len(frame.contexts)) for c in (0, 1)])
+        follows = np.stack([np.bincount(frame.of_word, n[c] > 0, len(frame.words)) for c in (0, 1)])
+        kept = np.stack([kept_of(f) / max(f.sum(), 1) for f in follows])
+        pooled = follows.sum(0)
+        total = max(pooled.sum(), 1)
+        stays = kept_of(pooled)
+        other = max(total - stays.sum(), 1) / total / ((pooled > 0).sum() + 1)
+        small = lambda x: x.astype(np.float32)
+        return cls(
+            frame.words, small(kept), 1 - kept.sum(1), small(stays / total + other), float(other), frame.pairs, small(pair_kept), frame.contexts, small(context_rest)
+        )
 
     def differences(self, h: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log P(word | toxic) - log P(word | ordinary) for each word: of the lower level, and of the upper one."""
         at, there = _place(self.words, h)
-        p = np.broadcast_to(self.other * self.rest[:, None], (2, len(h))).copy()
+        p = np.broadcast_to(self.other * self.rest[:, None], (2, len(h))).astype(np.float64)
         p[:, there] = self.kept[:, at[there]] + self.rest[:, None] * self.shared[at[there]]
         lower = np.log(p[1]) - np.log(p[0])
         at, there = _place(self.contexts, before)
@@ -120,8 +147,8 @@ class ClassModels:
         return lower, np.log(p[1]) - np.log(p[0])
 
     def signals(self, h: np.ndarray, before: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """For each text: the upper level's mean difference, and the highest means over passages of WINDOWS words of the lower
-        level's (a shorter text's passage is filled up with words that don't tell)."""
+        """For each text: the mean difference, and the highest means over passages of WINDOWS words, by both levels and by the
+        lower one (a shorter text's passage is filled up with words that don't tell)."""
         out = np.zeros((len(n), SIGNALS))
         if not len(h):
             return out
@@ -129,11 +156,12 @@ class ClassModels:
         start = np.cumsum(n) - n
         some = np.flatnonzero(n)
         out[some, 0] = np.add.reduceat(upper, start[some]) / n[some]
-        total = np.concatenate([[0.0], np.cumsum(lower)])
         first, place = np.repeat(start, n), np.arange(len(h))
-        for k, width in enumerate(WINDOWS):
-            mean = (total[place + 1] - total[np.maximum(place + 1 - width, first)]) / width
-            out[some, 1 + k] = np.maximum.reduceat(mean, start[some])
+        for j, level in enumerate((lower, upper)):
+            total = np.concatenate([[0.0], np.cumsum(level)])
+            for k, width in enumerate(WINDOWS):
+                mean = (total[place + 1] - total[np.maximum(place + 1 - width, first)]) / width
+                out[some, 1 + j * len(WINDOWS) + k] = np.maximum.reduceat(mean, start[some])
         return out
 
 
@@ -193,67 +221,23 @@ def _signals(batches: Iterator[pa.RecordBatch], models) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([batch.column("label"), *(pa.array(c) for c in x.T)], ["label", *(f"s{k}" for k in range(SIGNALS))])
 
 
-def _columns(df: DataFrame, *names: str) -> list[np.ndarray]:
-    table = df.toArrow()
-    return [table[c].to_numpy() for c in names]
-
-
-def _models(pairs: DataFrame, folder: str) -> list[ClassModels]:
-    """The models without each fold, and those of all.  What comes to the driver has a row for each word in two contexts, and
-    for each pair above its discount and each such pair's first word."""
-    every = range(FOLDS + 1)
-    count = [F.col("n") - F.col(f"n{f}") for f in range(FOLDS)] + [F.col("n")]  # without the fold; of all
-    by = pairs.groupBy("label", "before", "h").agg(
-        F.sum("n").alias("n"),
-        *(F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).alias(f"n{f}") for f in range(FOLDS))
-    )
-    by = stage(by.select("label", "before", "h", *(count[f].alias(f"m{f}") for f in every)), f"{folder}/pairs")
-    is_ = lambda c: [F.col("label") == k for k in (0, 1)][c]
-    each = lambda what: [F.sum(F.when(is_(c), what(f)).otherwise(0)).cast("long").alias(f"c{c}_{f}") for c in (0, 1) for f in every]
-    words = stage(by.groupBy("h").agg(*each(lambda f: (F.col(f"m{f}") > 0).cast("long"))), f"{folder}/words")
-    # the lowest level's sums over all words, also those that aren't handed on
-    both = [F.col(f"c0_{f}") + F.col(f"c1_{f}") for f in every]
-    stays = [F.when(b >= 3, b - DISCOUNTS[2]).when(b == 2, b - DISCOUNTS[1]).otherwise(0.0) for b in both]
-    sums = words.agg(
-        *(F.coalesce(F.sum(f"c{c}_{f}"), F.lit(0)) for c in (0, 1) for f in every),
-        *(F.coalesce(F.sum(s), F.lit(0.0)) for s in stays),
-        *(F.coalesce(F.sum((b > 0).cast("long")), F.lit(0)) for b in both)
-    ).first()
-    names = [f"c{c}_{f}" for c in (0, 1) for f in every]
-    w_h, *w_n = _columns(words.where(both[FOLDS] >= 2), "h", *names)
-    often = by.where(F.col(f"m{FOLDS}") > PAIR_DISCOUNT)
-    p_before, p_h, *p_n = _columns(
-        often.groupBy("before", "h").agg(*each(lambda f: F.when(F.col(f"m{f}") > PAIR_DISCOUNT, F.col(f"m{f}")).otherwise(0))),
-        "before", "h", *names
-    )
-    c_h, *c_n = _columns(
-        by.join(often.select("before").distinct(), "before", "left_semi").groupBy("before").agg(*each(lambda f: F.col(f"m{f}"))),
-        "before", *names
-    )
-    out, k = [], FOLDS + 1
-    for f in every:
-        two = lambda x: np.stack([x[f], x[k + f]])  # noqa: B023,E731
-        out.append(
-            ClassModels.build(
-                {"h": w_h.view(U), "n": two(w_n)},
-                {"before": p_before.view(U), "h": p_h.view(U), "n": two(p_n)},
-                {"h": c_h.view(U), "n": two(c_n)},
-                np.array([sums[f], sums[k + f]], np.float64),
-                (float(sums[f] + sums[k + f]), float(sums[2 * k + f]), float(sums[3 * k + f])),
-            )
-        )
-    return out
+def _models(pairs: DataFrame) -> list[ClassModels]:
+    """The models without each fold, and those of all."""
+    of = lambda c, f: F.sum(F.when((F.col("label") == c) & (F.col("fold") != f), F.col("n")).otherwise(0)).cast("int")
+    every = [(c, f) for f in range(FOLDS + 1) for c in (0, 1)]  # no text is in the last fold
+    table = pairs.groupBy("before", "h").agg(*(of(c, f).alias(f"n{c}_{f}") for c, f in every)).toArrow()
+    before, h = (table[c].to_numpy().view(U) for c in ("before", "h"))
+    frame, order = Frame.of(before, h)
+    return [ClassModels.build(frame, np.stack([table[f"n{c}_{f}"].to_numpy()[order] for c in (0, 1)])) for f in range(FOLDS + 1)]
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, out: int = 0, max_rows: int = 12_000) -> Scorer:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, out: int = 0, max_rows: int = 4_000) -> Scorer:
     """Fit on at most ``max_rows`` labelled documents of each class, outside the fold ``out``."""
     rows = sample(docs, labels, label, modulus, out, max_rows, by_class=True).withColumn(
         "fold", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(FOLDS)).cast("int")
     )
     pairs = rows.select("label", "fold", "text").mapInArrow(_pairs, "label int, fold int, before long, h long, n long")
-    folder = work_dir(docs.sparkSession, "toxicity")
-    models = _models(pairs, folder)
-    remove(docs.sparkSession, folder)
+    models = _models(pairs)
     shared = docs.sparkSession.sparkContext.broadcast(models)
     held = rows.select("label", "fold", "text").mapInArrow(
         partial(_signals, models=shared), "label int, " + ", ".join(f"s{k} double" for k in range(SIGNALS))

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from seqloom.llm import imatch
 
 TERMS = [f"w{i}" for i in range(120)]
@@ -36,3 +38,19 @@ def test_fingerprints_and_likeness_equal_brute_force(spark):
         some = sum(bool(x or y) for x, y in both)
         same = 1.0 if r.ta == r.tb else sum(x == y and bool(x) for x, y in both) / some
         assert abs(r.x - same) < 1e-12, (r.ta, r.tb)
+
+
+def test_ranges_are_constants_of_the_plan(spark):
+    """As many ranges as there are documents: the plan has the same nodes as for a few, and neighbours are the same."""
+    rows = [(i * 3 % 400 - 50, f"text {i}") for i in range(400)] + [(7, "again"), (7, None), (None, "none")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found, nodes = [], []
+    for n in (1, 8, 800):
+        out = imatch.next_documents(docs, n)
+        nodes.append(out._jdf.queryExecution().analyzed().toString().count("+-"))
+        found.append(sorted(map(str, out.collect())))
+    assert found[0] == found[1] == found[2] and len(set(nodes)) == 1
+    limits = [1, 5, 5, 9]
+    df = spark.createDataFrame([(x,) for x in (None, 0, 1, 4, 5, 8, 9, 10)], "doc_id long")
+    got = [r[0] for r in df.select(imatch.range_of(F.col("doc_id"), limits)).collect()]
+    assert got == [0, 0, 1, 1, 3, 3, 4, 4]
