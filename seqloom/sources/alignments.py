@@ -62,91 +62,273 @@ def read_sam(spark: SparkSession, paths: str | list[str], only_mapped: bool = Fa
     return to_reads(rows, only_mapped)
 
 
-def bgzf_blocks(read) -> Iterator[bytes]:
-    """The decompressed blocks of a BGZF stream: gzip members whose extra field gives their size."""
-    while head := read(18):
-        if len(head) < 18 or head[:4] != b"\x1f\x8b\x08\x04":
-            raise ValueError("not BGZF")
+MAGIC = b"\x1f\x8b\x08\x04"  # Fixed value: how a BGZF block begins
+SPLIT_BYTES = 32 << 20
+MOST_RECORD = MOST_AHEAD = 1 << 24  # bytes; a longer record isn't believed in where a part looks for its first one
+BELIEVED = 8  # records in a row that must look like records there
+LOOKED = "path string, begin long, until long, block long, at int, last_block long, last_at int, n long"
+
+
+class Blocks:
+    """BGZF: gzip members whose extra field gives their size, decompressed one after the other; a place in it is where a member
+    begins and how far into its bytes."""
+
+    def __init__(self, file, size: int, begin: int = 0):
+        self.file, self.size, self.next = file, size, begin
+        self.block, self.data, self.at = begin, b"", 0
+
+    def header(self, at: int) -> tuple[int, int] | None:
+        """The sizes of a member and of its head, if one begins here."""
+        self.file.seek(at)
+        head = self.file.read(12)
+        if len(head) < 12 or head[:4] != MAGIC:
+            return None
         extra = struct.unpack("<H", head[10:12])[0]
-        fields = head[12:18] + read(extra - 6)
-        at, size = 0, None
-        while at + 4 <= len(fields):
-            name, n = fields[at : at + 2], struct.unpack("<H", fields[at + 2 : at + 4])[0]
-            if name == b"BC":
-                size = struct.unpack("<H", fields[at + 4 : at + 6])[0] + 1
-            at += 4 + n
-        if size is None:
-            raise ValueError("a gzip member without BGZF's size")
-        body = read(size - 12 - extra)
-        yield zlib.decompress(body[:-8], -15)
-
-
-def bam_records(blocks: Iterator[bytes]) -> Iterator[tuple[str, int, str, str, str]]:
-    """(id, flag, cigar, sequence, quality) of each record."""
-    held = bytearray()
-
-    def take(n: int) -> bytes:
-        while len(held) < n:
-            block = next(blocks, None)
-            if block is None:
-                raise EOFError
-            held.extend(block)
-        out = bytes(held[:n])
-        del held[:n]
-        return out
-
-    if take(4) != b"BAM\x01":
-        raise ValueError("not BAM")
-    take(struct.unpack("<i", take(4))[0])
-    for _ in range(struct.unpack("<i", take(4))[0]):
-        take(struct.unpack("<i", take(4))[0] + 4)
-    while True:
-        try:
-            size = struct.unpack("<i", take(4))[0]
-        except EOFError:
-            if held:
-                raise ValueError("BAM ends within a record") from None
-            return
-        data = take(size)
-        name_size, n_cigar, flag, n = data[8], *struct.unpack("<HHi", data[12:20])
-        at = 32 + name_size
-        cigar = "".join(f"{x >> 4}{BAM_CIGAR[x & 15]}" for x in struct.unpack(f"<{n_cigar}I", data[at : at + 4 * n_cigar]))
-        at += 4 * n_cigar
-        packed = data[at : at + (n + 1) // 2]
-        seq = "".join(BAM_BASES[b >> 4] + BAM_BASES[b & 15] for b in packed)[:n]
-        at += (n + 1) // 2
-        qual = data[at : at + n]
-        yield data[32 : 31 + name_size].decode(), flag, cigar or "*", seq, "*" if not qual or qual[0] == 255 else bytes(q + 33 for q in qual).decode("latin-1")
+        fields, k = self.file.read(extra), 0
+        while k + 4 <= len(fields):
+            name, n = fields[k : k + 2], struct.unpack("<H", fields[k + 2 : k + 4])[0]
+            if name == b"BC" and n == 2:
+                return struct.unpack("<H", fields[k + 4 : k + 6])[0] + 1, 12 + extra
+            k += 4 + n
+        return None
 
+    def load(self) -> bool:
+        """The next member; false at the end."""
+        if self.next >= self.size:
+            return False
+        found = self.header(self.next)
+        if found is None:
+            raise ValueError("not BGZF")
+        whole, head = found
+        body = self.file.read(whole - head)
+        if len(body) < whole - head:
+            raise EOFError("BAM ends within a block")
+        self.block, self.data, self.at = self.next, zlib.decompress(body[:-8], -15), 0
+        self.next += whole
+        return True
 
-def _read_bam(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(self) -> tuple[int, int]:
+        while self.at >= len(self.data):
+            if not self.load():
+                return self.size, 0
+        return self.block, self.at
+
+    def take(self, n: int) -> bytes:
+        if len(self.data) - self.at >= n:
+            self.at += n
+            return self.data[self.at - n : self.at]
+        parts = []
+        while n:
+            if self.at >= len(self.data) and not self.load():
+                raise EOFError("BAM ends within a record")
+            parts.append(self.data[self.at : self.at + n])
+            self.at += len(parts[-1])
+            n -= len(parts[-1])
+        return b"".join(parts)
+
+    def find(self, begin: int) -> bool:
+        """Go to the first member that begins at ``begin`` or later; false if there is none.  What looks like one must be followed
+        by another (or the end) and decompress."""
+        window, at = b"", begin
+        while at < self.size:
+            self.file.seek(at)
+            window = self.file.read(1 << 17)
+            k = window.find(MAGIC)
+            while k >= 0:
+                if found := self.header(at + k):
+                    after = at + k + found[0]
+                    try:
+                        if after == self.size or after < self.size and self.header(after):
+                            self.next, self.data, self.at = at + k, b"", 0
+                            return self.load()
+                    except zlib.error:
+                        pass
+                k = window.find(MAGIC, k + 1)
+            if len(window) < 1 << 17:
+                return False
+            at += len(window) - 3
+        return False
+
+
+def skip_header(s: Blocks) -> None:
+    try:
+        if s.take(4) != b"BAM\x01":
+            raise ValueError("not BAM")
+    except EOFError:
+        raise ValueError("not BAM") from None
+    s.take(struct.unpack("<i", s.take(4))[0])
+    for _ in range(struct.unpack("<i", s.take(4))[0]):
+        s.take(struct.unpack("<i", s.take(4))[0] + 4)
+
+
+def _looks_like_records(ahead: bytearray, at: int, grow) -> bool:
+    """Whether BELIEVED records, or all to the file's end, lie one behind the other from here; ``grow`` adds bytes ahead until there
+    are so many, or tells that the file has no more."""
+    for _ in range(BELIEVED):
+        if not grow(at + 36):
+            return at == len(ahead)
+        size, ref, pos, name, _, n_cigar, _, n, mate, mate_pos = struct.unpack("<iiiBBxxHHiii", ahead[at : at + 32])
+        if not 32 < size < MOST_RECORD or ref < -1 or pos < -1 or mate < -1 or mate_pos < -1 or name < 1 or n < 0:
+            return False
+        if 32 + name + 4 * n_cigar + (n + 1) // 2 + n > size:
+            return False
+        if not grow(at + 36 + name + 4 * n_cigar):
+            return False
+        text = ahead[at + 36 : at + 36 + name]
+        if text[-1] or not all(33 <= c <= 126 for c in text[:-1]) or any(c & 15 > 8 for c in ahead[at + 36 + name : at + 36 + name + 4 * n_cigar : 4]):
+            return False
+        at += 4 + size
+        if at > len(ahead) and not grow(at):
+            return False
+    return True
+
+
+def _first_record(s: Blocks, until: int) -> tuple[int, int] | None:
+    """The first place from the member that ``s`` stands in, before ``until``, where records seem to begin."""
+    while s.block < until:
+        block, data, after = s.block, s.data, s.next
+        ahead = bytearray(data)
+
+        def grow(n: int, ahead: bytearray = ahead) -> bool:
+            while len(ahead) < n <= MOST_AHEAD and s.load():
+                ahead.extend(s.data)
+            return len(ahead) >= n
+
+        for at in range(len(data)):
+            if _looks_like_records(ahead, at, grow):
+                return block, at
+        s.next, s.data, s.at = after, b"", 0
+        if not s.load():
+            return None
+    return None
+
+
+def _decoded(data: bytes) -> tuple[str, int, str, str, str]:
+    """(id, flag, cigar, sequence, quality) of a record."""
+    name_size, n_cigar, flag, n = data[8], *struct.unpack("<HHi", data[12:20])
+    at = 32 + name_size
+    cigar = "".join(f"{x >> 4}{BAM_CIGAR[x & 15]}" for x in struct.unpack(f"<{n_cigar}I", data[at : at + 4 * n_cigar]))
+    at += 4 * n_cigar
+    seq = data[at : at + (n + 1) // 2].hex().translate(_NIBBLES)[:n]
+    at += (n + 1) // 2
+    qual = data[at : at + n]
+    return data[32 : 31 + name_size].decode(), flag, cigar or "*", seq, "*" if not qual or qual[0] == 255 else qual.translate(_PHRED).decode("latin-1")
+
+
+_NIBBLES = str.maketrans("0123456789abcdef", BAM_BASES)
+_PHRED = bytes((q + 33) % 256 for q in range(256))
+
+
+def _opened(path: str):
     from pyarrow import fs as pafs
 
-    schema = pa.schema(
-        [
-            ("path", pa.string()), ("read_idx", pa.int64()), ("id", pa.string()), ("flag", pa.int32()),
-            ("cigar", pa.string()), ("sequence", pa.string()), ("quality", pa.string())
-        ]
-    )
+    local = path[5:] if path.startswith("file:") else path
+    fs, place = (pafs.LocalFileSystem(), "/" + local.lstrip("/")) if local.startswith("/") else pafs.FileSystem.from_uri(path)
+    return fs.open_input_file(place), fs.get_file_info(place).size
+
+
+def _sizes(s: Blocks, until: int) -> Iterator[int]:
+    """Bytes of each record that begins before ``until``; the stream stands behind its size."""
+    while s.place()[0] < until:
+        yield struct.unpack("<i", s.take(4))[0]
+
+
+def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each part of a file where its first record begins, where the one behind its last does, and how many there are; -1 where
+    that can't be told."""
     for batch in batches:
-        for path in batch.column("path").to_pylist():
-            local = path[5:] if path.startswith("file:") else path
-            fs, place = (pafs.LocalFileSystem(), "/" + local.lstrip("/")) if local.startswith("/") else pafs.FileSystem.from_uri(path)
-            rows: list[dict] = []
-            with fs.open_input_stream(place, compression=None) as stream:
-                for i, (name, flag, cigar, seq, qual) in enumerate(bam_records(bgzf_blocks(stream.read))):
-                    rows.append({"path": path, "read_idx": i, "id": name, "flag": flag, "cigar": cigar, "sequence": seq, "quality": qual})
-                    if len(rows) == 4096:
-                        yield pa.RecordBatch.from_pylist(rows, schema)
-                        rows = []
-            yield pa.RecordBatch.from_pylist(rows, schema)
-
-
-def read_bam(spark: SparkSession, paths: str | list[str], only_mapped: bool = False) -> DataFrame:
-    """One task a file: a BAM file has no places where reading could begin without its index."""
+        rows = []
+        for r in batch.to_pylist():
+            file, size = _opened(r["path"])
+            out = r | {"block": None, "at": None, "last_block": None, "last_at": None, "n": 0}
+            with file:
+                try:
+                    s = Blocks(file, size)
+                    if r["begin"] == 0:
+                        skip_header(s)
+                        first = s.place()
+                    elif first := _first_record(s, r["until"]) if s.find(r["begin"]) else None:
+                        s = Blocks(file, size, first[0])
+                        s.load()
+                        s.at = first[1]
+                    if first:
+                        for n in _sizes(s, r["until"]):
+                            s.take(n)
+                            out["n"] += 1
+                        out |= dict(zip(("block", "at", "last_block", "last_at"), (*first, *s.place()), strict=True))
+                except (EOFError, ValueError, zlib.error, struct.error):
+                    out["n"] = -1
+            rows.append(out)
+        yield pa.RecordBatch.from_pylist(rows, _look_schema)
+
+
+_look_schema = pa.schema([(c, {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}[k]) for c, k in (x.split() for x in LOOKED.split(", "))])
+
+
+def _read_bam(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records of parts (path, block, at, until, first); a part without ``block`` is a whole file."""
+    names = ["path", "read_idx", "id", "flag", "cigar", "sequence", "quality"]
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
+    for batch in batches:
+        for r in batch.to_pylist():
+            file, size = _opened(r["path"])
+            with file:
+                s = Blocks(file, size, r["block"] or 0)
+                if r["block"] is None:
+                    skip_header(s)
+                else:
+                    s.load()
+                    s.at = r["at"]
+                rows, held, i = [], 0, r["first"]
+                for n in _sizes(s, size if r["until"] is None else r["until"]):
+                    rows.append((r["path"], i, *_decoded(s.take(n))))
+                    i, held = i + 1, held + n
+                    if len(rows) == 4096 or held > 1 << 24:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                        rows, held = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+
+def bam_parts(spark: SparkSession, paths: list[str], split_bytes: int = SPLIT_BYTES) -> list[tuple[str, int | None, int | None, int | None, int]]:
+    """(path, block, at, until, first ordinal) of parts that can be read side by side; a row for each comes to the driver.
+
+    A first pass lets each part of a file look for its first record by what records look like, and count.  A part whose guess isn't
+    where the part before it ended is wrong: such a file, and one that can't be counted, is read by one task, which tells what is
+    wrong with it."""
+    whole = []
+    for p in paths:
+        file, size = _opened(p)
+        file.close()
+        whole.append((p, size))
+    files = spark.createDataFrame(whole, "path string, size long").where("size > 0")
+    step = F.lit(split_bytes).cast("long")
+    parts = files.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, step)).alias("begin"))
+    parts = parts.select("path", "begin", F.least(F.col("begin") + step, "size").alias("until"))
+    many = max(1, sum(-(-size // split_bytes) for _, size in whole))
+    by_path: dict[str, list] = {p: [] for p in paths}
+    for r in parts.repartition(many, "path", "begin").mapInArrow(_look, LOOKED).collect():
+        by_path[r.path].append(r)
+    out = []
+    for (path, size), rows in zip(whole, by_path.values(), strict=True):
+        own, place, first, good = [], None, 0, bool(rows)
+        for r in sorted(rows, key=lambda r: r.begin):
+            if r.n < 0 or r.block is None and (place is None or place[0] < r.until) or r.block is not None and place is not None and place != (r.block, r["at"]):
+                good = False
+                break
+            if r.block is not None:
+                own.append((path, r.block, r["at"], r.until, first))
+                place, first = (r.last_block, r.last_at), first + r.n
+        out += own if good and place == (size, 0) else [(path, None, None, None, 0)]
+    return out
+
+
+def read_bam(spark: SparkSession, paths: str | list[str], only_mapped: bool = False, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """A task for each part of a file; see bam_parts()."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(len(paths), "path")
-    return to_reads(files.mapInArrow(_read_bam, ALIGNED), only_mapped)
+    parts = bam_parts(spark, paths, split_bytes)
+    rows = spark.createDataFrame([(n, *p) for n, p in enumerate(parts)], "n int, path string, block long, at int, until long, first long")
+    return to_reads(rows.repartitionByRange(len(parts), "n").drop("n").mapInArrow(_read_bam, ALIGNED), only_mapped)
 
 
 def detect_format(path: str, wanted: str | None = None) -> str:
