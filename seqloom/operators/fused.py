@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..config import QcConfig
 from ..functions.columns import NOTHING, Counts, base_counts, column_bytes, file_runs
 from .common import BATCH, WORKERS
-from .positions import TILE_EVERY, add_tiles, merged_tiles
+from .positions import TILE_EVERY, TILE_MOST, add_tiles, merged_tiles
 from .sequences import KMER_EVERY, KMER_PART
 
 SKIPS_MOST = 4_000_000  # sorted numbers of 8 bytes
@@ -285,38 +285,44 @@ def _field(parts: pa.ListArray, n: int) -> pa.Array:
 
 
 class Tiles:
-    """Sums by (field of the id, tile, place) of sampled reads; which field has the tile is told by the file's first read, so both
-    are tried.  A read without qualities tells that ordinals for tiles are others: that file's are counted by their own operator."""
+    """Sums by (field of the id, tile, place) of sampled reads, for both fields that may have the tile.  Where reads lack qualities
+    or tiles, have ids of different kinds, or very many tiles, workers may give up: such files are left to the tiles' operator."""
 
     def __init__(self, tile_all: int):
-        self.tile_all, self.state, self.first, self.blank = tile_all, {5: ({}, {}, Counts()), 3: ({}, {}, Counts())}, {}, set()
+        self.tile_all, self.state, self.kinds, self.odd = tile_all, {5: ({}, {}, Counts()), 3: ({}, {}, Counts())}, {}, set()  # kinds: field by file
 
     def add(self, r: Rows) -> None:
         if not (r.q_size > 0).all():
-            self.blank.add(r.name)
+            self.odd.add(r.name)
             return
-        at = int(r.idx.argmin())
-        seen = (int(r.idx[at]), (r.table.column("id")[at].as_py() or "").count(":") + 1)
-        self.first[r.name] = min(self.first.get(r.name, seen), seen)
         ordinal = ordinals(r.idx, r.gone, r.compat)
         pick = np.flatnonzero((ordinal <= self.tile_all) | (ordinal % TILE_EVERY == 0))
-        if len(pick):
-            rows = r.table.select(["quality", "id"]).take(pa.array(pick))
-            qual = column_bytes(rows.column("quality"))
-            parts = pc.split_pattern(rows.column("id").fill_null(""), ":")
-            for f, (tiles, lowest, found) in self.state.items():
-                if tiles.get(r.name, ()) is not None:
-                    add_tiles(r.name, _field(parts, f), *qual, tiles, lowest, found)
+        if not len(pick):
+            return
+        rows = r.table.select(["quality", "id"]).take(pa.array(pick))
+        qual = column_bytes(rows.column("quality"))
+        parts = pc.split_pattern(rows.column("id").fill_null(""), ":")
+        size = pc.list_value_length(parts).to_numpy()
+        kinds = {0 if n < 5 else 3 if n < 7 else 5 for n in (int(size.min()), int(size.max()))}
+        field = self.kinds.setdefault(r.name, min(kinds))
+        if kinds != {field} or not field:
+            self.odd.add(r.name)
+            return
+        tiles, lowest, found = self.state[field]
+        add_tiles(r.name, _field(parts, field), *qual, tiles, lowest, found, TILE_MOST)
 
     def rows(self) -> Iterator[tuple]:
-        for f, (tiles, lowest, found) in self.state.items():
+        for tiles, lowest, found in self.state.values():
             for name in tiles:
+                if tiles[name] is None:
+                    self.odd.add(name)
+                    continue
                 place, tile, n, s, least = merged_tiles(name, tiles, lowest, found)
-                yield name, f"tile{f}", {"a": tile, "b": place, "c": np.full(len(n), least), "n": n, "s": s}
-        for name, (idx, fields) in self.first.items():
-            yield name, "fields", {"a": [fields], "n": [1], "s": [idx]}
-        for name in self.blank:
-            yield name, "fields", {"a": [-1], "n": [1], "s": [-1]}
+                yield name, "tile", {"a": tile, "b": place, "c": np.full(len(n), least), "n": n, "s": s}
+        for name, field in self.kinds.items():
+            yield name, "field", {"a": [field], "n": [1]}
+        for name in self.odd:
+            yield name, "field", {"a": [-1], "n": [1]}
 
 
 def _batch(name: str, kind: str, columns: dict) -> pa.RecordBatch:
@@ -387,7 +393,7 @@ class Fused:
         ends = F.col("text").isin("least", "lowest")
         tops = F.col("text").isin("most", "coloured")
         value = F.when((F.col("kind") == "basic") & F.max(ends), F.min("n")).when((F.col("kind") == "basic") & F.max(tops), F.max("n")).otherwise(F.sum("n"))
-        merged = self.raw.where("kind <> 'key' AND kind <> 'fields'").groupBy(*by).agg(value.alias("n"), F.sum("s").alias("s"))
+        merged = self.raw.where("kind <> 'key' AND kind <> 'field'").groupBy(*by).agg(value.alias("n"), F.sum("s").alias("s"))
         self.held = [merged.persist(StorageLevel.MEMORY_AND_DISK), self.raw]
         self.merged = together(merged)
 
@@ -429,15 +435,12 @@ class Fused:
         return self.kind("kmer").select("file_name", F.col("text").alias("kmer"), F.col("a").cast("int").alias("pos"), "n")
 
     def tiles(self) -> DataFrame | None:
-        """None where a file has reads without qualities."""
-        first = self.raw.where("kind = 'fields'").groupBy("file_name").agg(F.min_by("a", "s").alias("fields"))
-        rows = first.collect()  # a row a file
-        if any(r.fields < 0 for r in rows):
+        """None where workers of a file may give up."""
+        kinds = self.raw.where("kind = 'field'").groupBy("file_name").agg(F.min("a").alias("least"), F.max("a").alias("most"))
+        many = self.kind("tile").groupBy("file_name").agg(F.count_distinct("a").alias("tiles")).where(F.col("tiles") > TILE_MOST)
+        if kinds.where("least < 0 OR least <> most").limit(1).count() or many.limit(1).count():
             return None
-        spark = self.raw.sparkSession
-        of = spark.createDataFrame([(r.file_name, f"tile{5 if r.fields >= 7 else 3}" if r.fields >= 5 else "none") for r in rows], "file_name string, kind string")
-        own = self.merged.join(F.broadcast(of), ["file_name", "kind"])
-        return own.select("file_name", F.col("a").cast("int").alias("tile"), F.col("b").cast("int").alias("pos"), "n", "s", F.col("c").cast("int").alias("least"))
+        return self.kind("tile").select("file_name", F.col("a").cast("int").alias("tile"), F.col("b").cast("int").alias("pos"), "n", "s", F.col("c").cast("int").alias("least"))
 
     def keys(self) -> DataFrame:
         """As sequences.key_counts().  Where one task alone met ``unique_cap`` different keys, none that comes first behind the last of

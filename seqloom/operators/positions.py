@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..config import QcConfig
 from ..functions import reads as R
 from ..functions.columns import Counts, column_bytes, file_runs, places
-from .common import in_groups, position_cube, with_ordinal
+from .common import in_groups, position_cube, with_ordinal, worker
 
 PERCENTILES = (50, 25, 75, 10, 90)
 LEAST_SEEN = 100
@@ -75,13 +75,13 @@ def n_content(reads: DataFrame, config: QcConfig, cube: DataFrame | None = None)
     return rows.select("file_name", "grp", "label", F.when(F.col("every") > 0, F.col("ns") * 100.0 / F.col("every")).otherwise(0.0).alias("n_percent"))
 
 
-def add_tiles(name: object, own: pa.Array, raw: np.ndarray, off: np.ndarray, tiles: dict, lowest: dict, found: Counts) -> None:
-    """Add a file's sums by (tile, place).  Where a read has no tile, or there are too many tiles, the file gives nothing."""
+def add_tiles(name: object, own: pa.Array, raw: np.ndarray, off: np.ndarray, tiles: dict, lowest: dict, found: Counts, most: int | None = None) -> None:
+    """Add a file's sums by (tile, place).  A read without a tile, or more than ``most`` tiles, marks the file by None."""
     known = tiles.setdefault(name, set())
     if known is None:
         return
     known.update(own.drop_null().unique().to_pylist())
-    if own.null_count or len(known) > TILE_MOST + 1:
+    if own.null_count or most is not None and len(known) > most:
         tiles[name] = None
         return
     ranked = np.sort(np.array([*known], np.int64))
@@ -127,31 +127,43 @@ def _tile_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def tile_ends(rows: DataFrame) -> DataFrame:
+    """(file_name, worker, stop, over, gone) from sampled reads (file_name, worker, ordinal, tile).
+
+    A worker gives up at its first read without a tile (``stop``), keeping what it has counted, or when one more tile than may be
+    comes up (``over``), keeping nothing.  If it is the first worker, the file has no tiles (``gone``)."""
+    firsts = rows.groupBy("file_name", "worker", "tile").agg(F.min("ordinal").alias("first"))
+    stops = firsts.groupBy("file_name", "worker").agg(F.min(F.when(F.col("tile").isNull(), F.col("first"))).alias("stop"))  # a row a worker
+    before = firsts.join(F.broadcast(stops), ["file_name", "worker"]).where("tile IS NOT NULL AND (stop IS NULL OR first < stop)")
+    tiles = before.groupBy("file_name", "worker").agg((F.count("*") > TILE_MOST + 1).alias("over"))
+    ends = stops.join(tiles, ["file_name", "worker"], "left").withColumn("over", F.coalesce("over", F.lit(False)))
+    gone = F.max((F.col("worker") == 0) & (F.col("over") | F.col("stop").isNotNull())).over(Window.partitionBy("file_name"))
+    return ends.withColumn("gone", gone)
+
+
 def tile_sums(reads: DataFrame, config: QcConfig) -> DataFrame:
     """(file_name, tile, pos, n, s, least) of the sampled reads, a worker's first TILE_ALL, then each TILE_EVERY-th: partial counts
     and sums of the codes, and the least code of the file that the task saw.
 
-    The tile's field is told by each file's first read with qualities (a row a file is broadcast)."""
+    The tile's field is told by each worker's first read with qualities; its row, and where it gives up, are broadcast (a row a
+    worker)."""
     none = F.col("is_filtered") | (F.coalesce(F.length("quality"), F.lit(0)) == 0)
-    first = reads.where(~none).groupBy("file_name").agg(F.min_by(R.tile_field(F.col("id")), "read_idx").alias("field"))
     rows = with_ordinal(reads, "ordinal", config.compat, none, config.dense).where((F.col("ordinal") <= config.tile_all) | (F.col("ordinal") % TILE_EVERY == 0))
-    rows = rows.join(F.broadcast(first), "file_name").select("file_name", R.tile(F.col("id"), F.col("field")).alias("tile"), "quality")
-    return rows.mapInArrow(_tile_sums, "file_name string, tile int, pos int, n long, s long, least int")
+    rows = rows.select("file_name", worker(config.compat).alias("worker"), "ordinal", "id", "quality")
+    by = ["file_name", "worker"]
+    first = rows.groupBy(*by).agg(F.min_by(R.tile_field(F.col("id")), "ordinal").alias("field"))
+    rows = rows.join(F.broadcast(first), by).select(*by, "ordinal", R.tile(F.col("id"), F.col("field")).alias("tile"), "quality")
+    rows = rows.join(F.broadcast(tile_ends(rows)), by).where("NOT gone AND NOT over AND (stop IS NULL OR ordinal < stop)")
+    return rows.select("file_name", "tile", "quality").mapInArrow(_tile_sums, "file_name string, tile int, pos int, n long, s long, least int")
 
 
 def tile_quality(reads: DataFrame, config: QcConfig, sums: DataFrame | None = None) -> DataFrame:
     """(file_name, tile, grp, label, mean_deviation): each tile's mean quality less the mean over tiles; a tile without data
-    in a group counts as 0, so the grid of tiles and groups is dense.  A file whose ids have no tile in it, or more tiles than may
-    be there (one more is still taken in when TILE_MOST are), gives nothing."""
+    in a group counts as 0, so the grid of tiles and groups is dense.  What a worker that gives up has counted follows from
+    tile_ends()."""
     counts = (tile_sums(reads, config) if sums is None else sums).groupBy("file_name", "tile", "pos").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.min("least").alias("least"))
     of = Window.partitionBy("file_name")
-    counts = counts.withColumns(
-        {
-            "offset": R.phred_offset(F.min("least").over(of)), "odd": F.max(F.col("tile").isNull()).over(of),
-            "tiles": F.size(F.collect_set("tile").over(of))
-        }
-    )
-    counts = counts.where((~F.col("odd")) & (F.col("tiles") <= TILE_MOST + 1))
+    counts = counts.withColumn("offset", R.phred_offset(F.min("least").over(of)))
     means = counts.select("file_name", "tile", "pos", ((F.col("s") - F.col("n") * F.col("offset")) / F.nullif("n", F.lit(0))).alias("mean"))
     found = in_groups(means, config).groupBy("file_name", "tile", "grp", "label").agg(F.avg("mean").alias("mean"))
     found = found.withColumn("groups", F.collect_set(F.struct("grp", "label")).over(of))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .config import QcConfig
 from .functions import reads as R
 from .functions.kernels import widths
-from .operators import basic, positions, sequences
+from .operators import basic, fused, positions, sequences
 from .operators.common import position_cube, spread, with_ordinal
 from .plans.qc import analyse
 from .sources.alignments import to_reads
@@ -40,6 +40,14 @@ select file_name, read_idx, id,
   case when read_idx % 10 = 0 then substring(concat(substring(sequence, 1, cast(4 + read_idx % 30 as int)), 'AGATCGGAAGAGC', substring(sequence, 1, 30)), 1, cast(length(sequence) as int)) else sequence end as sequence,
   quality, colorspace, is_filtered from ({READS_SQL}) r
 """
+#: Twenty reads of each event, so that there are more different ones than are counted from the first on at sf0.01, too.
+MANY_SQL = """
+select 'events.fastq' as file_name, read_idx, 'r' as id,
+  substring(translate(concat(md5(cast(v as varchar(20))), md5(concat('b', cast(v as varchar(20))))), '0123456789abcdef', 'ACGTACGTACGTACGN'), 1, cast(36 + v % 15 as int)) as sequence,
+  repeat('I', cast(36 + v % 15 as int)) as quality, cast(null as varchar(1)) as colorspace, read_idx % 17 = 0 as is_filtered
+from (select read_idx, case when read_idx % 5 = 0 then read_idx % 4000 when read_idx % 7 = 0 then read_idx % 30000 else read_idx end as v
+  from (select event_id * 20 + c as read_idx from (select event_id, %s as c from events) e) i) d
+"""
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 BASES = ("ACGT" * 6 + "AN") * 2
 LONG_SQL = f"""
@@ -66,6 +74,10 @@ def spliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, SPLICED_SQL, "events")
 
 
+def many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir, MANY_SQL.replace("%s", "explode(sequence(0, 19))"), "events")
+
+
 def long_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _view(spark, sf_dir, LONG_SQL % "", "documents")
     return rows.withColumn(
@@ -157,6 +169,15 @@ def duplication_levels(s, d):
     return sequences.duplication(varied(s, d), CFG).select("label", six("percent").alias("percent"), six("deduplicated").alias("deduplicated"))
 
 
+def duplication_beyond_cap(s, d):
+    """More keys than are counted: those behind the cap don't count, and rare levels are corrected for it."""
+    reads_ = many(s, d)
+    one = fused.Fused(reads_, CFG, fused.skips(reads_), ("key",))
+    rows = sequences.duplication(reads_, CFG, one.keys()).select("label", six("percent").alias("percent"), six("deduplicated").alias("deduplicated")).collect()
+    one.close()
+    return s.createDataFrame(rows, "label string, percent double, deduplicated double")  # a row a level
+
+
 def first_distinct_keys(s, d):
     return sequences.key_counts(varied(s, d), CFG).select("key", *long("n", "first", "rank"))
 
@@ -289,6 +310,11 @@ def adapter_autodetect(s, d):
     return T.adapter_votes(spliced(s, d))
 
 
+def adapter_choice(s, d):
+    """The adapter that the first reads tell, and its name."""
+    return s.createDataFrame([T.detect_adapter(spliced(s, d))], "adapter string, name string")
+
+
 def trim_quality(s, d):
     return T.trim_ends(spliced(s, d), "X", T.TrimConfig()).select("read_idx", F.length("sequence").cast("long").alias("kept"), "quality_trimmed")
 
@@ -313,10 +339,10 @@ def dedup_documents(s, d):
 QUERIES = [
     basic_stats, per_base_quality, per_base_percentiles, per_tile_quality, per_sequence_quality, quality_mode,
     per_base_content, per_base_content_grouped, n_content, gc_counts, gc_distribution, gc_deviation,
-    length_distribution, length_distribution_wide, duplication_levels, first_distinct_keys, overrepresented,
+    length_distribution, length_distribution_wide, duplication_levels, duplication_beyond_cap, first_distinct_keys, overrepresented,
     contaminants, adapter_content, kmer_counts, kmer_enrichment, kmer_content, kmer_pvalue, sampled_reads,
     casava_filter, read_functions, revcomp_softclip, colorspace_decode, trim_hard5, trim_hard3, trim_clip,
-    trim_filter_classes, trim_ns, trim_pairs, trim_unpaired, adapter_autodetect, trim_quality, trim_adapter,
+    trim_filter_classes, trim_ns, trim_pairs, trim_unpaired, adapter_autodetect, adapter_choice, trim_quality, trim_adapter,
     module_verdicts, dedup_documents
 ]
 
@@ -415,6 +441,15 @@ ORACLES = {
       s AS (SELECT CASE WHEN level <= 10 THEN level - 1 WHEN level <= 50 THEN 9 WHEN level <= 100 THEN 10 WHEN level <= 500 THEN 11 WHEN level <= 1000 THEN 12 WHEN level <= 5000 THEN 13 WHEN level <= 10000 THEN 14 ELSE 15 END AS slot, level FROM k),
       n AS (SELECT unnest(range(0, 16)) AS slot, unnest(['1','2','3','4','5','6','7','8','9','>10','>50','>100','>500','>1k','>5k','>10k']) AS label)
       SELECT label, {_SIX('coalesce((SELECT sum(level) FROM s WHERE s.slot = n.slot), 0) * 100.0 / (SELECT sum(level) FROM s)')} AS percent, {_SIX('(SELECT count(*) FROM s) * 100.0 / (SELECT sum(level) FROM s)')} AS deduplicated FROM n""",
+    "duplication_beyond_cap": f"""WITH reads AS (SELECT read_idx, substring(sequence, 1, 50) AS key, row_number() OVER (ORDER BY read_idx) AS ordinal FROM ({MANY_SQL.replace("%s", "unnest(range(20))")}) m WHERE NOT is_filtered),
+      k AS (SELECT key, count(*) AS level, min(ordinal) AS first FROM reads GROUP BY key), r AS (SELECT *, row_number() OVER (ORDER BY first) AS rank FROM k),
+      lim AS (SELECT (SELECT count(*) FROM reads) AS total, coalesce((SELECT first FROM r WHERE rank = 100000), (SELECT count(*) FROM reads)) AS seen_reads),
+      l AS (SELECT level, CAST(count(*) AS DOUBLE) AS seen FROM r WHERE rank <= 100000 GROUP BY level),
+      u AS (SELECT level, seen, total, seen_reads, (SELECT exp(sum(ln(1 - level::DOUBLE / (total - i)))) FROM range(seen_reads) t(i) WHERE level <= total - seen_reads) AS unseen FROM l, lim),
+      c AS (SELECT level, CASE WHEN seen_reads = total OR total - seen < seen_reads OR level > total - seen_reads OR unseen < 0.01 / (seen + 0.01) THEN seen ELSE seen / (1 - unseen) END AS n FROM u),
+      s AS (SELECT CASE WHEN level <= 10 THEN level - 1 WHEN level <= 50 THEN 9 WHEN level <= 100 THEN 10 WHEN level <= 500 THEN 11 WHEN level <= 1000 THEN 12 WHEN level <= 5000 THEN 13 WHEN level <= 10000 THEN 14 ELSE 15 END AS slot, level, n FROM c),
+      n AS (SELECT unnest(range(0, 16)) AS slot, unnest(['1','2','3','4','5','6','7','8','9','>10','>50','>100','>500','>1k','>5k','>10k']) AS label)
+      SELECT label, {_SIX('coalesce((SELECT sum(n * level) FROM s WHERE s.slot = n.slot), 0) / (SELECT sum(n * level) FROM s) * 100')} AS percent, {_SIX('(SELECT sum(n) FROM s) / (SELECT sum(n * level) FROM s) * 100')} AS deduplicated FROM n""",
     "first_distinct_keys": _V + """, o AS (SELECT *, row_number() OVER (ORDER BY read_idx) AS ordinal FROM reads),
       k AS (SELECT substring(sequence, 1, 50) AS key, count(*) AS n, min(ordinal) AS first FROM o GROUP BY ALL)
       SELECT * FROM (SELECT key, n, first, row_number() OVER (ORDER BY first) AS rank FROM k) WHERE rank <= 100000""",
@@ -456,6 +491,9 @@ ORACLES = {
     "trim_pairs": _R + _PAIRS + " SELECT read_idx, s2 AS r2_sequence, class FROM cls",
     "trim_unpaired": _R + _PAIRS + " SELECT class, count(*) AS n, count(*) FILTER (class = 'too_short' AND length(s1) >= 40) AS unpaired_1, count(*) FILTER (class = 'too_short' AND length(s2) >= 42) AS unpaired_2 FROM cls GROUP BY ALL",
     "adapter_autodetect": _S + " SELECT count(*) FILTER (contains(sequence, 'AGATCGGAAGAGC')) AS illumina, count(*) FILTER (contains(sequence, 'CTGTCTCTTATA')) AS nextera, count(*) FILTER (contains(sequence, 'TGGAATTCTCGG')) AS small_rna FROM all_reads",
+    "adapter_choice": _S + """, v AS (SELECT unnest(['AGATCGGAAGAGC', 'CTGTCTCTTATA', 'TGGAATTCTCGG']) AS adapter, unnest(['Illumina TruSeq, Sanger iPCR', 'Nextera Transposase sequence', 'Illumina small RNA adapter']) AS name, unnest([0, 1, 2]) AS k),
+      n AS (SELECT *, (SELECT count(*) FROM all_reads WHERE read_idx < 999999 AND contains(sequence, adapter)) AS n FROM v), o AS (SELECT *, row_number() OVER (ORDER BY n DESC, k) AS place, lead(n) OVER (ORDER BY n DESC, k) AS next FROM n)
+      SELECT adapter, name FROM v WHERE k = (SELECT CASE WHEN n = next THEN 0 ELSE k END FROM o WHERE place = 1)""",
     "dedup_documents": "SELECT level, count(*) AS keys FROM (SELECT count(*) AS level FROM documents GROUP BY text) GROUP BY ALL",
 }
 _GC = _R + """, g AS (SELECT length(sequence) AS len, length(sequence) - length(translate(sequence, 'GC', '')) AS gc, count(*) AS n FROM reads WHERE length(sequence) > 0 GROUP BY ALL),
