@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .shared import stage
 
+ROWS_A_FILE = 250_000  # of 16 bytes: rounds over few edges don't write a small file for each task
+
 
 def _least(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m"))
@@ -30,10 +32,10 @@ def small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, path: str) -> DataFrame:
     """(u, v): each node of an edge (two ids, no loops needed) but its component's least, with that least."""
     at = stage(edges.select(F.col(edges.columns[0]).alias("u"), F.col(edges.columns[1]).alias("v")).where("u <> v").distinct(), f"{path}/0")
-    state, step = None, 0
+    state, step, files = None, 0, -(-at.count() // ROWS_A_FILE)
     while True:
         step += 1
-        at = stage(small_star(large_star(at)), f"{path}/{step}")
+        at = stage(small_star(large_star(at)).coalesce(max(files, 1)), f"{path}/{step}")
         now = at.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return at

@@ -30,6 +30,7 @@ from .shared import remove, stage
 
 BITS = 10  # levels that a task builds at once
 FEW = 100_000  # siblings of 33 bytes that are broadcast at most
+ROWS_A_FILE = 100_000  # of nodes or ways, some hundred bytes each: few rows aren't written as a small file for each task
 PARTED = 16  # into so many parts the rows of a group are dealt where its own row can't be broadcast
 STEP = "array<struct<right:boolean,sibling:binary>>"
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -86,7 +87,8 @@ def _builder(base: int, bits: int):
 
 def nodes(leaves: DataFrame, path: str) -> tuple[DataFrame, int]:
     """(grp, level, pos, digest, right, sibling, top) of all trees over leaves (grp, pos, total, digest), and the greatest depth."""
-    most = leaves.agg(F.max("total")).first()[0] or 0
+    most, rows = leaves.agg(F.max("total"), F.count("*")).first()
+    most, files = most or 0, -(-rows // ROWS_A_FILE) or 1
     deepest = max(most - 1, 0).bit_length()
     at, parts, bits = leaves.select("grp", "pos", "total", "digest"), [], BITS
     for n, base in enumerate(range(0, max(deepest, 1), bits)):
@@ -94,7 +96,7 @@ def nodes(leaves: DataFrame, path: str) -> tuple[DataFrame, int]:
         built = grouped.applyInArrow(
             _builder(base, bits), "grp string, total long, level int, pos long, digest binary, right boolean, sibling binary, carry boolean"
         )
-        built = stage(built, f"{path}/level{n}")
+        built = stage(built.coalesce(files), f"{path}/level{n}")
         # what is carried beyond its level's last node is a node of the next round
         top = F.expr("carry AND shiftleft(1L, level) >= total")
         built = built.withColumn("top", top)
@@ -112,12 +114,13 @@ def proofs(trees: DataFrame, deepest: int, path: str) -> DataFrame:
     """(grp, pos, proof) for each leaf: (right, sibling) from the lowest level to the top; a lone node's sibling is null."""
     own = F.when(F.col("top"), F.array().cast(STEP)).otherwise(F.array(F.struct("right", "sibling")))
     at, jump, last = trees.select("grp", "level", "pos", own.alias("way")), 1, None
+    files = -(-trees.count() // ROWS_A_FILE) or 1
     while jump < deepest:
         on = F.col("level") % (2 * jump)
         upper = at.where(on == jump).select("grp", F.col("level").alias("_level"), F.col("pos").alias("_pos"), F.col("way").alias("_way"))
         lower = at.where(on == 0).withColumns({"_level": F.col("level") + jump, "_pos": F.shiftright("pos", jump)})
         joined = look_up(lower, upper, ["grp", "_level", "_pos"], "left", FEW // jump)
-        at = stage(joined.select("grp", "level", "pos", F.concat("way", F.coalesce("_way", F.array().cast(STEP))).alias("way")), f"{path}/jump{jump}")
+        at = stage(joined.select("grp", "level", "pos", F.concat("way", F.coalesce("_way", F.array().cast(STEP))).alias("way")).coalesce(files), f"{path}/jump{jump}")
         if last:
             remove(trees.sparkSession, last)
         last, jump = f"{path}/jump{jump}", 2 * jump
