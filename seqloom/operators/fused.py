@@ -435,12 +435,7 @@ class Fused:
         return self.kind("kmer").select("file_name", F.col("text").alias("kmer"), F.col("a").cast("int").alias("pos"), "n")
 
     def tiles(self) -> DataFrame | None:
-        """None where workers of a file may give up."""
-        kinds = self.raw.where("kind = 'field'").groupBy("file_name").agg(F.min("a").alias("least"), F.max("a").alias("most"))
-        many = self.kind("tile").groupBy("file_name").agg(F.count_distinct("a").alias("tiles")).where(F.col("tiles") > TILE_MOST)
-        if kinds.where("least < 0 OR least <> most").limit(1).count() or many.limit(1).count():
-            return None
-        return self.kind("tile").select("file_name", F.col("a").cast("int").alias("tile"), F.col("b").cast("int").alias("pos"), "n", "s", F.col("c").cast("int").alias("least"))
+        return tile_rows(self.raw, self.merged)
 
     def keys(self) -> DataFrame:
         """As sequences.key_counts().  Where one task alone met ``unique_cap`` different keys, none that comes first behind the last of
@@ -450,6 +445,26 @@ class Fused:
         return capped_keys(together(rows), self.config.unique_cap)
 
 
+def tile_rows(raw: DataFrame, rows: DataFrame) -> DataFrame | None:
+    """(file_name, tile, pos, n, s, least) of tagged rows; None where workers of a file may give up."""
+    kinds = raw.where("kind = 'field'").groupBy("file_name").agg(F.min("a").alias("least"), F.max("a").alias("most"))
+    rows = rows.where("kind = 'tile'")
+    many = rows.groupBy("file_name").agg(F.count_distinct("a").alias("tiles"))
+    found = kinds.join(many, "file_name", "left").where(f"least < 0 OR least <> most OR tiles > {TILE_MOST}")  # a row a file
+    if found.limit(1).count():
+        return None
+    return rows.select("file_name", F.col("a").cast("int").alias("tile"), F.col("b").cast("int").alias("pos"), "n", "s", F.col("c").cast("int").alias("least"))
+
+
+def quick_tiles(reads: DataFrame, config: QcConfig) -> DataFrame | None:
+    """The tiles' sums by the kernel alone, if no worker may give up."""
+    gone = skips(reads) if config.dense else None
+    if gone is None:
+        return None
+    rows = partials(reads, config, ("tile",), gone)
+    return tile_rows(rows, rows)
+
+
 def capped_keys(rows: DataFrame, cap: int) -> DataFrame:
     """(file_name, key, n, first, rank, total) of the first ``cap`` keys of each file, from partial rows (file_name, key, n, first,
     part); a part has a key once."""

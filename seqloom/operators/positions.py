@@ -161,6 +161,10 @@ def tile_quality(reads: DataFrame, config: QcConfig, sums: DataFrame | None = No
     """(file_name, tile, grp, label, mean_deviation): each tile's mean quality less the mean over tiles; a tile without data
     in a group counts as 0, so the grid of tiles and groups is dense.  What a worker that gives up has counted follows from
     tile_ends()."""
+    if sums is None:
+        from . import fused  # which counts by this module's rules
+
+        sums = fused.quick_tiles(reads, config)
     counts = (tile_sums(reads, config) if sums is None else sums).groupBy("file_name", "tile", "pos").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.min("least").alias("least"))
     of = Window.partitionBy("file_name")
     counts = counts.withColumn("offset", R.phred_offset(F.min("least").over(of)))
