@@ -206,7 +206,7 @@ hashed AS (
     CASE WHEN n_chars IS NULL THEN '-' ELSE concat(strlen(CAST(n_chars AS VARCHAR)), ':', CAST(n_chars AS VARCHAR)) END AS n,
     CASE WHEN n_chars IS NULL THEN '-' ELSE concat(strlen(CAST(n_chars + 1 AS VARCHAR)), ':', CAST(n_chars + 1 AS VARCHAR)) END AS more,
     CASE WHEN text IS NULL THEN '-' ELSE concat(strlen(text), ':', text) END AS tail,
-    coalesce((4294967295 - walked) % 7 = 0, false) AS tampered FROM docs),
+    doc_id IS NOT NULL AND (4294967295 - walked) % 7 = 0 AS tampered FROM docs),
 leaves AS (
   SELECT doc_id, lang, leaf, now, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS total
   FROM (SELECT doc_id, lang, sha256(head || n || tail) AS leaf, sha256(head || CASE WHEN tampered THEN more ELSE n END || tail) AS now FROM hashed)),
