@@ -100,7 +100,7 @@ class Frame:
         order = np.argsort(keys)
         words, of_word = np.unique(h[order], return_inverse=True)
         contexts, of_context = np.unique(before[order], return_inverse=True)
-        return cls(keys[order], words, contexts, of_word, of_context), order
+        return cls(keys[order], words, contexts, of_word.astype(np.int32), of_context.astype(np.int32)), order
 
 
 @dataclass
@@ -118,11 +118,15 @@ class ClassModels:
     context_rest: np.ndarray  # (2, contexts): weight of the lower level
 
     @classmethod
-    def build(cls, frame: Frame, n: np.ndarray) -> ClassModels:
-        """``n``: (2, pairs) counts in the frame's order."""
-        contexts = np.stack([np.bincount(frame.of_context, n[c], len(frame.contexts)) for c in (0, 1)])
-        pair_kept = np.stack([kept_of(n[c]) for c in (0, 1)]) / np.maximum(contexts, 1)[:, frame.of_context]
-        context_rest = np.stack([1 - np.bincount(frame.of_context, pair_kept[c], len(frame.contexts)) for c in (0, 1)])
+    def build(cls, frame: Frame, n: list[np.ndarray]) -> ClassModels:
+        """``n``: both classes' counts of pairs in the frame's order."""
+        size = len(frame.contexts)
+        pair_kept, context_rest = np.zeros((2, len(frame.pairs)), np.float32), np.zeros((2, size))
+        for c in (0, 1):  # the longest columns: one class at a time
+            contexts = np.maximum(np.bincount(frame.of_context, n[c], size), 1)
+            own = kept_of(n[c]) / contexts[frame.of_context]
+            context_rest[c] = 1 - np.bincount(frame.of_context, own, size)
+            pair_kept[c] = own
         follows = np.stack([np.bincount(frame.of_word, n[c] > 0, len(frame.words)) for c in (0, 1)])
         kept = np.stack([kept_of(f) / max(f.sum(), 1) for f in follows])
         pooled = follows.sum(0)
@@ -131,7 +135,7 @@ class ClassModels:
         other = max(total - stays.sum(), 1) / total / ((pooled > 0).sum() + 1)
         small = lambda x: x.astype(np.float32)
         return cls(
-            frame.words, small(kept), 1 - kept.sum(1), small(stays / total + other), float(other), frame.pairs, small(pair_kept), frame.contexts, small(context_rest)
+            frame.words, small(kept), 1 - kept.sum(1), small(stays / total + other), float(other), frame.pairs, pair_kept, frame.contexts, small(context_rest)
         )
 
     def differences(self, h: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -226,12 +230,13 @@ def _models(pairs: DataFrame) -> list[ClassModels]:
     of = lambda c, f: F.sum(F.when((F.col("label") == c) & (F.col("fold") != f), F.col("n")).otherwise(0)).cast("int")
     every = [(c, f) for f in range(FOLDS + 1) for c in (0, 1)]  # no text is in the last fold
     table = pairs.groupBy("before", "h").agg(*(of(c, f).alias(f"n{c}_{f}") for c, f in every)).toArrow()
-    before, h = (table[c].to_numpy().view(U) for c in ("before", "h"))
-    frame, order = Frame.of(before, h)
-    return [ClassModels.build(frame, np.stack([table[f"n{c}_{f}"].to_numpy()[order] for c in (0, 1)])) for f in range(FOLDS + 1)]
+    frame, order = Frame.of(*(table[c].to_numpy().view(U) for c in ("before", "h")))
+    counts = [[table[f"n{c}_{f}"].to_numpy()[order] for c in (0, 1)] for f in range(FOLDS + 1)]
+    del table, order
+    return [ClassModels.build(frame, n) for n in counts]
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, out: int = 0, max_rows: int = 2_500) -> Scorer:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, out: int = 0, max_rows: int = 2_000) -> Scorer:
     """Fit on at most ``max_rows`` labelled documents of each class, outside the fold ``out``."""
     rows = sample(docs, labels, label, modulus, out, max_rows, by_class=True).withColumn(
         "fold", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(FOLDS)).cast("int")
