@@ -12,7 +12,7 @@ from seqloom.plans import qc
 from seqloom.schema import READS
 
 
-def reads(seed, n=9_000, blank=False):
+def reads(seed, n=5_000, blank=False):
     draw = random.Random(seed)
     rows = []
     for name, letters in (("a.fastq", "ACGTN"), ("b.fastq", "ACGTNRacg")):
