@@ -33,13 +33,15 @@ def worker(compat: bool) -> Column:
     return (F.floor(F.col("read_idx") / BATCH) % WORKERS).cast("int") if compat else F.lit(0)
 
 
-def _upto(sizes: DataFrame, by: list[str], at: str, n: str, out: str) -> DataFrame:
-    """Adds the sum of ``n`` over smaller ``at`` of the same ``by``: within spans, and over spans, so that no task has all."""
+def upto(sizes: DataFrame, by: list[str], at: str, n: str, out: str, total=F.sum) -> DataFrame:
+    """Adds the sum (or, with F.max, the greatest, at least 0) of ``n`` over smaller ``at`` of the same ``by``: within spans, and over
+    spans, so that no task has all."""
     rows = sizes.withColumn("_span", F.floor(F.col(at) / SPAN))
-    before = lambda keys, order: F.coalesce(F.sum(n).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    spans = rows.groupBy(*by, "_span").agg(F.sum(n).alias(n)).select(*by, "_span", before(by, "_span").alias("_earlier"))
+    before = lambda keys, order: F.coalesce(total(n).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = rows.groupBy(*by, "_span").agg(total(n).alias(n)).select(*by, "_span", before(by, "_span").alias("_earlier"))
     rows = rows.withColumn("_within", before([*by, "_span"], at))
-    return rows.join(spans, [*by, "_span"]).withColumn(out, F.col("_earlier") + F.col("_within")).drop("_span", "_within", "_earlier")
+    both = F.col("_earlier") + F.col("_within") if total is F.sum else F.greatest("_earlier", "_within")
+    return rows.join(spans, [*by, "_span"]).withColumn(out, both).drop("_span", "_within", "_earlier")
 
 
 def _skipped(reads: DataFrame, skip: Column, compat: bool) -> DataFrame:
@@ -56,7 +58,7 @@ def _skipped(reads: DataFrame, skip: Column, compat: bool) -> DataFrame:
     sizes = every.join(gone, ["file_name", "_batch"], "left").withColumn("_n", F.coalesce("_n", F.lit(0))).withColumn(
         "_worker", F.col("_batch") % WORKERS if compat else F.lit(0)
     )
-    return _upto(sizes, ["file_name", "_worker"], "_batch", "_n", "_before").select("file_name", "_batch", "_before", "_gone")
+    return upto(sizes, ["file_name", "_worker"], "_batch", "_n", "_before").select("file_name", "_batch", "_before", "_gone")
 
 
 def with_ordinal(reads: DataFrame, name: str, compat: bool, skip: Column | None = None, dense: bool = True) -> DataFrame:
@@ -78,7 +80,7 @@ def with_ordinal(reads: DataFrame, name: str, compat: bool, skip: Column | None
             place - F.coalesce("_before", F.lit(0)) - F.when(F.col("_gone").isNull(), 0).otherwise(inside)
         ).drop("_batch", "_before", "_gone")
     sizes = rows.withColumn("_worker", worker(compat)).groupBy("file_name", "_worker", "_batch").agg(F.count("*").alias("_n"))
-    firsts = _upto(sizes, ["file_name", "_worker"], "_batch", "_n", "_before").select(*keys, "_before")
+    firsts = upto(sizes, ["file_name", "_worker"], "_batch", "_n", "_before").select(*keys, "_before")
     own = F.row_number().over(Window.partitionBy(*keys).orderBy("read_idx"))
     return rows.join(firsts, keys).withColumn(name, F.col("_before") + own).drop("_batch", "_before")
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..config import QcConfig
 from ..functions import reads as R
 from ..functions.kernels import DUPLICATION_LABELS, Contaminants, duplication_levels
-from .common import in_groups, unfiltered, with_ordinal, worker
+from .common import BATCH, in_groups, unfiltered, upto, with_ordinal, worker
 
 KMER_EVERY, KMER_PART, KMER_TOP, KMER_DRAWN = 50, 500, 20, 6
 
@@ -85,10 +85,17 @@ def adapter_places(reads: DataFrame, config: QcConfig) -> DataFrame:
     )
     if config.compat and len({len(s) for _, s in config.adapters}) > 1:
         # with adapters of several lengths a hit beyond what the longest read so far allows is lost
-        so_far = F.max("len").over(Window.partitionBy("file_name", "worker").orderBy("read_idx").rowsBetween(Window.unboundedPreceding, 0))
-        rows = rows.withColumn("_most", so_far).withColumn(
+        # (that is known by batches first, so that no task walks all reads of a worker)
+        rows = rows.withColumn("_batch", F.floor(F.col("read_idx") / BATCH))
+        ends = rows.groupBy("file_name", "worker", "_batch").agg(F.max("len").alias("_n"))
+        earlier = upto(ends, ["file_name", "worker"], "_batch", "_n", "_earlier_most", F.max).drop("_n")
+        within = F.max("len").over(Window.partitionBy("file_name", "worker", "_batch").orderBy("read_idx").rowsBetween(Window.unboundedPreceding, 0))
+        rows = rows.withColumn("_most", within).join(earlier, ["file_name", "worker", "_batch"]).withColumn(
             "ats",
-            F.transform("ats", lambda a: F.when(a <= F.greatest(F.col("_most") - longest, F.lit(0)), a).otherwise(-1))
+            F.transform(
+                "ats",
+                lambda a: F.when(a <= F.greatest(F.greatest("_most", "_earlier_most") - longest, F.lit(0)), a).otherwise(-1)
+            )
         )
     hits = F.filter(F.transform("ats", lambda a, i: F.struct(i.alias("adapter"), a.alias("at"))), lambda h: h["at"] >= 0)
     size = F.array(F.struct(F.lit(-1).alias("adapter"), F.col("len").alias("at")))

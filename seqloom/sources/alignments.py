@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import reads as R
 from ..schema import READS
+from .bgzf import MAGIC, SPLIT_BYTES, Blocks, opened
 from .fastq import read_fastq
 from .lines import index, numbered
 
@@ -62,94 +63,11 @@ def read_sam(spark: SparkSession, paths: str | list[str], only_mapped: bool = Fa
     return to_reads(rows, only_mapped)
 
 
-MAGIC = b"\x1f\x8b\x08\x04"  # Fixed value: how a BGZF block begins
-SPLIT_BYTES = 32 << 20
 MOST_RECORD = MOST_AHEAD = 1 << 24  # bytes; a longer record isn't believed in where a part looks for its first one
 BELIEVED = 8  # records in a row that must look like records there
 LOOKED = "path string, begin long, until long, block long, at int, last_block long, last_at int, n long"
 
 
-class Blocks:
-    """BGZF: gzip members whose extra field gives their size, decompressed one after the other; a place in it is where a member
-    begins and how far into its bytes."""
-
-    def __init__(self, file, size: int, begin: int = 0):
-        self.file, self.size, self.next = file, size, begin
-        self.block, self.data, self.at = begin, b"", 0
-
-    def header(self, at: int) -> tuple[int, int] | None:
-        """The sizes of a member and of its head, if one begins here."""
-        self.file.seek(at)
-        head = self.file.read(12)
-        if len(head) < 12 or head[:4] != MAGIC:
-            return None
-        extra = struct.unpack("<H", head[10:12])[0]
-        fields, k = self.file.read(extra), 0
-        while k + 4 <= len(fields):
-            name, n = fields[k : k + 2], struct.unpack("<H", fields[k + 2 : k + 4])[0]
-            if name == b"BC" and n == 2:
-                return struct.unpack("<H", fields[k + 4 : k + 6])[0] + 1, 12 + extra
-            k += 4 + n
-        return None
-
-    def load(self) -> bool:
-        """The next member; false at the end."""
-        if self.next >= self.size:
-            return False
-        found = self.header(self.next)
-        if found is None:
-            raise ValueError("not BGZF")
-        whole, head = found
-        body = self.file.read(whole - head)
-        if len(body) < whole - head:
-            raise EOFError("BAM ends within a block")
-        self.block, self.data, self.at = self.next, zlib.decompress(body[:-8], -15), 0
-        self.next += whole
-        return True
-
-    def place(self) -> tuple[int, int]:
-        while self.at >= len(self.data):
-            if not self.load():
-                return self.size, 0
-        return self.block, self.at
-
-    def take(self, n: int) -> bytes:
-        if len(self.data) - self.at >= n:
-            self.at += n
-            return self.data[self.at - n : self.at]
-        parts = []
-        while n:
-            if self.at >= len(self.data) and not self.load():
-                raise EOFError("BAM ends within a record")
-            parts.append(self.data[self.at : self.at + n])
-            self.at += len(parts[-1])
-            n -= len(parts[-1])
-        return b"".join(parts)
-
-    def find(self, begin: int) -> bool:
-        """Go to the first member that begins at ``begin`` or later; false if there is none.  What looks like one must be followed
-        by another (or the end) and decompress."""
-        window, at = b"", begin
-        while at < self.size:
-            self.file.seek(at)
-            window = self.file.read(1 << 17)
-            k = window.find(MAGIC)
-            while k >= 0:
-                if found := self.header(at + k):
-                    after = at + k + found[0]
-                    try:
-                        if after == self.size or after < self.size and self.header(after):
-                            self.next, self.data, self.at = at + k, b"", 0
-                            return self.load()
-                    except zlib.error:
-                        pass
-                k = window.find(MAGIC, k + 1)
-            if len(window) < 1 << 17:
-                return False
-            at += len(window) - 3
-        return False
-
-
 def skip_header(s: Blocks) -> None:
     try:
         if s.take(4) != b"BAM\x01":
@@ -219,14 +137,6 @@ _NIBBLES = str.maketrans("0123456789abcdef", BAM_BASES)
 _PHRED = bytes((q + 33) % 256 for q in range(256))
 
 
-def _opened(path: str):
-    from pyarrow import fs as pafs
-
-    local = path[5:] if path.startswith("file:") else path
-    fs, place = (pafs.LocalFileSystem(), "/" + local.lstrip("/")) if local.startswith("/") else pafs.FileSystem.from_uri(path)
-    return fs.open_input_file(place), fs.get_file_info(place).size
-
-
 def _sizes(s: Blocks, until: int) -> Iterator[int]:
     """Bytes of each record that begins before ``until``; the stream stands behind its size."""
     while s.place()[0] < until:
@@ -239,7 +149,7 @@ def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for r in batch.to_pylist():
-            file, size = _opened(r["path"])
+            file, size = opened(r["path"])
             out = r | {"block": None, "at": None, "last_block": None, "last_at": None, "n": 0}
             with file:
                 try:
@@ -271,7 +181,7 @@ def _read_bam(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
     for batch in batches:
         for r in batch.to_pylist():
-            file, size = _opened(r["path"])
+            file, size = opened(r["path"])
             with file:
                 s = Blocks(file, size, r["block"] or 0)
                 if r["block"] is None:
@@ -298,7 +208,7 @@ def bam_parts(spark: SparkSession, paths: list[str], split_bytes: int = SPLIT_BY
     wrong with it."""
     whole = []
     for p in paths:
-        file, size = _opened(p)
+        file, size = opened(p)
         file.close()
         whole.append((p, size))
     files = spark.createDataFrame(whole, "path string, size long").where("size > 0")

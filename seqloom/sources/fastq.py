@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..config import QcConfig
 from ..functions import reads as R
 from ..schema import READS
+from .bgzf import SPLIT_BYTES
 from .lines import FileIndex, index, split_runs, text_lines
 
 RECORD = "path string, read_idx long, id string, sequence string, plus string, quality string"
@@ -106,17 +107,17 @@ def _sequential(batches: Iterator[pa.RecordBatch], lenient: bool) -> Iterator[pa
         check(path, at, held)
 
 
-def records(spark: SparkSession, paths: str | list[str], lenient: bool = False) -> DataFrame:
+def records(spark: SparkSession, paths: str | list[str], lenient: bool = False, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """(path, read_idx, id, sequence, plus, quality); ids keep their @.
 
     A file with blank lines between its records is put together in order by one task; any other is read split by split, and
-    only the records over the borders of splits are put together by the driver."""
+    only the records over the borders of splits are put together by the driver.  BGZF is split into parts of ``split_bytes``."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    found = index(spark, paths)
+    found = index(spark, paths, split_bytes)
     plain = {p: ix for p, ix in found.items() if not ix.blank_ids}
     out = spark.createDataFrame(_border_records(plain, lenient), RECORD)
     if plain:
-        out = out.unionAll(text_lines(spark, [*plain]).mapInArrow(partial(_records, found=plain, lenient=lenient), RECORD))
+        out = out.unionAll(text_lines(spark, plain).mapInArrow(partial(_records, found=plain, lenient=lenient), RECORD))
     if odd := [p for p in found if p not in plain]:
         from .lines import numbered
 

@@ -13,6 +13,7 @@ from ..operators.common import with_ordinal
 from ..plans.qc import analyse
 from ..report.writers import write_all
 from ..sources.fastq import records, write_fastq
+from ..sources.onefile import write_as_one
 from . import operators as O
 
 
@@ -87,15 +88,16 @@ def run(
     spark: SparkSession, files: list[str], out: str, config: O.TrimConfig, gzip: bool | None = None,
     adapters: tuple[str, str] | None = None, report: bool = True, qc: QcConfig | None = None
 ) -> list[str]:
-    """Trim a file or a pair into ``out``; outputs are folders of part files in the reads' order.  Returns their paths.
+    """Trim a file or a pair into ``out``; each output is one file in the reads' order (a folder of parts
+    where the store has no places in files, see sources/onefile.py).  Returns their paths.
 
     ``adapters``: those of first and second reads, where they are known (of several files the first one tells them for all).
     A report is written for each file, unless ``report`` is false; with ``qc`` the outputs' quality reports, too."""
     gzip = files[0].endswith(".gz") if gzip is None else gzip
     names = {k: f"{out}/{v}" for k, v in output_names(tuple(files), config, gzip).items()}
     if "hard" in names:
-        write_fastq(O.hard_trim(_reads(spark, files[0]), config.hardtrim5 or config.hardtrim3, 5 if config.hardtrim5 else 3), names["hard"], gzip)
-        return [names["hard"]]
+        hard = O.hard_trim(_reads(spark, files[0]), config.hardtrim5 or config.hardtrim3, 5 if config.hardtrim5 else 3)
+        return [write_as_one(spark, lambda folder: write_fastq(hard, folder, gzip), names["hard"])]
     first = _reads(spark, files[0])
     adapters = adapters or O.adapters_for(first, config)
     if config.paired:
@@ -113,12 +115,11 @@ def run(
         made = {names["kept"]: rows.where("class = 'kept'")}
     paths = []
     for path, kept in made.items():
-        write_fastq(kept, path, gzip)
-        paths.append(path)
+        paths.append(write_as_one(spark, lambda folder, kept=kept: write_fastq(kept, folder, gzip), path))
     for file, adapter, (bases, reads) in zip(files, adapters, trimmed, strict=False) if report else ():
         text = report_text(Path(file).name, config, adapter, counts, bases, reads, O.least_length(adapters[0], config))
-        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(at := f"{out}/{Path(file).name}_trimming_report")
-        paths.append(at)
+        row = spark.createDataFrame([(text.removesuffix("\n"),)], "value string").coalesce(1)
+        paths.append(write_as_one(spark, lambda folder, row=row: row.write.mode("overwrite").text(folder), f"{out}/{Path(file).name}_trimming_report.txt"))
     if qc is not None:
         for path, kept in made.items():
             for found in analyse(qc_reads(kept, path), qc):

@@ -259,7 +259,7 @@ def test_paired_trimming_counts_both_files(spark, tmp_path):
     )
     made = run_trim(spark, files, f"file://{tmp_path}/out", config, qc=QcConfig())
     names = [m.rsplit("/", 1)[-1] if isinstance(m, str) else m.name for m in made]
-    assert names[:6] == ["both_val_1.fq", "both_unpaired_1.fq", "both_val_2.fq", "both_unpaired_2.fq", "a.fastq_trimming_report", "b.fastq_trimming_report"]
+    assert names[:6] == ["both_val_1.fq", "both_unpaired_1.fq", "both_val_2.fq", "both_unpaired_2.fq", "a.fastq_trimming_report.txt", "b.fastq_trimming_report.txt"]
     texts = ["".join(r.value + "\n" for r in spark.read.text(made[k]).collect()) for k in (4, 5)]
     assert "Sequences with adapters: 3 (50.00%)" in texts[0]
     assert "Bases trimmed for quality: 0" in texts[0]
@@ -407,7 +407,7 @@ def test_the_first_file_tells_the_adapter_for_all(spark, tmp_path):
         (tmp_path / f"{name}.fastq").write_text("".join(f"@r{i}\n{'ACGTACGTAC' * 3}{adapter}\n+\n{'I' * (30 + len(adapter))}\n" for i in range(6)))
     assert cli.main(["trim", str(tmp_path / "a.fastq"), str(tmp_path / "b.fastq"), "-o", f"file://{tmp_path}/out", "-s", "3"]) == 0
     for name, adapters in (("a", 6), ("b", 0)):
-        text = "".join(r.value + "\n" for r in spark.read.text(f"{tmp_path}/out/{name}.fastq_trimming_report").collect())
+        text = "".join(r.value + "\n" for r in spark.read.text(f"{tmp_path}/out/{name}.fastq_trimming_report.txt").collect())
         assert "Adapter sequence: 'CTGTCTCTTATA'" in text
         assert f"Sequences with adapters: {adapters} " in text
 
