@@ -31,6 +31,8 @@ SKIPS_MOST = 4_000_000  # sorted numbers of 8 bytes
 FEW_ROWS = 300_000
 KEY_SPAN = 65_536  # ordinals
 EARLY_MOST = 2_000_000  # keys of 50 bytes that are broadcast at most
+REACH = 1024  # above KMER_PART
+REACHES_KEPT = 1 << 20
 KEYS_KEPT = 500_000  # distinct keys that a task holds before it hands them on
 EVERY = ("basic", "cube", "tile", "mean", "gc", "length", "key", "adapter", "kmer")
 SCHEMA = "file_name string, kind string, a long, b long, c long, text string, n long, s long"
@@ -199,18 +201,21 @@ class Adapters:
 
 class Kmers:
     """k-mers by place, of each KMER_EVERY-th read's first bases: as two bits a base and one bincount; those with other letters as
-    texts, and with N as places only."""
+    texts, and with N as places only.  Besides, by worker, how many places the first read that shows a k-mer has: one number of the
+    read's place and these, so that the least number tells."""
 
     def __init__(self, k: int):
         self.k, self.found, self.blank, self.odd = k, Counts(), Counts(), {}
+        self.first, self.odd_first = {}, {}  # by file: parts of (worker and code, number)
 
     def add(self, r: Rows) -> None:
         k = self.k
         pick = np.flatnonzero((ordinals(r.idx, r.gone, r.compat) % KMER_EVERY == 0) & (r.size >= k))
-        size = np.minimum(r.size[pick], KMER_PART)
-        many = size - k + 1
         if not len(pick):
             return
+        pick = pick[np.argsort(r.idx[pick], kind="stable")]
+        size = np.minimum(r.size[pick], KMER_PART)
+        many = size - k + 1
         row = np.repeat(np.arange(len(pick)), many)
         place = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
         begin = r.seq[1][pick][row] + place
@@ -224,21 +229,42 @@ class Kmers:
         own = ~other
         self.found.add(r.name, *np.unique(code[own] << 31 | place[own] + 1, return_counts=True))
         self.blank.add(r.name, *np.unique(place[blank] + 1, return_counts=True))
-        for at, p in zip(begin[other & ~blank].tolist(), place[other & ~blank].tolist(), strict=True):
-            key = (r.name, r.seq[0][at : at + k].tobytes().decode(), p + 1)
-            self.odd[key] = self.odd.get(key, 0) + 1
+        shown, worker = (r.idx[pick] * REACH + many)[row], r.worker[pick][row]
+        keys, at = np.unique((worker << 2 * k | code)[own], return_index=True)
+        parts = self.first.setdefault(r.name, [])
+        parts.append((keys, shown[own][at]))
+        if sum(len(x) for x, _ in parts) > REACHES_KEPT:
+            self.first[r.name] = [self.least(parts)]
+        other &= ~blank
+        for at, p, n, w in zip(begin[other].tolist(), place[other].tolist(), shown[other].tolist(), worker[other].tolist(), strict=True):
+            text = r.seq[0][at : at + k].tobytes().decode()
+            self.odd[r.name, text, p + 1] = self.odd.get((r.name, text, p + 1), 0) + 1
+            self.odd_first[r.name, text, w] = min(self.odd_first.get((r.name, text, w), n), n)
+
+    @staticmethod
+    def least(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        keys, numbers = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((numbers, keys))
+        keys, at = np.unique(keys[order], return_index=True)
+        return keys, numbers[order][at]
+
+    def texts(self, codes: np.ndarray) -> pa.Array:
+        codes, back = np.unique(codes, return_inverse=True)
+        letters = np.frombuffer(b"ACGT", np.uint8)[codes[:, None] >> np.arange(2 * self.k - 2, -1, -2) & 3]
+        return pa.array([t.tobytes().decode() for t in letters], pa.string()).take(pa.array(back))
 
     def rows(self) -> Iterator[tuple]:
         for name in self.found.parts:
             keys, n = self.found.merged(name)
-            codes, back = np.unique(keys >> 31, return_inverse=True)
-            letters = np.frombuffer(b"ACGT", np.uint8)[codes[:, None] >> np.arange(2 * self.k - 2, -1, -2) & 3]
-            texts = pa.array([t.tobytes().decode() for t in letters], pa.string()).take(pa.array(back))
-            yield name, "kmer", {"a": keys & ((1 << 31) - 1), "text": texts, "n": n}
+            yield name, "kmer", {"a": keys & ((1 << 31) - 1), "text": self.texts(keys >> 31), "n": n}
+            keys, n = self.least(self.first[name])
+            yield name, "reach", {"a": keys >> 2 * self.k, "text": self.texts(keys & ((1 << 2 * self.k) - 1)), "n": n}
             keys, n = self.blank.merged(name)
             yield name, "kmer", {"a": keys, "n": n}
         for (name, text, place), n in self.odd.items():
             yield name, "kmer", {"a": [place], "text": [text], "n": [n]}
+        for (name, text, w), n in self.odd_first.items():
+            yield name, "reach", {"a": [w], "text": [text], "n": [n]}
 
 
 class Keys:
@@ -392,7 +418,7 @@ class Fused:
         by = ["file_name", "kind", "a", "b", "c", "text"]
         ends = F.col("text").isin("least", "lowest")
         tops = F.col("text").isin("most", "coloured")
-        value = F.when((F.col("kind") == "basic") & F.max(ends), F.min("n")).when((F.col("kind") == "basic") & F.max(tops), F.max("n")).otherwise(F.sum("n"))
+        value = F.when((F.col("kind") == "basic") & F.max(ends), F.min("n")).when(F.col("kind") == "reach", F.min("n")).when((F.col("kind") == "basic") & F.max(tops), F.max("n")).otherwise(F.sum("n"))
         merged = self.raw.where("kind <> 'key' AND kind <> 'field'").groupBy(*by).agg(value.alias("n"), F.sum("s").alias("s"))
         self.held = [merged.persist(StorageLevel.MEMORY_AND_DISK), self.raw]
         self.merged = together(merged)
@@ -432,7 +458,7 @@ class Fused:
         return self.kind("adapter").select("file_name", F.col("a").cast("int").alias("worker"), F.col("b").cast("int").alias("adapter"), F.col("c").cast("int").alias("at"), "n")
 
     def kmers(self) -> DataFrame:
-        return self.kind("kmer").select("file_name", F.col("text").alias("kmer"), F.col("a").cast("int").alias("pos"), "n")
+        return placed_kmers(self.merged)
 
     def tiles(self) -> DataFrame | None:
         return tile_rows(self.raw, self.merged)
@@ -445,6 +471,13 @@ class Fused:
         return capped_keys(together(rows), self.config.unique_cap)
 
 
+def placed_kmers(rows: DataFrame) -> DataFrame:
+    """(file_name, kmer, pos, n) of tagged rows that were added up: a row of no reads tells how far a k-mer's places reach."""
+    reach = F.col("kind") == "reach"
+    pos, n = F.when(reach, F.col("n") % REACH).otherwise(F.col("a")), F.when(reach, F.lit(0)).otherwise(F.col("n"))
+    return rows.where("kind IN ('kmer', 'reach')").select("file_name", F.col("text").alias("kmer"), pos.cast("int").alias("pos"), n.cast("long").alias("n"))
+
+
 def tile_rows(raw: DataFrame, rows: DataFrame) -> DataFrame | None:
     """(file_name, tile, pos, n, s, least) of tagged rows; None where workers of a file may give up."""
     kinds = raw.where("kind = 'field'").groupBy("file_name").agg(F.min("a").alias("least"), F.max("a").alias("most"))

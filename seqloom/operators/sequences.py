@@ -138,31 +138,41 @@ def _with_blank(rows: DataFrame, adapters: int) -> DataFrame:
 
 def kmer_counts(reads: DataFrame, config: QcConfig) -> DataFrame:
     """(file_name, kmer, pos, n): k-mers without N of each KMER_EVERY-th read's first KMER_PART bases."""
-    return kmer_places(reads, config).where("kmer IS NOT NULL")
+    return kmer_places(reads, config).where("kmer IS NOT NULL AND n > 0")
 
 
 def kmer_places(reads: DataFrame, config: QcConfig) -> DataFrame:
-    """As kmer_counts(), with how many k-mers with N a position has, as a null kmer.  Two bits a base in the tasks, where sampled
-    reads can be told there."""
+    """As kmer_counts(), with how many k-mers with N a position has, as a null kmer, and with rows of no reads: how many positions
+    the first read of a worker that shows a k-mer has.  Two bits a base in the tasks, where sampled reads can be told there."""
     from . import fused  # which counts by this module's rules
 
     gone = fused.skips(reads) if config.dense else None
     if gone is None:
-        own = F.when(~F.contains("kmer", F.lit("N")), F.col("kmer")).alias("kmer")
-        return _kmers(reads, config).groupBy("file_name", own, "pos").agg(F.count("*").alias("n"))
-    rows = fused.partials(reads, config, ("kmer",), gone)
-    return rows.groupBy("file_name", F.col("text").alias("kmer"), F.col("a").cast("int").alias("pos")).agg(F.sum("n").alias("n"))
+        # a worker's first read of a k-mer at a position, then at any
+        each = _kmers(reads, config).groupBy("file_name", "worker", "kmer", "pos").agg(F.count("*").alias("n"), F.min("shown").alias("shown"))
+        first = F.min("shown").over(Window.partitionBy("file_name", "worker", "kmer"))
+        reach = F.struct(F.col("first.places").alias("pos"), F.lit(0).cast("long").alias("n"))
+        both = F.array(F.struct("pos", "n"), F.when(F.col("kmer").isNotNull(), reach))
+        rows = each.withColumn("first", first).select("file_name", "kmer", F.inline(F.array_compact(both)))
+    else:
+        rows = fused.partials(reads, config, ("kmer",), gone).groupBy("file_name", "kind", "a", "text").agg(
+            F.when(F.col("kind") == "reach", F.min("n")).otherwise(F.sum("n")).alias("n")
+        )
+        rows = fused.placed_kmers(rows)
+    return rows.groupBy("file_name", "kmer", "pos").agg(F.sum("n").alias("n"))
 
 
 def _kmers(reads: DataFrame, config: QcConfig) -> DataFrame:
+    """(file_name, worker, shown, pos, kmer): ``shown`` is the read's ordinal and how many positions it has; k-mers with N are null."""
     k = config.kmer_size
     rows = with_ordinal(reads, "ordinal", config.compat, dense=config.dense).where(F.col("ordinal") % KMER_EVERY == 0)
-    rows = rows.select("file_name", F.substring("sequence", 1, KMER_PART).alias("s")).where(F.length("s") >= k)
+    rows = rows.select("file_name", worker(config.compat).alias("worker"), "ordinal", F.substring("sequence", 1, KMER_PART).alias("s")).where(F.length("s") >= k)
+    places = F.length("s") - k + 1
     rows = rows.select(
-        "file_name",
-        F.posexplode(F.transform(F.sequence(F.lit(1), F.length("s") - k + 1), lambda i: F.substring("s", i, F.lit(k)))).alias("pos", "kmer")
+        "file_name", "worker", F.struct("ordinal", places.alias("places")).alias("shown"),
+        F.posexplode(F.transform(F.sequence(F.lit(1), places), lambda i: F.substring("s", i, F.lit(k)))).alias("pos", "kmer")
     )
-    return rows.withColumn("pos", F.col("pos") + 1)
+    return rows.withColumns({"pos": F.col("pos") + 1, "kmer": F.when(~F.contains("kmer", F.lit("N")), F.col("kmer"))})
 
 
 def kmer_p_value(n: Column, p: Column, k: Column, size: int) -> Column:
@@ -180,15 +190,22 @@ def kmer_p_value(n: Column, p: Column, k: Column, size: int) -> Column:
 
 
 def kmer_enrichment(reads: DataFrame, config: QcConfig, placed: DataFrame | None = None) -> DataFrame:
-    """(file_name, kmer, count, grp, label, hits, ratio, p): observed to expected in each group of positions."""
+    """(file_name, kmer, count, grp, label, hits, ratio, p): observed to expected in each group of positions.
+
+    A k-mer's positions reach as far as the first read of a worker that shows it has some, and as far as it is seen: of the group
+    in which they end, only positions up to there are expected."""
     # k-mers with N tell how many positions there are, and count in nothing else
     every_kmer = kmer_places(reads, config) if placed is None else placed
-    placed = in_groups(every_kmer, config).where("kmer IS NOT NULL").select("file_name", "kmer", "grp", "label", "n")
-    placed = placed.groupBy("file_name", "kmer", "grp", "label").agg(F.sum("n").alias("hits"))
-    rows = placed.withColumn("count", F.sum("hits").over(Window.partitionBy("file_name", "kmer")))
-    totals = placed.groupBy("file_name", "grp").agg(F.sum("hits").alias("group_count"))  # some dozen groups a file
-    totals = totals.withColumn("every", F.sum("group_count").over(Window.partitionBy("file_name")))
+    placed = in_groups(every_kmer, config).where("kmer IS NOT NULL").select("file_name", "kmer", "grp", "hi", "label", "pos", "n")
+    rows = placed.groupBy("file_name", "kmer", "grp", "hi", "label").agg(F.sum("n").alias("hits"), F.max("pos").alias("reach"))
+    of = Window.partitionBy("file_name", "kmer")
+    rows = rows.withColumns({"count": F.sum("hits").over(of), "reach": F.max("reach").over(of)}).where("hits > 0")
+    at = placed.groupBy("file_name", "grp", "pos").agg(F.sum("n").alias("n"))
+    totals = at.groupBy("file_name", "grp").agg(F.sum("n").alias("whole"), F.collect_list(F.struct("pos", "n")).alias("at"))  # some dozen groups a file
+    totals = totals.withColumn("every", F.sum("whole").over(Window.partitionBy("file_name")))
     rows = rows.join(F.broadcast(totals), ["file_name", "grp"])
+    part = F.aggregate("at", F.lit(0).cast("long"), lambda a, x: a + F.when(x["pos"] <= F.col("reach"), x["n"]).otherwise(0))
+    rows = rows.withColumn("group_count", F.when(F.col("reach") >= F.col("hi"), F.col("whole")).otherwise(part))
     share = (F.col("count").cast("float") / F.col("every").cast("float")).cast("float")
     rows = rows.withColumn("share", share).withColumn("predicted", (F.col("share") * F.col("group_count").cast("float")).cast("float"))
     rows = rows.withColumn(
