@@ -76,10 +76,10 @@ def decode_png(data: bytes) -> np.ndarray:
 
 
 def payload_column(text: Column) -> Column:
-    """UTF-8 bytes with bytes PAD up to a positive multiple of WIDTH."""
+    """The text's bytes as they are stored (UTF-8, also where they are no valid one) with bytes PAD up to a positive multiple of WIDTH."""
     n = F.octet_length(text)
     pad = F.greatest(F.ceil(n / F.lit(WIDTH)), F.lit(1)) * WIDTH - n
-    return F.concat(F.encode(text, "utf-8"), F.unhex(F.repeat(F.lit(f"{PAD:02X}"), pad.cast("int"))))
+    return F.concat(text.cast("binary"), F.unhex(F.repeat(F.lit(f"{PAD:02X}"), pad.cast("int"))))
 
 
 def _tar_header(name: str, size: int) -> bytes:
@@ -143,7 +143,7 @@ def features(samples: np.ndarray) -> str:
     return f"{mean:.3f};{spread:.3f};{-float((p * np.log2(p)).sum()):.3f};{shares};{int(''.join('01'[int(b)] for b in blocks), 2):016x}"
 
 
-def _read(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+def _read(batches: Iterator[pa.RecordBatch], whole: bool, tail: int = WIDTH) -> Iterator[pa.RecordBatch]:
     opened: dict[str, object] = {}
     for batch in batches:
         out = batch.to_pydict()
@@ -169,7 +169,7 @@ def _read(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordB
                 samples = decode_png(data)
                 for k, v in (
                     ("payload_bytes", len(samples)), ("payload_sha256", hashlib.sha256(samples).hexdigest()),
-                    ("tail_crc32", zlib.crc32(samples[-WIDTH:])),
+                    ("tail_crc32", zlib.crc32(samples[-tail:])),
                     ("media_sha256", hashlib.sha256(data).hexdigest()), ("feature", features(samples))
                 ):
                     extra[k].append(v)
@@ -196,9 +196,9 @@ def headers(catalog: DataFrame) -> DataFrame:
     return catalog.repartition(F.col("digest")).sortWithinPartitions("shard", "offset").mapInArrow(partial(_read, whole=False), HEADER)
 
 
-def read_back(catalog: DataFrame) -> DataFrame:
-    """The catalog with header columns and features of the stored payloads."""
-    return catalog.repartition(F.col("digest")).sortWithinPartitions("shard", "offset").mapInArrow(partial(_read, whole=True), FEATURES)
+def read_back(catalog: DataFrame, tail: int = WIDTH) -> DataFrame:
+    """The catalog with header columns and features of the stored payloads; tail_crc32 is that of the last ``tail`` samples (1 to WIDTH)."""
+    return catalog.repartition(F.col("digest")).sortWithinPartitions("shard", "offset").mapInArrow(partial(_read, whole=True, tail=tail), FEATURES)
 
 
 def attach(docs: DataFrame, catalog: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -32,7 +32,7 @@ def op1_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    catalog = media.read_back(media.store(docs, work_dir(spark, "media")))
+    catalog = media.read_back(media.store(docs, work_dir(spark, "media")), tail=32)
     out = media.attach(docs, catalog)
     return out.select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32",
