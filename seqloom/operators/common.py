@@ -61,6 +61,24 @@ def _skipped(reads: DataFrame, skip: Column, compat: bool) -> DataFrame:
     return upto(sizes, ["file_name", "_worker"], "_batch", "_n", "_before").select("file_name", "_batch", "_before", "_gone")
 
 
+def _numbered(rows: DataFrame, reads: DataFrame, name: str, compat: bool, skip: Column) -> DataFrame:
+    """Adds the 1-based ordinal that follows from read_idx, less the skipped reads before; ``rows`` may be few of the ``reads``."""
+    idx, keys = F.col("read_idx"), ["file_name", "_batch"]
+    rows = rows.withColumn("_batch", F.floor(idx / BATCH)).join(_skipped(reads, skip, compat), keys, "left")
+    place = (F.floor(F.col("_batch") / WORKERS) * BATCH + idx % BATCH if compat else idx) + 1
+    inside = F.coalesce(F.size(F.filter("_gone", lambda x: x < idx)), F.lit(0))
+    return rows.withColumn(
+        name,
+        place - F.coalesce("_before", F.lit(0)) - F.when(F.col("_gone").isNull(), 0).otherwise(inside)
+    ).drop("_batch", "_before", "_gone")
+
+
+def ordinals_of(rows: DataFrame, reads: DataFrame, name: str) -> DataFrame:
+    """Some rows (file_name, read_idx, ...) of dense reads that aren't filtered, with their ordinals among those of the file.  Only
+    the filtered reads' places are dealt out, in their batches."""
+    return _numbered(rows, reads, name, False, F.col("is_filtered"))
+
+
 def with_ordinal(reads: DataFrame, name: str, compat: bool, skip: Column | None = None, dense: bool = True) -> DataFrame:
     """The reads that aren't skipped (filtered, unless told otherwise), with each one's 1-based ordinal among those of its file
     and worker, in the order of read_idx.
@@ -70,15 +88,9 @@ def with_ordinal(reads: DataFrame, name: str, compat: bool, skip: Column | None
     sums give each batch's first ordinal.  No task has all reads or all batches of a file."""
     skip = F.col("is_filtered") if skip is None else skip
     idx, keys = F.col("read_idx"), ["file_name", "_batch"]
-    rows = reads.where(~skip).withColumn("_batch", F.floor(idx / BATCH))
     if dense:
-        rows = rows.join(_skipped(reads, skip, compat), keys, "left")
-        place = (F.floor(F.col("_batch") / WORKERS) * BATCH + idx % BATCH if compat else idx) + 1
-        inside = F.coalesce(F.size(F.filter("_gone", lambda x: x < idx)), F.lit(0))
-        return rows.withColumn(
-            name,
-            place - F.coalesce("_before", F.lit(0)) - F.when(F.col("_gone").isNull(), 0).otherwise(inside)
-        ).drop("_batch", "_before", "_gone")
+        return _numbered(reads.where(~skip), reads, name, compat, skip)
+    rows = reads.where(~skip).withColumn("_batch", F.floor(idx / BATCH))
     sizes = rows.withColumn("_worker", worker(compat)).groupBy("file_name", "_worker", "_batch").agg(F.count("*").alias("_n"))
     firsts = upto(sizes, ["file_name", "_worker"], "_batch", "_n", "_before").select(*keys, "_before")
     own = F.row_number().over(Window.partitionBy(*keys).orderBy("read_idx"))

@@ -25,12 +25,10 @@ from ..config import QcConfig
 from ..functions.columns import NOTHING, Counts, base_counts, column_bytes, file_runs
 from .common import BATCH, WORKERS
 from .positions import TILE_EVERY, TILE_MOST, add_tiles, merged_tiles
-from .sequences import KMER_EVERY, KMER_PART
+from .sequences import EARLY_MOST, KEY_SPAN, KMER_EVERY, KMER_PART, first_keys
 
 SKIPS_MOST = 4_000_000  # sorted numbers of 8 bytes
 FEW_ROWS = 300_000
-KEY_SPAN = 65_536  # ordinals
-EARLY_MOST = 2_000_000  # keys of 50 bytes that are broadcast at most
 REACH = 1024  # above KMER_PART
 REACHES_KEPT = 1 << 20
 KEYS_KEPT = 500_000  # distinct keys that a task holds before it hands them on
@@ -515,14 +513,7 @@ def capped_keys(rows: DataFrame, cap: int) -> DataFrame:
             late = rows.where("NOT _early").join(F.broadcast(early), ["file_name", "key"], "left_semi")
             rows = rows.where("_early").unionByName(late.select(*rows.columns))
     keys = rows.groupBy("file_name", "key").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
-    # the cap's rank is decided among spans of ordinals first, so that no task ranks all keys of a file
-    keys = keys.withColumn("_span", F.floor(F.col("first") / KEY_SPAN))
-    sizes = keys.groupBy("file_name", "_span").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("file_name").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select("file_name", "_span", before.alias("_before")).where(F.col("_before") < cap)
-    rank = F.col("_before") + F.row_number().over(Window.partitionBy("file_name", "_span").orderBy("first"))
-    kept = keys.join(sizes, ["file_name", "_span"]).withColumn("rank", rank).where(F.col("rank") <= cap)
-    return kept.join(total, "file_name").select("file_name", "key", "n", "first", "rank", "total")
+    return first_keys(keys, cap).join(total, "file_name").select("file_name", "key", "n", "first", "rank", "total")
 
 
 __all__ = ["EVERY", "Fused", "capped_keys", "ordinals", "partials", "skips"]

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from ..config import QcConfig
 from ..functions import reads as R
 from ..functions.kernels import DUPLICATION_LABELS, Contaminants, duplication_levels
-from .common import BATCH, in_groups, unfiltered, upto, with_ordinal, worker
+from .common import BATCH, in_groups, ordinals_of, unfiltered, upto, with_ordinal, worker
 
 KMER_EVERY, KMER_PART, KMER_TOP, KMER_DRAWN = 50, 500, 20, 6
+KEY_SPAN = 65_536  # ordinals
+EARLY_MOST = 2_000_000  # keys of 50 bytes that are broadcast at most
 
 
 def key_counts(reads: DataFrame, config: QcConfig) -> DataFrame:
@@ -37,6 +39,38 @@ def key_counts(reads: DataFrame, config: QcConfig) -> DataFrame:
     )
 
 
+def first_keys(keys: DataFrame, cap: int) -> DataFrame:
+    """Of different keys (file_name, key, first, ...) the first ``cap`` of each file, with their rank.  The cap's rank is decided
+    among spans of ordinals first, so that no task ranks all keys of a file."""
+    keys = keys.withColumn("_span", F.floor(F.col("first") / KEY_SPAN))
+    sizes = keys.groupBy("file_name", "_span").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("file_name").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("file_name", "_span", before.alias("_before")).where(F.col("_before") < cap)
+    rank = F.col("_before") + F.row_number().over(Window.partitionBy("file_name", "_span").orderBy("first"))
+    return keys.join(sizes, ["file_name", "_span"]).withColumn("rank", rank).where(F.col("rank") <= cap).drop("_span", "_before")
+
+
+def early_key_counts(reads: DataFrame, config: QcConfig) -> DataFrame:
+    """As key_counts(), for dense reads with many more different keys than count: these are sought among the reads that come first,
+    four times as many until there are ``unique_cap`` or no more reads, and then all reads' copies of them are counted.  Keys behind
+    the cap aren't shuffled, and filtered reads' places don't travel to the driver."""
+    rows = unfiltered(reads).select("file_name", R.duplicate_key(F.col("sequence"), config.dup_length).alias("key"), F.col("read_idx").alias("first"))
+    totals = rows.groupBy("file_name").agg(F.count("*").alias("total"))
+    every = {r[0]: r[1] for r in totals.collect()}  # a row a file
+    end = 2 * config.unique_cap
+    while True:
+        early = rows.where(F.col("first") < end).groupBy("file_name", "key").agg(F.min("first").alias("first"), F.count("*").alias("n"))
+        found = {r[0]: (r[1], r[2]) for r in early.groupBy("file_name").agg(F.count("*"), F.sum("n")).collect()}
+        if all(name in found and (found[name][0] >= config.unique_cap or found[name][1] == n) for name, n in every.items()):
+            break
+        end *= 4
+    kept = first_keys(early.drop("n"), config.unique_cap)
+    few = sum(min(n, config.unique_cap) for n, _ in found.values()) <= EARLY_MOST
+    copies = rows.drop("first").join(F.broadcast(kept) if few else kept, ["file_name", "key"]).groupBy("file_name", "key", "first", "rank").agg(F.count("*").alias("n"))
+    placed = ordinals_of(copies.withColumnRenamed("first", "read_idx"), reads, "first").join(totals, "file_name")
+    return placed.select("file_name", "key", "n", "first", "rank", "total")
+
+
 def duplication_histogram(keys: DataFrame) -> DataFrame:
     """(file_name, level, keys)."""
     return keys.groupBy("file_name", F.col("n").alias("level")).agg(F.count("*").alias("keys"))
@@ -236,6 +270,6 @@ def kmer_series(enriched: DataFrame, content: DataFrame) -> DataFrame:
 
 __all__ = [
     "adapter_content", "adapter_places", "duplication", "duplication_histogram",
-    "key_counts", "kmer_content", "kmer_counts", "kmer_enrichment", "kmer_series", "overrepresented",
+    "early_key_counts", "key_counts", "kmer_content", "kmer_counts", "kmer_enrichment", "kmer_series", "overrepresented",
     "possible_source"
 ]

@@ -172,10 +172,9 @@ def duplication_levels(s, d):
 def duplication_beyond_cap(s, d):
     """More keys than are counted: those behind the cap don't count, and rare levels are corrected for it."""
     reads_ = many(s, d)
-    one = fused.Fused(reads_, CFG, fused.skips(reads_), ("key",))
-    rows = sequences.duplication(reads_, CFG, one.keys()).select("label", six("percent").alias("percent"), six("deduplicated").alias("deduplicated")).collect()
-    one.close()
-    return s.createDataFrame(rows, "label string, percent double, deduplicated double")  # a row a level
+    return sequences.duplication(reads_, CFG, sequences.early_key_counts(reads_, CFG)).select(
+        "label", six("percent").alias("percent"), six("deduplicated").alias("deduplicated")
+    )
 
 
 def first_distinct_keys(s, d):
