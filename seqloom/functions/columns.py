@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 NOTHING = 256  # in place of a base or a code that isn't there
 _MANY = 1 << 20
+_MERGED = 1 << 17
+SLICE_BYTES = 1 << 20
 
 
 def column_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -30,6 +34,17 @@ def file_runs(names: pa.Array) -> list[tuple[object, int, int]]:
     return list(zip(runs.values.to_pylist(), [0, *ends[:-1]], ends, strict=True))
 
 
+def slices(*edges: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first row, end row) of runs with at most SLICE_BYTES in each of these columns, or of one longer row: what is worked out for
+    each byte needs memory by these, not by the batch, which holds as many rows of any length."""
+    at, n = 0, len(edges[0]) - 1
+    while at < n:
+        to = min(int(np.searchsorted(off, off[at] + SLICE_BYTES, "right")) - 1 for off in edges)
+        to = min(n, max(to, at + 1))
+        yield at, to
+        at = to
+
+
 def places(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For rows of these sizes each element's row and place (from 0) in it."""
     row = np.repeat(np.arange(len(size)), size)
@@ -42,14 +57,15 @@ class Counts:
     def __init__(self) -> None:
         self.parts: dict[object, list[tuple[np.ndarray, ...]]] = {}
         self.rows: dict[object, int] = {}
+        self.least: dict[object, int] = {}  # keys after the last merging
 
     def add(self, name: object, keys: np.ndarray, *sums: np.ndarray) -> None:
         self.parts.setdefault(name, []).append((keys, *sums))
         self.rows[name] = self.rows.get(name, 0) + len(keys)
-        if self.rows[name] > _MANY and len(self.parts[name]) > 1:
+        # what doesn't shrink isn't merged again and again
+        if self.rows[name] > max(_MERGED, 2 * self.least.get(name, 0)) and len(self.parts[name]) > 1:
             merged = self.merged(name)
-            # what doesn't shrink isn't merged again and again
-            self.parts[name], self.rows[name] = [merged], len(merged[0]) // 2
+            self.parts[name], self.rows[name], self.least[name] = [merged], len(merged[0]), len(merged[0])
 
     def merged(self, name: object) -> tuple[np.ndarray, ...]:
         columns = [np.concatenate(c) for c in zip(*self.parts[name], strict=True)]
@@ -63,8 +79,10 @@ def base_counts(seq: tuple[np.ndarray, np.ndarray], qual: tuple[np.ndarray, np.n
     own = np.flatnonzero(np.diff(s_off[a : b + 1])) + a
     s_size, q_size = s_off[own + 1] - s_off[own], q_off[own + 1] - q_off[own]
     if (s_size == q_size).all() and len(own) == b - a:
-        _, at = places(s_size)
-        base, code = s[s_off[a] : s_off[b]].astype(np.int64), q[q_off[a] : q_off[b]].astype(np.int64)
+        total = int(s_size.sum())
+        whole = np.int32 if total < 1 << 28 else np.int64  # 4 * total + _MANY is the largest number below
+        at = np.arange(total, dtype=whole) - np.repeat((np.cumsum(s_size) - s_size).astype(whole), s_size)
+        base, code = s[s_off[a] : s_off[b]], q[q_off[a] : q_off[b]]
     else:
         row, at = places(np.maximum(s_size, q_size))
         pick = lambda x, off, size: np.where(at < size[row], np.append(x, np.uint8(0))[np.minimum(off[own][row] + at, len(x))].astype(np.int64), NOTHING)
@@ -72,7 +90,7 @@ def base_counts(seq: tuple[np.ndarray, np.ndarray], qual: tuple[np.ndarray, np.n
     if not len(at):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     bases, codes = (np.flatnonzero(np.bincount(x, minlength=NOTHING + 1)) for x in (base, code))
-    number = lambda x: np.searchsorted(x, np.arange(NOTHING + 1))
+    number = lambda x: np.searchsorted(x, np.arange(NOTHING + 1)).astype(at.dtype)
     top = int(at.max()) + 1
     if top * len(bases) * len(codes) <= 4 * len(at) + _MANY:
         n = np.bincount((at * len(bases) + number(bases)[base]) * len(codes) + number(codes)[code], minlength=top * len(bases) * len(codes))
@@ -80,4 +98,4 @@ def base_counts(seq: tuple[np.ndarray, np.ndarray], qual: tuple[np.ndarray, np.n
         rest, c = np.divmod(full, len(codes))
         place, k = np.divmod(rest, len(bases))
         return (place + 1) << 18 | bases[k] << 9 | codes[c], n[full]
-    return np.unique((at + 1) << 18 | base << 9 | code, return_counts=True)
+    return np.unique((at.astype(np.int64) + 1) << 18 | base.astype(np.int64) << 9 | code, return_counts=True)

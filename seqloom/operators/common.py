@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import QcConfig
-from ..functions.columns import NOTHING, Counts, base_counts, column_bytes, file_runs
+from ..functions.columns import NOTHING, Counts, base_counts, column_bytes, file_runs, slices
 from ..functions.kernels import EXPONENTIAL, MOST_GROUPS, widths
 
 BATCH, WORKERS = 4096, 4
@@ -97,28 +97,30 @@ def with_ordinal(reads: DataFrame, name: str, compat: bool, skip: Column | None
     return rows.join(firsts, keys).withColumn(name, F.col("_before") + own).drop("_batch", "_before")
 
 
+def _position_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each task's counts; batches of long reads are walked in slices."""
+    found = Counts()
+    for batch in batches:
+        seq, qual = column_bytes(batch.column("sequence")), column_bytes(batch.column("quality"))
+        for name, a, b in file_runs(batch.column("file_name")):
+            for c, d in slices(seq[1][a : b + 1], qual[1][a : b + 1]):
+                found.add(name, *base_counts(seq, qual, a + c, a + d))
+    for name in found.parts:
+        keys, n = found.merged(name)
+        code = keys & 511
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([name] * len(keys), pa.string()), pa.array((keys >> 18).astype(np.int32)),
+                _letters.take(pa.array(keys >> 9 & 511)),
+                pa.array(code.astype(np.int32), mask=code == NOTHING), pa.array(n)
+            ],
+            ["file_name", "pos", "base", "code", "n"],
+        )
+
+
 def position_partials(reads: DataFrame) -> DataFrame:
     """(file_name, pos, base, code, n): each task's counts of bases and quality codes by position, from 1 on."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = Counts()
-        for batch in batches:
-            seq, qual = column_bytes(batch.column("sequence")), column_bytes(batch.column("quality"))
-            for name, a, b in file_runs(batch.column("file_name")):
-                found.add(name, *base_counts(seq, qual, a, b))
-        for name in found.parts:
-            keys, n = found.merged(name)
-            code = keys & 511
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([name] * len(keys), pa.string()), pa.array((keys >> 18).astype(np.int32)),
-                    _letters.take(pa.array(keys >> 9 & 511)),
-                    pa.array(code.astype(np.int32), mask=code == NOTHING), pa.array(n)
-                ],
-                ["file_name", "pos", "base", "code", "n"],
-            )
-
-    return unfiltered(reads).select("file_name", "sequence", "quality").mapInArrow(count, "file_name string, pos int, base string, code int, n long")
+    return unfiltered(reads).select("file_name", "sequence", "quality").mapInArrow(_position_counts, "file_name string, pos int, base string, code int, n long")
 
 
 def position_cube(reads: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import QcConfig
 from ..functions import reads as R
-from ..functions.columns import Counts, column_bytes, file_runs, places
+from ..functions.columns import Counts, column_bytes, file_runs, places, slices
 from .common import in_groups, position_cube, with_ordinal, worker
 
 PERCENTILES = (50, 25, 75, 10, 90)
@@ -115,7 +115,9 @@ def _tile_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, off = column_bytes(batch.column("quality"))
         for name, a, b in file_runs(batch.column("file_name")):
-            add_tiles(name, batch.column("tile")[a:b], raw[off[a] : off[b]], off[a : b + 1] - off[a], tiles, lowest, found)
+            for c, d in slices(off[a : b + 1]):
+                c, d = a + c, a + d
+                add_tiles(name, batch.column("tile")[c:d], raw[off[c] : off[d]], off[c : d + 1] - off[c], tiles, lowest, found)
     for name in tiles:
         place, tile, n, s, least = merged_tiles(name, tiles, lowest, found)
         yield pa.RecordBatch.from_arrays(
