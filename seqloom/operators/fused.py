@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import QcConfig
-from ..functions.columns import NOTHING, Counts, base_counts, column_bytes, file_runs
+from ..functions.columns import NOTHING, Counts, base_counts, column_bytes, file_runs, slices
 from .common import BATCH, WORKERS
 from .positions import TILE_EVERY, TILE_MOST, add_tiles, merged_tiles
 from .sequences import EARLY_MOST, KEY_SPAN, KMER_EVERY, KMER_PART, first_keys
@@ -30,8 +30,9 @@ from .sequences import EARLY_MOST, KEY_SPAN, KMER_EVERY, KMER_PART, first_keys
 SKIPS_MOST = 4_000_000  # sorted numbers of 8 bytes
 FEW_ROWS = 300_000
 REACH = 1024  # above KMER_PART
-REACHES_KEPT = 1 << 20
-KEYS_KEPT = 500_000  # distinct keys that a task holds before it hands them on
+REACHES_KEPT = 1 << 17
+KEYS_KEPT = 250_000  # distinct keys that a task holds before it hands them on
+KEYS_WAITING = 1 << 16  # rows that are merged at least
 EVERY = ("basic", "cube", "tile", "mean", "gc", "length", "key", "adapter", "kmer")
 SCHEMA = "file_name string, kind string, a long, b long, c long, text string, n long, s long"
 _names = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -231,7 +232,7 @@ class Kmers:
         keys, at = np.unique((worker << 2 * k | code)[own], return_index=True)
         parts = self.first.setdefault(r.name, [])
         parts.append((keys, shown[own][at]))
-        if sum(len(x) for x, _ in parts) > REACHES_KEPT:
+        if sum(len(x) for x, _ in parts) > max(REACHES_KEPT, 2 * len(parts[0][0])):
             self.first[r.name] = [self.least(parts)]
         other &= ~blank
         for at, p, n, w in zip(begin[other].tolist(), place[other].tolist(), shown[other].tolist(), worker[other].tolist(), strict=True):
@@ -270,7 +271,7 @@ class Keys:
 
     def __init__(self, dup_length: int):
         self.dup_length, self.parts = dup_length, []
-        self.waiting, self.turn = 0, 0
+        self.waiting, self.least, self.turn = 0, 0, 0
 
     def add(self, r: Rows) -> None:
         text, d = r.table.column("sequence"), self.dup_length
@@ -282,9 +283,9 @@ class Keys:
         first = ordinals(r.idx, r.gone, False)
         self.parts.append(pa.table({"name": pa.array([r.name] * len(first), pa.string()).dictionary_encode().cast(pa.string()), "text": pc.cast(text, pa.string()), "n": np.ones(len(first), np.int64), "s": first}))
         self.waiting += len(first)
-        if self.waiting > 2 * KEYS_KEPT:
+        if self.waiting > max(KEYS_WAITING, 2 * self.least):
             self.parts = [self.merged()]
-            self.waiting = len(self.parts[0])
+            self.waiting = self.least = len(self.parts[0])
 
     def merged(self) -> pa.Table:
         found = pa.concat_tables(self.parts).group_by(["name", "text"], use_threads=False).aggregate([("n", "sum"), ("s", "min")])
@@ -296,7 +297,7 @@ class Keys:
                 empty, turn = pa.nulls(len(b), pa.int64()), pa.array(np.full(len(b), self.turn))
                 kind = pa.array(["key"] * len(b))
                 yield pa.RecordBatch.from_arrays([b.column("name"), kind, turn, empty, empty, b.column("text"), b.column("n"), b.column("s")], _names)
-        self.parts, self.waiting, self.turn = [], 0, self.turn + 1
+        self.parts, self.waiting, self.least, self.turn = [], 0, 0, self.turn + 1
 
 
 def _field(parts: pa.ListArray, n: int) -> pa.Array:
@@ -382,11 +383,14 @@ class Kernel:
             own = batch.filter(pa.array(~filtered)) if filtered.any() else batch
             for name, a, b in file_runs(own.column("file_name")) if len(own) else ():
                 part = own.slice(a, b - a)
-                r = Rows(name, part.column("read_idx").to_numpy(), part, column_bytes(part.column("sequence")), column_bytes(part.column("quality")), gone.get(name), c.compat)
-                for t in tallies.values():
-                    t.add(r)
-                if keys:
-                    keys.add(r)
+                idx, (s, s_off), (q, q_off) = part.column("read_idx").to_numpy(), column_bytes(part.column("sequence")), column_bytes(part.column("quality"))
+                for u, v in slices(s_off, q_off):
+                    seq, qual = (s[s_off[u] : s_off[v]], s_off[u : v + 1] - s_off[u]), (q[q_off[u] : q_off[v]], q_off[u : v + 1] - q_off[u])
+                    r = Rows(name, idx[u:v], part.slice(u, v - u), seq, qual, gone.get(name), c.compat)
+                    for t in tallies.values():
+                        t.add(r)
+                    if keys:
+                        keys.add(r)
             if keys and keys.waiting > KEYS_KEPT:
                 yield from keys.take()
         for t in tallies.values():

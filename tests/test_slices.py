@@ -40,7 +40,7 @@ def summed(batches):
 
 
 def test_memory_doesnt_grow_with_the_batch():
-    for kernel in (common._position_counts,):
+    for kernel in (common._position_counts, walk(("cube", "mean", "gc"))):
         rows = batch([20_000] * 800)  # 16 MB of bases
         tracemalloc.start()
         for _ in kernel(iter([rows])):
@@ -52,7 +52,7 @@ def test_memory_doesnt_grow_with_the_batch():
 
 def test_slices_give_the_same_counts(monkeypatch):
     rows = batch([0, 50, 5_000, 100, 0, 900, 50, 20_000, 0])
-    for kernel in (common._position_counts,):
+    for kernel in (common._position_counts, walk(("cube", "gc", "length", "mean"))):
         whole = summed(kernel(iter([rows])))
         with monkeypatch.context() as m:
             m.setattr(columns, "SLICE_BYTES", 300)
