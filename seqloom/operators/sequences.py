@@ -54,7 +54,9 @@ def early_key_counts(reads: DataFrame, config: QcConfig) -> DataFrame:
     """As key_counts(), for dense reads with many more different keys than count: these are sought among the reads that come first,
     four times as many until there are ``unique_cap`` or no more reads, and then all reads' copies of them are counted.  Keys behind
     the cap aren't shuffled, and filtered reads' places don't travel to the driver."""
-    rows = unfiltered(reads).select("file_name", R.duplicate_key(F.col("sequence"), config.dup_length).alias("key"), F.col("read_idx").alias("first"))
+    # exploded, since a sequence that is derived would be worked out again for each use of it
+    rows = unfiltered(reads).select("file_name", F.col("read_idx").alias("first"), F.explode(F.array("sequence")).alias("sequence"))
+    rows = rows.select("file_name", R.duplicate_key(F.col("sequence"), config.dup_length).alias("key"), "first")
     totals = rows.groupBy("file_name").agg(F.count("*").alias("total"))
     every = {r[0]: r[1] for r in totals.collect()}  # a row a file
     end = 2 * config.unique_cap
